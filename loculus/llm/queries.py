@@ -10,6 +10,32 @@ from pyspark.sql import functions as F
 from loculus.llm.common import Scratch, read_table
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed public vocabularies have a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loculus.llm.warc import archive_round_trip
+
+    records = archive_round_trip(read_table(spark, sf_dir, "pages"), Scratch(spark, "warc"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "frame", "frame_offset")
+
+
+def op5_bpe_rank_array(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    from loculus.llm.bpe import round_trip
+
+    coded = round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path or tokenizer_file("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op6_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loculus.llm.kdtree import kd_shards
 
@@ -17,6 +43,12 @@ def op6_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_dictionary_id_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    from loculus.llm.idfiles import id_file_round_trip
+
+    return id_file_round_trip(read_table(spark, sf_dir, "documents"), Scratch(spark, "idfiles"), tokenizer_path or tokenizer_file("word_bpe_49k.json"), end_id=1)
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loculus.llm.mixing import mix
 
