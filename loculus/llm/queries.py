@@ -55,6 +55,13 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents"), Scratch(spark, "mixing"))
 
 
+def op10_simhash_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loculus.llm.simhash import near_duplicates
+
+    found = near_duplicates(read_table(spark, sf_dir, "documents"), Scratch(spark, "simhash"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
