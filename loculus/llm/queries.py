@@ -24,6 +24,13 @@ def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "frame", "frame_offset")
 
 
+def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loculus.llm.quality import judge, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    return judge(docs, train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op5_bpe_rank_array(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     from loculus.llm.bpe import round_trip
 
