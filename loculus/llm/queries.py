@@ -56,6 +56,13 @@ def op7_dictionary_id_files(spark: SparkSession, sf_dir: str, tokenizer_path: st
     return id_file_round_trip(read_table(spark, sf_dir, "documents"), Scratch(spark, "idfiles"), tokenizer_path or tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
+def op8_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loculus.llm.pii import KINDS, span_report
+
+    report = span_report(read_table(spark, sf_dir, "documents"), Scratch(spark, "pii"))
+    return report.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loculus.llm.mixing import mix
 
