@@ -31,6 +31,13 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, train(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op4_suffix_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loculus.llm.substrings import remove_repeats
+
+    cleaned = remove_repeats(read_table(spark, sf_dir, "documents"), Scratch(spark, "substrings"))
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_bpe_rank_array(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
     from loculus.llm.bpe import round_trip
 
