@@ -24,6 +24,12 @@ def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "frame", "frame_offset")
 
 
+def op2_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loculus.llm.hnsw import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"), Scratch(spark, "hnsw"), F.pmod("vec_id", F.lit(100)) == 0, k=10)
+
+
 def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loculus.llm.quality import judge, train
 
