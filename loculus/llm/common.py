@@ -8,6 +8,7 @@ not a recomputation.  Nothing is ever kept in a machine-local folder.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,15 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of phases whose results are stored by now.
+
+        Spark does so when the driver's garbage collector finds their plans
+        unreachable, which may take until long after the disks are full.
+        """
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         for name in names:
             delete_path(self.spark, f"{self.path}/{name}")

@@ -86,8 +86,9 @@ def forest(fps: np.ndarray, free: list[int], most: int = MOST_BITS) -> list[np.n
     """
     if len(fps) < 2:
         return []
-    if len(fps) > FOREST_BLOCK and len(free) > 2 * most + 2:
-        # at most one of the bits differs in one of the halves, or they don't link
+    if len(fps) > FOREST_BLOCK and len(free) > 8:
+        # within three bits at most one differs in one of the halves; a group as large as this hangs together by such links
+        most = min(most, MOST_BITS)
         links = []
         for half in (free[: len(free) // 2], free[len(free) // 2 :]):
             rest = [b for b in free if b not in half]
@@ -143,8 +144,12 @@ def link_groups(signatures: np.ndarray, fps: np.ndarray, most: int = MOST_BITS)
     return np.concatenate(links)
 
 
-def signature_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the distinct fingerprints ``fp`` as all links within three bits do."""
+def signature_links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
+    """Links (a, b) that connect the distinct fingerprints ``fp`` as all links within ``most`` bits do.
+
+    With more than three bits these are links of fingerprints that also have a
+    segment in common up to one bit.
+    """
     numbered = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("number"))
     segment = F.when(F.col("number") < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     cleared = segment.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, number % 32)")))
@@ -162,9 +167,9 @@ def signature_links(distinct: DataFrame) -> DataFrame:
             s, f = np.concatenate(open_s), np.concatenate(open_f)
             cut = int(np.searchsorted(s, s[-1]))
             open_s, open_f = [s[cut:]], [f[cut:]]
-            yield as_batch(link_groups(s[:cut], f[:cut]))
+            yield as_batch(link_groups(s[:cut], f[:cut], most))
         if open_s:
-            yield as_batch(link_groups(np.concatenate(open_s), np.concatenate(open_f)))
+            yield as_batch(link_groups(np.concatenate(open_s), np.concatenate(open_f), most))
 
     def as_batch(links: np.ndarray) -> pa.RecordBatch:
         pairs = np.ascontiguousarray(links.T).view(np.int64)

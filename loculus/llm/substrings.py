@@ -178,6 +178,7 @@ def repeated_blocks(keyed: DataFrame, scratch: Scratch, hot_classes: int = HOT_C
     classes = scratch.table(
         blocks.groupBy("bucket", "extent").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "place")).alias("block")).select("bucket", "extent", "n", "block.*"), "classes"
     )
+    scratch.release()
     crowded = classes.groupBy("bucket").agg(F.count("*").alias("classes")).where("classes > 1")
     open_ = scratch.table(
         classes.join(crowded, "bucket").select("bucket", "row_key", "place", (F.col("n") == 1).alias("alone"), (F.col("classes") > hot_classes).alias("hot")), "open"
@@ -186,6 +187,7 @@ def repeated_blocks(keyed: DataFrame, scratch: Scratch, hot_classes: int = HOT_C
     whole = blocks.join(classes.where("n > 1").select("bucket", "extent"), ["bucket", "extent"])
     settled = scratch.table(whole.select("row_key", first.alias("start"), (first + F.col("place") % _SPAN + LENGTH).alias("stop")), "settled")
     scratch.drop("blocks", "classes")
+    scratch.release()
     return settled, open_
 
 
