@@ -139,7 +139,7 @@ def work_orders(versions: DataFrame, work: Sequence[str], house_prefix: str = HO
 
 def ordered_lists(rows: DataFrame, by: Sequence[str], order: str, value: str, name: str) -> DataFrame:
     """Values per group as one list in order."""
-    return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda r: r[value]).alias(name))
+    return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("place"), F.col(value).alias("value")))), lambda r: r["value"]).alias(name))
 
 
 def catalog_tree(versions: DataFrame) -> DataFrame:

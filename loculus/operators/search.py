@@ -49,7 +49,8 @@ def work_rank(by: str = "count") -> list[Column]:
 def rate_label(rate: Column) -> Column:
     """Whole numbers from 10 up, below that two significant digits."""
     scale = F.pow(F.lit(10.0), 1 - F.floor(F.log10(rate)))
-    return F.when(rate >= 10, F.round(rate).cast("long").cast("string")).when(rate > 0, F.round(rate * scale).cast("long") / scale).otherwise(F.lit(0)).cast("string")
+    small = F.round(rate * scale).cast("long") / scale
+    return F.when(rate >= 10, F.round(rate).cast("long").cast("string")).when(rate > 0, small.cast("string")).otherwise("0")
 
 
 def page_of_hits(hits: DataFrame, after: tuple[int, int], limit: int = PAGE_HITS) -> DataFrame:
