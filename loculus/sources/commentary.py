@@ -31,7 +31,7 @@ def _field(head: Column, name: str) -> Column:
 
 def authors(head: Column) -> Column:
     """The list under ``authors``, else the single ``author``, else none."""
-    listed = F.regexp_extract_all(F.regexp_extract(head, r"(?m)^authors:[ \t]*\n((?:[ \t]*-[ \t]*\S.*(?:\n|\z))+)", 1), F.lit(r"(?m)^[ \t]*-[ \t]*(\S.*?)[ \t]*$"), F.lit(1))
+    listed = F.regexp_extract_all(F.regexp_extract(head, r"(?m)^authors:[ \t]*\n((?:[ \t]*-[ \t]*\S[^\n]*\n?)+)", 1), F.lit(r"(?m)^[ \t]*-[ \t]*(\S[^\n]*?)[ \t]*$"), F.lit(1))
     inline = F.transform(F.split(F.regexp_extract(head, r"(?m)^authors:[ \t]*\[(.*)\]", 1), ","), lambda a: F.trim(a))
     some = F.filter(F.concat(listed, inline), lambda a: a != "")
     one = _field(head, "author")
