@@ -15,7 +15,7 @@ _HEAD = r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)"
 
 def read_markdown(spark: SparkSession, *folders: str) -> DataFrame:
     """file and text of the Markdown files right inside the folders."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(list(folders))
+    files = spark.read.option("pathGlobFilter", "*.md").text(list(folders), wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
