@@ -7,9 +7,11 @@ bytes and readers never see a part of one.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -47,7 +49,15 @@ def open_file(folder: str, name: str) -> Iterator[pa.NativeFile]:
         yield source
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def tidy() -> None:
+    """Give memory that a finished task no longer uses back to the system; Python workers live on beside the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # the C library may have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows whose ``column`` holds about ``most_bytes`` (one row at least)."""
     for batch in batches:
         size = pa.compute.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loculus.llm.common import Scratch
-from loculus.llm.files import slices
+from loculus.llm.files import slices, tidy
 from loculus.llm.suffixes import LENGTH, SEGMENT, cut_blocks, string_names
 
 #: Classes of a bucket from which its strings are counted by Spark instead of in one task.
@@ -47,7 +47,9 @@ HOT_CLASSES = 20_000
 #: A block's place: first start times this, plus its number of starts less one.
 _SPAN = 512
 #: Bytes of blocks that are refined together in a task.
-_REFINE_BYTES = 4 << 20
+_REFINE_BYTES = 1 << 20
+#: Bytes of pieces that are named at once.
+_NAMED_BYTES = 256 << 10
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -73,6 +75,7 @@ def text_blocks(keyed: DataFrame) -> DataFrame:
                     columns[3].append((first + at) * _SPAN + (last - first))
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["bucket", "extent", "row_key", "place"])
+        tidy()
 
     return keyed.where(F.octet_length("text") >= LENGTH).select("text", "row_key").mapInArrow(run, "bucket long, extent long, row_key long, place long")
 
@@ -94,13 +97,23 @@ def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _piece_strings(batch: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """(name, second name, row of the piece, offset in the piece) of every string that starts in a piece."""
     pieces = batch.column("piece").to_pylist()
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    one, two = string_names(np.frombuffer(b"".join(pieces), np.uint8))
-    counts = sizes - LENGTH + 1
-    row = np.repeat(np.arange(len(pieces)), counts)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.repeat(np.cumsum(sizes) - sizes, counts) + offset
-    return one[at], two[at], row, offset
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    start = 0
+    while start < len(pieces):  # named in runs of bounded size
+        stop, held = start, 0
+        while stop < len(pieces) and (stop == start or held + len(pieces[stop]) <= _NAMED_BYTES):
+            held += len(pieces[stop])
+            stop += 1
+        run = pieces[start:stop]
+        sizes = np.fromiter(map(len, run), np.int64, len(run))
+        one, two = string_names(np.frombuffer(b"".join(run), np.uint8))
+        counts = sizes - LENGTH + 1
+        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        at = np.repeat(np.cumsum(sizes) - sizes, counts) + offset
+        for to, values in zip(found, (one[at], two[at], np.repeat(np.arange(start, stop), counts), offset), strict=True):
+            to.append(values)
+        start = stop
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +153,7 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = sum(b.nbytes for b in held)
     if held:
         yield settle(pa.Table.from_batches(held))
+    tidy()
 
 
 def _name_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
