@@ -246,3 +246,51 @@ def catalog_search(entries: DataFrame) -> DataFrame:
     from loculus.operators.search import fuzzy_titles as fuzzy
 
     return fuzzy(entries, "the and attion")
+
+
+@query("""with works as (select n_nationkey::bigint as n, unnest([0, 1, 2]) as i from nation)
+select w.n as author, i, 'Title ' || i as title, i = 1 and w.n % 4 = 0 as is_default,
+       dense_rank() over (order by upper(n_name[1]) || lower(n_name[2:]), w.n) as author_place, row_number() over (partition by w.n order by i) as work_place
+from works w join nation on n_nationkey = w.n""")
+def abbreviation_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, authors, works = _gazetteer(spark, sf_dir)
+    named = works.select("author", "work_urn", "title", "pos").distinct().join(authors.select("author", "name", "default_work").distinct(), "author")
+    number = F.substr("author", F.lit(2)).cast("long")
+    # authors are few beside works: their places come from one row each
+    places = authors.select("author", "name").distinct().select("author", F.row_number().over(Window.orderBy("name", "author")).cast("long").alias("author_place"))
+    within = F.row_number().over(Window.partitionBy("author").orderBy("title", "pos")).cast("long")
+    return named.join(places, "author").select(number.alias("author"), F.col("pos").alias("i"), "title", F.equal_null("work_urn", "default_work").alias("is_default"), "author_place", within.alias("work_place"))
+
+
+@query(f"with {VERSIONS_SQL} select urn, work_urn, row_number() over (partition by work_urn order by case when language = original then 0 when language <> 'eng' then 1 else 2 end, lower(label), version) as place from versions")
+def link_menu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.when(F.col("language") == F.col("original"), 0).when(F.col("language") != "eng", 1).otherwise(2)
+    order = Window.partitionBy("work_urn").orderBy(rank, F.lower("label"), "version")
+    return versions(spark, sf_dir).select("urn", "work_urn", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query(f"with {VERSIONS_SQL} select urn, work_urn, row_number() over (partition by work_urn order by experimental, doc_id) as place from versions")
+def sibling_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("work_urn").orderBy("experimental", "doc_id")
+    return versions(spark, sf_dir).select("urn", "work_urn", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query(f"""with {VERSIONS_SQL}
+select 'reading' as endpoint, '/' || urn || ':1/' as url from versions union all select 'fragment', '/' || urn || ':1/_text/' from versions
+union all select 'chunks', '/' || urn || '/chunks.json' from versions union all select distinct 'work', '/' || work_urn || '/' from versions""")
+def endpoint_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = versions(spark, sf_dir)
+    at = lambda name, url: v.select(F.lit(name).alias("endpoint"), url.alias("url"))
+    one = F.lit("1")
+    pages = at("reading", U.reading_url(F.col("urn"), one)).unionByName(at("fragment", U.fragment_url(F.col("urn"), one))).unionByName(at("chunks", F.concat(F.lit("/"), "urn", F.lit("/chunks.json"))))
+    return pages.unionByName(at("work", F.concat(F.lit("/"), "work_urn", F.lit("/"))).distinct())
+
+
+@query(f"with {VERSIONS_SQL} select corpus, count(*) as whole, count(*) as merged, true as same from versions group by 1")
+def split_equals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of four shards, merged, against the whole catalogue."""
+    v = versions(spark, sf_dir).select("corpus", "work_urn", "version", "label", F.pmod("doc_id", F.lit(4)).alias("ordinal"), F.lit(publish.MANIFEST_VERSION).alias("schema_version"))
+    merged = publish.merge_manifests(v)
+    digest = F.sum(F.xxhash64("work_urn", "version", "label").cast("decimal(38,0)"))
+    whole, parts = (x.groupBy("corpus").agg(F.count("*").alias(n), digest.alias(f"d_{n}")) for x, n in ((v, "whole"), (merged, "merged")))
+    return whole.join(parts, "corpus").select("corpus", "whole", "merged", (F.col("d_whole") == F.col("d_merged")).alias("same"))

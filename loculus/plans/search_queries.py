@@ -150,3 +150,26 @@ def latin_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select conv_id, turn, turn = 1 or turn % 5 = 0 as labelled from conversations")
 def line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", labelled_lines(F.col("turn").cast("string")).alias("labelled"))
+
+
+@query(f"with {TOKENS_SQL}, f as (select surface as form, count(*) as n from tokens where surface <> '' group by 1) select form, n, row_number() over (order by n desc, form) as place from f qualify place <= 50")
+def top_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty most frequent forms; only they are ranked."""
+    best = _postings(spark, sf_dir).groupBy("form").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "form").limit(50)
+    return best.select("form", "n", F.row_number().over(Window.orderBy(F.desc("n"), "form")).cast("long").alias("place"))
+
+
+@query(f"""with {TOKENS_SQL},
+sizes as (select surface as form, count(*) as n from tokens where surface <> '' group by 1)
+select doc_id, pos, doc_id || ':' || ((pos - 1) // 100 + 1) as ref, surface as form, n, 'urn:' || doc_id || ':' || ((pos - 1) // 100 + 1) || '@' || surface || '[' || row_number() over (partition by doc_id, (pos - 1) // 100, surface order by pos) || ']' as token_urn
+from tokens t join sizes s on t.surface = s.form where surface = '{EXACT}'""")
+def hits_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loculus.functions.urn import token_urn
+
+    words = tokens(spark, sf_dir).where("surface <> ''")
+    hits = words.where(F.col("surface") == EXACT).select("doc_id", "pos", F.col("surface").alias("form_id"), (F.floor((F.col("pos") - 1) / 100) + 1).alias("part")).withColumn("chunk_id", F.concat_ws(":", "doc_id", "part"))
+    hits = number_occurrences(hits, ["chunk_id"], "form_id")
+    chunks = hits.select("chunk_id").distinct().withColumn("ref", F.col("chunk_id"))
+    forms = words.where(F.col("surface") == EXACT).groupBy(F.col("surface").alias("form_id")).agg(F.count("*").alias("n")).withColumn("form", F.col("form_id"))
+    found = search.describe_hits(hits, chunks, forms)
+    return found.select("doc_id", "pos", "ref", "form", "n", token_urn(F.concat(F.lit("urn:"), "doc_id"), F.col("part").cast("string"), F.col("form"), F.col("occ")).alias("token_urn"))
