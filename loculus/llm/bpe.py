@@ -11,7 +11,7 @@ scanning grows with the square of the length.
 
 Vocabulary, merges and added tokens come from a ``tokenizers`` JSON file whose
 path is a parameter.  Each Python worker reads it once and keeps a bounded
-memory of words that it has encoded.
+memory of the words that a task has encoded.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; an
 added token's string in a text becomes its id; bytes that are no UTF-8 after
@@ -32,12 +32,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loculus.llm.files import slices
+from loculus.llm.files import slices, tidy
 
 #: Bytes of a word up to which it is merged by scanning; longer ones use a heap.
 SHORT_WORD = 48
 #: Words that a worker remembers before it starts anew.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 200_000
 #: Fixed value: how the byte-level pre-tokenizer splits.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = np.iinfo(np.int32).max
@@ -197,6 +197,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for batch in slices(batches, text):
             ids = bpe.encode_batch(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _id_lists(ids)], names=["doc_id", "ids"])
+        bpe.words.clear()
+        tidy()
 
     return docs.select("doc_id", text).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -223,5 +225,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             ids = bpe.encode_batch(batch.column(text).to_pylist())
             decoded = pa.array([bpe.decode(x) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _id_lists(ids), decoded], names=["doc_id", "ids", "decoded"])
+        bpe.words.clear()
+        tidy()
 
     return docs.select("doc_id", text).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -15,7 +15,9 @@ files, has a bounded size and goes to the tasks with the writing function.
 
 The library encodes each distinct word (run of characters between ASCII white
 space) once per batch and worker: its normalizer and splitter never look across
-white space, so a document's ids are its words' ids in order.
+white space, so a document's ids are its words' ids in order.  New words of
+lower-case letters go to the library's model directly, all others through the
+whole tokenizer.
 
 Edge cases: a null or empty text has the end id only; rows with a null id come
 first; rows with the same id are ordered by text; an empty table writes no file.
@@ -25,11 +27,12 @@ Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loculus.llm.bpe import byte_characters
 from loculus.llm.common import Scratch
 from loculus.llm.files import new_file, one_file_a_task, open_file, slices
 
@@ -46,12 +50,18 @@ SAMPLE_IDS = 2_048
 DICTIONARY_BYTES = 64 << 10
 #: Compressed bytes after which a new file begins, and words that a worker remembers.
 FILE_BYTES = 128 << 20
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 800_000
 MAGIC = b"IDZ1"
 _HEAD, _TAIL = "<4sB32s", "<QQ4s"
 _INDEX = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("at", "<u8"), ("size", "<u4"), ("ids", "<u4")])
-#: Letters after which a closing stop or comma is always a piece of its own.
-_CLOSED = re.compile(rb"(.*[A-Za-z])([.,]+)", re.DOTALL)
+
+
+def _is_letters(word: bytes) -> bool:
+    """Whether it consists of lower-case letters in composed form."""
+    if word.isascii():
+        return word.isalpha() and word.islower()
+    text = word.decode()
+    return text.isalpha() and text.islower() and text == text.lower() and is_normalized("NFC", text)
 
 
 class WordTokenizer:
@@ -63,23 +73,52 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocab.values()) < 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        self.lower = "Lowercase" in str(self.tokenizer.normalizer)
+        #: Whether a word of lower-case letters is one piece that the model can have as it is, spelled in byte letters.
+        self.direct = self.lower and "ByteLevel" in str(self.tokenizer.pre_tokenizer) and "add_prefix_space=False" in str(self.tokenizer.pre_tokenizer)
+        self.byte_letters = dict(enumerate(byte_characters()))
         self.words: dict[bytes, bytes] = {}
 
+    def _encode_letters(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of lower-case letters: nothing is left to normalize or split, so they go straight to the library's model."""
+        tokenize, code = self.tokenizer.model.tokenize, {2: "H", 4: "I"}[self.width]
+        spelled = (w.decode() if w.isascii() else w.decode("latin-1").translate(self.byte_letters) for w in words)
+        return [array(code, [t.id for t in tokenize(w)]).tobytes() for w in spelled]
+
+    def _encode_each(self, words: list[bytes]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
+
+    def _learn(self, missing: set[bytes]) -> None:
+        known, closed = self.words, []
+        letters, others = set(), set()
+        for word in missing:
+            stem = word.rstrip(b".,")
+            if len(stem) < len(word) and stem[-1:].isalpha():  # a stop after a letter is a piece of its own
+                closed.append((word, stem, word[len(stem) :]))
+            else:
+                stem = word
+            (letters if self.direct and _is_letters(stem) else others).add(stem)
+        others.update(tail for _, _, tail in closed)
+        letters, others = [w for w in letters if w not in known], [w for w in others if w not in known]
+        known.update(zip(letters, self._encode_letters(letters), strict=True))
+        known.update(zip(others, self._encode_each(others), strict=True))
+        known.update((word, known[stem] + known[tail]) for word, stem, tail in closed)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Serialized ids of each text."""
-        words = [(t or "").encode().split() for t in texts]
+        data = [(t or "").encode() for t in texts]
+        if self.lower:  # added tokens are looked for before the library lowers letters
+            data = [d if b"<|" in d else d.lower() for d in data]
+        words = [d.split() for d in data]
         if len(self.words) > REMEMBERED_WORDS:
             self.words.clear()
-        known = self.words
-        missing = {w for document in words for w in document if w not in known}
-        parts = {w: m.groups() if (m := _CLOSED.fullmatch(w)) else (w,) for w in missing}
-        plain = [w for w in {p for ps in parts.values() for p in ps} if w not in known]
-        encoded = self.tokenizer.encode_batch([w.decode() for w in plain], add_special_tokens=False)
-        known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(plain, encoded, strict=True))
-        known.update((w, b"".join(map(known.__getitem__, ps))) for w, ps in parts.items())
-        return [b"".join(map(known.__getitem__, document)) for document in words]
+        self._learn({w for document in words for w in document}.difference(self.words))
+        find = self.words.__getitem__
+        return [b"".join(map(find, document)) for document in words]
 
 
 @lru_cache(maxsize=4)
@@ -96,8 +135,9 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
             data = [d[: SAMPLE_IDS * tokenizer.width] for d in tokenizer.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], names=["data"])
 
-    chosen = docs.select("doc_id", "text").where(F.length("text") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
-    samples = [bytes(r.data) for r in chosen.select("text").mapInArrow(sample, "data binary").collect()]
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most SAMPLE_DOCUMENTS ids are broadcast
+    samples = [bytes(r.data) for r in chosen.select("text").mapInArrow(sample, "data binary").orderBy("data").collect()]
     samples = [s for s in samples if len(s) >= 8]
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
     if len(samples) < 16 or size < 512:

@@ -59,7 +59,7 @@ def document_metadata(docs: DataFrame, scratch: Scratch) -> DataFrame:
         "doc_id",
         (F.octet_length(text).cast("long") + RECORD_BYTES).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        *[F.crc32(F.coalesce(F.col(c), F.lit("")).cast("binary")).alias(f"h_{c}") if c in docs.columns else F.lit(0).cast("long").alias(f"h_{c}") for c in ("source", "lang")],
+        *[F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")).alias(f"h_{c}") if c in docs.columns else F.lit(0).cast("long").alias(f"h_{c}") for c in ("source", "lang")],
     )
     narrow = scratch.table(narrow, "narrow")
     low, high, big = narrow.agg(F.min("doc_id"), F.max("doc_id"), F.max("size")).first()

@@ -45,7 +45,7 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:(?![\x20-](?![0-9]))[0-9\x20-])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "candidate": r"(?<![A-Za-z0-9_@.+-])(?=[A-Za-z_@.+-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_@.+-]{4,}+[A-Za-z0-9]?",
+    "candidate": r"(?<![A-Za-z0-9_@.+-])(?=[A-Za-z_@.+-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_@.+-]{3,}[A-Za-z0-9]",
 }
 #: A text without this holds no match.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loculus.llm.common import Scratch
-from loculus.llm.files import slices
+from loculus.llm.files import slices, tidy
 from loculus.llm.graph import components
 
 #: Words of a shingle, seed of its hash, and differing bits that still link.
@@ -75,6 +75,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
         for batch in slices(batches, "text"):
             fps = np.array([fingerprint(t, shingle_words) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -170,6 +171,7 @@ def signature_links(distinct: DataFrame, most: int = MOST_BITS) -> DataFrame:
             yield as_batch(link_groups(s[:cut], f[:cut], most))
         if open_s:
             yield as_batch(link_groups(np.concatenate(open_s), np.concatenate(open_f), most))
+        tidy()
 
     def as_batch(links: np.ndarray) -> pa.RecordBatch:
         pairs = np.ascontiguousarray(links.T).view(np.int64)
