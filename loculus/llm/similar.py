@@ -1,18 +1,20 @@
-"""Near-duplicate groups by similarity of word shingles, found with SimHash signatures.
+"""Near-duplicate groups by similarity of word shingles, found with exact prefix filtering.
 
 Links are pairs of texts whose sets of five-word shingles have a Jaccard
-similarity of 0.8 or more.  Texts with the same words collapse first.  The
-others are searched with SimHash: near copies keep nearly all of their distinct
-words, so several 64-bit fingerprints are taken over each text's distinct
-words (over shingles a similarity of 0.8 would be some ten differing bits of
-64).  Each fingerprint is indexed under its one-wildcard segment variants as in
-``simhash``: texts are candidates if one of the 32-bit segments differs in at
-most one bit.  Candidates are then verified exactly on their shingle sets.
-
-The search misses a pair of similarity 0.8 with a probability of a few percent
-and closer pairs ever more rarely.  Signature groups of any size are worked on
-whole: small ones give all their candidate pairs, large ones a spanning forest
-of nearest fingerprints, so candidates grow with a group and not with its square.
+similarity of 0.8 or more, and all of them count: groups are the components of
+the graph that comparing every pair would give, whatever kind of edit lies
+between two texts.  Texts with the same words collapse first.
+
+Two sets that are this similar share a shingle among the first fifth of each, in
+any order of shingles that is the same for all texts (prefix filtering).  The
+order is by hash, with shingles that are common in a sample last; it changes
+only how much is compared.  Texts meet under each shingle of their prefixes:
+
+* up to ``PAIRED_GROUP`` texts give all pairs that sizes and places allow;
+* more give one pair for each text that can link to a head, which differs by shingle.  Pairs
+  are verified on the whole sets.  Where a group's texts are then still in more
+  than one component, texts outside its largest one are compared with all
+  the others, in blocks of bounded size; only links leave such a block.
 
 Edge cases: letter case of A-Z and kinds of white space don't count; texts
 without words form one group; shorter texts are one shingle; repeated rows
@@ -21,7 +23,7 @@ form a group like other copies; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,67 +34,199 @@ from pyspark.sql import functions as F
 from loculus.llm.common import Scratch
 from loculus.llm.files import slices, tidy
 from loculus.llm.graph import components
-from loculus.llm.simhash import signature_links
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Fingerprints of 64 bits over distinct words; bits in which two of them may differ.
-FINGERPRINTS = 4
-MOST_BITS = 10
+#: Texts that the order of shingles is learned from, and shingles that it puts last (it never changes what is found).
+SAMPLE_TEXTS = 5_000
+COMMON_SHINGLES = 50_000
+#: Groups up to this size are compared pair by pair at once.
+PAIRED_GROUP = 64
+#: Texts and shingles of a block of a larger group.
+BLOCK_TEXTS = 1_024
+BLOCK_SHINGLES = 1 << 22
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def word_fingerprints(words: list[bytes]) -> list[int]:
-    """``FINGERPRINTS`` SimHash values over the distinct words, as signed longs."""
-    distinct = sorted(set(words))
-    if not distinct:
-        return [0] * FINGERPRINTS
-    counts = np.zeros(64 * FINGERPRINTS, np.int64)
-    for at in range(0, len(distinct), 1 << 16):
-        some = distinct[at : at + (1 << 16)]
-        raw = b"".join([xxhash.xxh3_128_digest(w, seed) for w in some for seed in range(-(-FINGERPRINTS // 2))])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(len(some), -1)
-        counts += bits[:, : 64 * FINGERPRINTS].sum(axis=0, dtype=np.int64)
-    return np.frombuffer(np.packbits(2 * counts > len(distinct)).tobytes(), ">i8").tolist()
-
-
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     """Distinct 64-bit hashes of a text's shingles."""
     joined = [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, joined), np.uint64, len(joined))).view(np.int64)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        words = [_words(t) for t in batch.column("text").to_pylist()]
-        same = [int.from_bytes(xxhash.xxh3_128_digest(b" ".join(w))[:8], "big", signed=True) for w in words]
-        prints = np.array([word_fingerprints(w) for w in words], np.int64).reshape(-1)
-        lists = pa.ListArray.from_arrays(np.arange(0, len(prints) + 1, FINGERPRINTS, dtype=np.int32), pa.array(prints))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(same, pa.int64()), lists], names=["doc_id", "text_hash", "words_hash", "fps"])
-    tidy()
+def prefix(shingles: np.ndarray, common: np.ndarray, places: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, so many that a set of this ``similarity`` shares one of its own first ones.
+
+    ``common`` are sorted shingles that come last, in the order of their ``places`` (from 1).
+    """
+    place = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        place = np.where(common[at] == shingles, places[at], 0)
+    most = len(shingles) - int(np.ceil(similarity * len(shingles) - 1e-6)) + 1
+    return shingles[np.lexsort((shingles, place))[:most]]
+
+
+def _common_shingles(keyed: DataFrame, shingle_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample of bounded size have, sorted, and their places from rare to common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [shingle_hashes(_words(t), shingle_words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], names=["shingle"])
+        tidy()
+
+    share = max(1, keyed.count() // SAMPLE_TEXTS)
+    texts = keyed.where(F.pmod(F.xxhash64("text_hash"), F.lit(share)) == 0).dropDuplicates(["text_hash"]).select("text")
+    counts = texts.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n >= 3")
+    rows = counts.orderBy(F.col("n").desc(), "shingle").limit(COMMON_SHINGLES).collect()
+    common, places = np.array([r.shingle for r in rows], np.int64), np.arange(len(rows), 0, -1)
+    order = np.argsort(common)
+    return common[order], places[order]
+
+
+def meet(tokens: np.ndarray, texts: np.ndarray, places: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs of small groups, rows of large groups: token, text, head, size); rows are whole groups sorted by token."""
+    cuts = np.flatnonzero(np.diff(tokens)) + 1
+    starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(tokens)]])
+    counts = ends - starts
+    small = np.repeat(counts <= PAIRED_GROUP, counts)
+    left = np.repeat(ends, counts) - np.arange(len(tokens))  # rows of the same group from here on
+    pairs = [np.empty((0, 2), np.int64)]
+
+    def enough(at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """If this is the first shingle that both share, they can't share more than what is left from here on."""
+        return np.minimum(sizes[at] - places[at], sizes[to] - places[to]) >= similarity / (1 + similarity) * (sizes[at] + sizes[to]) - 1e-6
+
+    for lag in range(1, PAIRED_GROUP):
+        at = np.flatnonzero(small & (left > lag))
+        if not len(at):
+            break
+        to = at + lag
+        able = enough(at, to)
+        pairs.append(np.stack([texts[at[able]], texts[to[able]]], axis=1))
+    large = [np.empty((0, 4), np.int64)]
+    for k in np.flatnonzero(counts > PAIRED_GROUP):
+        some = np.arange(starts[k], ends[k])
+        head = starts[k] + int(tokens[starts[k]].view(np.uint64) % np.uint64(counts[k]))
+        large.append(np.stack([tokens[some], texts[some], np.where(enough(some, np.full(counts[k], head)), texts[head], texts[some]), sizes[some]], axis=1))
+    return np.unique(np.concatenate(pairs), axis=0), np.concatenate(large)
+
+
+def _meetings(classes: DataFrame, similarity: float) -> DataFrame:
+    """token, a, b, n: pairs to verify; in large groups with the token, where each text a (of n shingles) is paired with a head or, if they can't link, itself."""
+
+    def as_batch(parts: list[np.ndarray]) -> pa.RecordBatch:
+        pairs, large = meet(*parts, similarity)
+        columns = [
+            pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(large[:, 0])]),
+            pa.array(np.concatenate([pairs[:, 0], large[:, 1]])),
+            pa.array(np.concatenate([pairs[:, 1], large[:, 2]])),
+            pa.array(np.concatenate([np.zeros(len(pairs), np.int64), large[:, 3]])),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["token", "a", "b", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0  # the last group so far may go on in the next batch
+        for batch in batches:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "text", "place", "size")])
+            rows += batch.num_rows
+            if rows < 1 << 18 or held[0][0][0] == held[-1][0][-1]:
+                continue
+            parts = [np.concatenate(c) for c in zip(*held, strict=True)]
+            cut = int(np.searchsorted(parts[0], parts[0][-1]))
+            held, rows = [[c[cut:] for c in parts]], len(parts[0]) - cut
+            yield as_batch([c[:cut] for c in parts])
+        if rows:
+            yield as_batch([np.concatenate(c) for c in zip(*held, strict=True)])
+        tidy()
+
+    dealt = classes.select(F.col("words_hash").alias("text"), F.col("n").cast("long").alias("size"), F.posexplode("prefix").alias("place", "token"))
+    dealt = dealt.select("token", "text", F.col("place").cast("long").alias("place"), "size")
+    return dealt.repartition("token").sortWithinPartitions("token", "text").mapInArrow(run, "token long, a long, b long, n long")
+
+
+def joining_links(sets: list[np.ndarray], labels: np.ndarray, probes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between ``sets`` that join all ``labels`` which any link of a set in ``probes`` joins."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(ids, kind="stable")
+    holders = np.repeat(np.arange(len(sets)), sizes)[order]
+    starts = np.searchsorted(ids[order], np.arange(ids.max() + 2))
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    labels, links = labels.copy(), []
+    for u in probes.tolist():
+        own = ids[begins[u] : begins[u + 1]]
+        lengths = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        common = np.bincount(holders[at], minlength=len(sets))
+        hit = np.flatnonzero((common >= similarity * (sizes[u] + sizes - common)) & (labels != labels[u]))
+        if len(hit):
+            joined, first = np.unique(labels[hit], return_index=True)
+            links += [(u, v) for v in hit[first].tolist()]
+            labels[np.isin(labels, joined)] = labels[u]
+    return links
+
+
+def _open_links(large: DataFrame, roots: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float) -> DataFrame | None:
+    """Links that are still missing in large groups (token, a, n) whose texts are in several components; None if there are no such groups."""
+    members = scratch.table(large.join(roots, F.col("a") == F.col("node"), "left").select("token", F.col("a").alias("text"), "n", F.coalesce("root", "a").alias("label")), "members")
+    marks = [F.bit_xor(F.xxhash64("text", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
+    labels = members.groupBy("token", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"), *marks)
+    largest = F.max(F.struct("c", "n", "label")).alias("largest")
+    groups = labels.groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), largest, *[F.bit_xor(f"mark{k}").alias(f"mark{k}") for k in (0, 1)])
+    several = groups.where("largest.c < c").select("token", "c", "mark0", "mark1", F.col("largest.label").alias("main"), *[F.greatest(F.ceil(c / BLOCK_TEXTS), F.ceil(n / BLOCK_SHINGLES)).alias(name) for name, c, n in (("blocks", F.col("c"), F.col("n")), ("probing", F.expr("c - largest.c"), F.expr("n - largest.n")))])
+    # shingles with the same texts need one comparison
+    several = scratch.table(several.groupBy("c", "mark0", "mark1").agg(F.min(F.struct("token", "main", "blocks", "probing")).alias("g")).select("g.*"), "several")
+    if several.isEmpty():
+        return None
+    open_ = members.join(several, "token")
+    place = lambda n: F.pmod(F.xxhash64("text", "token"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    probes = open_.where("label <> main").select("token", place("probing").alias("x"), every("blocks").alias("y"), "text", "label", F.lit(True).alias("probe"))
+    others = open_.select("token", every("probing").alias("x"), place("blocks").alias("y"), "text", "label", F.lit(False).alias("probe"))
+
+    def run(cell: pa.Table) -> pa.Table:
+        flat = cell.column("shingles").combine_chunks()
+        ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+        shingles = [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        texts, labels = cell.column("text").to_numpy(), cell.column("label").to_numpy()
+        probing = np.flatnonzero(cell.column("probe").to_numpy())
+        links = np.array(joining_links(shingles, labels, probing, similarity), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(texts[links[:, 0]]), "b": pa.array(texts[links[:, 1]])})
+
+    cells = probes.unionAll(others).join(sets.withColumnRenamed("words_hash", "text"), "text").select("token", "x", "y", "text", "label", "probe", "shingles")
+    return scratch.table(cells.groupBy("token", "x", "y").applyInArrow(run, "a long, b long"), "open-links")
+
+
+def _sketcher(shingle_words: int, similarity: float, common: np.ndarray, places: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words = [_words(t) for t in batch.column("text").to_pylist()]
+            same = [int.from_bytes(xxhash.xxh3_128_digest(b" ".join(w))[:8], "big", signed=True) for w in words]
+            sets = [shingle_hashes(w, shingle_words) for w in words]
+            firsts = [prefix(s, common, places, similarity) for s in sets]
+            ends = np.cumsum([0, *map(len, firsts)], dtype=np.int32)
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(same, pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(firsts)))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "words_hash", "n", "prefix"])
+        tidy()
+
+    return run
 
 
 def similar_groups(docs: DataFrame, scratch: Scratch, shingle_words: int = SHINGLE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash, copies (rows with both) and group: one row per distinct id and text, ``group`` by links."""
     keyed = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    sketched = scratch.table(keyed.mapInArrow(_sketches, "doc_id long, text_hash long, words_hash long, fps array<long>"), "sketches")
-    classes = scratch.table(sketched.groupBy("words_hash").agg(F.min("text_hash").alias("text_hash"), F.min("fps").alias("fps")), "classes")
-    candidates = None
-    for k in range(FINGERPRINTS):
-        own = classes.select("words_hash", F.col("fps")[k].alias("fp"))
-        heads = own.groupBy("fp").agg(F.min("words_hash").alias("head"))
-        # texts with the same fingerprint meet the first of them; different fingerprints meet by their first texts
-        pairs = own.join(heads, "fp").where("words_hash <> head").select(F.col("words_hash").alias("a"), F.col("head").alias("b"))
-        links = scratch.table(signature_links(own.select("fp").distinct(), MOST_BITS), f"links-{k}")
-        scratch.release()
-        named = links.join(heads, F.col("a") == F.col("fp")).select(F.col("head").alias("x"), "b").join(heads, F.col("b") == F.col("fp")).select(F.col("x").alias("a"), F.col("head").alias("b"))
-        both = pairs.unionAll(named)
-        candidates = both if candidates is None else candidates.unionAll(both)
-    candidates = scratch.table(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("words_hash")).distinct().join(classes.select("words_hash", "text_hash"), "words_hash")
+    sketch = _sketcher(shingle_words, similarity, *_common_shingles(keyed, shingle_words))
+    sketched = scratch.table(keyed.mapInArrow(sketch, "doc_id long, text_hash long, words_hash long, n int, prefix array<long>"), "sketches")
+    classes = scratch.table(sketched.groupBy("words_hash").agg(F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("prefix").alias("prefix")), "classes")
+    met = scratch.table(_meetings(classes, similarity), "met")
+    scratch.release()
+    candidates = scratch.table(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    wanted = met.where("a <> b or token is not null").select(F.explode(F.array("a", "b")).alias("words_hash")).distinct().join(classes.select("words_hash", "text_hash"), "words_hash")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -107,7 +241,11 @@ def similar_groups(docs: DataFrame, scratch: Scratch, shingle_words: int = SHING
     left, right = sets.select(F.col("words_hash").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("words_hash").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     verified = candidates.join(left, "a").join(right, "b").where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    roots = components(scratch.table(verified, "verified"), scratch)
+    roots = scratch.table(components(scratch.table(verified, "verified"), scratch), "roots")
+    scratch.release()
+    missing = _open_links(met.where("token is not null").select("token", "a", "n"), roots, sets, scratch, similarity)
+    if missing is not None:
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(missing), scratch)
     members = sketched.groupBy("doc_id", "text_hash", "words_hash").agg(F.count("*").alias("copies"))
     return members.join(roots, members["words_hash"] == roots["node"], "left").select("doc_id", "text_hash", "copies", F.coalesce("root", "words_hash").alias("group"))
 
