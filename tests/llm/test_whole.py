@@ -36,3 +36,18 @@ def test_large_groups_of_variants(spark, scratch):
             mine[at] = f"new{k}x{n}"
         texts.append(" ".join(mine))
     assert check_groups(spark, scratch, texts) > 1
+
+
+@pytest.mark.parametrize("edit", ["appended", "cut", "tail", "block"])
+def test_contiguous_edits(spark, scratch, edit):
+    texts = []
+    for k in range(60):
+        base, new = words(1000 + k, 400).split(), words(5000 + k, 90).split()
+        other = {
+            "appended": base + new[: 78 + k % 24],
+            "cut": base[: 320 + k % 6],
+            "tail": base[: 353 + k % 8] + new[: 47 - k % 8],
+            "block": base[:150] + new[: 38 + k % 6] + base[188 + k % 6 :],
+        }[edit]
+        texts += [" ".join(base), " ".join(other)]
+    check_groups(spark, scratch, texts)
