@@ -87,9 +87,8 @@ def forest(fps: np.ndarray, free: list[int], most: int = MOST_BITS) -> list[np.n
     """
     if len(fps) < 2:
         return []
-    if len(fps) > FOREST_BLOCK and len(free) > 8:
-        # within three bits at most one differs in one of the halves; a group as large as this hangs together by such links
-        most = min(most, MOST_BITS)
+    if len(fps) > FOREST_BLOCK and len(free) > 8 and most <= MOST_BITS:
+        # within three bits at most one differs in one of the halves; beyond, no piece is left that is worth indexing, and blocks are compared
         links = []
         for half in (free[: len(free) // 2], free[len(free) // 2 :]):
             rest = [b for b in free if b not in half]

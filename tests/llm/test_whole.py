@@ -38,6 +38,21 @@ def test_large_groups_of_variants(spark, scratch):
     assert check_groups(spark, scratch, texts) > 1
 
 
+def test_one_radius_at_every_group_size():
+    from loculus.llm.simhash import FOREST_BLOCK, forest
+
+    r = np.random.default_rng(11)
+    fps = np.unique(r.integers(0, 1 << 32, 2600, dtype=np.uint64))
+    fps = np.unique(np.concatenate([fps, fps[:600] ^ np.uint64(0b1010101010101)]))
+    assert len(fps) > FOREST_BLOCK
+    for most in (5, 7, 10):
+        near = [(i, j) for i in range(len(fps)) for j in (np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]) <= most) + i + 1).tolist()]
+        place = {int(f): i for i, f in enumerate(fps)}
+        links = np.concatenate(forest(fps, list(range(33)), most))
+        assert (np.bitwise_count(links[:, 0] ^ links[:, 1]) <= most).all()
+        assert roots(len(fps), near) == roots(len(fps), [(place[int(a)], place[int(b)]) for a, b in links])
+
+
 @pytest.mark.parametrize("edit", ["appended", "cut", "tail", "block"])
 def test_contiguous_edits(spark, scratch, edit):
     texts = []
