@@ -66,3 +66,14 @@ def test_contiguous_edits(spark, scratch, edit):
         }[edit]
         texts += [" ".join(base), " ".join(other)]
     check_groups(spark, scratch, texts)
+
+
+def test_texts_with_the_same_words(spark, scratch):
+    r, texts = random.Random(9), []
+    for k in range(12):
+        parts = [words(100 * k + n, 40) for n in range(8)]
+        for _ in range(8):  # each order of the parts comes with a near copy that has the same set of words
+            r.shuffle(parts)
+            moved = parts[0].split()
+            texts += ["\n".join(parts), "\n".join([" ".join(moved[5:] + moved[:5]), *parts[1:]])]
+    assert check_groups(spark, scratch, texts) < len(texts)
