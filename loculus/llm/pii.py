@@ -5,6 +5,7 @@ seed make a lexical pattern (its last two tokens, and its last one).  Patterns
 and values form a graph; in each round Spark scores a pattern by the share of
 its distinct values that are known for a kind, scores a value by its
 patterns, and values that reach ``PROMOTE`` count as known in the next round.
+A pattern enters as soon as enough of its values are known, be they seeds or promoted.
 Identifier-like tokens (with a digit) that were promoted become spans of kind
 ``found``; base spans are never changed.
 
@@ -118,24 +119,20 @@ def bootstrap(matches: DataFrame, scratch: Scratch, rounds: int = ROUNDS, promot
     base = matches.where(F.col("kind") != "candidate")
     spans = base.select("row", F.col("start").alias("s"), F.col("end").alias("e"))
     free = matches.where(F.col("kind") == "candidate").join(spans, ["row"], "left").groupBy("row", "start", "end", "value", "before").agg(F.max(F.coalesce((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")), F.lit(False))).alias("taken")).where("not taken").drop("taken")
-    seeds = base.select("kind", "value", F.explode(_contexts(F.col("before"))).alias("context")).distinct()
-    unknown = free.select(F.lit(None).cast("string").alias("kind"), "value", F.explode(_contexts(F.col("before"))).alias("context")).distinct()
-    graph = scratch.table(seeds.unionAll(unknown), "graph")
-    values = graph.groupBy("context").agg(F.count_distinct("value").alias("values"))
-    # A pattern needs enough values that are known from the start; the others never enter the rounds.
-    possible = graph.where("kind is not null").groupBy("context", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_values)
-    possible = scratch.table(possible.join(values, "context"), "possible")
-    open_edges = scratch.table(graph.where("kind is null").drop("kind").join(possible, "context"), "open-0")
+    seeds = scratch.table(base.select("kind", "value", F.explode(_contexts(F.col("before"))).alias("context")).distinct(), "seeds")
+    unknown = scratch.table(free.select("value", F.explode(_contexts(F.col("before"))).alias("context")).distinct(), "unknown")
+    values = seeds.select("context", "value").unionAll(unknown.select("context", "value")).groupBy("context").agg(F.count_distinct("value").alias("values"))
+    # A pattern with enough known values has at least as many values.
+    values = scratch.table(values.where(F.col("values") >= least_values), "values")
     known = None
     for k in range(rounds):
-        if known is None:
-            score = possible.withColumn("score", F.col("seeds") / F.col("values"))
-        else:
-            extra = open_edges.join(known, ["kind", "value"], "left_semi").groupBy("context", "kind").agg(F.count_distinct("value").alias("extra"))
-            score = possible.join(extra, ["context", "kind"], "left").withColumn("score", (F.col("seeds") + F.coalesce("extra", F.lit(0))) / F.col("values"))
-        rated = open_edges.join(score.select("context", "kind", "score"), ["context", "kind"])
-        best = rated.groupBy("kind", "value").agg(F.max("score").alias("score"))
-        known = scratch.table(best.where(F.col("score") >= promote).select("kind", "value"), f"known-{k}")
+        # All patterns before a known value are counted anew, so new ones may enter in every round.
+        edges = seeds.select("context", "kind", "value")
+        if known is not None:
+            edges = edges.unionAll(unknown.join(known, "value").select("context", "kind", "value")).distinct()
+        counted = edges.groupBy("context", "kind").agg(F.count("*").alias("known")).where(F.col("known") >= least_values)
+        trusted = counted.join(values, "context").where(F.col("known") / F.col("values") >= promote).select("context", "kind")
+        known = scratch.table(unknown.join(trusted, "context").select("kind", "value").distinct(), f"known-{k}")
     return free.join(known.select("value").distinct(), "value", "left_semi").select("row", "start", "end", "value")
 
 

@@ -77,3 +77,16 @@ def test_texts_with_the_same_words(spark, scratch):
             moved = parts[0].split()
             texts += ["\n".join(parts), "\n".join([" ".join(moved[5:] + moved[:5]), *parts[1:]])]
     assert check_groups(spark, scratch, texts) < len(texts)
+
+
+def test_patterns_learned_from_promoted_values(spark, scratch):
+    from loculus.llm.pii import span_report
+
+    known = [f"{words(k, 5)} reach desk via +1 (555) 010-{1000 + k} today" for k in range(100)]
+    numbers = [f"{5550199100 + k}" for k in range(10)]
+    first = [f"{words(200 + k, 5)} reach desk via {n} today" for k, n in enumerate(numbers)]
+    second = [f"{words(300 + k, 5)} ring extension {n} today" for k, n in enumerate(numbers)]
+    last = ["please ring extension 7770199555 today", "the lot 7770199556 arrived"]
+    frame = spark.createDataFrame(list(enumerate([*known, *first, *second, *last])), "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in span_report(frame, scratch).collect()}
+    assert got[120] == "found:22:32" and got[121] == ""
