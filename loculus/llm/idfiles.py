@@ -1,7 +1,8 @@
 """Token-id files: documents compressed one by one with a shared Zstandard dictionary.
 
-Documents are range-sorted by id, tokenized with the ``tokenizers`` library
-and written in that order.  A file holds
+Documents are range-sorted by id (rows that share one are dealt over ranges by
+number, so a hot id is no hot task), tokenized with the ``tokenizers`` library and
+written in that order.  A file holds
 
 * a head: magic, width of an id in bytes, SHA-256 of the dictionary,
 * one Zstandard frame per document over its little-endian ids,
@@ -10,8 +11,9 @@ and written in that order.  A file holds
 
 so a short document is one positioned read.  The dictionary is trained on
 serialized id arrays of a bounded sample (``SAMPLE_DOCUMENTS`` documents with the
-smallest hashes, up to ``SAMPLE_IDS`` ids of each); it is stored beside the
-files, has a bounded size and goes to the tasks with the writing function.
+smallest hashes, up to ``SAMPLE_IDS`` ids of each, taken in windows that are spread
+evenly over the whole document); it is stored beside the files, has a bounded size
+and goes to the tasks with the writing function.
 
 The library encodes each distinct word (run of characters between ASCII white
 space) once per batch and worker: its normalizer and splitter never look across
@@ -20,8 +22,9 @@ lower-case letters go to the library's model directly, all others through the
 whole tokenizer.
 
 Edge cases: a null or empty text has the end id only; rows with a null id come
-first; rows with the same id are ordered by text; an empty table writes no file.
-Other columns are ignored.
+first; rows with the same id are ordered by the first ``ORDER_CHARS`` characters of
+their texts and otherwise by chance; an empty table writes no file.  Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -46,12 +49,16 @@ from loculus.llm.common import Scratch
 from loculus.llm.files import new_file, one_file_a_task, open_file, slices
 
 SAMPLE_DOCUMENTS = 2_000
-SAMPLE_IDS = 2_048
+SAMPLE_IDS, SAMPLE_WINDOW = 2_048, 256
 DICTIONARY_BYTES = 64 << 10
+#: Characters that order the texts of one id.
+ORDER_CHARS = 32
 #: Compressed bytes after which a new file begins, and words that a worker remembers.
 FILE_BYTES = 128 << 20
 REMEMBERED_WORDS = 800_000
 MAGIC = b"IDZ1"
+#: ASCII that is neither a letter, a digit, white space nor part of a contraction: a run of it at a word's end is a piece of its own.
+_CLOSING = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
 _HEAD, _TAIL = "<4sB32s", "<QQ4s"
 _INDEX = np.dtype([("has_id", "u1"), ("doc_id", "<i8"), ("at", "<u8"), ("size", "<u4"), ("ids", "<u4")])
 
@@ -61,7 +68,7 @@ def _is_letters(word: bytes) -> bool:
     if word.isascii():
         return word.isalpha() and word.islower()
     text = word.decode()
-    return text.isalpha() and text.islower() and text == text.lower() and is_normalized("NFC", text)
+    return text.isalpha() and text.islower() and is_normalized("NFC", text)
 
 
 class WordTokenizer:
@@ -96,8 +103,8 @@ class WordTokenizer:
         known, closed = self.words, []
         letters, others = set(), set()
         for word in missing:
-            stem = word.rstrip(b".,")
-            if len(stem) < len(word) and stem[-1:].isalpha():  # a stop after a letter is a piece of its own
+            stem = word.rstrip(_CLOSING)
+            if len(stem) < len(word) and stem[-1:].isalpha() and b"<|" not in word:
                 closed.append((word, stem, word[len(stem) :]))
             else:
                 stem = word
@@ -126,18 +133,29 @@ def load(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+def spread_windows(ids: bytes, width: int) -> bytes:
+    """At most ``SAMPLE_IDS`` serialized ids, in windows spread evenly over all of them."""
+    n = len(ids) // width
+    if n <= SAMPLE_IDS:
+        return ids
+    starts = np.linspace(0, n - SAMPLE_WINDOW, SAMPLE_IDS // SAMPLE_WINDOW).astype(int).tolist()
+    return b"".join(ids[a * width : (a + SAMPLE_WINDOW) * width] for a in starts)
+
+
 def train_dictionary(docs: DataFrame, tokenizer_path: str) -> bytes:
     """A Zstandard dictionary for serialized id arrays; empty where there is too little to train on."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(tokenizer_path)
         for batch in slices(batches, "text"):
-            data = [d[: SAMPLE_IDS * tokenizer.width] for d in tokenizer.encode(batch.column("text").to_pylist())]
+            data = [spread_windows(d, tokenizer.width) for d in tokenizer.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], names=["data"])
 
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")  # at most SAMPLE_DOCUMENTS ids are broadcast
-    samples = [bytes(r.data) for r in chosen.select("text").mapInArrow(sample, "data binary").orderBy("data").collect()]
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most SAMPLE_DOCUMENTS ids are broadcast
+    single = chosen.groupBy("doc_id").agg(F.min("text").alias("text"))  # rows may share an id
+    # the driver sorts what it has fetched, so a sort in Spark doesn't sample, and so tokenize, twice
+    samples = sorted(bytes(r.data) for r in single.select("text").mapInArrow(sample, "data binary").collect())
     samples = [s for s in samples if len(s) >= 8]
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
     if len(samples) < 16 or size < 512:
@@ -182,8 +200,9 @@ def write_id_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: in
             serial += 1
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["file", "documents", "ids", "bytes"])
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(write, MANIFEST)
+    numbered = docs.select("doc_id", "text", F.left(F.coalesce("text", F.lit("")), F.lit(ORDER_CHARS)).alias("head"), F.xxhash64(F.monotonically_increasing_id()).alias("number"))
+    ordered = numbered.repartitionByRange("doc_id", "head", "number").sortWithinPartitions("doc_id", "head", "number")
+    return ordered.select("doc_id", "text").mapInArrow(write, MANIFEST)
 
 
 class IdFile:
