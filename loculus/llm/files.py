@@ -1,8 +1,10 @@
 """Archive files in the shared folder: written once under a final name, read by position.
 
 A writer task streams into a name of its own and moves the finished file to
-its final name, so a retried or speculative task replaces a file by the same
-bytes and readers never see a part of one.
+its final name, so readers never see a part of one.  A retried or speculative
+task writes the same bytes; where the store refuses to move onto an existing
+name (HDFS does) the file that stands there is removed first, or kept if another
+attempt has put it back meanwhile.
 """
 
 from __future__ import annotations
@@ -35,13 +37,30 @@ def new_file(folder: str, name: str) -> Iterator[pa.NativeFile]:
     try:
         with store.open_output_stream(draft) as out:
             yield out
-        store.move(draft, f"{base}/{name}")
+        _put(store, draft, f"{base}/{name}")
     except BaseException:
         if store.get_file_info(draft).type != pafs.FileType.NotFound:
             store.delete_file(draft)
         raise
 
 
+def _put(store: pafs.FileSystem, draft: str, final: str) -> None:
+    """Move a finished draft to its final name, whether or not an earlier attempt left a file there."""
+    try:
+        store.move(draft, final)
+    except OSError:
+        if store.get_file_info(final).type != pafs.FileType.File:
+            raise
+        with suppress(FileNotFoundError):
+            store.delete_file(final)
+        try:
+            store.move(draft, final)
+        except OSError:  # another attempt was faster; its bytes are the same
+            if store.get_file_info(final).type != pafs.FileType.File:
+                raise
+            store.delete_file(draft)
+
+
 @contextmanager
 def open_file(folder: str, name: str) -> Iterator[pa.NativeFile]:
     store, base = resolve(folder)
