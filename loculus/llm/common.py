@@ -20,9 +20,15 @@ WORD_JAVA = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; a temporary one where none is configured (tests)."""
+    """The folder for intermediate tables.
+
+    Where none is configured a local session gets a temporary one; on a
+    cluster that is an error, since executors would each write to their own disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         base = "file://" + tempfile.mkdtemp(prefix="loculus-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/") + "/loculus"
