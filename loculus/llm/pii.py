@@ -1,16 +1,22 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
-Base spans come from four patterns.  They are the seeds: the words before a
-seed make a lexical pattern (its last two tokens, and its last one).  Patterns
-and values form a graph; in each round Spark scores a pattern by the share of
-its distinct values that are known for a kind, scores a value by its
-patterns, and values that reach ``PROMOTE`` count as known in the next round.
-A pattern enters as soon as enough of its values are known, be they seeds or promoted.
-Identifier-like tokens (with a digit) that were promoted become spans of kind
-``found``; base spans are never changed.
+Base spans come from four patterns.  They are seeds, and so are quoted values
+that something is set to and that look random (``key = "..."``, see
+``_looks_secret``).  The words before a seed make a lexical pattern (its last
+two tokens, and its last one, of up to ``CONTEXT_CHARS`` characters in all;
+longer ones make none).  Patterns and values form a graph.  In each round Spark
+scores a pattern by what its distinct values weigh together (seeds 1, others
+their score of the round before) over their number, and a value by the best
+pattern that stands before it; only patterns that reach ``PROMOTE`` count, with
+at least ``LEAST_VALUES`` known values.  A pattern may thus enter through values
+that other patterns promoted.  Identifier-like tokens (with a digit) that end
+with a score become spans of kind ``found``, a secret seed like any other token;
+base spans are never changed.
 
 Only DataFrame functions are used.  The texts are read once; what follows works
-on matches.  A match's position is the running length of what ``split`` leaves
+on matches.  Which candidates lie clear of base spans is seen from running
+extremes in the order of the text, so a document with very many matches costs a
+sort of them and no pairs.  A match's position is the running length of what ``split`` leaves
 between matches, so positions are code points and need no Python.  Patterns
 are summed with map-side combination, and only those above the threshold are
 joined back, so a word such as an article, which stands before very many
@@ -21,7 +27,8 @@ repetitions are possessive over single characters and starts are tied to the
 ends of runs, which gives the same matches as the plain forms.
 
 Edge cases: a null or empty text has no spans; repeated rows are handled one by one;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; a null doc_id is an id like any other; other
+columns are ignored or, in ``mask_documents``, carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +44,10 @@ FOUND = "found"
 ROUNDS = 3
 PROMOTE = 0.9
 LEAST_VALUES = 5
-#: Characters kept on either side of a match to read its context from.
-CONTEXT_CHARS = 48
+#: Most characters of a lexical pattern.
+CONTEXT_CHARS = 96
+#: Stands for what lies before the characters that are kept; no pattern holds it.
+_CUT = "\uffff"
 _LOCAL, _DOMAIN = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 #: Equal to the plain forms (email, ip, card, phone) in what they match; see above.
 PATTERNS = {
@@ -88,7 +97,13 @@ def _contexts(before: Column) -> Column:
     """The lexical patterns before a match: its last two tokens and its last one, with what is attached."""
     plain = F.regexp_replace(F.lower(before), "[0-9]", "0")
     last = lambda n: F.regexp_extract(plain, rf"(?<![^\s])(?:[^\s]++\s++){{{n}}}[^\s]*+\s*+$", 0)
-    return F.filter(F.array(last(2), last(1)), lambda c: F.length(F.trim(c)) > 0)
+    return F.filter(F.array_distinct(F.array(last(2), last(1))), lambda c: (F.length(F.trim(c)) > 0) & ~F.contains(c, F.lit(_CUT)))
+
+
+def _looks_secret(value: Column, before: Column) -> Column:
+    """A quoted value behind an equals sign or a colon, of 24 letters and digits or more with both in it."""
+    random = value.rlike("^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_-]{24,}$")
+    return random & before.rlike(r"""[=:]\s*["']$""")
 
 
 def find_matches(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -114,25 +129,36 @@ def find_matches(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     return scanned.select("row", "doc_id", "text_hash"), matches
 
 
+def free_candidates(matches: DataFrame) -> DataFrame:
+    """row, start, end, value, before of candidates that overlap no base span."""
+    is_base = F.col("kind") != "candidate"
+    forward, backward = Window.partitionBy("row").orderBy("start"), Window.partitionBy("row").orderBy(F.desc("start"))
+    marked = matches.withColumns({"reach": F.max(F.when(is_base, F.col("end"))).over(forward), "ahead": F.min(F.when(is_base, F.col("start"))).over(backward)})
+    taken = (F.coalesce("reach", F.lit(0)) > F.col("start")) | (F.coalesce("ahead", F.col("end")) < F.col("end"))
+    return marked.where(~is_base & ~taken).select("row", "start", "end", "value", "before")
+
+
 def bootstrap(matches: DataFrame, scratch: Scratch, rounds: int = ROUNDS, promote: float = PROMOTE, least_values: int = LEAST_VALUES) -> DataFrame:
     """row, start, end, value of candidates whose contexts are those of known personal data."""
     base = matches.where(F.col("kind") != "candidate")
-    spans = base.select("row", F.col("start").alias("s"), F.col("end").alias("e"))
-    free = matches.where(F.col("kind") == "candidate").join(spans, ["row"], "left").groupBy("row", "start", "end", "value", "before").agg(F.max(F.coalesce((F.col("s") < F.col("end")) & (F.col("start") < F.col("e")), F.lit(False))).alias("taken")).where("not taken").drop("taken")
-    seeds = scratch.table(base.select("kind", "value", F.explode(_contexts(F.col("before"))).alias("context")).distinct(), "seeds")
+    free = scratch.table(free_candidates(matches), "free")
+    secrets = free.where(_looks_secret(F.col("value"), F.col("before"))).select(F.lit("secret").alias("kind"), "value", "before")
+    seeds = base.select("kind", "value", "before").unionByName(secrets)
+    seeds = scratch.table(seeds.select("kind", "value", F.explode(_contexts(F.col("before"))).alias("context")).distinct(), "seeds")
     unknown = scratch.table(free.select("value", F.explode(_contexts(F.col("before"))).alias("context")).distinct(), "unknown")
     values = seeds.select("context", "value").unionAll(unknown.select("context", "value")).groupBy("context").agg(F.count_distinct("value").alias("values"))
     # A pattern with enough known values has at least as many values.
     values = scratch.table(values.where(F.col("values") >= least_values), "values")
     known = None
     for k in range(rounds):
-        # All patterns before a known value are counted anew, so new ones may enter in every round.
-        edges = seeds.select("context", "kind", "value")
+        # All patterns before a known value are scored anew, so new ones may enter in every round.
+        edges = seeds.select("context", "kind", "value", F.lit(1.0).alias("weight"))
         if known is not None:
-            edges = edges.unionAll(unknown.join(known, "value").select("context", "kind", "value")).distinct()
-        counted = edges.groupBy("context", "kind").agg(F.count("*").alias("known")).where(F.col("known") >= least_values)
-        trusted = counted.join(values, "context").where(F.col("known") / F.col("values") >= promote).select("context", "kind")
-        known = scratch.table(unknown.join(trusted, "context").select("kind", "value").distinct(), f"known-{k}")
+            edges = edges.unionByName(unknown.join(known, "value").select("context", "kind", "value", F.col("score").alias("weight")))
+        edges = edges.groupBy("context", "kind", "value").agg(F.max("weight").alias("weight"))
+        scored = edges.groupBy("context", "kind").agg(F.count("*").alias("known"), F.sum("weight").alias("weight")).where(F.col("known") >= least_values)
+        trusted = scored.join(values, "context").withColumn("score", F.col("weight") / F.col("values")).where(F.col("score") >= promote)
+        known = scratch.table(unknown.join(trusted.select("context", "kind", "score"), "context").groupBy("kind", "value").agg(F.max("score").alias("score")), f"known-{k}")
     return free.join(known.select("value").distinct(), "value", "left_semi").select("row", "start", "end", "value")
 
 
@@ -145,21 +171,22 @@ def find_spans(docs: DataFrame, scratch: Scratch, **options) -> tuple[DataFrame,
 
 
 def span_report(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """doc_id, n_<kind> of each base kind, base_spans and spans ("kind:start:end" by kind and start, comma-joined)."""
+    """doc_id, n_<kind> of each base kind and of ``found``, base_spans and spans ("kind:start:end" by kind and start, comma-joined)."""
     documents, spans = find_spans(docs, scratch, **options)
-    rank = F.array_position(F.array(*[F.lit(k) for k in (*KINDS, FOUND)]), F.col("kind"))
+    kinds = (*KINDS, FOUND)
+    rank = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
     entry = F.struct(rank.alias("rank"), "start", "end", F.concat_ws(":", "kind", "start", "end").alias("shown"))
     by_row = spans.groupBy("row").agg(
-        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS],
+        *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds],
         F.array_sort(F.collect_list(entry)).alias("all"),
     )
 
     def shown(entries: Column) -> Column:
         return F.array_join(F.transform(entries, lambda e: e["shown"]), ",")
 
-    texts = by_row.select("row", *[f"n_{k}" for k in KINDS], shown(F.filter("all", lambda e: e["rank"] <= len(KINDS))).alias("base_spans"), shown(F.col("all")).alias("spans"))
+    texts = by_row.select("row", *[f"n_{k}" for k in kinds], shown(F.filter("all", lambda e: e["rank"] <= len(KINDS))).alias("base_spans"), shown(F.col("all")).alias("spans"))
     joined = documents.join(texts, "row", "left")
-    return joined.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], *[F.coalesce(c, F.lit("")).alias(c) for c in ("base_spans", "spans")])
+    return joined.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in kinds], *[F.coalesce(c, F.lit("")).alias(c) for c in ("base_spans", "spans")])
 
 
 def mask_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
@@ -172,18 +199,21 @@ def mask_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     runs = spans.withColumn("opens", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     merged = runs.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "opens")).alias("kind"))
-    lists = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))
-    plan = documents.join(lists, "row").select("doc_id", "text_hash", "_spans").dropDuplicates(["doc_id", "text_hash"])
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_spans")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_hash")), "left")
+    lists = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
+    plan = documents.join(lists, "row").select(F.col("doc_id").alias("plan_id"), F.col("text_hash").alias("plan_hash"), "spans").dropDuplicates(["plan_id", "plan_hash"])
+    packed = docs.select(F.struct("*").alias("doc"))  # whatever the columns' names are
+    text = F.col("doc")["text"]
+    same = F.col("doc")["doc_id"].eqNullSafe(F.col("plan_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("plan_hash"))
+    joined = packed.join(plan, same, "left")
 
     def piece(span: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(F.element_at("_spans", F.greatest(i, F.lit(1)))["end"]).cast("int")
-        return F.concat(F.substr(F.col("text"), before + 1, span["start"].cast("int") - before), F.lit("["), F.upper(span["kind"]), F.lit("]"))
+        before = F.when(i == 0, F.lit(0)).otherwise(F.element_at("spans", F.greatest(i, F.lit(1)))["end"]).cast("int")
+        return F.concat(F.substr(text, before + 1, span["start"].cast("int") - before), F.lit("["), F.upper(span["kind"]), F.lit("]"))
 
-    tail = F.substr(F.col("text"), F.element_at("_spans", -1)["end"].cast("int") + 1)
-    masked = F.concat(F.array_join(F.transform("_spans", piece), ""), tail)
-    out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col("text")))
+    tail = F.substr(text, F.element_at("spans", -1)["end"].cast("int") + 1)
+    masked = F.concat(F.array_join(F.transform("spans", piece), ""), tail)
+    out = joined.select("doc", F.when(F.col("spans").isNotNull(), masked).otherwise(text).alias("masked"), F.col("spans").isNotNull().alias("changed"))
+    replaced = {"text": F.col("masked")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        replaced["n_chars"] = F.when(F.col("changed"), F.length("masked").cast("long")).otherwise(F.col("doc")["n_chars"])
+    return out.select(*[replaced.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
