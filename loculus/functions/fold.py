@@ -16,12 +16,15 @@ from pyspark.sql import types as T
 #: Apostrophes that count as one, and languages with u/v and i/j as one letter each.
 APOSTROPHES = "'’ʼ᾽′΄"
 LATIN = ("la", "lat")
+_LATIN_LETTERS = str.maketrans("jv", "iu")
 
 
 def fold_text(text: str | None, lang: str | None, strip_marks: bool) -> str | None:
     """Canonical letters in lower case; grave counts as acute, tilde as circumflex, final sigma as sigma."""
     if text is None:
         return None
+    if text.isascii():  # nothing to decompose
+        return text.lower().translate(_LATIN_LETTERS) if lang in LATIN else text.lower()
     letters = []
     for c in unicodedata.normalize("NFD", text):
         if c in APOSTROPHES:
@@ -32,7 +35,7 @@ def fold_text(text: str | None, lang: str | None, strip_marks: bool) -> str | No
             letters.append({"̀": "́", "̃": "͂"}.get(c, c))
     folded = "".join(letters).lower().replace("ς", "σ")
     if lang in LATIN:
-        folded = folded.replace("j", "i").replace("v", "u")
+        folded = folded.translate(_LATIN_LETTERS)
     return unicodedata.normalize("NFC", folded)
 
 

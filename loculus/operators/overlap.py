@@ -2,23 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loculus.functions.citekey import LYRIC_DIVISIONS, end_key, qualify, ranges_overlap, span, start_key, target_citation
 from loculus.functions.urn import prefixes_meet
 
+#: Leading citation numbers that share a bucket in overlap joins.
+LEADING_BUCKET = 8
+
+
+def _leading(citation: Column) -> tuple[Column, Column]:
+    """Buckets of the first and the last leading number of a citation."""
+    one, two = start_key(citation)[0], end_key(citation)[0]
+    return F.floor(F.least(one, two) / LEADING_BUCKET), F.floor(F.greatest(one, two) / LEADING_BUCKET)
+
 
 def entries_for_passages(passages: DataFrame, entries: DataFrame) -> DataFrame:
     """Pairs of passages (group_key, urn, citation) and entries (group_key, work_urn, entry_citation, ...) that overlap.
 
     ``group_key`` is what both must share for their urns to be able to meet
-    (namespace and group); it keeps the comparison within a work's neighbourhood.
+    (the work, or namespace and group where entries name no more).  Inside it
+    both are listed under the buckets of leading numbers that they cross, and a
+    pair is looked at in the first bucket that they share.
     """
-    pairs = passages.join(entries, "group_key")
+    low, high = _leading(F.col("citation"))
+    left = passages.withColumns({"_from": low, "_to": high}).withColumn("_b", F.explode(F.sequence("_from", "_to"))).drop("_to")
+    low, high = _leading(F.col("entry_citation"))
+    right = entries.withColumns({"_efrom": low, "_eto": high}).withColumn("_b", F.explode(F.sequence("_efrom", "_eto"))).drop("_eto")
+    pairs = left.join(right, ["group_key", "_b"]).where(F.col("_b") == F.greatest("_from", "_efrom")).drop("_b", "_from", "_efrom")
     return pairs.where(prefixes_meet(F.col("work_urn"), F.col("urn")) & ranges_overlap(F.col("entry_citation"), F.col("citation")))
 
 
+def links_for_passages(passages: DataFrame, links: DataFrame) -> DataFrame:
+    """Commentary links (commentary, work_urn, line_ref, ...) of passages (group_key, urn, citation), overlapping as entries do."""
+    entries = links.withColumnRenamed("line_ref", "entry_citation")
+    return entries_for_passages(passages, entries).withColumnRenamed("entry_citation", "line_ref")
+
+
+def link_groups(links: DataFrame, by: list[str], pos: str) -> DataFrame:
+    """Links of a passage by commentary, commentaries in order of first appearance, with their links in order."""
+    listed = F.array_sort(F.collect_list(F.struct(pos, "line_ref", "target")))
+    return links.groupBy(*by, "commentary").agg(F.min(pos).alias("first"), F.count("*").alias("n"), listed.alias("links"))
+
+
+def footnote_numbers(nodes: DataFrame) -> DataFrame:
+    """Notes of element nodes (doc, path, tag) with ``number``, from 1 in the order of their document."""
+    order = Window.partitionBy("doc").orderBy("path")
+    return nodes.where("tag = 'note'").withColumn("number", F.row_number().over(order).cast("long"))
+
+
+def corresp_values(nodes: DataFrame) -> DataFrame:
+    """(doc, path, reference): every reference of every element, inner and outer ones, in the order of the document."""
+    given = F.filter(F.split(F.trim(F.coalesce("corresp", F.lit(""))), r"\s+"), lambda r: r != "")
+    return nodes.select("doc", "path", F.explode(given).alias("reference"))
+
+
 def entry_groups(entries: DataFrame, by: list[str], pos: str) -> DataFrame:
     """Entries of a passage by author line (the source's label without authors), groups in order of first appearance."""
     label = F.coalesce(F.nullif(F.array_join("authors", ", "), F.lit("")), F.col("source_label"))

@@ -7,10 +7,13 @@ lookup read only the row groups that hold its keys.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loculus.functions.fold import loose_key, match_key
+from loculus.operators.tokens import token_array
 
 #: Words that rates refer to, hits of a page, words on either side, tokens of a context part.
 RATE_WORDS = 10_000
@@ -75,13 +78,26 @@ def fill_across_works(hits: DataFrame, works: DataFrame, first: int, count: int,
 
 
 def with_context(tokens: DataFrame, chunk: list[str], is_hit: Column, width: int = CONTEXT_WORDS, pos: str = "pos") -> DataFrame:
-    """Hits with the words before and after them in their chunk."""
+    """Hits among rows of single tokens, with the words before and after them in their chunk."""
     order = Window.partitionBy(*chunk).orderBy(pos)
     joined = lambda a, b: F.array_join(F.collect_list("token").over(order.rowsBetween(a, b)), " ")
     around = tokens.withColumns({"before": joined(-width, -1), "after": joined(1, width)})
     return around.where(is_hit)
 
 
+def context_in_texts(texts: DataFrame, is_hit: Callable[[Column], Column], width: int = CONTEXT_WORDS) -> DataFrame:
+    """(doc_id, pos, token, before, after): tokens of ``texts`` (doc_id, text) that are hits, with the words before and after them.
+
+    A text's tokens are at hand as an array, so hits are found and cut out in it and nothing is shuffled.
+    """
+    cut = texts.select("doc_id", token_array("text").alias("t"))
+    places = F.filter(F.transform("t", lambda t, i: F.when(is_hit(t), i + 1)), lambda p: p.isNotNull())
+    opened = cut.withColumn("p", F.explode(places))
+    start = F.greatest(F.col("p") - width, F.lit(1))
+    before, after = F.slice("t", start, F.col("p") - start), F.slice("t", F.col("p") + 1, F.lit(width))
+    return opened.select("doc_id", F.col("p").cast("long").alias("pos"), F.element_at("t", F.col("p")).alias("token"), F.array_join(before, " ").alias("before"), F.array_join(after, " ").alias("after"))
+
+
 def context_parts(tokens: DataFrame, chunk: list[str], pos: str = "pos") -> DataFrame:
     """Tokens of a chunk in numbered parts of 32, joined by the unit separator."""
     part = F.floor((F.col(pos) - 1) / PART_TOKENS).alias("part")
@@ -90,7 +106,7 @@ def context_parts(tokens: DataFrame, chunk: list[str], pos: str = "pos") -> Data
 
 
 def context_from_parts(hits: DataFrame, parts: DataFrame, chunk: list[str], width: int = CONTEXT_WORDS, pos: str = "pos") -> DataFrame:
-    """As ``with_context``, from stored parts: only the parts around a hit are read."""
+    """``hits`` (chunk, pos) with token, before and after, from stored parts: only the parts around a hit are read."""
     first = F.floor(F.greatest(F.col(pos) - 1 - width, F.lit(0)) / PART_TOKENS)
     last = F.floor((F.col(pos) - 1 + width) / PART_TOKENS)
     wanted = hits.withColumn("_first", first).withColumn("part", F.explode(F.sequence("_first", last)))
@@ -98,8 +114,8 @@ def context_from_parts(hits: DataFrame, parts: DataFrame, chunk: list[str], widt
     words = F.flatten(F.transform("_p", lambda p: F.split(p["tokens"], TOKEN_SEPARATOR)))
     at = (F.col(pos) - F.col("_first") * PART_TOKENS).cast("int")
     start = F.greatest(at - width, F.lit(1))
-    out = pieces.withColumn("_w", words).withColumns({"before": F.array_join(F.slice("_w", start, at - start), " "), "after": F.array_join(F.slice(F.col("_w"), at + 1, F.lit(width)), " ")})
-    return out.select(*hits.columns, "before", "after")
+    around = {"token": F.element_at("_w", at), "before": F.array_join(F.slice("_w", start, at - start), " "), "after": F.array_join(F.slice(F.col("_w"), at + 1, F.lit(width)), " ")}
+    return pieces.withColumn("_w", words).withColumns(around).select(*hits.columns, *around)
 
 
 def describe_hits(hits: DataFrame, chunks: DataFrame, forms: DataFrame, features: DataFrame | None = None) -> DataFrame:

@@ -19,12 +19,28 @@ def linked_entries(nodes: DataFrame, current: str = "") -> DataFrame:
 
 def opened_path(nodes: DataFrame, urn: str) -> DataFrame:
     """The current entry and its ancestors, by a recursive query upwards."""
-    nodes.createOrReplaceTempView("_toc_nodes")
     return nodes.sparkSession.sql(
         """with recursive up(doc, node, parent, steps) as (
-             select doc, node, parent, 0 from _toc_nodes where urn = :urn
+             select doc, node, parent, 0 from {nodes} where urn = :urn
              union all
-             select n.doc, n.node, n.parent, u.steps + 1 from up u join _toc_nodes n on n.doc = u.doc and n.node = u.parent)
+             select n.doc, n.node, n.parent, u.steps + 1 from up u join {nodes} n on n.doc = u.doc and n.node = u.parent)
            select doc, node, steps from up""",
         args={"urn": urn},
+        nodes=nodes,
     )
+
+
+def scheme_names(files: DataFrame) -> DataFrame:
+    """(version, scheme): schemes of a version that have an index, "" for the default, from paths ``version[/scheme]/index.json``."""
+    inside = F.regexp_extract("path", r"^(?:[^/]+/)*?[^/]+/index\.json$", 0)
+    below = F.substring_index(F.substring_index("path", "/index.json", 1), "/", -1)
+    scheme = F.when(below == F.col("version"), "").otherwise(below)
+    return files.where(inside != "").select("version", scheme.alias("scheme")).distinct()
+
+
+def contents_of(sidecars: DataFrame, current: str = "") -> DataFrame:
+    """Linked entries of the contents in JSON sidecars (version, json with a ``toc`` list of urn, label, parent, scheme); none where there is no list."""
+    entry = "array<struct<urn:string,label:string,parent:int,scheme:string,has_scheme:boolean>>"
+    opened = sidecars.select(F.col("version").alias("doc"), F.posexplode(F.from_json("json", f"toc {entry}")["toc"]).alias("node", "e"))
+    nodes = opened.select("doc", "node", "e.urn", "e.label", "e.parent", "e.scheme", F.coalesce("e.has_scheme", F.col("e.scheme").isNotNull()).alias("has_scheme"))
+    return linked_entries(nodes, current)

@@ -11,11 +11,21 @@ from loculus.functions.fold import bare_word
 TOKEN_FIELDS = ("text", "urn", "whitespace", "start_char", "end_char")
 
 
+def token_array(text: str) -> Column:
+    """The runs of non-blank characters of a text, in order; none for a blank or null one."""
+    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda t: t != "")
+
+
+def bare_surface(token: Column) -> Column:
+    """Lower case, without punctuation and symbols at the ends; tokens of letters need no pattern."""
+    return F.lower(F.when(token.rlike(r"^\p{L}(?:.*\p{L})?$"), token).otherwise(bare_word(token)))
+
+
 def split_tokens(texts: DataFrame, text: str = "text") -> DataFrame:
     """One row per run of non-blank characters: ``pos`` from 1, ``token``, ``surface`` (lower case, bare); blank texts give none."""
-    cut = texts.withColumn("_t", F.regexp_extract_all(F.col(text), F.lit(r"(\S+)"), F.lit(1))).drop(text)
+    cut = texts.withColumn("_t", token_array(text)).drop(text)
     opened = cut.select("*", F.posexplode("_t").alias("_p", "token")).withColumn("pos", (F.col("_p") + 1).cast("long")).drop("_t", "_p")
-    return opened.withColumn("surface", F.lower(bare_word(F.col("token"))))
+    return opened.withColumn("surface", bare_surface(F.col("token")))
 
 
 def number_occurrences(tokens: DataFrame, chunk: list[str], form: str = "surface", pos: str = "pos") -> DataFrame:

@@ -2,7 +2,11 @@
 
 * versions: one per document; groups are sources, works are runs of documents;
 * chunks: a version's passages, by book and section (odd version numbers) or by book only (even ones);
-* tokens: the running words of a document.
+* tokens: the running words of a document;
+* index: the stored word index of all documents, built once for a session and folder.
+
+The tables have no titles: a version's title is the first 16 characters of its text, a
+stand-in of a title's length. Nothing else is cut from the texts.
 """
 
 from __future__ import annotations
@@ -11,13 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loculus.operators.catalog import version_kind
+from loculus.operators.search_index import SearchIndex, open_index, write_index
 from loculus.operators.tokens import split_tokens
+from loculus.session import read_parquet, work_folder
 
 SECTION_TOKENS, BOOK_SECTIONS = 20, 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _work(doc_id: F.Column) -> F.Column:
@@ -101,6 +107,16 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_tokens(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _built:
+        _built[key] = write_index(table(spark, sf_dir, "documents"), f"{work_folder(spark)}/search", "fr")
+    return open_index(spark, _built[key])
+
+
 TOKENS_SQL = r"""
 raw_tokens as (select doc_id, lang, regexp_extract_all(text, '\S+') as t from documents),
 tokens as (

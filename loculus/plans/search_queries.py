@@ -7,31 +7,19 @@ from pyspark.sql import functions as F
 
 from loculus.functions.fold import guess_language, is_punctuation, match_key
 from loculus.operators import search
-from loculus.operators.tokens import labelled_lines, number_occurrences, prior_words
-from loculus.plans.bindings import TOKENS_SQL, table, tokens
+from loculus.operators.ranking import global_places
+from loculus.operators.search_index import find_keys, hits_of
+from loculus.operators.tokens import bare_surface, labelled_lines, number_occurrences, prior_words
+from loculus.plans.bindings import TOKENS_SQL, index, table, tokens
 from loculus.plans.catalogue import query
 
-#: What the queries look for: a loose key, an exact form, a frequent form.
-LOOSE, EXACT, FREQUENT = "la", "que", "the"
-
-
-def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, form, n): tokens are summed before anything is joined."""
-    return tokens(spark, sf_dir).where("surface <> ''").groupBy("doc_id", F.col("surface").alias("form")).agg(F.count("*").alias("n"))
-
-
-def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.forms_table(tokens(spark, sf_dir), F.lit("fr"))
-
-
-def _sizes(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("doc_id").agg(F.sum("n").alias("n_words"))
+#: What the queries look for: a loose key, an exact form, a frequent form, a lemma.
+LOOSE, EXACT, FREQUENT, LEMMA = "la", "que", "the", "menten"
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    postings = _postings(spark, sf_dir)
-    forms = postings.select("form").distinct().withColumn("lang", F.lit("fr")).withColumn("loose", search.loose_key(F.col("form"), F.col("lang")))
-    return search.counts_by_document(postings, search.find_forms(forms, LOOSE, loose=True), _sizes(postings))
+    found = index(spark, sf_dir)
+    return search.counts_by_document(found.postings, find_keys(found.forms, LOOSE, loose=True), found.documents)
 
 
 _COUNTS_SQL = f"""{TOKENS_SQL},
@@ -45,8 +33,8 @@ counts as (
 
 @query(f"with {_COUNTS_SQL} select doc_id, n, forms, n_words, rate, row_number() over (order by n desc, rate desc, doc_id) as place from counts")
 def word_counts_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _counts(spark, sf_dir)
-    return counts.select("doc_id", "n", "forms", "n_words", "rate", F.row_number().over(Window.orderBy(*search.work_rank())).cast("long").alias("place"))
+    counts = _counts(spark, sf_dir).select("doc_id", "n", "forms", "n_words", "rate")
+    return global_places(counts, search.work_rank(), "place")
 
 
 @query(f"with {_COUNTS_SQL} select sum(n)::bigint as n, count(*) as works from counts")
@@ -54,24 +42,35 @@ def word_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir).agg(F.sum("n").alias("n"), F.count("*").alias("works"))
 
 
-@query(f"with {_COUNTS_SQL} select doc_id, case when rate >= 10 then '' || round(rate)::bigint else '' end as label from counts where rate >= 10")
+@query(f"""with {_COUNTS_SQL}, shown as (select doc_id, rate, round(rate * pow(10.0, 1 - floor(log10(rate))))::bigint as two, 1 - floor(log10(rate))::int as places from counts)
+select doc_id, case when rate >= 10 then '' || round(rate)::bigint else '' || (two / pow(10.0, places)) end as label from shown""")
 def rate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counts(spark, sf_dir).where("rate >= 10").select("doc_id", search.rate_label(F.col("rate")).alias("label"))
+    return _counts(spark, sf_dir).select("doc_id", search.rate_label(F.col("rate")).alias("label"))
 
 
 @query(f"with {TOKENS_SQL} select surface as form, count(*) as n from tokens where surface <> '' and lower(strip_accents(surface)) = '{LOOSE}' group by 1")
 def form_lookup_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.find_forms(_forms(spark, sf_dir), LOOSE, lang="fr", loose=True).select("form", "n")
+    return find_keys(index(spark, sf_dir).forms, LOOSE, lang="fr", loose=True).select("form", "n")
 
 
 @query(f"with {TOKENS_SQL} select surface as form, count(*) as n from tokens where surface = '{EXACT}' group by 1")
 def form_lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.find_forms(_forms(spark, sf_dir), EXACT, lang="fr").select("form", "n")
+    return find_keys(index(spark, sf_dir).forms, EXACT, lang="fr").select("form", "n")
+
+
+_LEMMAS_SQL = f"""with {TOKENS_SQL},
+forms as (select surface as form, lower(strip_accents(surface)) as loose, count(*) as n from tokens where surface <> '' group by 1, 2),
+lemmas as (select case when length(loose) > 4 then regexp_replace(loose, '[aeimnst]$', '') else loose end as lemma, sum(n)::bigint as n, count(*) as forms from forms group by 1)"""
+
+
+@query(f"{_LEMMAS_SQL} select lemma, n, forms from lemmas where lemma = '{LEMMA}'")
+def lemma_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_keys(index(spark, sf_dir).lemmas, LEMMA, lang="fr", loose=True).select("lemma", "n", "forms")
 
 
 @query(f"with {TOKENS_SQL} select lower(strip_accents(surface)) as loose, count(distinct surface) as forms, count(*) as n from tokens where surface <> '' group by 1")
 def loose_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _forms(spark, sf_dir).groupBy("loose").agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
+    return index(spark, sf_dir).forms.groupBy("loose").agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
 
 
 @query(f"with {TOKENS_SQL} select doc_id, pos, surface, row_number() over (partition by doc_id, surface order by pos) as occ from tokens where surface <> ''")
@@ -81,7 +80,7 @@ def occ_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokens(spark, sf_dir).where(F.col("surface") == FREQUENT)
+    found = hits_of(index(spark, sf_dir), FREQUENT)
     return found.select("doc_id", F.floor((F.col("pos") - 1) / 100).alias("chunk"), F.col("pos").alias("seq")).select("doc_id", (F.col("doc_id") * 100_000 + F.col("chunk")).alias("chunk_id"), "seq")
 
 
@@ -115,14 +114,14 @@ select doc_id, pos, token, before, after from around where surface = '{EXACT}'""
 
 @query(_KWIC_SQL)
 def kwic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.with_context(tokens(spark, sf_dir), ["doc_id"], F.col("surface") == EXACT).select("doc_id", "pos", "token", "before", "after")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.context_in_texts(texts, lambda token: F.contains(F.lower(token), F.lit(EXACT)) & (bare_surface(token) == EXACT))
 
 
 @query(_KWIC_SQL)
 def kwic_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = tokens(spark, sf_dir)
-    hits = words.where(F.col("surface") == EXACT).select("doc_id", "pos", "token")
-    return search.context_from_parts(hits, search.context_parts(words, ["doc_id"]), ["doc_id"])
+    found = index(spark, sf_dir)
+    return search.context_from_parts(hits_of(found, EXACT), found.parts, ["doc_id"])
 
 
 @query(f"with {TOKENS_SQL}, p as (select surface, lag(surface) over (partition by doc_id order by pos) as prior from tokens where surface <> '') select prior, count(*) as n from p where surface = '{FREQUENT}' group by 1")
@@ -155,7 +154,7 @@ def line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {TOKENS_SQL}, f as (select surface as form, count(*) as n from tokens where surface <> '' group by 1) select form, n, row_number() over (order by n desc, form) as place from f qualify place <= 50")
 def top_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty most frequent forms; only they are ranked."""
-    best = _postings(spark, sf_dir).groupBy("form").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "form").limit(50)
+    best = index(spark, sf_dir).forms.orderBy(F.desc("n"), "form").limit(50)
     return best.select("form", "n", F.row_number().over(Window.orderBy(F.desc("n"), "form")).cast("long").alias("place"))
 
 
@@ -166,10 +165,10 @@ from tokens t join sizes s on t.surface = s.form where surface = '{EXACT}'""")
 def hits_described(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loculus.functions.urn import token_urn
 
-    words = tokens(spark, sf_dir).where("surface <> ''")
-    hits = words.where(F.col("surface") == EXACT).select("doc_id", "pos", F.col("surface").alias("form_id"), (F.floor((F.col("pos") - 1) / 100) + 1).alias("part")).withColumn("chunk_id", F.concat_ws(":", "doc_id", "part"))
+    words = index(spark, sf_dir)
+    hits = hits_of(words, EXACT).select("doc_id", "pos", F.lit(EXACT).alias("form_id"), (F.floor((F.col("pos") - 1) / 100) + 1).alias("part")).withColumn("chunk_id", F.concat_ws(":", "doc_id", "part"))
     hits = number_occurrences(hits, ["chunk_id"], "form_id")
     chunks = hits.select("chunk_id").distinct().withColumn("ref", F.col("chunk_id"))
-    forms = words.where(F.col("surface") == EXACT).groupBy(F.col("surface").alias("form_id")).agg(F.count("*").alias("n")).withColumn("form", F.col("form_id"))
+    forms = words.forms.where(F.col("form") == EXACT).select(F.col("form").alias("form_id"), "n", "form")
     found = search.describe_hits(hits, chunks, forms)
     return found.select("doc_id", "pos", "ref", "form", "n", token_urn(F.concat(F.lit("urn:"), "doc_id"), F.col("part").cast("string"), F.col("form"), F.col("occ")).alias("token_urn"))

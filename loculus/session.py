@@ -1,8 +1,11 @@
-"""Session settings that the library is written for."""
+"""Session settings that the library is written for, and the folder for tables that it stores."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -11,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: A table in one file of up to so many bytes is dealt out to all cores after reading; larger ones have enough row groups.
+SINGLE_FILE_BYTES = 512 << 20
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **settings: str) -> SparkSession:
@@ -19,3 +24,36 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **settings
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Where stored tables go: the folder that ``spark.checkpoint.dir`` names; a temporary one in local sessions without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
+        base = "file://" + tempfile.mkdtemp(prefix="loculus-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/loculus-tables"
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame written to the work folder and read again, so that it is computed once and its rows stay as they are."""
+    path = f"{work_folder(frame.sparkSession)}/{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def file_status(spark: SparkSession, path: str):
+    """Hadoop's status of a path, or None where there is nothing."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.getFileStatus(target) if store.exists(target) else None
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; one that is a single small file, and so a single task, is dealt out to all cores."""
+    table, status = spark.read.parquet(path), file_status(spark, path)
+    if status is not None and status.isFile() and status.getLen() <= SINGLE_FILE_BYTES:
+        return table.repartition(spark.sparkContext.defaultParallelism)
+    return table
