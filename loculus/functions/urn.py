@@ -80,6 +80,29 @@ def prefixes_meet(a: Column, b: Column) -> Column:
     return a.startswith(b) | b.startswith(a)
 
 
+def file_stem(path: Column) -> Column:
+    """A file's name without folders and its last suffix; dots inside stay."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]*$", "")
+
+
+def chunk_folder(urn: Column, scheme: Column | None = None) -> Column:
+    """Folder of a version's chunks; other schemes than the default lie in one of their own name."""
+    extra = F.lit("") if scheme is None else F.coalesce(scheme, F.lit(""))
+    return F.concat(path(urn), F.when(extra != "", F.concat(F.lit("/"), extra)).otherwise(""))
+
+
+def chunk_file(urn: Column, chunk: Column) -> Column:
+    return F.concat(chunk_folder(urn), F.lit("/chunk_"), chunk, F.lit(".html"))
+
+
+def manifest_file(urn: Column) -> Column:
+    return F.concat(chunk_folder(urn), F.lit("/index.json"))
+
+
+def catalogue_page(language: Column) -> Column:
+    return F.concat(F.lit("catalog/"), language, F.lit(".html"))
+
+
 def sidecar_name(file: Column) -> Column:
     """Token file beside a chunk's XML file."""
     return F.regexp_replace(file, r"\.[^./]*$", ".tokens.json.zst")

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loculus.functions.urn import family, id_language
+from loculus.functions.urn import family, file_stem, id_language, version_id
 
 #: Kinds in display order, labels of languages and of editors' roles.
 KINDS = ("edition", "translation", "commentary")
@@ -154,6 +154,47 @@ def merge_catalogs(parts: DataFrame, key: Sequence[str], first: Sequence[str], l
     return parts.groupBy(*key).agg(*[F.min_by(c, ordinal).alias(c) for c in first], *[F.max_by(c, ordinal).alias(c) for c in last])
 
 
+def merge_collections(parts: DataFrame, first: Sequence[str], last: Sequence[str], work: Sequence[str], pos: str, ordinal: str = "ordinal") -> DataFrame:
+    """Several catalogues (urn, version, kind, experimental, ...) as one, with ``preferred`` decided anew over what each work has now."""
+    return with_preferred(merge_catalogs(parts, ["urn", *work, "version", pos], first, last, ordinal), work, pos)
+
+
+def deployable(versions: DataFrame, sidecars: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``versions`` that have a metadata sidecar (urn) and at least one chunk (urn); works and groups without any version are thereby gone."""
+    return versions.join(sidecars.select("urn").distinct(), "urn", "left_semi").join(chunks.select("urn").distinct(), "urn", "left_semi")
+
+
+def experimental_ids(versions: DataFrame, files: DataFrame, flagged: Sequence[str]) -> DataFrame:
+    """(id): version ids that flagged repositories contribute: catalogued there (repo, urn), or named so by a document's file (repo, path)."""
+    catalogued = versions.where(F.col("repo").isin(*flagged)).select(version_id(F.col("urn")).alias("id"))
+    documents = files.where(F.col("repo").isin(*flagged) & ~F.col("path").endswith("__cts__.xml") & F.col("path").endswith(".xml"))
+    return catalogued.unionByName(documents.select(file_stem(F.col("path")).alias("id"))).distinct()
+
+
+def listed_versions(versions: DataFrame) -> DataFrame:
+    """(corpus, textgroup, work_urn, kind, version_urn): versions under their works, and commentaries also under the works that they are about."""
+    about = versions.where("about is not null and about <> work_urn")
+    works = versions.select(F.col("work_urn").alias("_w"), F.col("corpus").alias("_c"), F.col("textgroup").alias("_g")).distinct()
+    crossed = about.join(works, about["about"] == works["_w"]).select(F.col("_c").alias("corpus"), F.col("_g").alias("textgroup"), F.col("_w").alias("work_urn"), F.lit("commentary").alias("kind"), "experimental", "version", "label", "urn")
+    return versions.select("corpus", "textgroup", "work_urn", "kind", "experimental", "version", "label", "urn").unionByName(crossed)
+
+
+def display_tree(versions: DataFrame, corpora: DataFrame, groups: DataFrame, works: DataFrame) -> DataFrame:
+    """(corpus_place, group_place, work_place, kind, place, urn): the order in which everything is shown.
+
+    Corpora (corpus, label) go by label, groups (corpus, textgroup, sort_key) and
+    works (corpus, textgroup, work_urn, sort_key) by sort key, then by id; versions of
+    a kind as ``display_keys`` has them.
+    """
+    at = lambda by, *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
+    c = corpora.select("corpus", at([F.lit(0)], F.lower("label"), "corpus").alias("corpus_place"))  # one row per corpus
+    g = groups.select("corpus", "textgroup", at(["corpus"], "sort_key", "textgroup").alias("group_place"))
+    w = works.select("corpus", "textgroup", "work_urn", at(["corpus", "textgroup"], "sort_key", "work_urn").alias("work_place"))
+    shown = listed_versions(versions).withColumn("place", at(["work_urn", "kind"], *display_keys(), "urn"))
+    joined = shown.join(w, ["corpus", "textgroup", "work_urn"]).join(g, ["corpus", "textgroup"]).join(c, "corpus")
+    return joined.select("corpus_place", "group_place", "work_place", "kind", "place", "urn")
+
+
 def attach_commentaries(versions: DataFrame) -> DataFrame:
     """(work_urn, version_urn): commentaries under the deployed work that they are about, their own work left out."""
     works = versions.select("work_urn").distinct()

@@ -7,10 +7,11 @@ three leading words meet abbreviations by equality.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loculus.functions.citekey import typed_scope
+from loculus.functions.citekey import typed_key, typed_scope
+from loculus.operators.align import prefix_floor_join
 
 LEADING_TOKENS = 3
 LANGUAGES_FIRST = ("grc", "lat")
@@ -78,6 +79,42 @@ def match_citations(queries: DataFrame, authors: DataFrame, works: DataFrame) ->
     return all_.withColumn("kind", kind).select("query_id", "kind", F.when(resolved, F.coalesce("w_urn", "d_urn")).alias("work_urn"), F.when(resolved, F.when(F.col("w") == 1, F.col("w_passage")).otherwise(F.col("d_passage"))).alias("passage"), F.coalesce(count, F.lit(0)).cast("long").alias("options"))
 
 
+def citation_options(matches: DataFrame, authors: DataFrame, works: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, kind, label, work_urn, passage): what each matched query may mean: its one work, the works to choose from, or the authors' works."""
+    resolved = matches.where("kind = 'resolved'").select("query_id", "kind", F.lit("").alias("label"), "work_urn", "passage")
+    open_ = matches.where("kind in ('choose-work', 'ambiguous')").select("query_id", "kind")
+    spans = author_spans(queries.join(open_.select("query_id"), "query_id", "left_semi"), authors)
+    named = works.select("author", "work_urn", "title").distinct()
+    offered = open_.join(spans, "query_id").join(named, "author").select("query_id", "kind", F.col("title").alias("label"), "work_urn", typed_scope(F.element_at("words", -1)).alias("passage"))
+    return resolved.unionByName(offered)
+
+
+def option_links(options: DataFrame, versions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``options`` (query_id, work_urn, passage) with ``href``: the work's picked version at the chunk that holds the passage; works without a version drop out.
+
+    The chunk is found as a reader's jump finds it: the lowest one below the
+    place, else the one before it, else the first; without a passage the
+    version's first page is meant.
+    """
+    picked = pick_versions(versions, ["work_urn"]).select("work_urn", F.col("urn").alias("_urn"))
+    with_key = options.join(picked, "work_urn").withColumn("_key", typed_key(F.coalesce("passage", F.lit(""))))
+    places = chunks.select(F.col("urn").alias("_urn"), "key", F.col("passage").alias("_chunk"), "pos")
+    landed = prefix_floor_join(with_key, places, ["_urn"], "_key", "key", F.col("_chunk"), "pos")
+    base = F.concat(F.lit("/"), F.col("_urn"))
+    href = F.when(F.col("passage").isNull(), F.concat(base, F.lit("/"))).otherwise(F.concat(base, F.lit(":"), F.coalesce("landing", "passage"), F.lit("/")))
+    return landed.withColumn("href", href).select(*options.columns, "href")
+
+
+def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a JSON gazetteer, an object of authors by id: author, name, name_abbrevs, default_abbrev, works."""
+    work = "struct<urn:string,title:string,abbreviations:array<string>>"
+    entry = f"struct<name:string,abbreviations:array<string>,default_abbreviation:string,works:array<{work}>>"
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.map_entries(F.from_json("value", f"map<string,{entry}>"))).alias("e"))
+    listed = F.transform("e.value.works", lambda w: F.struct(w["urn"].alias("work_urn"), w["title"].alias("title"), w["abbreviations"].alias("title_abbrevs")))
+    empty = F.array().cast("array<string>")
+    return whole.select(F.col("e.key").alias("author"), F.col("e.value.name").alias("name"), F.coalesce("e.value.abbreviations", empty).alias("name_abbrevs"), F.col("e.value.default_abbreviation").alias("default_abbrev"), listed.alias("works"))
+
+
 def pick_versions(versions: DataFrame, work: list[str]) -> DataFrame:
     """One version per work: in the first preferred language, else not English by language, else any; then by position."""
     rank = F.when(F.col("language") == LANGUAGES_FIRST[0], 0).when(F.col("language") == LANGUAGES_FIRST[1], 1).when(F.col("language") != "eng", 2).otherwise(3)

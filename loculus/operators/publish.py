@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A snapshot needs at least this share of the live one's rows.
 LEAST_SHARE = 0.5
 MANIFEST_VERSION = 5
+#: Zstandard's level for token files, which are written once and read often.
+TOKEN_LEVEL = 19
 
 
 def crc_shard(url: Column, shards: int) -> Column:
@@ -26,6 +31,7 @@ def leftovers(present: DataFrame, built: DataFrame, key: str) -> DataFrame:
 
 
 def not_yet_done(items: DataFrame, done: DataFrame, key: str, force: bool = False) -> DataFrame:
+    """Items whose key hasn't been done; all of them if forced."""
     return items if force else items.join(done.select(key).distinct(), key, "left_anti")
 
 
@@ -68,6 +74,46 @@ def publish(frame: DataFrame, root: str, version: str, has_index: Column | None
     return path
 
 
+def record_source(metadata: DataFrame) -> DataFrame:
+    """``metadata`` (json, source_repo, source_path) with where it came from inside ``document``; an empty path is left out."""
+    fields = "map<string,string>"
+    parsed = F.from_json("json", f"struct<document:{fields}>")["document"]
+    added = F.map_from_arrays(F.array(F.lit("source_repo"), F.lit("source_path")), F.array("source_repo", F.coalesce("source_path", F.lit(""))))
+    added = F.map_filter(added, lambda k, v: (k == "source_repo") | (v != ""))
+    kept = F.map_filter(F.coalesce(parsed, F.create_map().cast(fields)), lambda k, _: ~F.map_contains_key(added, k))
+    return metadata.withColumn("document", F.map_concat(kept, added))
+
+
+def write_manifest(rows: DataFrame, path: str, source_digest: str, schema_version: int = MANIFEST_VERSION) -> str:
+    """Write catalogue rows as JSON lines, each with the schema version and the digest of the sources that they were built from."""
+    rows.select(F.lit(schema_version).alias("schema_version"), F.lit(source_digest).alias("source_digest"), *rows.columns).write.mode("overwrite").json(path)
+    return path
+
+
+def read_manifests(spark: SparkSession, *paths: str) -> DataFrame:
+    """Rows of several manifests with ``ordinal``, the place of their manifest in the list."""
+    parts = [spark.read.json(p).withColumn("ordinal", F.lit(k)) for k, p in enumerate(paths)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def check_shards(shards: Sequence[int], published: int | None) -> list[int]:
+    """The shards to fetch: whole numbers from 0 without gaps, as many as were published (if that is known)."""
+    wanted = sorted(set(shards))
+    if wanted != list(range(len(wanted))):
+        raise ValueError(f"shards {wanted} are not 0 to {len(wanted) - 1}")
+    if published is not None and published != len(wanted):
+        raise ValueError(f"{len(wanted)} shards are listed, but {published} were published")
+    return wanted
+
+
+def tokenizing_outcome(results: DataFrame) -> dict[str, int]:
+    """Counts of generated, skipped and failed chunks of ``results`` (status); an unreachable service ends the run with an error."""
+    counts = {r["status"]: r["n"] for r in results.groupBy("status").agg(F.count("*").alias("n")).collect()}
+    if counts.get("unreachable"):
+        raise ConnectionError(f"the tokenizing service was not reached for {counts['unreachable']} chunks")
+    return {s: counts.get(s, 0) for s in ("generated", "skipped", "failed")}
+
+
 def snapshots_to_delete(snapshots: DataFrame, keep: int = 2) -> DataFrame:
     """All but the latest ``keep`` snapshots (name, built_at)."""
     latest = snapshots.orderBy(F.desc("built_at"), F.desc("name")).limit(keep)
@@ -82,5 +128,5 @@ def token_sidecars(tokens: DataFrame, root: str, key: str, force: bool = False)
     fresh = not_yet_done(tokens, spark.read.parquet(root), key, force) if exists else tokens
     found = fresh.select(key).distinct().count()
     if found:
-        fresh.write.mode("overwrite" if force else "append").option("compression", "zstd").parquet(root)
+        fresh.write.mode("overwrite" if force else "append").option("compression", "zstd").option("parquet.compression.codec.zstd.level", TOKEN_LEVEL).parquet(root)
     return found

@@ -49,11 +49,32 @@ def work_rank(by: str = "count") -> list[Column]:
     return [*(keys if by == "count" else keys[::-1]), F.asc("doc_id")]
 
 
+def work_label(author: Column, title: Column, urn: Column) -> Column:
+    """"Author, Title" with what there is; the urn stands for a missing title."""
+    named = F.coalesce(F.nullif(title, F.lit("")), urn)
+    return F.when(F.coalesce(author, F.lit("")) != "", F.concat_ws(", ", author, named)).otherwise(named)
+
+
+def result_label(title: Column, language: Column, author: Column, editors: Column) -> Column:
+    """"Title (language) — author — editors", empty parts left out."""
+    more = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(" — "), c)).otherwise("") for c in (author, editors)]
+    return F.concat(title, F.lit(" ("), F.coalesce(language, F.lit("")), F.lit(")"), *more)
+
+
+def selected_works(works: DataFrame, doc_id: int | None) -> DataFrame:
+    """Only the selected work; all works if there is no selection or the selected one isn't among the results."""
+    if doc_id is None:
+        return works
+    there = works.where(F.col("doc_id") == doc_id).select(F.lit(True).alias("_there")).limit(1)
+    marked = works.join(F.broadcast(there), how="left", on=F.lit(True))  # one row at most
+    return marked.where(F.col("_there").isNull() | (F.col("doc_id") == doc_id)).drop("_there")
+
+
 def rate_label(rate: Column) -> Column:
-    """Whole numbers from 10 up, below that two significant digits."""
+    """Whole numbers from 10 up, below that two significant digits without zeros at the end."""
     scale = F.pow(F.lit(10.0), 1 - F.floor(F.log10(rate)))
     small = F.round(rate * scale).cast("long") / scale
-    return F.when(rate >= 10, F.round(rate).cast("long").cast("string")).when(rate > 0, small.cast("string")).otherwise("0")
+    return F.when(rate >= 10, F.round(rate).cast("long").cast("string")).when(rate > 0, F.regexp_replace(small.cast("string"), r"\.0$", "")).otherwise("0")
 
 
 def page_of_hits(hits: DataFrame, after: tuple[int, int], limit: int = PAGE_HITS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loculus.functions.fold import bare_word
+from loculus.functions.fold import bare_word, is_punctuation
 
 #: Fields of a token that pages need.
 TOKEN_FIELDS = ("text", "urn", "whitespace", "start_char", "end_char")
@@ -51,6 +51,12 @@ def tokens_in_runs(runs: DataFrame, tokens: DataFrame, by: list[str], bucket: in
     return held.unionByName(alone, allowMissingColumns=True)
 
 
+def with_token_urns(tokens: DataFrame, chunk_urn: Column, occurrence: str = "occ") -> DataFrame:
+    """``tokens`` (token, surface) with ``urn``: the chunk's with form and occurrence; null for tokens that are nothing but punctuation."""
+    named = F.concat(chunk_urn, F.lit("@"), F.col("surface"), F.lit("["), F.col(occurrence).cast("string"), F.lit("]"))
+    return tokens.withColumn("urn", F.when(~is_punctuation(F.col("token")), named))
+
+
 def priority_content(*choices: Column) -> Column:
     """Of several places for one file the content of the first that exists."""
     return F.coalesce(*choices)

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loculus.functions import urn as U
-from loculus.operators import catalog, citation, publish, redirect
-from loculus.plans.bindings import VERSIONS_SQL, table, versions
+from loculus.operators import catalog, citation, endpoints, publish, redirect
+from loculus.operators.search import fuzzy_titles as fuzzy
+from loculus.plans.bindings import CHUNKS_SQL, VERSIONS_SQL, chunks, table, versions
 from loculus.plans.catalogue import query
 
 WORK = ["textgroup", "work"]
 CHOSEN = {"language": ["eng", "fre"], "kind": ["edition"]}
 FACETS = ("corpus", "language", "kind", "status")
+FUZZY_THRESHOLD = 0.75
 
 
 def _with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,10 +147,12 @@ def manifest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.merge_manifests(parts)
 
 
-@query(f"""with {VERSIONS_SQL}, flagged as (select textgroup || '.' || work || '.' || version as id from versions where experimental union select textgroup || '.' || work || '.' || version from versions where textgroup = 'src7') select id from flagged""")
+@query(f"""with {VERSIONS_SQL} select textgroup || '.' || work || '.' || version as id from versions where textgroup = 'src7' and doc_id % 2 = 0 union select 'file.' || doc_id from versions where textgroup = 'src7'""")
 def experimental_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = versions(spark, sf_dir).select("experimental", "textgroup", U.version_id(F.col("urn")).alias("id"))
-    return v.where("experimental").select("id").union(v.where("textgroup = 'src7'").select("id")).distinct()
+    """What one flagged repository contributes: versions that are catalogued there, and its files' names."""
+    v = versions(spark, sf_dir).withColumn("repo", F.col("textgroup"))
+    files = v.select("repo", F.concat(F.lit("data/x/file."), "doc_id", F.lit(".xml")).alias("path"))
+    return catalog.experimental_ids(v.where("doc_id % 2 = 0"), files, ["src7"])
 
 
 @query(f"""with {VERSIONS_SQL} select work_urn, version, language from versions
@@ -236,16 +240,22 @@ def citation_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citation.match_citations(*_gazetteer(spark, sf_dir))
 
 
-@query()
-def fuzzy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = versions(spark, sf_dir).select("title", F.col("textgroup").alias("author"), F.lit("").alias("editors"), F.col("urn").alias("url"))
-    return catalog_search(entries)
+TITLE_ASKED = "the and attion"
 
 
-def catalog_search(entries: DataFrame) -> DataFrame:
-    from loculus.operators.search import fuzzy_titles as fuzzy
+@query(f"""with {VERSIONS_SQL},
+plain as (select urn, textgroup, regexp_replace(title, '[^ -~]', '?', 'g') as title from versions),
+scored as (
+    select *, least(case when contains(lower(title), '{TITLE_ASKED}') then 0.0 else levenshtein(lower(title), '{TITLE_ASKED}')::double / greatest(length(title), {len(TITLE_ASKED)}) end,
+                    levenshtein(lower(textgroup), '{TITLE_ASKED}')::double / greatest(length(textgroup), {len(TITLE_ASKED)}), 1.0) as raw from plain)
+select title, textgroup as author, '' as editors, urn as url, round(raw, 6) as score from scored where round(raw, 6) <= {FUZZY_THRESHOLD} order by score, title, url limit 50""")
+def fuzzy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles near a typed one; the stand-in titles share few words with it, so more distance is allowed than by default.
 
-    return fuzzy(entries, "the and attion")
+    Letters outside ASCII are replaced on both sides: DuckDB counts edits in bytes.
+    """
+    entries = versions(spark, sf_dir).select(F.regexp_replace("title", "[^ -~]", "?").alias("title"), F.col("textgroup").alias("author"), F.lit("").alias("editors"), F.col("urn").alias("url"))
+    return fuzzy(entries, TITLE_ASKED, threshold=FUZZY_THRESHOLD)
 
 
 @query("""with works as (select n_nationkey::bigint as n, unnest([0, 1, 2]) as i from nation)
@@ -275,18 +285,51 @@ def sibling_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions(spark, sf_dir).select("urn", "work_urn", F.row_number().over(order).cast("long").alias("place"))
 
 
-@query(f"""with {VERSIONS_SQL}
-select 'reading' as endpoint, '/' || urn || ':1/' as url from versions union all select 'fragment', '/' || urn || ':1/_text/' from versions
-union all select 'chunks', '/' || urn || '/chunks.json' from versions union all select distinct 'work', '/' || work_urn || '/' from versions""")
+def _chunks_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Versions with their schemes (every third document has a second one), and chunks with urns in both."""
+    v = versions(spark, sf_dir).select("doc_id", "urn", "work_urn", "version", "kind", "language", "label")
+    schemes = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(""), F.lit("card"))).otherwise(F.array(F.lit("")))
+    named = v.withColumn("scheme", F.explode(schemes))
+    listed = named.join(chunks(spark, sf_dir).select("doc_id", "pos", "passage", "key"), "doc_id")
+    return named, listed.withColumn("cts_urn", F.concat_ws(":", "urn", "passage"))
+
+
+@query(f"""with {VERSIONS_SQL}, {CHUNKS_SQL},
+other as (select * from versions where doc_id % 3 = 0),
+parts as (select v.urn, v.doc_id, passage from versions v join chunks c on c.doc_id = v.doc_id)
+select 'search_index' as endpoint, '/collections/search-index.json' as url
+union all select 'first_chunk', '/' || urn || '/' from versions union all select 'chunk_index', '/' || urn || '/chunks.json' from versions union all select 'contents', '/' || urn || '/_toc/' from versions
+union all select 'first_scheme_chunk', '/' || urn || '/card/' from other union all select 'scheme_contents', '/' || urn || '/card/_toc/' from other
+union all select 'reading_view', '/' || urn || ':' || passage || '/' from parts union all select 'fragment', '/' || urn || ':' || passage || '/_text/' from parts
+union all select 'scheme_reading_view', '/' || urn || '/card:' || passage || '/' from parts where doc_id % 3 = 0 union all select 'scheme_fragment', '/' || urn || '/card:' || passage || '/_text/' from parts where doc_id % 3 = 0""")
 def endpoint_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = versions(spark, sf_dir)
-    at = lambda name, url: v.select(F.lit(name).alias("endpoint"), url.alias("url"))
-    one = F.lit("1")
-    pages = at("reading", U.reading_url(F.col("urn"), one)).unionByName(at("fragment", U.fragment_url(F.col("urn"), one))).unionByName(at("chunks", F.concat(F.lit("/"), "urn", F.lit("/chunks.json"))))
-    return pages.unionByName(at("work", F.concat(F.lit("/"), "work_urn", F.lit("/"))).distinct())
+    return endpoints.page_urls(*_chunks_of(spark, sf_dir))
+
 
+@query(f"with {VERSIONS_SQL}, {CHUNKS_SQL} select '/' || urn || '/chunks.json' as url, '[' || string_agg('\"' || passage || '\"', ',' order by pos) || ']' as body from versions v join chunks c on c.doc_id = v.doc_id group by urn")
+def chunk_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return endpoints.chunk_lists(_chunks_of(spark, sf_dir)[1])
 
-@query(f"with {VERSIONS_SQL} select corpus, count(*) as whole, count(*) as merged, true as same from versions group by 1")
+
+@query(f"""with {VERSIONS_SQL}, {CHUNKS_SQL}, firsts as (select doc_id, first(passage order by pos) as passage from chunks group by 1)
+select urn as key, '{{"href":"/' || urn || ':' || passage || '/"}}' as body from versions v join firsts f on f.doc_id = v.doc_id""")
+def first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named, listed = _chunks_of(spark, sf_dir)
+    first = listed.where("scheme = ''").groupBy("urn").agg(F.min_by("cts_urn", "pos").alias("cts_urn"))
+    return endpoints.first_pages(named.where("scheme = ''"), first)
+
+
+@query(f"with {VERSIONS_SQL} select work_urn as key, '[' || string_agg('{{\"version\":\"' || version || '\",\"kind\":\"' || kind || '\",\"language\":\"' || language || '\",\"label\":\"' || label || '\"}}', ',' order by version) || ']' as body from versions where language is not null group by 1")
+def urn_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return endpoints.urn_bodies(versions(spark, sf_dir).where("language is not null"))
+
+
+@query(f"""with {VERSIONS_SQL},
+shards as (select doc_id % 4 as shard, corpus, work_urn, version, label from versions),
+merged as (select work_urn, version, arg_max(corpus, shard) as corpus, arg_max(label, shard) as label, count(*) as contributions from shards group by 1, 2),
+a as (select corpus, count(*) as whole, md5(string_agg(work_urn || version || label, ',' order by work_urn, version, label)) as d from versions group by 1),
+b as (select corpus, count(*) as merged, md5(string_agg(work_urn || version || label, ',' order by work_urn, version, label)) as d from merged group by 1)
+select a.corpus, whole, merged, a.d = b.d as same from a join b on a.corpus = b.corpus""")
 def split_equals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifests of four shards, merged, against the whole catalogue."""
     v = versions(spark, sf_dir).select("corpus", "work_urn", "version", "label", F.pmod("doc_id", F.lit(4)).alias("ordinal"), F.lit(publish.MANIFEST_VERSION).alias("schema_version"))
@@ -294,3 +337,59 @@ def split_equals_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sum(F.xxhash64("work_urn", "version", "label").cast("decimal(38,0)"))
     whole, parts = (x.groupBy("corpus").agg(F.count("*").alias(n), digest.alias(f"d_{n}")) for x, n in ((v, "whole"), (merged, "merged")))
     return whole.join(parts, "corpus").select("corpus", "whole", "merged", (F.col("d_whole") == F.col("d_merged")).alias("same"))
+
+
+@query(f"""with {VERSIONS_SQL},
+merged as (select * replace (case when doc_id % 2 = 0 then not experimental else experimental end as experimental) from versions),
+open as (
+    select *, regexp_replace(version, '[0-9]+$', '') as family, experimental and bool_or(not experimental) over (partition by textgroup, work, kind) as closed from merged)
+select urn, title, experimental, not closed and row_number() over (partition by textgroup, work, kind, family, closed order by num desc, doc_id) = 1 as preferred from open""")
+def merged_preferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two catalogues, the later of which judges versions anew; which are preferred is decided after the merge."""
+    v = versions(spark, sf_dir)
+    later = v.where("doc_id % 2 = 0").withColumns({"experimental": ~F.col("experimental"), "title": F.lit("late")})
+    parts = v.withColumn("ordinal", F.lit(0)).unionByName(later.withColumn("ordinal", F.lit(1)))
+    return catalog.merge_collections(parts, ["title"], ["kind", "experimental"], WORK, "doc_id").select("urn", "title", "experimental", "preferred")
+
+
+@query(f"""with {VERSIONS_SQL},
+editions as (select work_urn, case when doc_id % 3 > 0 then language end as lang, kind, doc_id from versions),
+firsts as (select work_urn, arg_min(lang, doc_id) as lang from editions where kind = 'edition' and lang is not null group by 1)
+select distinct v.work_urn, coalesce(f.lang, case corpus when 'c0' then 'grc' when 'c1' then 'lat' end) as original from versions v left join firsts f on f.work_urn = v.work_urn""")
+def original_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = versions(spark, sf_dir)
+    editions = v.select("work_urn", F.when(F.col("doc_id") % 3 > 0, F.col("language")).alias("lang"), "kind", F.col("doc_id").alias("pos"))
+    return catalog.original_languages(editions, v.select("corpus", "work_urn").distinct(), {"c0": "grc", "c1": "lat"}).select("work_urn", "original")
+
+
+@query(f"""with {VERSIONS_SQL},
+listed as (
+    select corpus, textgroup, work_urn, kind, experimental, version, label, urn from versions
+    union all select w.corpus, w.textgroup, w.work_urn, 'commentary', v.experimental, v.version, v.label, v.urn
+    from versions v join (select distinct corpus, textgroup, work_urn from versions) w on w.work_urn = v.about where v.about <> v.work_urn),
+c as (select corpus, row_number() over (order by reverse(corpus), corpus) as corpus_place from (select distinct corpus from versions)),
+g as (select corpus, textgroup, row_number() over (partition by corpus order by right(textgroup, 1), textgroup) as group_place from (select distinct corpus, textgroup from versions)),
+w as (select corpus, textgroup, work_urn, row_number() over (partition by corpus, textgroup order by right(work_urn, 1), work_urn) as work_place from (select distinct corpus, textgroup, work_urn from versions))
+select corpus_place, group_place, work_place, kind, row_number() over (partition by work_urn, kind order by experimental, not starts_with(version, 'pub-'), lower(label), version, urn) as place, urn
+from listed join w using (corpus, textgroup, work_urn) join g using (corpus, textgroup) join c using (corpus)""")
+def display_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = versions(spark, sf_dir)
+    corpora = v.select("corpus").distinct().withColumn("label", F.reverse("corpus"))
+    groups = v.select("corpus", "textgroup").distinct().withColumn("sort_key", F.right("textgroup", F.lit(1)))
+    works = v.select("corpus", "textgroup", "work_urn").distinct().withColumn("sort_key", F.right("work_urn", F.lit(1)))
+    return catalog.display_tree(v, corpora, groups, works)
+
+
+@query(f"""with {VERSIONS_SQL}, {CHUNKS_SQL},
+picked as (select work_urn, urn, doc_id from versions qualify row_number() over (partition by work_urn order by case when language <> 'eng' then 2 else 3 end, language, doc_id) = 1),
+asked as (select doc_id as query_id, work_urn || case when doc_id % 11 = 0 then 'none' else '' end as work_urn, case when doc_id % 5 = 0 then null when doc_id % 5 = 1 then [doc_id % 9] else [doc_id % 9, doc_id % 4] end as key from versions),
+met as (select a.query_id, p.urn, a.key, c.key as start, c.passage, c.pos, c.key[1:len(a.key)] = a.key as below from asked a join picked p on p.work_urn = a.work_urn left join chunks c on c.doc_id = p.doc_id),
+landed as (select query_id, urn, any_value(key) as key, coalesce(arg_min(passage, start) filter (below), arg_max(passage, start) filter (start <= key), arg_min(passage, pos)) as chunk from met group by 1, 2)
+select query_id, case when key is null then '/' || urn || '/' else '/' || urn || ':' || coalesce(chunk, array_to_string(key, '.')) || '/' end as href from landed""")
+def citation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One typed passage for each document, of its work (or, for some, of a work that isn't there)."""
+    v, k = versions(spark, sf_dir), F.col("doc_id")
+    passage = F.when(k % 5 == 0, None).when(k % 5 == 1, (k % 9).cast("string")).otherwise(F.concat_ws(".", k % 9, k % 4))
+    asked = v.select(k.alias("query_id"), F.concat("work_urn", F.when(k % 11 == 0, "none").otherwise("")).alias("work_urn"), passage.alias("passage"))
+    places = chunks(spark, sf_dir).join(v.select("doc_id", "urn"), "doc_id").select("urn", "key", "passage", "pos")
+    return citation.option_links(asked, v.withColumn("pos", k), places).select("query_id", "href")

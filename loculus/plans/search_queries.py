@@ -43,7 +43,7 @@ def word_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_COUNTS_SQL}, shown as (select doc_id, rate, round(rate * pow(10.0, 1 - floor(log10(rate))))::bigint as two, 1 - floor(log10(rate))::int as places from counts)
-select doc_id, case when rate >= 10 then '' || round(rate)::bigint else '' || (two / pow(10.0, places)) end as label from shown""")
+select doc_id, case when rate >= 10 then '' || round(rate)::bigint else regexp_replace('' || (two / pow(10.0, places)), '\\.0$', '') end as label from shown""")
 def rate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir).select("doc_id", search.rate_label(F.col("rate")).alias("label"))
 

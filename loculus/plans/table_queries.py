@@ -56,6 +56,7 @@ def shard_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def crc32_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DuckDB has no CRC-32; a test holds the shards against zlib."""
     return table(spark, sf_dir, "pages").select("page_id", "url", publish.crc_shard(F.col("url"), 10).alias("shard"))
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 #: The catalogue file that is no document, and attribute names.
 CATALOG_FILE = "__cts__.xml"
+#: Elements beside the running text.
+ASIDE = ("note", "app", "bibl")
 _XML = "{http://www.w3.org/XML/1998/namespace}"
 
 CHUNK_INDEX = T.StructType([T.StructField("chunks", T.ArrayType(T.StructType([T.StructField("cts_urn", T.StringType()), T.StructField("file", T.StringType())])))])
@@ -55,6 +57,54 @@ def find_documents(spark: SparkSession, root: str, content: bool = True) -> Data
     return found.join(with_data, "repo", "left").where("_data is null or rel_path like 'data/%'").drop("_data").select("path", "repo", "rel_path", *(["content"] if content else []))
 
 
+def corpora(files: DataFrame) -> DataFrame:
+    """(repo, root) of found documents in order: each repository's folder, or its ``data`` folder where it has one."""
+    found = files.groupBy("repo").agg(F.max(F.col("rel_path").startswith("data/")).alias("_data"))
+    return found.select("repo", F.when(F.col("_data"), F.concat("repo", F.lit("/data"))).otherwise(F.col("repo")).alias("root")).orderBy("repo")
+
+
+def chunk_files(indexes: DataFrame, files: DataFrame) -> DataFrame:
+    """(version, pos, cts_urn, file) of all schemes' chunk indexes (version, folder, json) whose file is among ``files`` (path)."""
+    listed = indexes.select("version", "folder", F.posexplode(F.from_json("json", CHUNK_INDEX)["chunks"]).alias("pos", "c"))
+    named = listed.select("version", "pos", "c.cts_urn", F.concat_ws("/", "folder", "c.file").alias("file"))
+    return named.join(files.select(F.col("path").alias("file")).distinct(), "file", "left_semi").select("version", "pos", "cts_urn", "file")
+
+
+def primary_text(content: bytes) -> dict:
+    """A compiled chunk's identifier and running text (apparatus and notes left out); an error where it has no content."""
+    try:
+        root = ET.fromstring(content)
+    except ET.ParseError as e:
+        return {"error": str(e)}
+    body = root.find("elements")
+    if body is None:
+        return {"urn": root.get("cts_urn", ""), "error": "no content element"}
+    parts, waiting = [], [(body, False)]
+    while waiting:  # in the order of the document: an element's text, its children, its tail
+        el, tail = waiting.pop()
+        if tail:
+            parts.append(el.tail or "")
+        elif el.tag.rsplit("}", 1)[-1] not in ASIDE:
+            parts.append(el.text or "")
+            waiting += [x for child in reversed(el) for x in ((child, True), (child, False))]
+    return {"urn": root.get("cts_urn", ""), "text": "".join(parts)}
+
+
+_TEXTS = pa.struct([("urn", pa.string()), ("text", pa.string()), ("error", pa.string())])
+
+
+@F.arrow_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("urn", "text", "error")]))
+def chunk_text(contents: pa.Array) -> pa.Array:
+    return pa.array([primary_text(c.as_py() or b"") for c in contents], _TEXTS)
+
+
+def publication_info(nodes: DataFrame) -> DataFrame:
+    """(doc, publisher, licence, source) from header nodes (doc, path, tag, text): the first of each that says anything."""
+    said = nodes.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    first = lambda tag: F.min_by(F.when(F.col("tag") == tag, F.trim("text")), F.when(F.col("tag") == tag, F.col("path")))
+    return said.groupBy("doc").agg(first("publisher").alias("publisher"), first("licence").alias("licence"), first("sourceDesc").alias("source"))
+
+
 def sniff(content: bytes) -> str | None:
     """The identifier of a document: its body's base, else the first division's number, if it is a urn; None for broken files."""
     try:

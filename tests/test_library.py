@@ -1,12 +1,15 @@
 """Catalogue, alignment, citations, sources, publication, tables of contents, redirects and streams on small fixtures."""
 
 import json
+import random
+import zlib
 
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from loculus.operators import align, catalog, citation, overlap, publish, redirect, toc
+from loculus.functions import urn as U
+from loculus.operators import align, catalog, citation, endpoints, overlap, publish, ranking, redirect, search, search_index, toc, tokens
 from loculus.sources import commentary, documents
 from loculus.streaming import arrivals
 
@@ -181,3 +184,120 @@ def test_streams(spark, tmp_path):
     stream = arrivals.first_of_each(arrivals.arriving(spark, str(tmp_path / "in"), rows.schema), "urn", "at")
     arrivals.keep_up(stream, str(tmp_path / "out"), str(tmp_path / "state"), "kind").awaitTermination(120)
     assert sorted(r.urn for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["u1", "u2"]
+
+
+def test_crc_shards(spark):
+    urls = [f"/u/{k}/é" for k in range(50)]
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select("url", publish.crc_shard(F.col("url"), 7).alias("s")).collect()
+    assert {r.url: r.s for r in got} == {u: zlib.crc32(u.encode()) % 7 for u in urls}
+
+
+def test_sources_and_manifests(spark, tmp_path):
+    rows = [("v", '{"document":{"title":"T","source_repo":"old"},"chunk_unit":"line"}', "repo", "data/x.xml"), ("w", '{"document":null}', "repo", "")]
+    got = publish.record_source(spark.createDataFrame(rows, "version string, json string, source_repo string, source_path string"))
+    assert {r.version: dict(r.document) for r in got.collect()} == {"v": {"title": "T", "source_repo": "repo", "source_path": "data/x.xml"}, "w": {"source_repo": "repo"}}
+    part = lambda k: spark.createDataFrame([("w", f"v{k}", f"label{k}"), ("w", "v9", f"label{k}")], "work_urn string, version string, label string")
+    paths = [publish.write_manifest(part(k), f"{tmp_path}/m{k}", f"digest{k}") for k in range(2)]
+    merged = publish.merge_manifests(publish.read_manifests(spark, *paths))
+    assert {r.version: r.label for r in merged.collect()} == {"v0": "label0", "v1": "label1", "v9": "label1"}
+    assert publish.check_shards([1, 0, 2], 3) == [0, 1, 2] and publish.check_shards([0], None) == [0]
+    for shards, published in (([0, 2], 2), ([0, 1], 3)):
+        with pytest.raises(ValueError, match="shards"):
+            publish.check_shards(shards, published)
+    outcome = lambda *s: publish.tokenizing_outcome(spark.createDataFrame([(x,) for x in s], "status string"))
+    assert outcome("generated", "failed", "generated") == {"generated": 2, "skipped": 0, "failed": 1}
+    with pytest.raises(ConnectionError, match="1 chunks"):
+        outcome("generated", "unreachable")
+
+
+def test_chunk_text_and_files(spark):
+    good = b'<chunk cts_urn="u:1"><elements><p>one <note>aside</note>two<b> three</b> four</p></elements></chunk>'
+    rows = [("a", good), ("b", b'<chunk cts_urn="u:2"/>'), ("c", b"<broken")]
+    got = {r.k: r.t for r in spark.createDataFrame(rows, "k string, c binary").select("k", documents.chunk_text("c").alias("t")).collect()}
+    assert (got["a"].urn, got["a"].text, got["a"].error) == ("u:1", "one two three four", None)
+    assert got["b"].error == "no content element" and got["c"].error and got["c"].text is None
+    index = spark.createDataFrame([("v", "g/v", '{"chunks":[{"cts_urn":"u:1","file":"1.xml"},{"cts_urn":"u:2","file":"2.xml"}]}')], "version string, folder string, json string")
+    assert [(r.pos, r.file) for r in documents.chunk_files(index, spark.createDataFrame([("g/v/2.xml",)], "path string")).collect()] == [(1, "g/v/2.xml")]
+    files = spark.createDataFrame([("b", "x.xml"), ("a", "data/x.xml")], "repo string, rel_path string")
+    assert [tuple(r) for r in documents.corpora(files).collect()] == [("a", "a/data"), ("b", "b")]
+    nodes = spark.createDataFrame([("d", [0, 2], "licence", " CC "), ("d", [0, 1], "publisher", "P"), ("d", [0, 3], "publisher", "Q")], "doc string, path array<int>, tag string, text string")
+    assert documents.publication_info(nodes).first()[1:] == ("P", "CC", None)
+
+
+def test_labels_and_paths(spark):
+    one = spark.range(1)
+    lit = lambda *x: [F.lit(v).cast("string") for v in x]
+    assert one.select(search.work_label(*lit("A", "T", "u")), search.work_label(*lit(None, "", "u")), search.result_label(*lit("T", "grc", "A", ""))).first() == ("A, T", "u", "T (grc) — A")
+    works = spark.createDataFrame([(1, 5), (2, 3)], "doc_id long, n long")
+    assert [search.selected_works(works, k).count() for k in (None, 2, 9)] == [2, 1, 2]
+    assert one.select(endpoints.hit_url(*lit("urn:cts:g:a.b.c", "1", "u:1@ab c[1]é"))).first()[0] == "/urn:cts:g:a.b.c:1/?token=u%3A1%40ab%20c%5B1%5D%C3%A9"
+    assert one.select(U.chunk_folder(*lit("urn:cts:g:a.b.c", "card")), U.chunk_file(*lit("urn:cts:g:a.b.c", "3")), U.manifest_file(*lit("urn:cts:g:a.b.c")), U.catalogue_page(*lit("grc")), U.file_stem(*lit("x/a.b.c.xml"))).first() == ("g/a/b/c/card", "g/a/b/c/chunk_3.html", "g/a/b/c/index.json", "catalog/grc.html", "a.b.c")
+    words = tokens.split_tokens(spark.createDataFrame([(1, "Sing , sing")], "doc_id long, text string"))
+    named = tokens.with_token_urns(tokens.number_occurrences(words, ["doc_id"]), F.lit("u:1"))
+    assert {r.pos: r.urn for r in named.collect()} == {1: "u:1@sing[1]", 2: None, 3: "u:1@sing[2]"}
+
+
+def test_gazetteer_and_options(spark, tmp_path):
+    (tmp_path / "g.json").write_text(json.dumps({"a1": {"name": "Ann", "abbreviations": ["An."], "works": [{"urn": "urn:cts:g:a.b", "title": "One", "abbreviations": ["On."]}, {"urn": "urn:cts:g:a.d", "title": "Two"}]}}))
+    records = citation.read_gazetteer(spark, str(tmp_path / "g.json"))
+    authors, works = citation.gazetteer_tables(records, spark.createDataFrame([("urn:cts:g:a.b",), ("urn:cts:g:a.d",)], "work_urn string"))
+    queries = spark.createDataFrame([(1, "An. On. 2.1"), (2, "An. 3")], "query_id int, text string")
+    options = citation.citation_options(citation.match_citations(queries, authors, works), authors, works, queries)
+    versions = spark.createDataFrame([("urn:cts:g:a.b", "urn:cts:g:a.b.v", "grc", 0)], "work_urn string, urn string, language string, pos int")
+    chunks = spark.createDataFrame([("urn:cts:g:a.b.v", [2], "2", 0), ("urn:cts:g:a.b.v", [3, 1], "3.1", 1), ("urn:cts:g:a.b.v", [3, 2], "3.2", 2)], "urn string, key array<bigint>, passage string, pos int")
+    assert sorted((r.query_id, r.href) for r in citation.option_links(options, versions, chunks).collect()) == [(1, "/urn:cts:g:a.b.v:2/"), (2, "/urn:cts:g:a.b.v:3.1/")]
+
+
+def test_stored_index(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "La rose, la Rose; " * 20), (2, "là!"), (3, None)], "doc_id long, text string")
+    folder = search_index.write_index(texts, str(tmp_path / "index"), "fr")
+    found = search_index.open_index(spark, folder)
+    assert {r.form: r.n for r in search_index.find_keys(found.forms, "la", loose=True).collect()} == {"la": 40, "là": 1}
+    assert [r.pos for r in search_index.hits_of(found, "rose").orderBy("pos").limit(2).collect()] == [2, 4]
+    assert {r.doc_id: r.n_words for r in found.documents.collect()} == {1: 80, 2: 1} and found.lemmas.count() > 0
+    assert found.parts.where("doc_id = 1").count() == 3 and search_index.open_index(spark, folder) is found
+    with pytest.raises(FileNotFoundError, match="404"):
+        search_index.open_index(spark, str(tmp_path / "nothing"))
+
+
+def test_contents(spark):
+    sidecar = '{"toc":[{"urn":"u:1","label":"One"},{"urn":"u:1.1","label":"In","parent":0}]}'
+    got = toc.contents_of(spark.createDataFrame([("v", sidecar), ("w", "{}")], "version string, json string"), "card")
+    assert {(r.doc, r.urn): r.target for r in got.collect()} == {("v", "u:1"): None, ("v", "u:1.1"): "card"}
+
+
+def test_windows_of_arrivals(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-01 00:00:00", "a"), ("2024-01-01 00:05:00", "a"), ("2024-01-01 00:25:00", "b"), ("2024-01-01 02:00:00", "b")], "at string, kind string").withColumn("at", F.to_timestamp("at"))
+    rows.write.parquet(str(tmp_path / "in"))
+    counted = arrivals.counts_in_windows(arrivals.arriving(spark, str(tmp_path / "in"), rows.schema), "at", "kind")
+    query = counted.select("kind", "n").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted((r.kind, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())[:2] == [("a", 2), ("b", 1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_alignment_against_all_pairs(spark, seed):
+    r = random.Random(seed)
+    key = lambda: [r.randint(1, 6) for _ in range(r.randint(1, 3))]
+    starts = [key() for _ in range(25)]
+    chunks = chunk_frame(spark, starts)
+    probes = [key() for _ in range(12)]
+    frame = spark.createDataFrame([(1, k, p) for k, p in enumerate(probes)], "v int, k int, key array<bigint>")
+    near = {x.k: x.nearest for x in align.nearest_join(frame, chunks, ["v"], "key", "start", F.col("chunk"), "pos").collect()}
+    land = {x.k: x.landing for x in align.prefix_floor_join(frame, chunks, ["v"], "key", "start", F.col("chunk"), "pos").collect()}
+    spans = [(k, min(a, b), max(a, b)) for k, (a, b) in enumerate(zip(probes, probes[1:] + probes[-1:], strict=True))]
+    held = align.range_join(spark.createDataFrame([(1, *s) for s in spans], "v int, k int, low array<bigint>, high array<bigint>"), chunks, ["v"], "low", "high", "start").collect()
+    for k, p in enumerate(probes):
+        gap = lambda s: [abs((s[i : i + 1] or [0])[0] - (p[i : i + 1] or [0])[0]) for i in range(max(len(s), len(p)))]  # noqa: B023, E731
+        assert near[k] == str(min(starts, key=gap))
+        below = [s for s in starts if s[: len(p)] == p]
+        before = [s for s in starts if s <= p]
+        assert land[k] == str(min(below) if below else max(before) if before else starts[0])
+    want = sorted((k, i) for k, low, high in spans for i, s in enumerate(starts) if low <= s <= high or (low == high and len(s) > len(low) and s[: len(low)] == low))
+    assert sorted((x.k, x.pos) for x in held) == want
+
+
+def test_places(spark):
+    rows = [(k, (k * 37) % 11) for k in range(200)]
+    got = ranking.global_places(spark.createDataFrame(rows, "k int, n int"), [F.desc("n"), F.asc("k")], "place").collect()
+    assert [(x.k, x.n) for x in sorted(got, key=lambda x: x.place)] == sorted(rows, key=lambda x: (-x[1], x[0])) and sorted(x.place for x in got) == list(range(1, 201))
