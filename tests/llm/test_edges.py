@@ -42,7 +42,7 @@ def test_substrings(documents, no_documents, scratch):
 def test_substrings_counted_by_spark(documents, scratch):
     from loculus.llm.substrings import remove_repeats
 
-    check_substrings(remove_repeats(documents, scratch, hot_classes=1).collect())
+    check_substrings(remove_repeats(documents, scratch, most_together=1).collect())
 
 
 def check_substrings(rows):

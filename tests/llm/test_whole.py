@@ -90,3 +90,120 @@ def test_patterns_learned_from_promoted_values(spark, scratch):
     frame = spark.createDataFrame(list(enumerate([*known, *first, *second, *last])), "doc_id long, text string")
     got = {x.doc_id: x.spans for x in span_report(frame, scratch).collect()}
     assert got[120] == "found:22:32" and got[121] == ""
+
+
+def variants(seed, n, size, edits):
+    """``n`` texts of ``size`` words, each with some words of its own in place of the first one's."""
+    r, text = random.Random(seed), words(seed, size).split()
+    out = []
+    for k in range(n):
+        mine = list(text)
+        for j, at in enumerate(r.sample(range(size), r.randint(*edits))):
+            mine[at] = f"new{k}x{j}"
+        out.append(mine)
+    return text, out
+
+
+def test_five_thousand_near_copies(spark, scratch):
+    from loculus.llm.similar import similar_groups
+
+    text, texts = variants(21, 5000, 150, (1, 6))
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.group for r in similar_groups(frame, scratch).collect()}
+    # words put in are all different, so two texts share the shingles that neither has lost
+    kept = np.array([[t[i : i + 5] == text[i : i + 5] for i in range(146)] for t in texts])
+    common = kept.astype(np.float32) @ kept.T.astype(np.float32)
+    linked, want, first = common >= 0.8 * (292 - common), np.full(5000, -1), {}
+    for k in range(5000):
+        front = np.array([k]) if want[k] < 0 else np.empty(0, int)
+        while len(front):
+            want[front] = k
+            front = np.flatnonzero(linked[front].any(axis=0) & (want < 0))
+    assert [first.setdefault(got[k], k) for k in range(5000)] == [want[k] for k in range(5000)]
+    assert 1 < len(first) < 5000
+
+
+def test_salted_shingles(spark, scratch, monkeypatch):
+    from loculus.llm import similar
+
+    monkeypatch.setattr(similar, "SALT_TEXTS", 16)
+    monkeypatch.setattr(similar, "PAIRED_GROUP", 4)
+    _, texts = variants(22, 300, 120, (1, 5))
+    assert 1 < check_groups(spark, scratch, [" ".join(t) for t in texts]) < 300
+
+
+@pytest.mark.parametrize("most_together", [16, 300])
+def test_split_signatures(spark, scratch, most_together):
+    from loculus.llm.simhash import signature_links
+
+    r = np.random.default_rng(5)
+    bits = r.integers(0, 64, (2500, 4)) % np.array([64, 20, 20, 20])
+    fps = np.unique(np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64), axis=1))
+    frame = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    links = np.array([(x.a, x.b) for x in signature_links(frame, scratch, most_together=most_together).collect()], np.int64).view(np.uint64)
+    assert (np.bitwise_count(links[:, 0] ^ links[:, 1]) <= 3).all()
+    near = [(i, j) for i in range(len(fps)) for j in (np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]) <= 3) + i + 1).tolist()]
+    place = {int(f): i for i, f in enumerate(fps)}
+    assert roots(len(fps), near) == roots(len(fps), [(place[int(a)], place[int(b)]) for a, b in links])
+
+
+def test_bitmaps_lose_no_pair():
+    from loculus.llm.similar import may_link, parity_bitmap
+
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        base = r.integers(-(1 << 63), (1 << 63) - 1, int(r.integers(1, 900)))
+        other = np.concatenate([base[int(r.integers(0, max(1, len(base) // 5))) :], r.integers(-(1 << 63), (1 << 63) - 1, int(r.integers(0, len(base) // 6 + 2)))])
+        a, b = np.unique(base), np.unique(other)
+        common = len(np.intersect1d(a, b))
+        if common >= 0.8 * (len(a) + len(b) - common):
+            assert may_link(np.array([len(a)]), np.array([len(b)]), [parity_bitmap(a)], [parity_bitmap(b)], 0.8)[0]
+    far = r.integers(-(1 << 63), (1 << 63) - 1, (2, 600))
+    assert not may_link(np.array([600]), np.array([600]), [parity_bitmap(far[0])], [parity_bitmap(far[1])], 0.8)[0]
+
+
+def test_refinement_equals_brute_force():
+    from collections import Counter
+
+    from loculus.llm.suffixes import repeated_strings
+
+    r = random.Random(4)
+    bases = [bytes(r.choices(b"abcdef ", k=900)) for _ in range(5)]
+    pieces = []
+    for _ in range(80):
+        b = bytearray(r.choice(bases))
+        for _ in range(r.randint(0, 2)):
+            b[r.randrange(900)] = 120
+        a = r.randrange(300)
+        pieces.append(bytes(b[a : a + r.randint(400, 600)]))
+    pieces += [b"a" * 700, b"ab" * 350]
+    sizes = np.array([len(p) for p in pieces])
+    seen = Counter(p[i : i + 400] for p in pieces for i in range(len(p) - 399))
+    begins = np.cumsum(sizes) - sizes
+    want = [int(s) + i for p, s in zip(pieces, begins, strict=True) for i in range(len(p) - 399) if seen[p[i : i + 400]] > 1]
+    assert repeated_strings(np.frombuffer(b"".join(pieces), np.uint8), sizes).tolist() == want and 0 < len(want) < sum(sizes - 399)
+
+
+def test_a_second_attempt_replaces_a_file(tmp_path, monkeypatch):
+    """As on stores that refuse to move onto an existing name."""
+    from pyarrow import fs
+
+    from loculus.llm import files
+
+    class Strict:
+        def __init__(self):
+            self.inner = fs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def move(self, source, target):
+            if self.inner.get_file_info(target).type != fs.FileType.NotFound:
+                raise FileExistsError(target)
+            self.inner.move(source, target)
+
+    monkeypatch.setattr(files, "resolve", lambda uri: (Strict(), uri))
+    for attempt in (b"first", b"again"):
+        with files.new_file(str(tmp_path), "x") as out:
+            out.write(attempt)
+    assert (tmp_path / "x").read_bytes() == b"again" and [p.name for p in tmp_path.iterdir()] == ["x"]
