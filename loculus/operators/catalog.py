@@ -17,8 +17,30 @@ from loculus.functions.urn import family, file_stem, id_language, version_id
 
 #: Kinds in display order, labels of languages and of editors' roles.
 KINDS = ("edition", "translation", "commentary")
-LANGUAGE_LABELS = {"ang": "Old English", "ara": "Arabic", "cop": "Coptic", "deu": "German", "eng": "English", "fas": "Persian", "fre": "French", "ger": "German", "grc": "Greek", "ita": "Italian", "jpn": "Japanese", "lat": "Latin", "mul": "Multiple", "spa": "Spanish"}
-ROLE_LABELS = {"translator": "Translator", "transl": "Translator", "editor": "Editor", "associate editor": "Associate Editor", "assistant editor": "Assistant Editor", "commentator": "Commentator"}
+LANGUAGE_LABELS = {
+    "ang": "Old English",
+    "ara": "Arabic",
+    "cop": "Coptic",
+    "deu": "German",
+    "eng": "English",
+    "fas": "Persian",
+    "fre": "French",
+    "ger": "German",
+    "grc": "Greek",
+    "ita": "Italian",
+    "jpn": "Japanese",
+    "lat": "Latin",
+    "mul": "Multiple",
+    "spa": "Spanish",
+}
+ROLE_LABELS = {
+    "translator": "Translator",
+    "transl": "Translator",
+    "editor": "Editor",
+    "associate editor": "Associate Editor",
+    "assistant editor": "Assistant Editor",
+    "commentator": "Commentator",
+}
 HOUSE_PREFIX = "pub-"
 
 
@@ -34,7 +56,13 @@ def first_text(*choices: Column) -> Column:
 
 def work_title(titles: Column, fallback: Column) -> Column:
     """Of a map language to title: English, Latin, Greek, any, else the fallback."""
-    return first_text(F.element_at(titles, F.lit("eng")), F.element_at(titles, F.lit("lat")), F.element_at(titles, F.lit("grc")), F.get(F.map_values(titles), F.lit(0)), fallback)
+    return first_text(
+        F.element_at(titles, F.lit("eng")),
+        F.element_at(titles, F.lit("lat")),
+        F.element_at(titles, F.lit("grc")),
+        F.get(F.map_values(titles), F.lit(0)),
+        fallback,
+    )
 
 
 def group_names(groups: DataFrame, names: DataFrame) -> DataFrame:
@@ -50,7 +78,16 @@ def editors_shown(editors: Column) -> Column:
     """Editors (name, role) as one string: known roles in brackets, others as "ed. name", blank names left out."""
     named = F.filter(editors, lambda e: F.trim(F.coalesce(e["name"], F.lit(""))) != "")
     role = lambda e: lookup(ROLE_LABELS, F.lower(F.trim(F.coalesce(e["role"], F.lit("")))))
-    return F.array_join(F.transform(named, lambda e: F.when(role(e).isNotNull(), F.concat(F.trim(e["name"]), F.lit(" ("), role(e), F.lit(")"))).otherwise(F.concat(F.lit("ed. "), F.trim(e["name"])))), ", ")
+    return F.array_join(
+        F.transform(
+            named,
+            lambda e: F.when(
+                role(e).isNotNull(),
+                F.concat(F.trim(e["name"]), F.lit(" ("), role(e), F.lit(")")),
+            ).otherwise(F.concat(F.lit("ed. "), F.trim(e["name"]))),
+        ),
+        ", ",
+    )
 
 
 def licence(own: Column, availability: Column, repository: Column, of_repository: Mapping[str, str]) -> Column:
@@ -60,7 +97,10 @@ def licence(own: Column, availability: Column, repository: Column, of_repository
 
 def source_url(repository: Column, file: Column, base_of_repository: Mapping[str, str]) -> Column:
     """Where a document's source lies, or null for unknown repositories and empty paths."""
-    return F.when(F.coalesce(file, F.lit("")) != "", F.concat_ws("/", lookup(base_of_repository, repository), file)).otherwise(None) if base_of_repository else F.lit(None).cast("string")
+    return F.when(
+        F.coalesce(file, F.lit("")) != "",
+        F.concat_ws("/", lookup(base_of_repository, repository), file),
+    ).otherwise(None) if base_of_repository else F.lit(None).cast("string")
 
 
 def badge(version: Column, of_prefix: Mapping[str, str]) -> Column:
@@ -79,14 +119,20 @@ def version_kind(catalogued: Column, about: Column, version: Column, language: C
     """
     token = id_language(version)
     spoken = F.when(lookup(LANGUAGE_LABELS, token).isNotNull(), token).otherwise(F.coalesce(language, F.lit("")))
-    own = F.when(F.coalesce(about, F.lit("")) != "", "commentary").when((F.coalesce(original, F.lit("")) == "") | (spoken == original), "edition").otherwise("translation")
+    own = F.when(F.coalesce(about, F.lit("")) != "", "commentary").when(
+        (F.coalesce(original, F.lit("")) == "") | (spoken == original),
+        "edition",
+    ).otherwise("translation")
     return F.when(catalogued.isin(*KINDS), catalogued).otherwise(own)
 
 
 def original_languages(editions: DataFrame, works: DataFrame, of_corpus: Mapping[str, str]) -> DataFrame:
     """``works`` (corpus, work_urn) with ``original``: language of the first catalogued edition that has one, else the corpus's."""
     first = editions.where("kind = 'edition' and coalesce(lang, '') <> ''").groupBy("work_urn").agg(F.min_by("lang", "pos").alias("_first"))
-    return works.join(first, "work_urn", "left").withColumn("original", first_text(F.col("_first"), lookup(of_corpus, F.col("corpus")))).drop("_first")
+    return works.join(first, "work_urn", "left").withColumn(
+        "original",
+        first_text(F.col("_first"), lookup(of_corpus, F.col("corpus"))),
+    ).drop("_first")
 
 
 def commentator(own_group: Column, about: Column, name: Column) -> Column:
@@ -105,7 +151,14 @@ def with_preferred(versions: DataFrame, work: Sequence[str], pos: str, forced: C
     stem, number = family(F.col("version"))
     by_kind = Window.partitionBy(*work, "kind")
     by_work = Window.partitionBy(*work)
-    marked = versions.withColumns({"_family": stem, "_number": number, "_curated": F.max(~F.col("experimental")).over(by_kind), "_forced": F.lit(False) if forced is None else F.coalesce(forced, F.lit(False))})
+    marked = versions.withColumns(
+        {
+            "_family": stem,
+            "_number": number,
+            "_curated": F.max(~F.col("experimental")).over(by_kind),
+            "_forced": F.lit(False) if forced is None else F.coalesce(forced, F.lit(False)),
+        }
+    )
     marked = marked.withColumn("_open", ~(F.col("experimental") & F.col("_curated")))
     rank = F.row_number().over(Window.partitionBy(*work, "kind", "_family", "_open").orderBy(F.desc("_number"), pos))
     chosen = marked.withColumns({"_rank": rank, "_any": F.max("_forced").over(by_work)})
@@ -139,12 +192,19 @@ def work_orders(versions: DataFrame, work: Sequence[str], house_prefix: str = HO
 
 def ordered_lists(rows: DataFrame, by: Sequence[str], order: str, value: str, name: str) -> DataFrame:
     """Values per group as one list in order."""
-    return rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("place"), F.col(value).alias("value")))), lambda r: r["value"]).alias(name))
+    return rows.groupBy(*by).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct(F.col(order).alias("place"), F.col(value).alias("value")))),
+            lambda r: r["value"],
+        ).alias(name)
+    )
 
 
 def catalog_tree(versions: DataFrame) -> DataFrame:
     """One row per corpus with nested groups, works and versions; empty levels don't appear."""
-    works = versions.groupBy("corpus", "textgroup", "work").agg(F.array_sort(F.collect_list(F.struct("version", "kind", "language"))).alias("versions"))
+    works = versions.groupBy("corpus", "textgroup", "work").agg(
+        F.array_sort(F.collect_list(F.struct("version", "kind", "language"))).alias("versions")
+    )
     groups = works.groupBy("corpus", "textgroup").agg(F.array_sort(F.collect_list(F.struct("work", "versions"))).alias("works"))
     return groups.groupBy("corpus").agg(F.array_sort(F.collect_list(F.struct("textgroup", "works"))).alias("textgroups"))
 
@@ -154,7 +214,14 @@ def merge_catalogs(parts: DataFrame, key: Sequence[str], first: Sequence[str], l
     return parts.groupBy(*key).agg(*[F.min_by(c, ordinal).alias(c) for c in first], *[F.max_by(c, ordinal).alias(c) for c in last])
 
 
-def merge_collections(parts: DataFrame, first: Sequence[str], last: Sequence[str], work: Sequence[str], pos: str, ordinal: str = "ordinal") -> DataFrame:
+def merge_collections(
+    parts: DataFrame,
+    first: Sequence[str],
+    last: Sequence[str],
+    work: Sequence[str],
+    pos: str,
+    ordinal: str = "ordinal",
+) -> DataFrame:
     """Several catalogues (urn, version, kind, experimental, ...) as one, with ``preferred`` decided anew over what each work has now."""
     return with_preferred(merge_catalogs(parts, ["urn", *work, "version", pos], first, last, ordinal), work, pos)
 
@@ -175,7 +242,16 @@ def listed_versions(versions: DataFrame) -> DataFrame:
     """(corpus, textgroup, work_urn, kind, version_urn): versions under their works, and commentaries also under the works that they are about."""
     about = versions.where("about is not null and about <> work_urn")
     works = versions.select(F.col("work_urn").alias("_w"), F.col("corpus").alias("_c"), F.col("textgroup").alias("_g")).distinct()
-    crossed = about.join(works, about["about"] == works["_w"]).select(F.col("_c").alias("corpus"), F.col("_g").alias("textgroup"), F.col("_w").alias("work_urn"), F.lit("commentary").alias("kind"), "experimental", "version", "label", "urn")
+    crossed = about.join(works, about["about"] == works["_w"]).select(
+        F.col("_c").alias("corpus"),
+        F.col("_g").alias("textgroup"),
+        F.col("_w").alias("work_urn"),
+        F.lit("commentary").alias("kind"),
+        "experimental",
+        "version",
+        "label",
+        "urn",
+    )
     return versions.select("corpus", "textgroup", "work_urn", "kind", "experimental", "version", "label", "urn").unionByName(crossed)
 
 
@@ -215,12 +291,18 @@ def facet_match(rows: DataFrame, chosen: Mapping[str, Sequence[str]], text: tupl
 
 def facet_counts(rows: DataFrame, key: str, facets: Sequence[str], chosen: Mapping[str, Sequence[str]]) -> DataFrame:
     """(facet, value, n): distinct keys for each value of each facet, under the choices made in the other facets."""
-    values = [F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value"), facet_match(rows, chosen, leave_out=f).alias("hit")) for f in facets]
+    values = [
+        F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value"), facet_match(rows, chosen, leave_out=f).alias("hit")) for f in facets
+    ]
     opened = rows.select(key, F.explode(F.array(*values)).alias("v")).select(key, "v.*")
     return opened.groupBy("facet", "value").agg(F.count_distinct(F.when(F.col("hit"), F.col(key))).alias("n"))
 
 
 def crosstab(rows: DataFrame, row: str, column: str, names: Sequence[str]) -> DataFrame:
     """Counts of ``column`` values per ``row`` value with a total row, totals and the share of all in percent."""
-    counts = rows.rollup(row).agg(*[F.count_if(F.col(column) == n).alias(n) for n in names], F.count("*").alias("total"), F.grouping(row).alias("is_total"))
+    counts = rows.rollup(row).agg(
+        *[F.count_if(F.col(column) == n).alias(n) for n in names],
+        F.count("*").alias("total"),
+        F.grouping(row).alias("is_total"),
+    )
     return counts.withColumn("percent", F.round(100.0 * F.col("total") / F.max("total").over(Window.partitionBy()), 4))

@@ -57,7 +57,10 @@ def urn_bodies(versions: DataFrame) -> DataFrame:
 
 def first_pages(versions: DataFrame, first: DataFrame) -> DataFrame:
     """(key, body): every version's urn and the address of its first page, from ``first`` (urn, cts_urn)."""
-    return versions.join(first, "urn").select(F.col("urn").alias("key"), F.to_json(F.struct(reading_url(F.col("urn"), passage(F.col("cts_urn"))).alias("href"))).alias("body"))
+    return versions.join(first, "urn").select(
+        F.col("urn").alias("key"),
+        F.to_json(F.struct(reading_url(F.col("urn"), passage(F.col("cts_urn"))).alias("href"))).alias("body"),
+    )
 
 
 def write_bodies(bodies: DataFrame, root: str, name: str) -> str:

@@ -61,7 +61,11 @@ def corresp_values(nodes: DataFrame) -> DataFrame:
 def entry_groups(entries: DataFrame, by: list[str], pos: str) -> DataFrame:
     """Entries of a passage by author line (the source's label without authors), groups in order of first appearance."""
     label = F.coalesce(F.nullif(F.array_join("authors", ", "), F.lit("")), F.col("source_label"))
-    return entries.withColumn("label", label).groupBy(*by, "label").agg(F.min(pos).alias("first"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(pos, "body"))).alias("entries"))
+    return entries.withColumn("label", label).groupBy(*by, "label").agg(
+        F.min(pos).alias("first"),
+        F.count("*").alias("n"),
+        F.array_sort(F.collect_list(F.struct(pos, "body"))).alias("entries"),
+    )
 
 
 def citation_spans(values: DataFrame, by: list[str], value: str, citation: str) -> DataFrame:
@@ -84,7 +88,10 @@ def citable_leaves(nodes: DataFrame) -> DataFrame:
     """
     lyric = (F.col("tag") == "div") & F.col("type").isin(*LYRIC_DIVISIONS)
     citing = nodes.where((F.coalesce("n", F.lit("")) != "") & ~F.coalesce(lyric, F.lit(False)))
-    ups = citing.where(F.size("path") > 1).select("doc", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.slice("path", F.lit(1), k))).alias("path")).distinct()
+    ups = citing.where(F.size("path") > 1).select(
+        "doc",
+        F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.slice("path", F.lit(1), k))).alias("path"),
+    ).distinct()
     return citing.join(ups, ["doc", "path"], "left_anti")
 
 
@@ -92,4 +99,8 @@ def chunk_of_anchor(anchors: DataFrame, chunk_ids: DataFrame, chunks: DataFrame)
     """``anchors`` (version, anchor_id) with the chunk that holds the id, else the only chunk of its version, else null."""
     only = chunks.groupBy("version").agg(F.min("chunk").alias("_only"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
     held = chunk_ids.groupBy("version", "anchor_id").agg(F.min("chunk").alias("_held"))
-    return anchors.join(held, ["version", "anchor_id"], "left").join(only, "version", "left").withColumn("chunk", F.coalesce("_held", "_only")).drop("_held", "_only")
+    return anchors.join(
+        held,
+        ["version", "anchor_id"],
+        "left",
+    ).join(only, "version", "left").withColumn("chunk", F.coalesce("_held", "_only")).drop("_held", "_only")

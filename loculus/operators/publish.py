@@ -39,14 +39,23 @@ def keep_canonical(files: DataFrame) -> DataFrame:
     """One file per urn: the conventionally named one, else the smallest path; files without urn all stay."""
     expected = F.concat(F.split_part("urn", F.lit(":"), F.lit(4)), F.lit(".xml"))
     named = F.substring_index("path", "/", -1) == expected
-    best = files.where("urn is not null").groupBy("urn").agg(F.min(F.struct((~named).alias("other"), "path")).alias("b")).select("urn", F.col("b.path").alias("path"))
+    best = files.where("urn is not null").groupBy("urn").agg(
+        F.min(F.struct((~named).alias("other"), "path")).alias("b")
+    ).select("urn", F.col("b.path").alias("path"))
     return files.join(best, ["urn", "path"], "left_semi").unionByName(files.where("urn is null"))
 
 
 def digest_changes(before: DataFrame, now: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, change): added, removed or changed keys; equal ones are left out."""
-    both = before.select(key, F.col(digest).alias("old"), F.lit(1).alias("in_old")).join(now.select(key, F.col(digest).alias("new"), F.lit(1).alias("in_new")), key, "full_outer")
-    change = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
+    both = before.select(key, F.col(digest).alias("old"), F.lit(1).alias("in_old")).join(
+        now.select(key, F.col(digest).alias("new"), F.lit(1).alias("in_new")),
+        key,
+        "full_outer",
+    )
+    change = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").when(
+        ~F.col("old").eqNullSafe(F.col("new")),
+        "changed",
+    )
     return both.select(key, change.alias("change")).where("change is not null")
 
 
@@ -68,7 +77,10 @@ def publish(frame: DataFrame, root: str, version: str, has_index: Column | None
     path = f"{root}/{version}"
     frame.write.mode("overwrite").parquet(path)
     written = frame.sparkSession.read.parquet(path)
-    rows, indexed = written.agg(F.count("*"), F.coalesce(F.max(F.coalesce(has_index, F.lit(True)) if has_index is not None else F.lit(True)), F.lit(False))).first()
+    rows, indexed = written.agg(
+        F.count("*"),
+        F.coalesce(F.max(F.coalesce(has_index, F.lit(True)) if has_index is not None else F.lit(True)), F.lit(False)),
+    ).first()
     if not indexed or rows < LEAST_SHARE * live_rows:
         raise ValueError(f"snapshot {version} has {rows} rows of {live_rows} live ones, index: {indexed}")
     return path
@@ -86,7 +98,11 @@ def record_source(metadata: DataFrame) -> DataFrame:
 
 def write_manifest(rows: DataFrame, path: str, source_digest: str, schema_version: int = MANIFEST_VERSION) -> str:
     """Write catalogue rows as JSON lines, each with the schema version and the digest of the sources that they were built from."""
-    rows.select(F.lit(schema_version).alias("schema_version"), F.lit(source_digest).alias("source_digest"), *rows.columns).write.mode("overwrite").json(path)
+    rows.select(
+        F.lit(schema_version).alias("schema_version"),
+        F.lit(source_digest).alias("source_digest"),
+        *rows.columns,
+    ).write.mode("overwrite").json(path)
     return path
 
 
@@ -128,5 +144,8 @@ def token_sidecars(tokens: DataFrame, root: str, key: str, force: bool = False)
     fresh = not_yet_done(tokens, spark.read.parquet(root), key, force) if exists else tokens
     found = fresh.select(key).distinct().count()
     if found:
-        fresh.write.mode("overwrite" if force else "append").option("compression", "zstd").option("parquet.compression.codec.zstd.level", TOKEN_LEVEL).parquet(root)
+        fresh.write.mode("overwrite" if force else "append").option("compression", "zstd").option(
+            "parquet.compression.codec.zstd.level",
+            TOKEN_LEVEL,
+        ).parquet(root)
     return found

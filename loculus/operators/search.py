@@ -74,13 +74,18 @@ def rate_label(rate: Column) -> Column:
     """Whole numbers from 10 up, below that two significant digits without zeros at the end."""
     scale = F.pow(F.lit(10.0), 1 - F.floor(F.log10(rate)))
     small = F.round(rate * scale).cast("long") / scale
-    return F.when(rate >= 10, F.round(rate).cast("long").cast("string")).when(rate > 0, F.regexp_replace(small.cast("string"), r"\.0$", "")).otherwise("0")
+    return F.when(rate >= 10, F.round(rate).cast("long").cast("string")).when(
+        rate > 0,
+        F.regexp_replace(small.cast("string"), r"\.0$", ""),
+    ).otherwise("0")
 
 
 def page_of_hits(hits: DataFrame, after: tuple[int, int], limit: int = PAGE_HITS) -> DataFrame:
     """The next hits in reading order behind (chunk_id, seq); a page costs the same wherever it lies."""
     cursor = F.struct(F.lit(after[0]).cast("long").alias("chunk_id"), F.lit(after[1]).cast("long").alias("seq"))
-    return hits.where(F.struct(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("seq").cast("long").alias("seq")) > cursor).orderBy("chunk_id", "seq").limit(limit)
+    return hits.where(
+        F.struct(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("seq").cast("long").alias("seq")) > cursor
+    ).orderBy("chunk_id", "seq").limit(limit)
 
 
 def fill_across_works(hits: DataFrame, works: DataFrame, first: int, count: int, most_works: int = 25) -> DataFrame:
@@ -91,7 +96,9 @@ def fill_across_works(hits: DataFrame, works: DataFrame, first: int, count: int,
     """
     best = works.orderBy(*work_rank()).limit(most_works)
     order = Window.orderBy(*work_rank())
-    placed = best.withColumns({"work_rank": F.row_number().over(order), "_before": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    placed = best.withColumns(
+        {"work_rank": F.row_number().over(order), "_before": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}
+    )
     touched = placed.where((F.col("_before") < first + count) & (F.col("_before") + F.col("n") > first)).select("doc_id", "work_rank", "_before")
     inside = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id", "seq"))
     numbered = hits.join(touched, "doc_id").withColumn("hit", F.col("_before") + inside - 1)
@@ -116,7 +123,13 @@ def context_in_texts(texts: DataFrame, is_hit: Callable[[Column], Column], width
     opened = cut.withColumn("p", F.explode(places))
     start = F.greatest(F.col("p") - width, F.lit(1))
     before, after = F.slice("t", start, F.col("p") - start), F.slice("t", F.col("p") + 1, F.lit(width))
-    return opened.select("doc_id", F.col("p").cast("long").alias("pos"), F.element_at("t", F.col("p")).alias("token"), F.array_join(before, " ").alias("before"), F.array_join(after, " ").alias("after"))
+    return opened.select(
+        "doc_id",
+        F.col("p").cast("long").alias("pos"),
+        F.element_at("t", F.col("p")).alias("token"),
+        F.array_join(before, " ").alias("before"),
+        F.array_join(after, " ").alias("after"),
+    )
 
 
 def context_parts(tokens: DataFrame, chunk: list[str], pos: str = "pos") -> DataFrame:
@@ -131,11 +144,17 @@ def context_from_parts(hits: DataFrame, parts: DataFrame, chunk: list[str], widt
     first = F.floor(F.greatest(F.col(pos) - 1 - width, F.lit(0)) / PART_TOKENS)
     last = F.floor((F.col(pos) - 1 + width) / PART_TOKENS)
     wanted = hits.withColumn("_first", first).withColumn("part", F.explode(F.sequence("_first", last)))
-    pieces = wanted.join(parts, [*chunk, "part"]).groupBy(*hits.columns, "_first").agg(F.array_sort(F.collect_list(F.struct("part", "tokens"))).alias("_p"))
+    pieces = wanted.join(parts, [*chunk, "part"]).groupBy(*hits.columns, "_first").agg(
+        F.array_sort(F.collect_list(F.struct("part", "tokens"))).alias("_p")
+    )
     words = F.flatten(F.transform("_p", lambda p: F.split(p["tokens"], TOKEN_SEPARATOR)))
     at = (F.col(pos) - F.col("_first") * PART_TOKENS).cast("int")
     start = F.greatest(at - width, F.lit(1))
-    around = {"token": F.element_at("_w", at), "before": F.array_join(F.slice("_w", start, at - start), " "), "after": F.array_join(F.slice(F.col("_w"), at + 1, F.lit(width)), " ")}
+    around = {
+        "token": F.element_at("_w", at),
+        "before": F.array_join(F.slice("_w", start, at - start), " "),
+        "after": F.array_join(F.slice(F.col("_w"), at + 1, F.lit(width)), " "),
+    }
     return pieces.withColumn("_w", words).withColumns(around).select(*hits.columns, *around)
 
 

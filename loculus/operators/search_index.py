@@ -51,19 +51,51 @@ def write_index(texts: DataFrame, root: str, lang: str, lemma: Callable[[Column,
         return spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
 
     cut = texts.select("doc_id", token_array("text").alias("t"))
-    opened = cut.select("doc_id", F.posexplode("t").alias("at", "token")).select("doc_id", (F.col("at") + 1).alias("pos"), bare_surface(F.col("token")).alias("form"))
+    opened = cut.select("doc_id", F.posexplode("t").alias("at", "token")).select(
+        "doc_id",
+        (F.col("at") + 1).alias("pos"),
+        bare_surface(F.col("token")).alias("form"),
+    )
     lists = opened.where("form <> ''").groupBy("form", "doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("pos")).alias("positions"))
     postings = save(lists, "postings", "form", "doc_id")
     save(postings.groupBy("doc_id").agg(F.sum("n").alias("n_words")), "documents", "doc_id")
     counted = postings.groupBy("form").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(lang))
-    keyed = counted.select("form", "lang", "n", match_key(F.col("form"), F.col("lang")).alias("key"), loose_key(F.col("form"), F.col("lang")).alias("loose"))
+    keyed = counted.select(
+        "form",
+        "lang",
+        "n",
+        match_key(F.col("form"), F.col("lang")).alias("key"),
+        loose_key(F.col("form"), F.col("lang")).alias("loose"),
+    )
     forms = save(keyed, "forms", "loose", "form")
-    heads = forms.select(lemma(F.col("form"), F.col("loose")).alias("lemma"), "lang", "n").groupBy("lemma", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
-    save(heads.select("*", match_key(F.col("lemma"), F.col("lang")).alias("key"), loose_key(F.col("lemma"), F.col("lang")).alias("loose")), "lemmas", "loose", "lemma")
+    heads = forms.select(
+        lemma(F.col("form"), F.col("loose")).alias("lemma"),
+        "lang",
+        "n",
+    ).groupBy("lemma", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
+    save(
+        heads.select("*", match_key(F.col("lemma"), F.col("lang")).alias("key"), loose_key(F.col("lemma"), F.col("lang")).alias("loose")),
+        "lemmas",
+        "loose",
+        "lemma",
+    )
     numbers = F.sequence(F.lit(0), F.ceil(F.size("t") / PART_TOKENS).cast("int") - 1)
     pieces = F.transform(numbers, lambda k: F.array_join(F.slice("t", k * PART_TOKENS + 1, F.lit(PART_TOKENS)), TOKEN_SEPARATOR))
-    save(cut.where(F.size("t") > 0).select("doc_id", F.posexplode(pieces).alias("part", "tokens")).select("doc_id", F.col("part").cast("long").alias("part"), "tokens"), "parts", "doc_id", "part")
-    manifest = {"schema_version": SCHEMA_VERSION, "lang": lang, "tables": {name: {"path": name, "rows": spark.read.parquet(f"{folder}/{name}").count()} for name in TABLES}}
+    save(
+        cut.where(F.size("t") > 0).select("doc_id", F.posexplode(pieces).alias("part", "tokens")).select(
+            "doc_id",
+            F.col("part").cast("long").alias("part"),
+            "tokens",
+        ),
+        "parts",
+        "doc_id",
+        "part",
+    )
+    manifest = {
+        "schema_version": SCHEMA_VERSION,
+        "lang": lang,
+        "tables": {name: {"path": name, "rows": spark.read.parquet(f"{folder}/{name}").count()} for name in TABLES},
+    }
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{folder}/{MANIFEST}")
     return folder
 

@@ -42,5 +42,13 @@ def contents_of(sidecars: DataFrame, current: str = "") -> DataFrame:
     """Linked entries of the contents in JSON sidecars (version, json with a ``toc`` list of urn, label, parent, scheme); none where there is no list."""
     entry = "array<struct<urn:string,label:string,parent:int,scheme:string,has_scheme:boolean>>"
     opened = sidecars.select(F.col("version").alias("doc"), F.posexplode(F.from_json("json", f"toc {entry}")["toc"]).alias("node", "e"))
-    nodes = opened.select("doc", "node", "e.urn", "e.label", "e.parent", "e.scheme", F.coalesce("e.has_scheme", F.col("e.scheme").isNotNull()).alias("has_scheme"))
+    nodes = opened.select(
+        "doc",
+        "node",
+        "e.urn",
+        "e.label",
+        "e.parent",
+        "e.scheme",
+        F.coalesce("e.has_scheme", F.col("e.scheme").isNotNull()).alias("has_scheme"),
+    )
     return linked_entries(nodes, current)

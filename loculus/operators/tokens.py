@@ -44,7 +44,10 @@ def tokens_in_runs(runs: DataFrame, tokens: DataFrame, by: list[str], bucket: in
     Runs are listed under the character buckets that they cross and tokens
     under their own, so the join is by equality and linear in its result.
     """
-    listed = runs.where("start is not null and end is not null and start < end").withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))))
+    listed = runs.where("start is not null and end is not null and start < end").withColumn(
+        "_b",
+        F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket))),
+    )
     placed = tokens.withColumn("_b", F.floor(F.col("start_char") / bucket))
     held = listed.join(placed, [*by, "_b"]).where("start <= start_char and start_char < end").drop("_b")
     alone = runs.join(held.select(*by, "run").distinct(), [*by, "run"], "left_anti")

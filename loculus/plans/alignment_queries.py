@@ -23,13 +23,19 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     book, n = F.when(fine, F.col("key")[0]), F.when(fine, F.col("key")[1]).otherwise(F.col("key")[0])
     kind = F.when(fine, n).otherwise(n % 5 + 1)  # 1 and 2 make ranges, even ones have a letter behind, 5 one before
     one = lambda k: F.concat_ws(".", book.cast("string"), k.cast("string"))
-    text = F.concat(F.when(kind == 5, "x").otherwise(""), one(n), F.when(kind % 2 == 0, "a").otherwise(""), F.when(kind < 3, F.concat(F.lit("-"), one(n + 2))).otherwise(""))
+    text = F.concat(
+        F.when(kind == 5, "x").otherwise(""),
+        one(n),
+        F.when(kind % 2 == 0, "a").otherwise(""),
+        F.when(kind < 3, F.concat(F.lit("-"), one(n + 2))).otherwise(""),
+    )
     return c.select("doc_id", "pos", text.alias("citation"), F.concat(F.lit("urn:cts:x:y.z.v:"), text).alias("urn"), book.alias("book"), n.alias("n"))
 
 
 _RANGES_SQL = f"""{CHUNKS_SQL},
 ranges as (
-    select doc_id, pos, case when num % 2 = 1 then key[1] || '.' else '' end as lead, case when num % 2 = 1 then '0.' else '' end as odd, num % 2 = 1 as fine,
+    select doc_id, pos, case when num % 2 = 1 then key[1] || '.' else '' end as lead, case when num % 2 = 1 then '0.'
+    else '' end as odd, num % 2 = 1 as fine,
            case when num % 2 = 1 then key[2] else key[1] end as n, case when num % 2 = 1 then key[2] else key[1] % 5 + 1 end as kind
     from chunks)"""
 
@@ -39,7 +45,10 @@ def cite_start_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranges(spark, sf_dir).select("doc_id", "pos", dotted(citekey.start_key(F.col("urn"))).alias("key"))
 
 
-@query(f"with {_RANGES_SQL} select doc_id, pos, case when kind < 3 then lead || (n + 2) when kind < 5 then lead || n when fine then '0.' || n else '0' end as key from ranges")
+@query(
+    f"""with {_RANGES_SQL} select doc_id, pos, case when kind < 3 then lead || (n + 2) when kind < 5 then lead
+    || n when fine then '0.' || n else '0' end as key from ranges"""
+)
 def cite_end_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranges(spark, sf_dir).select("doc_id", "pos", dotted(citekey.end_key(F.col("urn"))).alias("key"))
 
@@ -52,10 +61,17 @@ def cite_typed_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_RANGES_SQL} select doc_id, pos, lead || n || '-' || lead || (n + 1) as qualified from ranges")
 def cite_qualify(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = F.concat("n", F.lit("-"), F.col("n") + 1)
-    return _ranges(spark, sf_dir).select("doc_id", "pos", citekey.qualify(bare, F.concat_ws(".", F.col("book").cast("string"), F.lit("1"))).alias("qualified"))
+    return _ranges(spark, sf_dir).select(
+        "doc_id",
+        "pos",
+        citekey.qualify(bare, F.concat_ws(".", F.col("book").cast("string"), F.lit("1"))).alias("qualified"),
+    )
 
 
-@query(f"with {CHUNKS_SQL} select a.doc_id, a.pos, abs(a.key[1] - b.key[1]) || '.' || abs(coalesce(a.key[2], 0) - coalesce(b.key[2], 0)) as distance from chunks a join chunks b on b.doc_id = a.doc_id + 100 and b.pos = 0")
+@query(
+    f"""with {CHUNKS_SQL} select a.doc_id, a.pos, abs(a.key[1] - b.key[1]) || '.' || abs(coalesce(a.key[2],
+    0) - coalesce(b.key[2], 0)) as distance from chunks a join chunks b on b.doc_id = a.doc_id + 100 and b.pos = 0"""
+)
 def cite_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunks(spark, sf_dir)
     first = c.where("pos = 0").select((F.col("doc_id") - SIBLING).alias("doc_id"), F.col("key").alias("other"))
@@ -65,7 +81,12 @@ def cite_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Passages of versions, and those of their siblings, on a common ``doc_id``."""
     c = chunks(spark, sf_dir)
-    return c.select("doc_id", "passage", "key"), c.select((F.col("doc_id") - SIBLING).alias("doc_id"), F.col("passage").alias("sibling"), F.col("key").alias("start"), F.col("pos"))
+    return c.select("doc_id", "passage", "key"), c.select(
+        (F.col("doc_id") - SIBLING).alias("doc_id"),
+        F.col("passage").alias("sibling"),
+        F.col("key").alias("start"),
+        F.col("pos"),
+    )
 
 
 @query(f"""with {CHUNKS_SQL},
@@ -77,7 +98,8 @@ def asof_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {CHUNKS_SQL},
-pairs as (select a.doc_id, a.passage, a.key, b.key as start, b.passage as sibling, b.pos, b.key[1:len(a.key)] = a.key as below from chunks a left join chunks b on b.doc_id = a.doc_id + 100),
+pairs as (select a.doc_id, a.passage, a.key, b.key as start, b.passage as sibling, b.pos, b.key[1:len(a.key)] = a.key as below
+    from chunks a left join chunks b on b.doc_id = a.doc_id + 100),
 m as (select doc_id, passage, min(start) filter (below) as p, max(start) filter (start <= key) as f, min(start) as first from pairs group by 1, 2)
 select doc_id, passage, array_to_string(coalesce(p, f, first), '.') as landing from m""")
 def prefix_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +110,8 @@ def prefix_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NEAR_SQL = f"""with {CHUNKS_SQL},
 pairs as (
     select a.doc_id, a.passage, b.passage as sibling,
-           row_number() over (partition by a.doc_id, a.passage order by abs(a.key[1] - b.key[1]), abs(coalesce(a.key[2], 0) - coalesce(b.key[2], 0)), b.pos) as r
+           row_number() over (partition by a.doc_id, a.passage order by abs(a.key[1] - b.key[1]),
+    abs(coalesce(a.key[2], 0) - coalesce(b.key[2], 0)), b.pos) as r
     from chunks a left join chunks b on b.doc_id = a.doc_id + 100)"""
 
 
@@ -115,7 +138,8 @@ ranged as (
     where b.key = a.key or (len(a.key) < len(b.key) and b.key[1:len(a.key)] = a.key)),
 near as (
     select a.doc_id, a.passage, b.passage as aligned, 'nearest' as how,
-           row_number() over (partition by a.doc_id, a.passage order by abs(a.key[1] - b.key[1]), abs(coalesce(a.key[2], 0) - coalesce(b.key[2], 0)), b.pos) as r
+           row_number() over (partition by a.doc_id, a.passage order by abs(a.key[1] - b.key[1]),
+    abs(coalesce(a.key[2], 0) - coalesce(b.key[2], 0)), b.pos) as r
     from bases a join chunks b on b.doc_id = a.doc_id + 100
     where not exists (from ranged r where r.doc_id = a.doc_id and r.passage = a.passage))
 select * from ranged union all select doc_id, passage, aligned, how from near where r = 1""")
@@ -126,7 +150,8 @@ def sibling_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {CHUNKS_SQL},
-m as (select a.doc_id, a.passage, max(b.key) filter (b.key <= a.key) as f, min(b.key) as first from chunks a join chunks b on b.doc_id = a.doc_id + 100 group by 1, 2)
+m as (select a.doc_id, a.passage, max(b.key) filter (b.key <= a.key) as f, min(b.key) as first
+    from chunks a join chunks b on b.doc_id = a.doc_id + 100 group by 1, 2)
 select doc_id, passage, array_to_string(coalesce(f, first), '.') as toggled from m""")
 def scheme_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, other = _pair(spark, sf_dir)
@@ -138,11 +163,21 @@ def scheme_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as commentary entries on three books each of the documents of one source."""
     items = table(spark, sf_dir, "benchmark")
-    return items.select((F.col("item_id") % 20).alias("group_key"), "item_id", F.lit("urn:cts:x:y").alias("work_urn"), F.concat_ws("-", F.col("item_id") % 7 + 1, F.col("item_id") % 7 + 3).alias("entry_citation"))
+    return items.select(
+        (F.col("item_id") % 20).alias("group_key"),
+        "item_id",
+        F.lit("urn:cts:x:y").alias("work_urn"),
+        F.concat_ws("-", F.col("item_id") % 7 + 1, F.col("item_id") % 7 + 3).alias("entry_citation"),
+    )
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    passages = chunks(spark, sf_dir).select((F.col("doc_id") % 20).alias("group_key"), "doc_id", F.lit("urn:cts:x:y.z").alias("urn"), F.col("passage").alias("citation"))
+    passages = chunks(spark, sf_dir).select(
+        (F.col("doc_id") % 20).alias("group_key"),
+        "doc_id",
+        F.lit("urn:cts:x:y.z").alias("urn"),
+        F.col("passage").alias("citation"),
+    )
     return overlap.entries_for_passages(passages, _entries(spark, sf_dir))
 
 
@@ -157,13 +192,20 @@ def overlap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlaps(spark, sf_dir).select("doc_id", F.col("citation").alias("passage"), "item_id")
 
 
-@query(f"with {_OVERLAPS_SQL} select doc_id, passage, case when item_id % 3 = 0 then 'label' || (item_id % 2) else 'author' || (item_id % 4) end as label, min(item_id) as first, count(*) as n from meeting group by 1, 2, 3")
+@query(
+    f"""with {_OVERLAPS_SQL} select doc_id, passage, case when item_id % 3 = 0 then 'label' || (item_id % 2)
+    else 'author' || (item_id % 4) end as label, min(item_id) as first, count(*) as n from meeting
+    group by 1, 2, 3"""
+)
 def overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _overlaps(spark, sf_dir).select(
         "doc_id",
         F.col("citation").alias("passage"),
         "item_id",
-        F.when(F.col("item_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("author"), F.col("item_id") % 4))).alias("authors"),
+        F.when(
+            F.col("item_id") % 3 == 0,
+            F.array().cast("array<string>"),
+        ).otherwise(F.array(F.concat(F.lit("author"), F.col("item_id") % 4))).alias("authors"),
         F.concat(F.lit("label"), F.col("item_id") % 2).alias("source_label"),
         F.lit("").alias("body"),
     )
@@ -171,27 +213,45 @@ def overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SPANS_SQL = f"""with {_RANGES_SQL},
-groups as (select doc_id, case when fine then lead else '' end as lead, case when fine then rtrim(lead, '.')::bigint else (n - 1) // 5 + 1 end as book, min(n) as low, max(n) as high from ranges group by 1, 2, 3)"""
+groups as (select doc_id, case when fine then lead else '' end as lead, case when fine then rtrim(lead,
+    '.')::bigint else (n - 1) // 5 + 1 end as book, min(n) as low, max(n) as high from ranges
+    group by 1, 2, 3)"""
 
 
 @query(f"{_SPANS_SQL} select doc_id, book, case when low = high then lead || low else lead || low || '-' || lead || high end as span from groups")
 def citation_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _ranges(spark, sf_dir)
     own = F.concat_ws(".", F.col("book").cast("string"), F.lit("1"))
-    c = r.select("doc_id", F.coalesce("book", F.floor((F.col("n") - 1) / 5) + 1).alias("book"), F.col("n").cast("string").alias("n"), own.alias("own"))
+    c = r.select(
+        "doc_id",
+        F.coalesce("book", F.floor((F.col("n") - 1) / 5) + 1).alias("book"),
+        F.col("n").cast("string").alias("n"),
+        own.alias("own"),
+    )
     return overlap.citation_spans(c, ["doc_id", "book"], "n", "own")
 
 
-@query(f"{_SPANS_SQL} select doc_id, book, case when low = high then lead || low else lead || low || '-' || lead || high end as span from groups where book % 3 <> 0")
+@query(
+    f"""{_SPANS_SQL} select doc_id, book, case when low = high then lead || low else lead || low || '-'
+    || lead || high end as span from groups where book % 3 <> 0"""
+)
 def target_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of references to a commented work; every third book refers to another work and is absent."""
     r = _ranges(spark, sf_dir).withColumn("group", F.coalesce("book", F.floor((F.col("n") - 1) / 5) + 1))
     work = F.when(F.col("group") % 3 == 0, "urn:cts:x:other.w:").otherwise("urn:cts:x:y.z:")
-    aimed = r.select("doc_id", F.col("group").alias("book"), F.concat(work, F.concat_ws(".", F.col("book").cast("string"), F.col("n").cast("string"))).alias("reference"), F.lit("urn:cts:x:y.z").alias("about"))
+    aimed = r.select(
+        "doc_id",
+        F.col("group").alias("book"),
+        F.concat(work, F.concat_ws(".", F.col("book").cast("string"), F.col("n").cast("string"))).alias("reference"),
+        F.lit("urn:cts:x:y.z").alias("about"),
+    )
     return overlap.target_spans(aimed, ["doc_id", "book"], "reference", "about")
 
 
-@query(f"with {CHUNKS_SQL} select doc_id, passage, lag(passage) over w as prev, lead(passage) over w as next from chunks window w as (partition by doc_id order by pos)")
+@query(
+    f"""with {CHUNKS_SQL} select doc_id, passage, lag(passage) over w as prev, lead(passage) over w as next
+    from chunks window w as (partition by doc_id order by pos)"""
+)
 def prev_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("pos")
     return chunks(spark, sf_dir).select("doc_id", "passage", F.lag("passage").over(order).alias("prev"), F.lead("passage").over(order).alias("next"))
@@ -214,7 +274,10 @@ select r.doc_id, run, count(t.pos) as n_tokens from runs r left join tokens t on
 def token_run_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = tokens(spark, sf_dir)
     ends = words.groupBy("doc_id").agg(F.max("pos").alias("n"))
-    runs = ends.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 30) + 1)).alias("run")).select("doc_id", "run", (F.col("run") * 30).alias("start"), (F.col("run") * 30 + 30).alias("end"))
+    runs = ends.select(
+        "doc_id",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / 30) + 1)).alias("run"),
+    ).select("doc_id", "run", (F.col("run") * 30).alias("start"), (F.col("run") * 30 + 30).alias("end"))
     held = tokens_in_runs(runs, words.select("doc_id", F.col("pos").alias("start_char"), "token"), ["doc_id"])
     return held.groupBy("doc_id", "run").agg(F.count("token").alias("n_tokens"))
 
@@ -227,13 +290,16 @@ ranged as (
     where b.key = a.key or (len(a.key) < len(b.key) and b.key[1:len(a.key)] = a.key)),
 near as (
     select a.doc_id, a.passage, b.passage as aligned, 'nearest' as how, b.pos,
-           row_number() over (partition by a.doc_id, a.passage order by abs(a.key[1] - b.key[1]), abs(coalesce(a.key[2], 0) - coalesce(b.key[2], 0)), b.pos) as r
+           row_number() over (partition by a.doc_id, a.passage order by abs(a.key[1] - b.key[1]),
+    abs(coalesce(a.key[2], 0) - coalesce(b.key[2], 0)), b.pos) as r
     from bases a join chunks b on b.doc_id = a.doc_id + 100
     where not exists (from ranged r where r.doc_id = a.doc_id and r.passage = a.passage)),
-aligned as (select doc_id, passage, aligned, how from (from ranged union all select doc_id, passage, aligned, how, pos from near where r = 1) where pos % 3 <> 1),
+aligned as (select doc_id, passage, aligned, how from (from ranged union all select doc_id, passage,
+    aligned, how, pos from near where r = 1) where pos % 3 <> 1),
 firsts as (select doc_id - 100 as doc_id, first(passage order by pos) as aligned from chunks where pos % 3 <> 1 group by 1)
 select * from aligned union all
-select b.doc_id, b.passage, f.aligned, 'first' as how from bases b join firsts f on f.doc_id = b.doc_id where not exists (from aligned a where a.doc_id = b.doc_id and a.passage = b.passage)"""
+select b.doc_id, b.passage, f.aligned, 'first' as how from bases b join firsts f on f.doc_id = b.doc_id
+    where not exists (from aligned a where a.doc_id = b.doc_id and a.passage = b.passage)"""
 
 
 @query(_FILES_SQL)
@@ -242,12 +308,23 @@ def sibling_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, sibling = _pair(spark, sf_dir)
     bases = base.select("doc_id", "passage", F.col("key").alias("low"), F.col("key").alias("high"))
     files = sibling.where(F.col("pos") % 3 != 1).select("doc_id", "sibling")
-    return align.align_siblings(bases, sibling, ["doc_id"], "low", "high", "start", "sibling", "pos", files).select("doc_id", "passage", "aligned", "how")
+    return align.align_siblings(
+        bases,
+        sibling,
+        ["doc_id"],
+        "low",
+        "high",
+        "start",
+        "sibling",
+        "pos",
+        files,
+    ).select("doc_id", "passage", "aligned", "how")
 
 
 @query("""with d as (select doc_id, case when doc_id % 4 = 0 then 'card' else '' end as scheme from documents),
 schemes as (select doc_id, '' as scheme from documents where doc_id % 7 <> 3 union all select doc_id, 'card' from documents where doc_id % 3 = 0)
-select d.doc_id, d.scheme, coalesce(a.scheme, b.scheme) as used from d left join schemes a on a.doc_id = d.doc_id and a.scheme = d.scheme left join schemes b on b.doc_id = d.doc_id and b.scheme = '' where coalesce(a.scheme, b.scheme) is not null""")
+select d.doc_id, d.scheme, coalesce(a.scheme, b.scheme) as used from d left join schemes a on a.doc_id = d.doc_id and a.scheme = d.scheme
+    left join schemes b on b.doc_id = d.doc_id and b.scheme = '' where coalesce(a.scheme, b.scheme) is not null""")
 def scheme_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schemes come from the paths of the versions' indexes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("v"), "doc_id").alias("version"))
@@ -258,10 +335,18 @@ def scheme_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.in_scheme(asked, schemes, ["version"], "scheme").select("doc_id", "scheme", "used")
 
 
-@query(f"with {_OVERLAPS_SQL} select doc_id, passage, 'c' || (item_id % 5) as commentary, min(item_id) as first, count(*) as n from meeting group by 1, 2, 3")
+@query(
+    f"""with {_OVERLAPS_SQL} select doc_id, passage, 'c' || (item_id % 5) as commentary, min(item_id) as first,
+    count(*) as n from meeting group by 1, 2, 3"""
+)
 def commentary_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Commentary links of every passage, grouped by commentary."""
-    passages = chunks(spark, sf_dir).select((F.col("doc_id") % 20).alias("group_key"), "doc_id", F.lit("urn:cts:x:y.z").alias("urn"), F.col("passage").alias("citation"))
+    passages = chunks(spark, sf_dir).select(
+        (F.col("doc_id") % 20).alias("group_key"),
+        "doc_id",
+        F.lit("urn:cts:x:y.z").alias("urn"),
+        F.col("passage").alias("citation"),
+    )
     items = _entries(spark, sf_dir).withColumnRenamed("entry_citation", "line_ref")
     links = items.withColumns({"commentary": F.concat(F.lit("c"), F.col("item_id") % 5), "target": F.concat(F.lit("#"), "item_id")})
     found = overlap.links_for_passages(passages, links).withColumnRenamed("citation", "passage")
@@ -275,15 +360,27 @@ _NODES_SQL = "nodes as (select conv_id as doc, turn, case when role = 'user' the
 def footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of users stand for notes."""
     turns = table(spark, sf_dir, "conversations")
-    nodes = turns.select(F.col("conv_id").alias("doc"), "turn", F.array(F.lit(0), F.col("turn").cast("int")).alias("path"), F.when(F.col("role") == "user", "note").otherwise("p").alias("tag"))
+    nodes = turns.select(
+        F.col("conv_id").alias("doc"),
+        "turn",
+        F.array(F.lit(0), F.col("turn").cast("int")).alias("path"),
+        F.when(F.col("role") == "user", "note").otherwise("p").alias("tag"),
+    )
     return overlap.footnote_numbers(nodes).select("doc", "turn", "number")
 
 
-@query("""select conv_id as doc, turn, unnest(case when turn % 3 = 0 then ['urn:x:' || turn, 'urn:y:' || turn] when turn % 3 = 1 then ['urn:x:' || turn] else [] end) as reference from conversations""")
+@query(
+    """select conv_id as doc, turn, unnest(case when turn % 3 = 0 then ['urn:x:' || turn, 'urn:y:' || turn] when turn % 3 = 1 then ['urn:x:' || turn] else [] end) as reference from conversations"""
+)
 def corresp_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     one, two = F.concat(F.lit(" urn:x:"), "turn"), F.concat(F.lit("urn:x:"), "turn", F.lit("  urn:y:"), "turn")
-    nodes = turns.select(F.col("conv_id").alias("doc"), "turn", F.array(F.col("turn").cast("int")).alias("path"), F.when(F.col("turn") % 3 == 0, two).when(F.col("turn") % 3 == 1, one).alias("corresp"))
+    nodes = turns.select(
+        F.col("conv_id").alias("doc"),
+        "turn",
+        F.array(F.col("turn").cast("int")).alias("path"),
+        F.when(F.col("turn") % 3 == 0, two).when(F.col("turn") % 3 == 1, one).alias("corresp"),
+    )
     return overlap.corresp_values(nodes).select("doc", F.col("path")[0].cast("long").alias("turn"), "reference")
 
 
@@ -291,11 +388,16 @@ def corresp_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 anchors as (select doc_id as version, 'a' || doc_id || '.' || k as anchor_id, k from documents, range(3) t(k)),
 held as (select a.version, a.anchor_id, c.passage from anchors a join chunks c on c.doc_id = a.version and c.pos = a.k and a.k <> 1),
 single as (select doc_id as version, any_value(passage) as passage from chunks group by 1 having count(*) = 1)
-select a.version, a.anchor_id, coalesce(h.passage, o.passage) as chunk from anchors a left join held h using (version, anchor_id) left join single o on o.version = a.version""")
+select a.version, a.anchor_id, coalesce(h.passage, o.passage) as chunk from anchors a left join held h using (version,
+    anchor_id) left join single o on o.version = a.version""")
 def anchor_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three anchors for each document; the second one is in no chunk."""
     c = chunks(spark, sf_dir).select(F.col("doc_id").alias("version"), F.col("passage").alias("chunk"), "pos")
     name = lambda k: F.concat(F.lit("a"), "version", F.lit("."), k)
     anchors = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("version"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("k"))
     held = c.where("pos in (0, 2)").select("version", "chunk", name(F.col("pos")).alias("anchor_id"))
-    return overlap.chunk_of_anchor(anchors.select("version", name(F.col("k")).alias("anchor_id")), held, c.select("version", "chunk")).select("version", "anchor_id", "chunk")
+    return overlap.chunk_of_anchor(
+        anchors.select("version", name(F.col("k")).alias("anchor_id")),
+        held,
+        c.select("version", "chunk"),
+    ).select("version", "anchor_id", "chunk")

@@ -54,7 +54,17 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "num",
         "title",
         F.coalesce(F.col("quality") == 0, F.lit(False)).alias("experimental"),
-        F.when(F.col("toxic") == 1, F.concat(F.lit("urn:cts:c"), F.pmod(F.col("doc_id") + 1, F.lit(20)) % 4, F.lit(":src"), F.pmod(F.col("doc_id") + 1, F.lit(20)), F.lit("."), _work(F.col("doc_id") + 1))).alias("about"),
+        F.when(
+            F.col("toxic") == 1,
+            F.concat(
+                F.lit("urn:cts:c"),
+                F.pmod(F.col("doc_id") + 1, F.lit(20)) % 4,
+                F.lit(":src"),
+                F.pmod(F.col("doc_id") + 1, F.lit(20)),
+                F.lit("."),
+                _work(F.col("doc_id") + 1),
+            ),
+        ).alias("about"),
     )
     originals = named.groupBy("textgroup", "work").agg(F.min_by("language", "doc_id").alias("original"))
     full = named.join(originals, ["textgroup", "work"])
@@ -71,22 +81,35 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 VERSIONS_SQL = """
 named as (
     select d.doc_id, 'c' || (cast(substr(source, 4) as int) % 4) as corpus, source as textgroup, 'w' || ((d.doc_id // 20) % 5) as work,
-           case when cast(substr(source, 4) as int) % 3 = 0 then 'alt-' else 'pub-' end || case lang when 'en' then 'eng' when 'de' then 'deu' when 'fr' then 'fre' when 'es' then 'spa' end || (d.doc_id // 100 + 1) as version,
+           case when cast(substr(source, 4) as int) % 3 = 0 then 'alt-' else 'pub-' end || case lang
+    when 'en' then 'eng' when 'de' then 'deu' when 'fr' then 'fre' when 'es' then 'spa' end
+    || (d.doc_id // 100 + 1) as version,
            case lang when 'en' then 'eng' when 'de' then 'deu' when 'fr' then 'fre' when 'es' then 'spa' end as language,
            d.doc_id // 100 + 1 as num, substr(text, 1, 16) as title, coalesce(quality = 0, false) as experimental,
-           case when toxic = 1 then 'urn:cts:c' || (((d.doc_id + 1) % 20) % 4) || ':src' || ((d.doc_id + 1) % 20) || '.w' || (((d.doc_id + 1) // 20) % 5) end as about
+           case when toxic = 1 then 'urn:cts:c' || (((d.doc_id + 1) % 20) % 4) || ':src' || ((d.doc_id + 1) % 20)
+    || '.w' || (((d.doc_id + 1) // 20) % 5) end as about
     from documents d left join labels l on d.doc_id = l.doc_id),
 versions as (
-    select *, case when about is not null then 'commentary' when language = original then 'edition' else 'translation' end as kind, upper(version) as label,
-           'urn:cts:' || corpus || ':' || textgroup || '.' || work as work_urn, 'urn:cts:' || corpus || ':' || textgroup || '.' || work || '.' || version as urn
+    select *, case when about is not null then 'commentary' when language = original then 'edition'
+    else 'translation' end as kind, upper(version) as label,
+           'urn:cts:' || corpus || ':' || textgroup || '.' || work as work_urn, 'urn:cts:' || corpus
+    || ':' || textgroup || '.' || work || '.' || version as urn
     from (select *, first_value(language) over (partition by textgroup, work order by doc_id) as original from named))"""
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, num, pos (from 0), passage, key."""
-    counted = table(spark, sf_dir, "documents").select("doc_id", (F.floor(F.col("doc_id") / 100) + 1).alias("num"), F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).alias("words"))
+    counted = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.floor(F.col("doc_id") / 100) + 1).alias("num"),
+        F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).alias("words"),
+    )
     size = F.when(F.col("num") % 2 == 1, SECTION_TOKENS).otherwise(SECTION_TOKENS * BOOK_SECTIONS)
-    cut = counted.withColumn("n", F.ceil(F.col("words") / size)).where("n > 0").select("doc_id", "num", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos"))
+    cut = counted.withColumn("n", F.ceil(F.col("words") / size)).where("n > 0").select(
+        "doc_id",
+        "num",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos"),
+    )
     book, section = F.floor(F.col("pos") / BOOK_SECTIONS) + 1, F.pmod("pos", F.lit(BOOK_SECTIONS)) + 1
     fine = F.col("num") % 2 == 1
     key = F.when(fine, F.array(book, section)).otherwise(F.array(F.col("pos") + 1))
@@ -99,7 +122,8 @@ chunk_counts as (
 chunks as (
     select doc_id, num, pos, case when num % 2 = 1 then [pos // 5 + 1, pos % 5 + 1] else [pos + 1] end as key,
            case when num % 2 = 1 then (pos // 5 + 1) || '.' || (pos % 5 + 1) else '' || (pos + 1) end as passage
-    from (select doc_id, num, unnest(range(cast(ceil(words / (case when num % 2 = 1 then 20.0 else 100.0 end)) as bigint))) as pos from chunk_counts))"""
+    from (select doc_id, num, unnest(range(cast(ceil(words / (case when num % 2 = 1 then 20.0
+    else 100.0 end)) as bigint))) as pos from chunk_counts))"""
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

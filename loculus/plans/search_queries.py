@@ -42,13 +42,18 @@ def word_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir).agg(F.sum("n").alias("n"), F.count("*").alias("works"))
 
 
-@query(f"""with {_COUNTS_SQL}, shown as (select doc_id, rate, round(rate * pow(10.0, 1 - floor(log10(rate))))::bigint as two, 1 - floor(log10(rate))::int as places from counts)
-select doc_id, case when rate >= 10 then '' || round(rate)::bigint else regexp_replace('' || (two / pow(10.0, places)), '\\.0$', '') end as label from shown""")
+@query(f"""with {_COUNTS_SQL}, shown as (select doc_id, rate, round(rate * pow(10.0, 1 - floor(log10(rate))))::bigint as two,
+    1 - floor(log10(rate))::int as places from counts)
+select doc_id, case when rate >= 10 then '' || round(rate)::bigint else regexp_replace('' || (two / pow(10.0,
+    places)), '\\.0$', '') end as label from shown""")
 def rate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir).select("doc_id", search.rate_label(F.col("rate")).alias("label"))
 
 
-@query(f"with {TOKENS_SQL} select surface as form, count(*) as n from tokens where surface <> '' and lower(strip_accents(surface)) = '{LOOSE}' group by 1")
+@query(
+    f"""with {TOKENS_SQL} select surface as form, count(*) as n from tokens where surface <> '' and lower(strip_accents(surface)) = '{LOOSE}'
+    group by 1"""
+)
 def form_lookup_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_keys(index(spark, sf_dir).forms, LOOSE, lang="fr", loose=True).select("form", "n")
 
@@ -60,7 +65,8 @@ def form_lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LEMMAS_SQL = f"""with {TOKENS_SQL},
 forms as (select surface as form, lower(strip_accents(surface)) as loose, count(*) as n from tokens where surface <> '' group by 1, 2),
-lemmas as (select case when length(loose) > 4 then regexp_replace(loose, '[aeimnst]$', '') else loose end as lemma, sum(n)::bigint as n, count(*) as forms from forms group by 1)"""
+lemmas as (select case when length(loose) > 4 then regexp_replace(loose, '[aeimnst]$', '') else loose end as lemma,
+    sum(n)::bigint as n, count(*) as forms from forms group by 1)"""
 
 
 @query(f"{_LEMMAS_SQL} select lemma, n, forms from lemmas where lemma = '{LEMMA}'")
@@ -68,12 +74,18 @@ def lemma_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_keys(index(spark, sf_dir).lemmas, LEMMA, lang="fr", loose=True).select("lemma", "n", "forms")
 
 
-@query(f"with {TOKENS_SQL} select lower(strip_accents(surface)) as loose, count(distinct surface) as forms, count(*) as n from tokens where surface <> '' group by 1")
+@query(
+    f"""with {TOKENS_SQL} select lower(strip_accents(surface)) as loose, count(distinct surface) as forms,
+    count(*) as n from tokens where surface <> '' group by 1"""
+)
 def loose_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).forms.groupBy("loose").agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
 
 
-@query(f"with {TOKENS_SQL} select doc_id, pos, surface, row_number() over (partition by doc_id, surface order by pos) as occ from tokens where surface <> ''")
+@query(
+    f"""with {TOKENS_SQL} select doc_id, pos, surface, row_number() over (partition by doc_id, surface
+    order by pos) as occ from tokens where surface <> ''"""
+)
 def occ_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = number_occurrences(tokens(spark, sf_dir).where("surface <> ''"), ["doc_id"])
     return numbered.select("doc_id", "pos", "surface", F.col("occ").cast("long").alias("occ"))
@@ -81,7 +93,11 @@ def occ_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = hits_of(index(spark, sf_dir), FREQUENT)
-    return found.select("doc_id", F.floor((F.col("pos") - 1) / 100).alias("chunk"), F.col("pos").alias("seq")).select("doc_id", (F.col("doc_id") * 100_000 + F.col("chunk")).alias("chunk_id"), "seq")
+    return found.select(
+        "doc_id",
+        F.floor((F.col("pos") - 1) / 100).alias("chunk"),
+        F.col("pos").alias("seq"),
+    ).select("doc_id", (F.col("doc_id") * 100_000 + F.col("chunk")).alias("chunk_id"), "seq")
 
 
 _HITS_SQL = f"{TOKENS_SQL}, hits as (select doc_id, doc_id * 100000 + (pos - 1) // 100 as chunk_id, pos as seq from tokens where surface = '{FREQUENT}')"
@@ -100,7 +116,13 @@ select doc_id, chunk_id, seq, work_rank, hit from numbered where hit between 50
 def hits_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _hits(spark, sf_dir)
     works = hits.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("rate", F.lit(0.0))
-    return search.fill_across_works(hits, works, 50, 50).select("doc_id", "chunk_id", "seq", F.col("work_rank").cast("long").alias("work_rank"), "hit")
+    return search.fill_across_works(hits, works, 50, 50).select(
+        "doc_id",
+        "chunk_id",
+        "seq",
+        F.col("work_rank").cast("long").alias("work_rank"),
+        "hit",
+    )
 
 
 _KWIC_SQL = f"""with {TOKENS_SQL},
@@ -124,7 +146,11 @@ def kwic_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.context_from_parts(hits_of(found, EXACT), found.parts, ["doc_id"])
 
 
-@query(f"with {TOKENS_SQL}, p as (select surface, lag(surface) over (partition by doc_id order by pos) as prior from tokens where surface <> '') select prior, count(*) as n from p where surface = '{FREQUENT}' group by 1")
+@query(
+    f"""with {TOKENS_SQL}, p as (select surface, lag(surface) over (partition by doc_id order by pos) as prior
+    from tokens where surface <> '') select prior, count(*) as n from p where surface = '{FREQUENT}'
+    group by 1"""
+)
 def prior_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prior_words(tokens(spark, sf_dir), ["doc_id"]).where(F.col("surface") == FREQUENT)
     return found.groupBy("prior").agg(F.count("*").alias("n"))
@@ -140,7 +166,11 @@ def lang_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", guess_language(F.col("text")).alias("guess"))
 
 
-@query(f"with {TOKENS_SQL}, k as (select surface, replace(replace(lower(strip_accents(surface)), 'j', 'i'), 'v', 'u') as key from tokens where surface <> '') select key, count(*) as n from k group by 1")
+@query(
+    f"""with {TOKENS_SQL}, k as (select surface, replace(replace(lower(strip_accents(surface)), 'j',
+    'i'), 'v', 'u') as key from tokens where surface <> '') select key, count(*) as n from k
+    group by 1"""
+)
 def latin_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = tokens(spark, sf_dir).where("surface <> ''").groupBy("surface").agg(F.count("*").alias("n"))
     return forms.withColumn("key", match_key(F.col("surface"), F.lit("la"))).groupBy("key").agg(F.sum("n").alias("n"))
@@ -151,7 +181,10 @@ def line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", labelled_lines(F.col("turn").cast("string")).alias("labelled"))
 
 
-@query(f"with {TOKENS_SQL}, f as (select surface as form, count(*) as n from tokens where surface <> '' group by 1) select form, n, row_number() over (order by n desc, form) as place from f qualify place <= 50")
+@query(
+    f"""with {TOKENS_SQL}, f as (select surface as form, count(*) as n from tokens where surface <> ''
+    group by 1) select form, n, row_number() over (order by n desc, form) as place from f qualify place <= 50"""
+)
 def top_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty most frequent forms; only they are ranked."""
     best = index(spark, sf_dir).forms.orderBy(F.desc("n"), "form").limit(50)
@@ -160,15 +193,29 @@ def top_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {TOKENS_SQL},
 sizes as (select surface as form, count(*) as n from tokens where surface <> '' group by 1)
-select doc_id, pos, doc_id || ':' || ((pos - 1) // 100 + 1) as ref, surface as form, n, 'urn:' || doc_id || ':' || ((pos - 1) // 100 + 1) || '@' || surface || '[' || row_number() over (partition by doc_id, (pos - 1) // 100, surface order by pos) || ']' as token_urn
+select doc_id, pos, doc_id || ':' || ((pos - 1) // 100 + 1) as ref, surface as form, n, 'urn:'
+    || doc_id || ':' || ((pos - 1) // 100 + 1) || '@' || surface || '[' || row_number() over (partition by doc_id,
+    (pos - 1) // 100, surface order by pos) || ']' as token_urn
 from tokens t join sizes s on t.surface = s.form where surface = '{EXACT}'""")
 def hits_described(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loculus.functions.urn import token_urn
 
     words = index(spark, sf_dir)
-    hits = hits_of(words, EXACT).select("doc_id", "pos", F.lit(EXACT).alias("form_id"), (F.floor((F.col("pos") - 1) / 100) + 1).alias("part")).withColumn("chunk_id", F.concat_ws(":", "doc_id", "part"))
+    hits = hits_of(words, EXACT).select(
+        "doc_id",
+        "pos",
+        F.lit(EXACT).alias("form_id"),
+        (F.floor((F.col("pos") - 1) / 100) + 1).alias("part"),
+    ).withColumn("chunk_id", F.concat_ws(":", "doc_id", "part"))
     hits = number_occurrences(hits, ["chunk_id"], "form_id")
     chunks = hits.select("chunk_id").distinct().withColumn("ref", F.col("chunk_id"))
     forms = words.forms.where(F.col("form") == EXACT).select(F.col("form").alias("form_id"), "n", "form")
     found = search.describe_hits(hits, chunks, forms)
-    return found.select("doc_id", "pos", "ref", "form", "n", token_urn(F.concat(F.lit("urn:"), "doc_id"), F.col("part").cast("string"), F.col("form"), F.col("occ")).alias("token_urn"))
+    return found.select(
+        "doc_id",
+        "pos",
+        "ref",
+        "form",
+        "n",
+        token_urn(F.concat(F.lit("urn:"), "doc_id"), F.col("part").cast("string"), F.col("form"), F.col("occ")).alias("token_urn"),
+    )

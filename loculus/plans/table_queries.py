@@ -10,10 +10,18 @@ from loculus.plans.bindings import table
 from loculus.plans.catalogue import query
 
 
-@query(r"""select page_id, url, split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) as host, split_part(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '/', 1) as first, len(string_split(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '/')) as depth from pages""")
+@query(
+    r"""select page_id, url, split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) as host, split_part(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '/', 1) as first, len(string_split(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '/')) as depth from pages"""
+)
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace("url", "^[a-z]+://[^/]*/?", "")
-    return table(spark, sf_dir, "pages").select("page_id", "url", F.split_part(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/"), F.lit(1)).alias("host"), F.split_part(path, F.lit("/"), F.lit(1)).alias("first"), F.size(F.split(path, "/")).cast("long").alias("depth"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        "url",
+        F.split_part(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/"), F.lit(1)).alias("host"),
+        F.split_part(path, F.lit("/"), F.lit(1)).alias("first"),
+        F.size(F.split(path, "/")).cast("long").alias("depth"),
+    )
 
 
 @query("select url, min(page_id) as pos from pages group by 1")
@@ -32,7 +40,9 @@ def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.not_yet_done(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("""with files as (select doc_id, 'repo/' || source || '/' || doc_id || '.xml' as path, case when doc_id % 10 = 9 then null else 'urn:cts:x:' || md5(text) || '.w.v' end as urn from documents)
+@query("""with files as (select doc_id, 'repo/' || source || '/' || doc_id || '.xml' as path,
+    case when doc_id % 10 = 9 then null else 'urn:cts:x:' || md5(text) || '.w.v' end as urn
+    from documents)
 select path, urn from files where urn is null union all select min(path), urn from files where urn is not null group by urn""")
 def dedupe_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -41,17 +51,28 @@ def dedupe_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.keep_canonical(files).select("path", "urn")
 
 
-@query("""select case when l.doc_id is null then 'skipped' when quality = 0 then 'failed' when n_chars < 200 then 'no-schema' else 'ok' end as status, count(*) as n
+@query("""select case when l.doc_id is null then 'skipped' when quality = 0 then 'failed' when n_chars < 200 then 'no-schema'
+    else 'ok' end as status, count(*) as n
 from documents d left join labels l on d.doc_id = l.doc_id group by 1""")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").withColumn("known", F.lit(True)), "doc_id", "left")
-    status = F.when(F.col("known").isNull(), "skipped").when(F.col("quality") == 0, "failed").when(F.col("n_chars") < 200, "no-schema").otherwise("ok")
+    joined = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(
+        table(spark, sf_dir, "labels").withColumn("known", F.lit(True)),
+        "doc_id",
+        "left",
+    )
+    status = F.when(F.col("known").isNull(), "skipped").when(F.col("quality") == 0, "failed").when(
+        F.col("n_chars") < 200,
+        "no-schema",
+    ).otherwise("ok")
     return joined.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("select doc_id % 10 as shard, count(*) as n, sum(n_chars)::bigint as chars from documents group by 1")
 def shard_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.pmod("doc_id", F.lit(10)).alias("shard")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return table(spark, sf_dir, "documents").groupBy(F.pmod("doc_id", F.lit(10)).alias("shard")).agg(
+        F.count("*").alias("n"),
+        F.sum("n_chars").alias("chars"),
+    )
 
 
 @query()
@@ -62,7 +83,8 @@ def crc32_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with a as (select user_id, max(cast(props ->> '$.k' as bigint)) as old from events where event_type = 'click' group by 1),
 b as (select user_id, max(cast(props ->> '$.k' as bigint)) as new from events where event_type = 'view' group by 1)
-select coalesce(a.user_id, b.user_id) as user_id, case when a.user_id is null then 'added' when b.user_id is null then 'removed' else 'changed' end as change
+select coalesce(a.user_id, b.user_id) as user_id, case when a.user_id is null then 'added' when b.user_id is null then 'removed'
+    else 'changed' end as change
 from a full join b on a.user_id = b.user_id where a.user_id is null or b.user_id is null or old is distinct from new""")
 def digest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
@@ -71,18 +93,34 @@ def digest_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select r_name, n_name, count(distinct c_custkey) as customers, count(o_orderkey) as orders, round(sum(o_totalprice), 2) as total
-from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey group by rollup (r_name, n_name)""")
+from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey
+    join orders on o_custkey = c_custkey group by rollup (r_name, n_name)""")
 def nested_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda n: table(spark, sf_dir, n)
     # orders are summed per customer before they meet the small tables
     per_customer = read("orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("total"))
-    joined = per_customer.join(read("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.rollup("r_name", "n_name").agg(F.count_distinct("c_custkey").alias("customers"), F.sum("orders").alias("orders"), F.round(F.sum("total"), 2).alias("total"))
-
-
-@query("select conv_id, turn, role, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id order by turn) as section from conversations")
+    joined = per_customer.join(
+        read("customer").select("c_custkey", "c_nationkey"),
+        F.col("o_custkey") == F.col("c_custkey"),
+    ).join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.rollup("r_name", "n_name").agg(
+        F.count_distinct("c_custkey").alias("customers"),
+        F.sum("orders").alias("orders"),
+        F.round(F.sum("total"), 2).alias("total"),
+    )
+
+
+@query(
+    """select conv_id, turn, role, last_value(case when role = 'user' then turn end ignore nulls) over (partition by conv_id
+    order by turn) as section from conversations"""
+)
 def running_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(order).alias("section"))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        "role",
+        F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(order).alias("section"),
+    )

@@ -31,7 +31,11 @@ def _field(head: Column, name: str) -> Column:
 
 def authors(head: Column) -> Column:
     """The list under ``authors``, else the single ``author``, else none."""
-    listed = F.regexp_extract_all(F.regexp_extract(head, r"(?m)^authors:[ \t]*\n((?:[ \t]*-[ \t]*\S[^\n]*\n?)+)", 1), F.lit(r"(?m)^[ \t]*-[ \t]*(\S[^\n]*?)[ \t]*$"), F.lit(1))
+    listed = F.regexp_extract_all(
+        F.regexp_extract(head, r"(?m)^authors:[ \t]*\n((?:[ \t]*-[ \t]*\S[^\n]*\n?)+)", 1),
+        F.lit(r"(?m)^[ \t]*-[ \t]*(\S[^\n]*?)[ \t]*$"),
+        F.lit(1),
+    )
     inline = F.transform(F.split(F.regexp_extract(head, r"(?m)^authors:[ \t]*\[(.*)\]", 1), ","), lambda a: F.trim(a))
     some = F.filter(F.concat(listed, inline), lambda a: a != "")
     one = _field(head, "author")
@@ -49,15 +53,27 @@ def entries(files: DataFrame, site: Column | None = None) -> DataFrame:
     head, body = head_and_body(F.regexp_replace("text", "\r\n?", "\n"))
     site = F.lit("") if site is None else site
     stem = F.regexp_replace(F.substring_index("file", "/", -1), r"\.md$", "")
-    whole = files.select("file", site.alias("source_url"), authors(head).alias("authors"), F.coalesce(_field(head, "shortname"), stem).alias("source_label"), F.split(F.concat(F.lit("\n"), body, F.lit("\n")), r"\n---[ \t]*(?=\n)").alias("parts"))
-    parts = whole.select("*", F.posexplode("parts").alias("pos", "part")).drop("parts").withColumn("part", F.regexp_replace("part", r"\A\s+|\s+\z", "")).where("part <> ''")
+    whole = files.select(
+        "file",
+        site.alias("source_url"),
+        authors(head).alias("authors"),
+        F.coalesce(_field(head, "shortname"), stem).alias("source_label"),
+        F.split(F.concat(F.lit("\n"), body, F.lit("\n")), r"\n---[ \t]*(?=\n)").alias("parts"),
+    )
+    parts = whole.select("*", F.posexplode("parts").alias("pos", "part")).drop("parts").withColumn(
+        "part",
+        F.regexp_replace("part", r"\A\s+|\s+\z", ""),
+    ).where("part <> ''")
     first = F.trim(F.substring_index("part", "\n", 1))
     heading = F.nullif(F.regexp_extract(first, r"^#+\s+(.*\S)", 1), F.lit(""))
     carried = F.last(heading, ignorenulls=True).over(Window.partitionBy("file").orderBy("pos"))
     anchored = parts.withColumns({"section": carried, "anchor": F.regexp_extract(first, r"^@(urn:cts:\S+)", 1)}).where("anchor <> ''")
     rest = F.regexp_replace("part", r"\A[^\n]*\n?", "")
     fields = F.regexp_extract(rest, r"\A((?:\s*:[^:\n]+:[^\n]*(?:\n|\z))*)", 1)
-    pairs = F.transform(F.regexp_extract_all(fields, F.lit(r"(?m)^\s*(:[^:\n]+:[^\n]*)$"), F.lit(1)), lambda p: F.struct(F.regexp_extract(p, "^:([^:]+):", 1).alias("k"), F.trim(F.regexp_replace(p, "^:[^:]+:", "")).alias("v")))
+    pairs = F.transform(
+        F.regexp_extract_all(fields, F.lit(r"(?m)^\s*(:[^:\n]+:[^\n]*)$"), F.lit(1)),
+        lambda p: F.struct(F.regexp_extract(p, "^:([^:]+):", 1).alias("k"), F.trim(F.regexp_replace(p, "^:[^:]+:", "")).alias("v")),
+    )
     text = F.regexp_replace(F.substr(rest, F.length(fields) + 1), r"\A\s+|\s+\z", "")
     return anchored.select(
         "file",

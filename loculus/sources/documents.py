@@ -23,20 +23,45 @@ CATALOG_FILE = "__cts__.xml"
 ASIDE = ("note", "app", "bibl")
 _XML = "{http://www.w3.org/XML/1998/namespace}"
 
-CHUNK_INDEX = T.StructType([T.StructField("chunks", T.ArrayType(T.StructType([T.StructField("cts_urn", T.StringType()), T.StructField("file", T.StringType())])))])
+CHUNK_INDEX = T.StructType(
+    [T.StructField("chunks", T.ArrayType(T.StructType([T.StructField("cts_urn", T.StringType()), T.StructField("file", T.StringType())])))]
+)
 VERSION_METADATA = T.StructType(
     [
         T.StructField(
             "document",
             T.StructType(
                 [T.StructField(c, T.StringType()) for c in ("title", "author", "language", "about", "base_urn", "source_repo", "source_path")]
-                + [T.StructField("editors", T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("role", T.StringType())])))]
+                + [
+                    T.StructField(
+                        "editors",
+                        T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("role", T.StringType())])),
+                    )
+                ]
             ),
         ),
         T.StructField("chunk_unit", T.StringType()),
     ]
 )
-TOKENS = T.StructType([T.StructField("urn", T.StringType()), T.StructField("tokens", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("urn", T.StringType()), T.StructField("whitespace", T.BooleanType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())])))])
+TOKENS = T.StructType(
+    [
+        T.StructField("urn", T.StringType()),
+        T.StructField(
+            "tokens",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("text", T.StringType()),
+                        T.StructField("urn", T.StringType()),
+                        T.StructField("whitespace", T.BooleanType()),
+                        T.StructField("start_char", T.IntegerType()),
+                        T.StructField("end_char", T.IntegerType()),
+                    ]
+                )
+            ),
+        ),
+    ]
+)
 
 
 def path_parts(path: Column, root: str) -> tuple[Column, Column]:
@@ -52,9 +77,19 @@ def find_documents(spark: SparkSession, root: str, content: bool = True) -> Data
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").load(root)
     repo, rel = path_parts(F.col("path"), root)
-    found = files.where(F.substring_index("path", "/", -1) != CATALOG_FILE).select("path", repo.alias("repo"), rel.alias("rel_path"), *(["content"] if content else []))
+    found = files.where(F.substring_index("path", "/", -1) != CATALOG_FILE).select(
+        "path",
+        repo.alias("repo"),
+        rel.alias("rel_path"),
+        *(["content"] if content else []),
+    )
     with_data = found.where("rel_path like 'data/%'").select("repo").distinct().withColumn("_data", F.lit(True))
-    return found.join(with_data, "repo", "left").where("_data is null or rel_path like 'data/%'").drop("_data").select("path", "repo", "rel_path", *(["content"] if content else []))
+    return found.join(with_data, "repo", "left").where("_data is null or rel_path like 'data/%'").drop("_data").select(
+        "path",
+        "repo",
+        "rel_path",
+        *(["content"] if content else []),
+    )
 
 
 def corpora(files: DataFrame) -> DataFrame:
@@ -124,7 +159,20 @@ def document_urn(contents: pa.Array) -> pa.Array:
 
 
 NODES = "doc string, status string, error string, path array<int>, tag string, type string, n string, corresp string, text string, ids array<string>"
-_NODE_SCHEMA = pa.schema([("doc", pa.string()), ("status", pa.string()), ("error", pa.string()), ("path", pa.list_(pa.int32())), ("tag", pa.string()), ("type", pa.string()), ("n", pa.string()), ("corresp", pa.string()), ("text", pa.string()), ("ids", pa.list_(pa.string()))])
+_NODE_SCHEMA = pa.schema(
+    [
+        ("doc", pa.string()),
+        ("status", pa.string()),
+        ("error", pa.string()),
+        ("path", pa.list_(pa.int32())),
+        ("tag", pa.string()),
+        ("type", pa.string()),
+        ("n", pa.string()),
+        ("corresp", pa.string()),
+        ("text", pa.string()),
+        ("ids", pa.list_(pa.string())),
+    ]
+)
 
 
 def element_rows(doc: str, content: bytes) -> list[dict]:
@@ -137,7 +185,19 @@ def element_rows(doc: str, content: bytes) -> list[dict]:
     while waiting:
         el, at = waiting.pop()
         own = el.get(f"{_XML}id")
-        rows.append({"doc": doc, "status": "ok", "path": at, "tag": el.tag.rsplit("}", 1)[-1], "type": el.get("type"), "n": el.get("n"), "corresp": el.get("corresp"), "text": (el.text or "") + "".join(c.tail or "" for c in el), "ids": [own] if own else []})
+        rows.append(
+            {
+                "doc": doc,
+                "status": "ok",
+                "path": at,
+                "tag": el.tag.rsplit("}", 1)[-1],
+                "type": el.get("type"),
+                "n": el.get("n"),
+                "corresp": el.get("corresp"),
+                "text": (el.text or "") + "".join(c.tail or "" for c in el),
+                "ids": [own] if own else [],
+            }
+        )
         waiting += [(c, [*at, k]) for k, c in enumerate(el)]
     return rows
 
@@ -155,20 +215,33 @@ def parse_documents(files: DataFrame) -> DataFrame:
 
 def compile_status(files: DataFrame, done: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc, status): skipped without urn or if done, failed if broken, no-schema without divisions, else ok."""
-    state = nodes.groupBy("doc").agg(F.max(F.when(F.col("status") == "failed", 1).otherwise(0)).alias("broken"), F.count_if(F.col("tag") == "div").alias("divs"))
+    state = nodes.groupBy("doc").agg(
+        F.max(F.when(F.col("status") == "failed", 1).otherwise(0)).alias("broken"),
+        F.count_if(F.col("tag") == "div").alias("divs"),
+    )
     joined = files.select("doc", "urn").join(done.select("doc").distinct().withColumn("_done", F.lit(True)), "doc", "left").join(state, "doc", "left")
-    status = F.when(F.col("broken") == 1, "failed").when(F.col("urn").isNull() | F.col("_done").isNotNull(), "skipped").when(F.col("divs") == 0, "no-schema").otherwise("ok")
+    status = F.when(F.col("broken") == 1, "failed").when(
+        F.col("urn").isNull() | F.col("_done").isNotNull(),
+        "skipped",
+    ).when(F.col("divs") == 0, "no-schema").otherwise("ok")
     return joined.select("doc", status.alias("status"))
 
 
 def chunk_index(indexes: DataFrame) -> DataFrame:
     """(version, pos, cts_urn, file) of JSON indexes (version, json), in document order."""
-    return indexes.select("version", F.from_json("json", CHUNK_INDEX).alias("j")).select("version", F.posexplode("j.chunks").alias("pos", "c")).select("version", "pos", "c.*")
+    return indexes.select(
+        "version",
+        F.from_json("json", CHUNK_INDEX).alias("j"),
+    ).select("version", F.posexplode("j.chunks").alias("pos", "c")).select("version", "pos", "c.*")
 
 
 def version_metadata(sidecars: DataFrame) -> DataFrame:
     """(version, document fields, chunk_unit) of JSON sidecars (version, json)."""
-    return sidecars.select("version", F.from_json("json", VERSION_METADATA).alias("j")).select("version", "j.document.*", F.coalesce("j.chunk_unit", F.lit("")).alias("chunk_unit"))
+    return sidecars.select("version", F.from_json("json", VERSION_METADATA).alias("j")).select(
+        "version",
+        "j.document.*",
+        F.coalesce("j.chunk_unit", F.lit("")).alias("chunk_unit"),
+    )
 
 
 def decoded(content: bytes | None) -> str | None:

@@ -45,17 +45,33 @@ def test_distance(spark, a, b, want):
 
 def test_leaf_range_and_overlap(spark):
     starts = [[4], [5, 1], [5, 2], [5, 3], [6]]
-    got = evaluate(spark, [(s,) for s in starts], "s array<bigint>", w=K.starts_within(F.col("s"), F.array(F.lit(5).cast("long")), F.array(F.lit(5).cast("long"))))
+    got = evaluate(
+        spark,
+        [(s,) for s in starts],
+        "s array<bigint>",
+        w=K.starts_within(F.col("s"), F.array(F.lit(5).cast("long")), F.array(F.lit(5).cast("long"))),
+    )
     assert [w for (w,) in got] == [False, True, True, True, False]
     pairs = [("1-93", "90-100", True), ("1.1-1.9", "2", False), ("5", "5.3", True), ("3", "1-2", False)]
-    got = evaluate(spark, pairs, "a string, b string, w boolean", o=K.ranges_overlap(F.col("a"), F.col("b")), p=K.ranges_overlap(F.col("b"), F.col("a")))
+    got = evaluate(
+        spark,
+        pairs,
+        "a string, b string, w boolean",
+        o=K.ranges_overlap(F.col("a"), F.col("b")),
+        p=K.ranges_overlap(F.col("b"), F.col("a")),
+    )
     assert got == [(w, w) for _, _, w in pairs]
 
 
 def test_qualify_and_targets(spark):
     rows = [("7", "1.51", "1.7"), ("94-140", "49", "94-140"), ("3-4", "2.1", "2.3-2.4"), ("1.2.3", "1.2", "1.2.3")]
     assert evaluate(spark, rows, "v string, c string, w string", q=K.qualify(F.col("v"), F.col("c"))) == [(w,) for *_, w in rows]
-    rows = [("urn:cts:l:a.b:1", "urn:cts:l:a.b", "1"), ("urn:cts:l:a.c:1", "urn:cts:l:a.b", None), ("12", "urn:cts:l:a.b", None), ("urn:cts:l:a:3", "urn:cts:l:a.b", "3")]
+    rows = [
+        ("urn:cts:l:a.b:1", "urn:cts:l:a.b", "1"),
+        ("urn:cts:l:a.c:1", "urn:cts:l:a.b", None),
+        ("12", "urn:cts:l:a.b", None),
+        ("urn:cts:l:a:3", "urn:cts:l:a.b", "3"),
+    ]
     assert evaluate(spark, rows, "v string, w string, x string", q=K.target_citation(F.col("v"), F.col("w"))) == [(x,) for *_, x in rows]
 
 
@@ -65,9 +81,20 @@ def test_typed_scope(spark):
 
 
 def test_urns(spark):
-    rows = [("urn:cts:greekLit:a.b.c", True), ("urn:cts:greekLit:a.b.c:1.2", True), ("urn:cts:greekLit:a.b", False), ("urn:x:greekLit:a.b.c", False), (None, False), ("a.b.c", False)]
+    rows = [
+        ("urn:cts:greekLit:a.b.c", True),
+        ("urn:cts:greekLit:a.b.c:1.2", True),
+        ("urn:cts:greekLit:a.b", False),
+        ("urn:x:greekLit:a.b.c", False),
+        (None, False),
+        ("a.b.c", False),
+    ]
     assert evaluate(spark, rows, "u string, w boolean", v=U.is_version_urn(F.col("u"))) == [(w,) for _, w in rows]
-    rows = [("urn:cts:g:a.b.c:57", "urn:cts:g:a.b", "g/a/b/c", "a.b.c"), ("urn:cts:g:a.b", "urn:cts:g:a.b", "g/a/b", "a.b"), ("x.y", "x.y", "x_y", "x.y")]
+    rows = [
+        ("urn:cts:g:a.b.c:57", "urn:cts:g:a.b", "g/a/b/c", "a.b.c"),
+        ("urn:cts:g:a.b", "urn:cts:g:a.b", "g/a/b", "a.b"),
+        ("x.y", "x.y", "x_y", "x.y"),
+    ]
     got = evaluate(spark, rows, "u string, w string, p string, v string", w=U.work_urn(F.col("u")), p=U.path(F.col("u")), v=U.version_id(F.col("u")))
     assert got == [tuple(r[1:]) for r in rows]
     rows = [("urn:cts:g:a.b.c:2", "urn:cts:g:a.b"), ("urn:cts:g:a", None), ("a.b", None), (None, None)]

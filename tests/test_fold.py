@@ -8,15 +8,33 @@ from loculus.operators import search, tokens
 
 #: (text, language, match key, loose key)
 CASES = [
-    ("μῆνιν", "grc", "μῆνιν", "μηνιν"), ("Μῆνιν", "grc", "μῆνιν", "μηνιν"), ("δὲ", "grc", "δέ", "δε"), ("δέ", "grc", "δέ", "δε"), ("δ’", "grc", "δ'", "δ'"),
-    ("δ᾽", "grc", "δ'", "δ'"), ("ΟΔΟΣ", "grc", "οδοσ", "οδοσ"), ("ὁδός", "grc", "ὁδόσ", "οδοσ"), ("Ἀχιλῆος", "grc", "ἀχιλῆοσ", "αχιληοσ"), ("Ἄνδρα", "grc", "ἄνδρα", "ανδρα"),
-    ("ὃν", "grc", "ὅν", "ον"), ("πρὸς", "grc", "πρόσ", "προσ"), ("virumque", "la", "uirumque", "uirumque"), ("Juno", "la", "iuno", "iuno"), ("VENIT", "lat", "uenit", "uenit"),
+    (
+        "μῆνιν",
+        "grc",
+        "μῆνιν",
+        "μηνιν",
+    ), ("Μῆνιν", "grc", "μῆνιν", "μηνιν"), ("δὲ", "grc", "δέ", "δε"), ("δέ", "grc", "δέ", "δε"), ("δ’", "grc", "δ'", "δ'"),
+    ("δ᾽", "grc", "δ'", "δ'"), ("ΟΔΟΣ", "grc", "οδοσ", "οδοσ"), ("ὁδός", "grc", "ὁδόσ", "οδοσ"), (
+        "Ἀχιλῆος",
+        "grc",
+        "ἀχιλῆοσ",
+        "αχιληοσ",
+    ), ("Ἄνδρα", "grc", "ἄνδρα", "ανδρα"),
+    ("ὃν", "grc", "ὅν", "ον"), ("πρὸς", "grc", "πρόσ", "προσ"), (
+        "virumque",
+        "la",
+        "uirumque",
+        "uirumque",
+    ), ("Juno", "la", "iuno", "iuno"), ("VENIT", "lat", "uenit", "uenit"),
     ("cōnsul", "la", "consul", "consul"), ("vir", "grc", "vir", "vir"), ("Été", "fr", "été", "ete"),
 ]
 
 
 def test_keys(spark):
-    rows = spark.createDataFrame(CASES, "t string, l string, m string, k string").select(fold.match_key(F.col("t"), F.col("l")).alias("m"), fold.loose_key(F.col("t"), F.col("l")).alias("k")).collect()
+    rows = spark.createDataFrame(CASES, "t string, l string, m string, k string").select(
+        fold.match_key(F.col("t"), F.col("l")).alias("m"),
+        fold.loose_key(F.col("t"), F.col("l")).alias("k"),
+    ).collect()
     assert [tuple(r) for r in rows] == [c[2:] for c in CASES]
     assert fold.fold_text(None, "grc", True) is None
 
@@ -29,7 +47,15 @@ def test_guess(spark, text, lang):
 def test_tokens_and_context(spark):
     docs = spark.createDataFrame([(1, "Sing, «goddess» -- the wrath; the wrath."), (2, "  "), (3, None)], "doc_id long, text string")
     words = tokens.split_tokens(docs)
-    assert [(r.pos, r.surface) for r in words.orderBy("pos").collect()] == [(1, "sing"), (2, "goddess"), (3, ""), (4, "the"), (5, "wrath"), (6, "the"), (7, "wrath")]
+    assert [(r.pos, r.surface) for r in words.orderBy("pos").collect()] == [
+        (1, "sing"),
+        (2, "goddess"),
+        (3, ""),
+        (4, "the"),
+        (5, "wrath"),
+        (6, "the"),
+        (7, "wrath"),
+    ]
     occ = tokens.number_occurrences(words, ["doc_id"]).where("pos = 7").first()
     assert occ.occ == 2
     hit = search.with_context(words, ["doc_id"], F.col("pos") == 4, width=2).first()
@@ -49,4 +75,6 @@ def test_runs(spark):
 def test_labels(spark):
     rates = spark.createDataFrame([(12.4,), (3.456,), (0.0345,), (0.0,)], "r double")
     assert [r[0] for r in rates.select(search.rate_label(F.col("r"))).collect()] == ["12", "3.5", "0.035", "0"]
-    assert [r[0] for r in spark.createDataFrame([("1",), ("4",), ("10",), ("a",)], "n string").select(tokens.labelled_lines(F.col("n"))).collect()] == [True, False, True, False]
+    assert [
+        r[0] for r in spark.createDataFrame([("1",), ("4",), ("10",), ("a",)], "n string").select(tokens.labelled_lines(F.col("n"))).collect()
+    ] == [True, False, True, False]
