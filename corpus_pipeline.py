@@ -1,13 +1,21 @@
 """A training-data pipeline over ``documents``: five stages, each written as Parquet and read again.
 
 1. quality rules: documents that the base rules or the learned decision list reject go;
-2. near-duplicates: one document of each group stays (five-word shingles, similarity of 0.8 or more);
+2. near-duplicates: SimHash links and, beyond what they reach, exact prefix filtering; one document of
+   each group stays (five-word shingles, similarity of 0.8 or more);
 3. personal data: spans are replaced by their kind in brackets;
 4. mixing: sources are repeated or cut to their target shares;
 5. BPE: every document's token ids.
 
 The first four return the columns of ``documents``; a stage works on all rows
 that the one before it kept.
+
+Edge cases: null and empty texts fail the base rules of the first stage; without
+labels only those rules decide.  Equal rows, and texts with the same words, are one
+group, of which the smallest doc_id stays (a null one only if there is no other).
+A source that is null is a source of its own.  Further columns, whatever their
+names, are carried along up to the last stage, which returns doc_id, n_tokens and
+ids for every row that it gets.  Without documents every stage returns no rows.
 """
 
 from __future__ import annotations
