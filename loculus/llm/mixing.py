@@ -2,22 +2,25 @@
 
 Each document gets a hash-random key.  Documents of a source are range-sorted
 by that key: the key's leading hex digits name a range, ranges are summed with
-map-side combination, and a running sum over the (at most ``16 ** digits``)
-range totals of a source finds the range that holds the source's cut.  Only
-that range is summed document by document.  A source takes whole epochs of
-itself first and then documents in key order up to the exact budget; the
-document at the cut is taken in part.
+map-side combination, and a running sum over the range totals of a source finds
+the range that holds the source's cut.  Inside it the same step is made for keys
+(with leading digits of the text's hash, for ids that many rows share) and then
+for single texts, so no step ever orders more than a small part of a source.  A
+source takes whole epochs of itself first and then documents in key order up to
+the exact budget; the document at the cut is taken in part.
 
 Only DataFrame functions are used.  A hot source is split over its key ranges,
-so no task ever sums a whole source; what is brought together is one row per
-source and one row per source and range.  The cuts (one row per source) go
-back to the documents by an ordinary join, which Spark broadcasts only when it
-has measured the cuts to be small and otherwise splits at hot sources.
+so no task ever sums a whole source.  The number of ranges follows from the
+number of rows.  The cuts (one row per source) go back to the documents by an
+ordinary join, which Spark broadcasts only when it has measured the cuts to be
+small and otherwise splits at hot sources.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last
-in order; rows that share a doc_id stand at one place in the order and share
-what is left at the cut by size; documents with size 0 are never taken; an
-empty table gives an empty result.  Other columns are ignored.
+in order; rows that share a doc_id follow each other by their texts' hashes, and
+equal rows share what is left at the cut, each taking its share rounded up or
+down by chance of its row number; documents with size 0 are never taken; an
+empty table gives an empty result.  Other columns are ignored or, in
+``mixed_documents``, carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +37,10 @@ SHARE = 1.5
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source is taken at most so many times.
 MAX_EPOCHS = 2
-#: Leading hex digits of the key that name a range.
-RANGE_DIGITS = 3
+#: Leading hex digits of the key that name a range: at least, and so many that a range has about so many rows.
+RANGE_DIGITS, RANGE_ROWS = 3, 10_000
+#: Leading hex digits of a text's hash that are looked at before single texts are.
+TIE_DIGITS = 3
 
 
 def source_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -68,73 +73,77 @@ def _source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def source_cuts(
-    sized: DataFrame,
-    weights: Sequence[float] = WEIGHTS,
-    share: float = SHARE,
-    max_epochs: float = MAX_EPOCHS,
-    range_digits: int = RANGE_DIGITS,
-) -> DataFrame:
-    """Where each source is cut: one row per source of ``sized`` (doc_id, source_key, key, size).
+def range_digits(rows: int) -> int:
+    """Leading hex digits of a key so that a range has ``RANGE_ROWS`` rows or fewer on average."""
+    digits = RANGE_DIGITS
+    while 16**digits * RANGE_ROWS < rows:
+        digits += 1
+    return digits
 
-    Whole ``epochs`` come first; documents before (``cut_key``, ``cut_id``) are
+
+def _narrowed(rows: DataFrame, cuts: DataFrame, known: list[str], by: list[str]) -> DataFrame:
+    """``cuts`` (source_key, known columns, start, rest) with the value of ``by`` that holds the cut, what comes before it, and its ``held`` words."""
+    sums = rows.join(cuts, ["source_key", *known]).groupBy("source_key", *known, "start", "rest", *by).agg(F.sum("size").alias("held"))
+    earlier = Window.partitionBy("source_key").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    placed = sums.withColumn("start", F.col("start") + F.coalesce(F.sum("held").over(earlier), F.lit(0)))
+    return placed.where((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("start") + F.col("held")))
+
+
+def source_cuts(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, digits: int | None = None) -> DataFrame:
+    """Where each source is cut: one row per source of ``sized`` (source_key, key, tie, size).
+
+    Whole ``epochs`` come first; documents before (``cut_key``, ``cut_tie``) are
     taken once more, and those at it take ``cut_words`` of ``cut_size`` words.
     """
-    ranged = sized.withColumn("range", F.substring("key", 1, range_digits))
-    ranges = ranged.groupBy("source_key", "range").agg(F.sum("size").alias("range_size"))
-    totals = ranges.groupBy("source_key").agg(F.sum("range_size").alias("source_size"))
+    digits = digits or range_digits(sized.count())
+    ranged = sized.select("source_key", F.substring("key", 1, digits).alias("range"), "key", F.substring("tie", 1, TIE_DIGITS).alias("tie_range"), "tie", "size")
+    ranges = ranged.groupBy("source_key", "range").agg(F.sum("size").alias("size"))
+    totals = ranges.groupBy("source_key").agg(F.sum("size").alias("source_size"))
     budgets = (
         source_targets(totals, weights, share, max_epochs)
         .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
         .withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     )
-    earlier = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
-    holds_cut = (F.col("range_start") <= F.col("rest")) & (F.col("rest") < F.col("range_start") + F.col("range_size"))
-    at = starts.join(budgets.select("source_key", "rest"), "source_key").where(holds_cut).select("source_key", "range", "range_start", "rest")
-    places = ranged.join(at, ["source_key", "range"]).groupBy("source_key", "range_start", "rest", "key", "doc_id").agg(F.sum("size").alias("cut_size"))
-    inside = Window.partitionBy("source_key").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("range_start") + F.coalesce(F.sum("cut_size").over(inside), F.lit(0))
-    cut = (
-        places.withColumn("cut_words", F.col("rest") - before)
-        .where((F.col("cut_words") >= 0) & (F.col("cut_words") < F.col("cut_size")))
-        .select("source_key", F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), "cut_size", "cut_words")
+    cuts = budgets.select("source_key", F.lit(0).cast("long").alias("start"), "rest")
+    cuts = _narrowed(ranges, cuts, [], ["range"]).drop("held")
+    cuts = _narrowed(ranged, cuts, ["range"], ["key", "tie_range"]).drop("held")
+    cuts = _narrowed(ranged, cuts, ["range", "key", "tie_range"], ["tie"])
+    cut = cuts.select(
+        "source_key",
+        F.col("key").alias("cut_key"),
+        F.col("tie").alias("cut_tie"),
+        F.col("held").alias("cut_size"),
+        (F.col("rest") - F.col("start")).alias("cut_words"),
     )
     return budgets.join(cut, "source_key", "left")
 
 
 def _last_epoch(size: Column) -> Column:
     """What the last, partial epoch takes of a document that is joined to its source's cut."""
-    here, cut = F.struct("key", "doc_id"), F.struct(F.col("cut_key").alias("key"), F.col("cut_id").alias("doc_id"))
-    at_cut = F.col("key").eqNullSafe(F.col("cut_key")) & F.col("doc_id").eqNullSafe(F.col("cut_id"))
+    here, cut = F.struct("key", "tie"), F.struct(F.col("cut_key").alias("key"), F.col("cut_tie").alias("tie"))
     return (
         F.when(F.col("cut_key").isNull(), F.when(F.col("rest") > 0, size).otherwise(0))
-        .when(at_cut, F.floor(size * F.col("cut_words") / F.col("cut_size")))
+        .when(here == cut, F.floor(size * F.col("cut_words") / F.col("cut_size") + F.col("chance")))
         .when(here < cut, size)
         .otherwise(0)
         .cast("long")
     )
 
 
+def _keys(source: Column, doc_id: Column, text: Column, seed: str) -> list[Column]:
+    """source_key, key, tie, size and chance (of rounding up, by the row's number) of a document."""
+    tie = F.lower(F.lpad(F.hex(F.xxhash64(F.coalesce(text, F.lit("")))), 16, "0"))
+    chance = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / float(1 << 20)
+    named = {"source_key": _source_key(source), "key": spread_key(F.lit(seed), doc_id), "tie": tie, "size": word_count(text), "chance": chance}
+    return [c.alias(n) for n, c in named.items()]
+
+
 def mix(docs: DataFrame, scratch: Scratch, seed: str = "mix", **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words, repeats counted)."""
-    sized = scratch.table(
-        docs.select(
-            "doc_id",
-            _source_key(F.col("source")).alias("source_key"),
-            word_count(F.col("text")).alias("size"),
-            spread_key(F.lit(seed), F.col("doc_id")).alias("key"),
-        ),
-        "sized",
-    )
+    sized = scratch.table(docs.select("doc_id", *_keys(F.col("source"), F.col("doc_id"), F.col("text"), seed)), "sized")
     cuts = scratch.table(source_cuts(sized, **options), "cuts")
-    return sized.join(cuts, "source_key").select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("epochs") * F.col("size") + _last_epoch(F.col("size"))).alias("taken"),
-    )
+    taken = F.col("epochs") * F.col("size") + _last_epoch(F.col("size"))
+    return sized.join(cuts, "source_key").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, scratch: Scratch, seed: str = "mix", **options) -> DataFrame:
@@ -143,19 +152,19 @@ def mixed_documents(docs: DataFrame, scratch: Scratch, seed: str = "mix", **opti
     A document at a source's cut comes in the last epoch with its first words
     only, joined by single spaces; ``n_chars`` follows where it exists.
     """
-    columns = docs.columns
-    keyed = docs.withColumns(
-        {"source_key": _source_key(F.col("source")), "key": spread_key(F.lit(seed), F.col("doc_id")), "_size": word_count(F.col("text"))}
-    )
-    sized = scratch.table(keyed.select("doc_id", "source_key", F.col("_size").alias("size"), "key"), "sized")
+    packed = docs.select(F.struct("*").alias("doc"))  # whatever the columns' names are
+    doc = F.col("doc")
+    keyed = packed.select("doc", *_keys(doc["source"], doc["doc_id"], doc["text"], seed))
+    sized = scratch.table(keyed.select("source_key", "key", "tie", "size"), "sized")
     cuts = scratch.table(source_cuts(sized, **options), "cuts")
-    joined = keyed.join(cuts, "source_key").withColumn("_part", _last_epoch(F.col("_size")))
-    copies = F.col("epochs") + F.when(F.col("_part") > 0, 1).otherwise(0)
-    repeated = joined.where((copies > 0) & (F.col("_size") > 0)).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
-    cut_short = (F.col("_copy") > F.col("epochs")) & (F.col("_part") < F.col("_size"))
-    words = F.regexp_extract_all(F.col("text"), F.lit(f"({WORD_JAVA})"), F.lit(1))
-    head = F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), " ")
-    out = repeated.withColumn("text", F.when(cut_short, head).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(cut_short, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    joined = keyed.join(cuts, "source_key").withColumn("part", _last_epoch(F.col("size")))
+    copies = F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0)
+    repeated = joined.where((copies > 0) & (F.col("size") > 0)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    repeated = repeated.withColumn("short", (F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size")))
+    words = F.regexp_extract_all(doc["text"], F.lit(f"({WORD_JAVA})"), F.lit(1))
+    head = F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), " ")
+    out = repeated.select("doc", "short", F.when(F.col("short"), head).otherwise(doc["text"]).alias("new_text"))
+    replaced = {"text": F.col("new_text")}
+    if "n_chars" in docs.columns:
+        replaced["n_chars"] = F.when(F.col("short"), F.length("new_text").cast("long")).otherwise(doc["n_chars"])
+    return out.select(*[replaced.get(c, doc[c]).alias(c) for c in docs.columns])
