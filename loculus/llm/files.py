@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 
 
 def resolve(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI or an absolute path; ``file:/x`` counts as ``file:///x``."""
+    """File system and path of a URI or an absolute path; ``file:/x`` counts as ``file:///x``, Hadoop's ``s3a`` as ``s3``."""
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[5:]
+    if uri.startswith(("s3a://", "s3n://")):
+        uri = "s3://" + uri[6:]
     return pafs.FileSystem.from_uri(uri)
 
 
