@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loculus.session import read_parquet
+
 #: A word: a run of characters other than space and the ASCII controls 9 to 13.
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
 
@@ -73,7 +75,8 @@ class Scratch:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A provided table; one in a single small file, and so a single task, is dealt out to all cores."""
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def word_count(text: Column) -> Column:
