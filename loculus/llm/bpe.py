@@ -58,7 +58,12 @@ class ByteBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        if model["type"] != "BPE" or spec["normalizer"] or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+        if model["type"] != "BPE" or spec["normalizer"] or spec["pre_tokenizer"] != {
+            "type": "ByteLevel",
+            "add_prefix_space": False,
+            "trim_offsets": True,
+            "use_regex": True,
+        }:
             raise ValueError(f"{path} is no plain byte-level BPE")
         vocab = model["vocab"]
         characters = byte_characters()

@@ -30,7 +30,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         nearest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(nearest, "u").where("v > u").select("v", "m").distinct()
         nearest = large.groupBy("v").agg(F.min("m").alias("mm"))
-        small = large.join(nearest, "v").select(F.explode(F.array(F.struct(F.col("m").alias("hi"), F.col("mm").alias("lo")), F.struct(F.col("v").alias("hi"), F.col("mm").alias("lo")))).alias("e")).select("e.*")
+        small = large.join(nearest, "v").select(
+            F.explode(F.array(F.struct(F.col("m").alias("hi"), F.col("mm").alias("lo")), F.struct(F.col("v").alias("hi"), F.col("mm").alias("lo")))).alias("e")
+        ).select("e.*")
         current = scratch.table(small.where("hi <> lo").distinct().select("lo", "hi"), f"edges-{round_}")
         scratch.drop(f"edges-{round_ - 1}")
     return current.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionAll(current.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

@@ -200,7 +200,12 @@ def write_id_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: in
             serial += 1
             yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["file", "documents", "ids", "bytes"])
 
-    numbered = docs.select("doc_id", "text", F.left(F.coalesce("text", F.lit("")), F.lit(ORDER_CHARS)).alias("head"), F.xxhash64(F.monotonically_increasing_id()).alias("number"))
+    numbered = docs.select(
+        "doc_id",
+        "text",
+        F.left(F.coalesce("text", F.lit("")), F.lit(ORDER_CHARS)).alias("head"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("number"),
+    )
     ordered = numbered.repartitionByRange("doc_id", "head", "number").sortWithinPartitions("doc_id", "head", "number")
     return ordered.select("doc_id", "text").mapInArrow(write, MANIFEST)
 

@@ -66,7 +66,10 @@ def _matches(text: Column, kind: str) -> Column:
     pattern = F.lit(PATTERNS[kind])
     values = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda p: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(CONTEXT_CHARS)).alias("before")))
-    both = F.transform(F.arrays_zip(values.alias("v"), F.slice(gaps, F.lit(1), F.size(values)).alias("g")), lambda x, i: F.struct(i.alias("no"), F.lit(kind).alias("kind"), x["v"].alias("value"), x["g"]["gap"].alias("gap"), x["g"]["before"].alias("before")))
+    both = F.transform(
+        F.arrays_zip(values.alias("v"), F.slice(gaps, F.lit(1), F.size(values)).alias("g")),
+        lambda x, i: F.struct(i.alias("no"), F.lit(kind).alias("kind"), x["v"].alias("value"), x["g"]["gap"].alias("gap"), x["g"]["before"].alias("before")),
+    )
     possible = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9]")
     return F.when(possible, both).otherwise(F.expr("cast(array() as array<struct<no:int,kind:string,value:string,gap:int,before:string>>)"))
 
@@ -158,7 +161,10 @@ def bootstrap(matches: DataFrame, scratch: Scratch, rounds: int = ROUNDS, promot
         edges = edges.groupBy("context", "kind", "value").agg(F.max("weight").alias("weight"))
         scored = edges.groupBy("context", "kind").agg(F.count("*").alias("known"), F.sum("weight").alias("weight")).where(F.col("known") >= least_values)
         trusted = scored.join(values, "context").withColumn("score", F.col("weight") / F.col("values")).where(F.col("score") >= promote)
-        known = scratch.table(unknown.join(trusted.select("context", "kind", "score"), "context").groupBy("kind", "value").agg(F.max("score").alias("score")), f"known-{k}")
+        known = scratch.table(
+            unknown.join(trusted.select("context", "kind", "score"), "context").groupBy("kind", "value").agg(F.max("score").alias("score")),
+            f"known-{k}",
+        )
     return free.join(known.select("value").distinct(), "value", "left_semi").select("row", "start", "end", "value")
 
 
@@ -184,9 +190,18 @@ def span_report(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     def shown(entries: Column) -> Column:
         return F.array_join(F.transform(entries, lambda e: e["shown"]), ",")
 
-    texts = by_row.select("row", *[f"n_{k}" for k in kinds], shown(F.filter("all", lambda e: e["rank"] <= len(KINDS))).alias("base_spans"), shown(F.col("all")).alias("spans"))
+    texts = by_row.select(
+        "row",
+        *[f"n_{k}" for k in kinds],
+        shown(F.filter("all", lambda e: e["rank"] <= len(KINDS))).alias("base_spans"),
+        shown(F.col("all")).alias("spans"),
+    )
     joined = documents.join(texts, "row", "left")
-    return joined.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in kinds], *[F.coalesce(c, F.lit("")).alias(c) for c in ("base_spans", "spans")])
+    return joined.select(
+        "doc_id",
+        *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in kinds],
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("base_spans", "spans")],
+    )
 
 
 def mask_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
@@ -197,7 +212,10 @@ def mask_documents(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     documents, spans = find_spans(docs, scratch, **options)
     order = Window.partitionBy("row").orderBy("start", F.col("end").desc(), "kind")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = spans.withColumn("opens", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = spans.withColumn("opens", F.when(F.col("start") < reach, 0).otherwise(1)).withColumn(
+        "run",
+        F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)),
+    )
     merged = runs.groupBy("row", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "opens")).alias("kind"))
     lists = merged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
     plan = documents.join(lists, "row").select(F.col("doc_id").alias("plan_id"), F.col("text_hash").alias("plan_hash"), "spans").dropDuplicates(["plan_id", "plan_hash"])

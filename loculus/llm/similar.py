@@ -181,14 +181,29 @@ def _sketches(keyed: DataFrame, order: ShingleOrder, shingle_words: int, similar
                 print_ = np.uint64(majority_bits(digests)).view(np.int64) if digests else 0
                 rows.append((len(shingles), int(print_), parity_bitmap(shingles), order.prefix(shingles, name, similarity)))
             n, prints, maps, prefixes = zip(*rows, strict=True)
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(same, pa.int64()), pa.array(n, pa.int32()), pa.array(prints, pa.int64()), pa.array(maps, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            columns = [
+                batch.column("doc_id"),
+                batch.column("text_hash"),
+                pa.array(same, pa.int64()),
+                pa.array(n, pa.int32()),
+                pa.array(prints, pa.int64()),
+                pa.array(maps, pa.binary()),
+                pa.array(prefixes, pa.list_(pa.int64())),
+            ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "words_hash", "n", "fp", "bitmap", "prefix"])
         tidy()
 
     return keyed.mapInArrow(run, "doc_id long, text_hash long, words_hash long, n int, fp long, bitmap binary, prefix array<long>")
 
 
-def meet(tokens: np.ndarray, texts: np.ndarray, places: np.ndarray, sizes: np.ndarray, similarity: float, salted: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def meet(
+    tokens: np.ndarray,
+    texts: np.ndarray,
+    places: np.ndarray,
+    sizes: np.ndarray,
+    similarity: float,
+    salted: tuple[np.ndarray, ...] | None = None,
+) -> tuple[np.ndarray, np.ndarray]:
     """(pairs of small groups, rows of large groups: token, text, head, size); rows are whole groups sorted by token and text."""
     new = np.ones(len(tokens), bool)  # a text may come from several tasks
     new[1:] = (tokens[1:] != tokens[:-1]) | (texts[1:] != texts[:-1])
@@ -321,7 +336,10 @@ class _Shingles:
             for batch in slices(batches, "text"):
                 sets = [shingle_set(shingle_digests(words_of(t), size)) for t in batch.column("text").to_pylist()]
                 ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("words_hash"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names=["words_hash", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("words_hash"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))],
+                    names=["words_hash", "shingles"],
+                )
             tidy()
 
         chosen = wanted.distinct().join(self.classes.select("words_hash", F.col("text_hash").alias("of_hash"), F.col("doc_id").alias("of_id")), "words_hash")
@@ -338,14 +356,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 def _open_links(large: DataFrame, roots: DataFrame, shingles: _Shingles, scratch: Scratch, similarity: float) -> DataFrame | None:
     """Links that are still missing in large groups (token, a, n) whose texts are in several components; None if there are no such groups."""
-    members = scratch.table(large.join(roots, F.col("a") == F.col("node"), "left").select("token", F.col("a").alias("text"), "n", F.coalesce("root", "a").alias("label")).distinct(), "members")
+    members = scratch.table(
+        large.join(roots, F.col("a") == F.col("node"), "left").select("token", F.col("a").alias("text"), "n", F.coalesce("root", "a").alias("label")).distinct(),
+        "members",
+    )
     marks = [F.bit_xor(F.xxhash64("text", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
     labels = members.groupBy("token", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"), *marks)
     largest = F.max(F.struct("c", "n", "label")).alias("largest")
     groups = labels.groupBy("token").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), largest, *[F.bit_xor(f"mark{k}").alias(f"mark{k}") for k in (0, 1)])
     blocks = lambda c, n: F.greatest(F.ceil(c / BLOCK_TEXTS), F.ceil(n / BLOCK_SHINGLES))
     several = groups.where("largest.c < c").select(
-        "token", "c", "mark0", "mark1", F.col("largest.label").alias("main"), blocks(F.col("c"), F.col("n")).alias("blocks"), blocks(F.expr("c - largest.c"), F.expr("n - largest.n")).alias("probing")
+        "token", "c", "mark0", "mark1", F.col("largest.label").alias("main"), blocks(F.col("c"), F.col("n")).alias("blocks"), blocks(
+            F.expr("c - largest.c"),
+            F.expr("n - largest.n"),
+        ).alias("probing")
     )
     # shingles with the same texts need one comparison
     several = scratch.table(several.groupBy("c", "mark0", "mark1").agg(F.min(F.struct("token", "main", "blocks", "probing")).alias("g")).select("g.*"), "several")

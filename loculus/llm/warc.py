@@ -69,7 +69,14 @@ def format_record(page_id: int | None, url: str | None, payload: bytes, refers_t
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if revisit else head + payload
     target = "".join(c if c.isprintable() else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "")
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Target-URI: {target}", f"WARC-Date: {RECORD_DATE}", f"WARC-Payload-Digest: sha1:{payload_digest(payload)}"]
+    lines = [
+        "WARC/1.1",
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Target-URI: {target}",
+        f"WARC-Date: {RECORD_DATE}",
+        f"WARC-Payload-Digest: sha1:{payload_digest(payload)}",
+    ]
     if revisit:
         lines += [f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Profile: {REVISIT_PROFILE}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
@@ -209,7 +216,14 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_B
                 entries.append((page_id, record_id(page_id), *writer.add(record), len(record)))
             page_ids, ids, files, frames, offsets, sizes = zip(*entries, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(files, pa.string()), pa.array(page_ids, pa.int64()), pa.array(ids, pa.string()), pa.array(frames, pa.int64()), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64())],
+                [
+                    pa.array(files, pa.string()),
+                    pa.array(page_ids, pa.int64()),
+                    pa.array(ids, pa.string()),
+                    pa.array(frames, pa.int64()),
+                    pa.array(offsets, pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                ],
                 names=["file", "page_id", "record_id", "frame", "frame_offset", "record_bytes"],
             )
         writer.close()
@@ -235,7 +249,18 @@ def read_archives(files: DataFrame, folder: str, payloads: bool = True) -> DataF
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     schema = pa.schema(
-        [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("file", pa.string()), ("frame", pa.int64()), ("frame_offset", pa.int64())]
+        [
+            ("page_id", pa.int64()),
+            ("url", pa.string()),
+            ("payload_bytes", pa.int64()),
+            ("payload_digest", pa.string()),
+            ("record_type", pa.string()),
+            ("refers_to", pa.int64()),
+            ("payload", pa.binary()),
+            ("file", pa.string()),
+            ("frame", pa.int64()),
+            ("frame_offset", pa.int64()),
+        ]
     )
     return one_file_a_task(files).mapInArrow(read, RECORD_SCHEMA)
 

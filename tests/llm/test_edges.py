@@ -172,7 +172,16 @@ def test_similar(documents, no_documents, scratch, spark):
 def test_warc(spark, scratch):
     from loculus.llm.warc import archive_round_trip, payload_digest
 
-    pages = [(1, "http://a/x: y\n", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (None, "u", "same"), (5, "é ü", "html é"), (1, "other", "same"), (None, None, "alone")]
+    pages = [
+        (1, "http://a/x: y\n", "same"),
+        (2, None, "same"),
+        (3, "u", None),
+        (4, "u", ""),
+        (None, "u", "same"),
+        (5, "é ü", "html é"),
+        (1, "other", "same"),
+        (None, None, "alone"),
+    ]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(1)).withColumn("frame", F.lit(2))
     rows = archive_round_trip(frame, scratch, frame_bytes=600, file_bytes=900).collect()
     want = []
@@ -189,7 +198,21 @@ def test_neighbours(spark, scratch):
     from loculus.llm.common import Scratch
     from loculus.llm.hnsw import nearest
 
-    rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [float("inf"), 0.0]), (8, [1.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0]), (100, [1.0, 0.0])]
+    rows = [
+        (0, [1.0, 0.0]),
+        (100, [1.0, 0.0]),
+        (1, [1.0, 0.5]),
+        (2, [0.0, 0.0]),
+        (3, None),
+        (4, []),
+        (5, [float("nan"), 1.0]),
+        (6, [1.0, None]),
+        (7, [float("inf"), 0.0]),
+        (8, [1.0]),
+        (None, [1.0, 0.0]),
+        (9, [1.0, 0.0]),
+        (100, [1.0, 0.0]),
+    ]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("shard", F.lit(1))
     found = nearest(frame, scratch, F.pmod("vec_id", F.lit(100)) == 0, k=10).collect()
     assert {(r.query_id, r["rank"], r.vec_id) for r in found if r.query_id == 0} == {(0, 1, 9), (0, 2, 100), (0, 3, 100), (0, 4, 1)}

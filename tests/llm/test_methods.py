@@ -124,7 +124,12 @@ def test_contexts_discover_identifiers(spark, scratch):
 def test_base_patterns_equal_the_plain_ones(spark, scratch):
     from loculus.llm.pii import KINDS, PATTERNS
 
-    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
     r = random.Random(8)
     texts = ["".join(r.choice("ab@@..-1234567890 +()_%é") for _ in range(r.randint(1, 60))) for _ in range(1500)]
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
@@ -158,7 +163,12 @@ def test_single_records_and_documents(spark, scratch):
 def test_shards_are_balanced(spark, scratch):
     from loculus.llm.kdtree import kd_shards
 
-    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 9).cast("string")).alias("source"), F.lit("en").alias("lang"))
+    docs = spark.range(4000).select(
+        F.col("id").alias("doc_id"),
+        F.repeat(F.lit("x"), (F.col("id") % 50 + 1).cast("int")).alias("text"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 9).cast("string")).alias("source"),
+        F.lit("en").alias("lang"),
+    )
     sizes = [r[0] for r in kd_shards(docs, scratch, shards=7).groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
     assert len(sizes) == 7 and max(sizes) - min(sizes) <= 200
 

@@ -38,7 +38,26 @@ def folder(spark, tmp_path_factory):
     """A data folder with hostile documents, and columns whose names operators use inside."""
     at = str(tmp_path_factory.mktemp("hostile"))
     docs = spark.createDataFrame(hostile_documents(), "doc_id long, text string, lang string, source string, n_chars long")
-    clashing = {c: F.lit("mine") for c in ("size", "key", "tie", "row", "spans", "doc", "copies", "target", "rest", "kept", "n_words", "keep_id", "label", "part", "short", "masked")}
+    clashing = {
+        c: F.lit("mine") for c in (
+            "size",
+            "key",
+            "tie",
+            "row",
+            "spans",
+            "doc",
+            "copies",
+            "target",
+            "rest",
+            "kept",
+            "n_words",
+            "keep_id",
+            "label",
+            "part",
+            "short",
+            "masked",
+        )
+    }
     docs.withColumns(clashing).repartition(3).write.parquet(f"{at}/documents.parquet")
     labels = [(d, d % 2, 0) for d, *_ in hostile_documents() if d is not None]
     spark.createDataFrame([*labels, (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
@@ -83,7 +102,9 @@ def test_op3(spark, table):
         return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), repeated, len(covered), failed
 
     rows = run(spark, table, "op3")
-    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows) == Counter((d, *plain(t)) for d, t in documents(spark, table))
+    assert Counter(
+        (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows
+    ) == Counter((d, *plain(t)) for d, t in documents(spark, table))
     assert not any(r.kept and r.base_failed for r in rows) and any(r.kept for r in rows)
 
 
@@ -233,7 +254,14 @@ def test_op1(spark):
     first = {}
     for p in pages:
         first[p.html] = min(p.page_id, first.get(p.html, p.page_id))
-    want = Counter((p.page_id, len((p.html or "").encode()), payload_digest((p.html or "").encode()), *(("response", None) if first[p.html] == p.page_id else ("revisit", first[p.html]))) for p in pages)
+    want = Counter(
+        (
+            p.page_id,
+            len((p.html or "").encode()),
+            payload_digest((p.html or "").encode()),
+            *(("response", None) if first[p.html] == p.page_id else ("revisit", first[p.html])),
+        ) for p in pages
+    )
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in run(spark, SMALL, "op1")) == want
 
 
