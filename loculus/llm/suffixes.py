@@ -1,10 +1,10 @@
-"""Numpy helpers for repeated substrings: q-gram names, block cuts, refinement."""
+"""Numpy helpers for repeated substrings: q-gram names, block cuts, bucket-pointer refinement."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Bytes of an initial q-gram; doubled three times they make the length below.
+#: Bytes of an initial q-gram; three refinements at the length so far make the length below.
 Q = 50
 #: Length in bytes of the strings that count as repeated.
 LENGTH = 400
@@ -69,33 +69,74 @@ def sliding_choice(names: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:count], ahead[width - 1 : width - 1 + count]) & _U(0xFFFFF)).astype(np.int64)
 
 
-def cut_blocks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, first, last): blocks of string starts that choose the same q-gram, for a segment's bytes.
+def cut_blocks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, first, last, anchor): blocks of string starts that choose the same q-gram, for a segment's bytes.
 
-    A string of ``LENGTH`` bytes chooses one q-gram inside it by content alone,
-    so equal strings lie in blocks with the same bucket name and at the same
-    distance from the chosen q-gram.
+    A string of ``LENGTH`` bytes chooses one q-gram inside it (its anchor) by
+    content alone, so equal strings lie in blocks with the same bucket name and
+    at the same distance from the anchor.
     """
     names = qgram_names(data, 0)
     chosen = sliding_choice(names, LENGTH - Q + 1)
     cuts = np.flatnonzero(np.diff(chosen)) + 1
     first = np.concatenate([[0], cuts])
     last = np.concatenate([cuts, [len(chosen)]]) - 1
-    return names[chosen[first]], first, last
+    return names[chosen[first]], first, last, chosen[first]
 
 
-def string_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit names of the ``LENGTH``-byte string at every offset.
+def _runs(values: np.ndarray) -> np.ndarray:
+    """For sorted values the place where each one's run of equal values starts."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(values)), 0))
 
-    Bucket-pointer refinement: a string's name for twice the length comes from
-    its present name and the present name at the offset where it ends; refined
-    names are what the next doubling reads.
+
+def _initial_buckets(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bucket identifiers of the q-grams at the places ``at``: a bucket's identifier is its place in sorted order.
+
+    Buckets are sorted by name, and each member's bytes are held against its neighbour's.
+    """
+    names = qgram_names(data, 0)[at]
+    order = np.argsort(names)
+    starts = _runs(names[order])
+    same = np.flatnonzero(starts[1:] == starts[:-1])
+    one, two = at[order[same]], at[order[same + 1]]
+    words = np.lib.stride_tricks.sliding_window_view(data, 8).copy().view(np.uint64)[:, 0] if len(data) >= 8 else np.empty(0, np.uint64)
+    if not all((words[one + k] == words[two + k]).all() for k in (*range(0, Q - 8, 8), Q - 8)):  # two q-grams with one name: sort the bytes themselves
+        grams = np.lib.stride_tricks.sliding_window_view(data, Q)[at].copy().view(f"V{Q}")[:, 0]
+        order = np.argsort(grams, kind="stable")
+        starts = _runs(np.unique(grams, return_inverse=True)[1][order])
+    out = np.empty(len(at), np.int64)
+    out[order] = starts
+    return out
+
+
+def repeated_strings(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the ``LENGTH``-byte strings that start more than once in pieces of these sizes, laid end to end.
+
+    Bucket-pointer refinement: suffixes start in buckets by q-gram.  A round
+    sorts every crowded bucket on the bucket identifiers of the suffixes so
+    many bytes further on as the buckets are deep, splits it where they differ,
+    and writes the refined identifiers back, so the next round reads them at
+    twice the depth.  Suffixes alone in their bucket, or too near their piece's
+    end, drop out.
     """
-    out = []
-    for lane in (0, 1):
-        names, length = qgram_names(data, lane), Q
-        while length < LENGTH:
-            names = mix(names[:-length] * _U(0xFF51AFD7ED558CCD) + names[length:])
-            length *= 2
-        out.append(names)
-    return out[0], out[1]
+    room = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
+    pointers = np.full(len(data), -1, np.int64)
+    at, depth = np.flatnonzero(room >= Q), Q
+    if not len(at):
+        return at
+    pointers[at] = _initial_buckets(data, at)
+    while depth < LENGTH:
+        members = np.bincount(pointers[at], minlength=len(data))
+        at = at[(members[pointers[at]] > 1) & (room[at] >= 2 * depth)]
+        own, further = pointers[at], pointers[at + depth]
+        order = np.argsort((own.astype(_U) << _U(32)) | further.astype(_U))
+        own, further = own[order], further[order]
+        buckets = _runs(own)
+        split = np.ones(len(own), bool)
+        split[1:] = (own[1:] != own[:-1]) | (further[1:] != further[:-1])
+        pointers[at[order]] = own + np.maximum.accumulate(np.where(split, np.arange(len(own)), 0)) - buckets if len(own) else own
+        depth *= 2
+    members = np.bincount(pointers[at], minlength=len(data))
+    return at[members[pointers[at]] > 1]
