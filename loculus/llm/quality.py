@@ -1,16 +1,24 @@
 """Quality rules: a decision list learned by sequential covering.
 
 Statistics of every whole text come from one pass.  The rules are learned on a
-bounded sample of labelled documents: grow a conjunction of thresholds by
-information gain on two thirds of the sample, prune its end on the other third, keep it if it
-is precise enough there, take away what it covers, and go on.  A learned list
-becomes an ordered Spark conditional expression over the statistics, so its
-use on the corpus is an ordinary column.
+bounded sample of labelled documents, which is stored before anything is
+measured, so training never runs over the corpus: grow a conjunction of
+thresholds by information gain on two thirds of the sample, prune its end on the
+other third, keep it if it is precise enough there, take away what it covers,
+and go on.  A learned list becomes an ordered Spark conditional expression over
+the statistics, so its use on the corpus is an ordinary column.
+
+Learning is bounded by ``SAMPLE_ROWS`` labelled documents (the smallest hashes of
+their ids), ``MOST_RULES`` rules of ``MOST_CONDITIONS`` conditions each, and
+``CUT_POINTS`` thresholds tried for a feature (quantiles of its values); judging
+covers every document and every whole text.
 
 Edge cases: a null text is an empty one and fails the base rules; without
 labels, or with labels of one class, the list is empty and the base rules
-decide; null labels are left out; labels of absent documents are left out;
-documents with repeated ids each get their own row.  Other columns are ignored.
+decide; null labels are left out, of several labels for an id the smallest
+counts; labels of absent documents are left out; of documents with repeated ids
+the smallest text is learned from, and each gets its own row when judged.
+Other columns are ignored or, in ``keep_good``, carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loculus.llm.common import Scratch
+from loculus.llm.files import tidy
+
 #: Base rules: fewest words, and the largest share in percent of words in repeated windows.
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
@@ -32,6 +43,7 @@ WINDOW_WORDS = 5
 SYMBOLS = "#*$%&|<>"
 #: The labelled sample's bound, and the limits of learning.
 SAMPLE_ROWS = 20_000
+SAMPLE_FILES = 32
 MOST_RULES = 16
 MOST_CONDITIONS = 4
 LEAST_PRECISION = 0.95
@@ -93,8 +105,9 @@ def text_statistics(text: str | None) -> tuple[int, ...]:
 
 @F.arrow_udf(T.StructType([T.StructField(c, T.LongType()) for c in STATISTICS]))
 def statistics_column(texts: pa.Array) -> pa.Array:
-    columns = zip(*[text_statistics(t.as_py()) for t in texts], strict=True)
-    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns] if len(texts) else [pa.array([], pa.int64())] * len(STATISTICS), names=list(STATISTICS))
+    rows = np.array([text_statistics(t.as_py()) for t in texts], np.int64).reshape(len(texts), len(STATISTICS))
+    tidy()  # workers stay beside the next stage
+    return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(STATISTICS))], names=list(STATISTICS))
 
 
 def base_failed() -> Column:
@@ -181,13 +194,24 @@ def learn_rules(data: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray)
     return rules
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules from the labelled documents with the smallest id hashes, ``sample_rows`` labels at most."""
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, scratch: Scratch | None = None) -> list[Rule]:
+    """Rules from the labelled documents with the smallest id hashes, ``sample_rows`` documents at most."""
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
     labelled = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most sample_rows rows are broadcast
-    measured = joined.select("doc_id", "quality", statistics_column("text").alias("s")).select("doc_id", "quality", "s.*").where(~base_failed())
-    rows = measured.select((F.pmod(F.xxhash64(F.lit("prune"), "doc_id"), F.lit(3)) == 0).alias("prune"), (F.col("quality") == 0).alias("bad"), *[F.expr(e).alias(f) for f, e in FEATURES.items()]).orderBy("doc_id").toPandas()
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")  # at most sample_rows rows are broadcast
+    single = joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    stored = scratch.table(single.repartition(SAMPLE_FILES), "sample")
+    measured = stored.select("doc_id", "quality", statistics_column("text").alias("s")).select("doc_id", "quality", "s.*")
+    rows = measured.select(
+        "doc_id",
+        (F.pmod(F.xxhash64(F.lit("prune"), "doc_id"), F.lit(3)) == 0).alias("prune"),
+        (F.col("quality") == 0).alias("bad"),
+        base_failed().alias("failed"),
+        *[F.expr(e).alias(f) for f, e in FEATURES.items()],
+    ).toPandas()
+    scratch.drop("sample")
+    rows = rows[~rows["failed"].astype(bool)].sort_values("doc_id")
     if rows.empty:
         return []
     return learn_rules({f: rows[f].to_numpy(float) for f in FEATURES}, rows["bad"].to_numpy(bool), rows["prune"].to_numpy(bool))
@@ -212,5 +236,5 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that the base rules and the list keep, with ``docs``' columns."""
-    measured = docs.withColumn("_s", statistics_column("text")).select(*[F.col(f"`{c}`").alias(f"_in_{k}") for k, c in enumerate(docs.columns)], "_s.*")
-    return measured.where(verdict(rules)).select(*[F.col(f"_in_{k}").alias(c) for k, c in enumerate(docs.columns)])
+    measured = docs.select(F.struct("*").alias("doc"), statistics_column("text").alias("s")).select("doc", "s.*")
+    return measured.where(verdict(rules)).select(*[F.col("doc")[c].alias(c) for c in docs.columns])
