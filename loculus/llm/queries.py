@@ -93,6 +93,12 @@ def op10_simhash_deletion_variants(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loculus.llm.lm import score_documents
+
+    return score_documents(read_table(spark, sf_dir, "documents"), Scratch(spark, "lm"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
