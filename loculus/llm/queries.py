@@ -99,6 +99,14 @@ def op11_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"), Scratch(spark, "lm"))
 
 
+def op12_summa_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loculus.llm.negatives import hard_negatives
+
+    rows = read_table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", noisy), Scratch(spark, "negatives"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -126,5 +134,24 @@ select doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
+#: Hard negatives, restated: all scores of each anchor, and windows over them.
+OP12_SQL = r"""
+with sound as (
+    select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+           [floor(256 * x::double) for x in embedding] as parts
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+scores as (
+    select a.r, a.vec_id as anchor_id, b.vec_id, a.label = b.label as alike, list_dot_product(a.parts, b.parts)::bigint as score
+    from sound a join sound b on a.r <> b.r where a.vec_id % 100 = 0),
+positives as (
+    select *, row_number() over (partition by r order by score desc, vec_id) as place from scores where alike qualify place <= 5)
+select p.anchor_id, p.vec_id as positive_id, row_number() over (partition by p.r, p.place order by n.score desc, n.vec_id) as rank,
+       n.vec_id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scores n on n.r = p.r and not n.alike and 80 * p.score <= 100 * n.score and n.score <= p.score
+qualify rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": OP9_SQL}
+    return {"op9_source_mixing": OP9_SQL, "op12_summa_negatives": OP12_SQL}
