@@ -107,6 +107,12 @@ def op12_summa_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows.withColumn("label", noisy), Scratch(spark, "negatives"), F.col("vec_id") % 100 == 0)
 
 
+def op13_cartesian_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loculus.llm.trie import prefix_trie
+
+    return prefix_trie(read_table(spark, sf_dir, "conversations"), Scratch(spark, "trie"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -153,5 +159,42 @@ qualify rank <= 5
 """
 
 
+#: The trie, restated: every prefix of every rebuilt conversation as a list, grouped; the checksum is computed bit by bit.
+OP13_SQL = r"""
+with own as (
+    select conv_id as conv, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos,
+           md5(coalesce(role, '')) || md5(coalesce(text, '')) as said, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as words
+    from conversations where conv_id is not null),
+ids as (
+    select conv, conv - conv % 20 as head,
+           xor(list_reduce(list_concat([4294967295::bigint], range(8 * length(conv::varchar))), lambda acc, k:
+               xor((xor(acc, case when k % 8 = 0 then ascii(substr(conv::varchar, k // 8 + 1, 1))::bigint else 0 end)) >> 1,
+                   case when xor(acc, case when k % 8 = 0 then ascii(substr(conv::varchar, k // 8 + 1, 1))::bigint else 0 end) & 1 = 1 then 3988292384 else 0 end)),
+               4294967295) % 4 as h
+    from (select distinct conv from own)),
+parts as (
+    select i.conv, 0 as part, o.pos, o.said, o.words from ids i join own o on o.conv = i.head and o.pos <= i.h
+    union all select i.conv, 1, o.pos, o.said, o.words from ids i join own o on o.conv = i.conv and o.pos > i.h),
+sequences as (
+    select ids.conv, coalesce(list({'said': said, 'words': words} order by part, pos) filter (where pos is not null), []) as turns
+    from ids left join parts using (conv) group by ids.conv),
+members as (select conv, unnest(range(len(turns) + 1)) as depth, turns from sequences),
+nodes as (
+    select turns[1:depth] as prefix, depth, min(conv) as conv_id, count(*) as n_convs,
+           sha256(coalesce(string_agg(conv::varchar, ',' order by conv) filter (where len(turns) = depth), '')) as ends_sha256
+    from members group by 1, 2),
+linked as (select n.*, p.conv_id as parent_conv_id from nodes n left join nodes p on p.depth = n.depth - 1 and p.prefix = n.prefix[1:n.depth - 1]),
+children as (select prefix[1:depth - 1] as prefix, depth - 1 as depth, count(*) as n_children from nodes where depth > 0 group by 1, 2),
+counted as (select l.*, coalesce(c.n_children, 0) as n_children from linked l left join children c using (prefix, depth)),
+spread as (select prefix, depth, unnest(range(depth + 1)) as top, n_convs, n_children from counted),
+below as (
+    select prefix[1:top] as prefix, top as depth, sum((n_children = 0)::int) as n_leaves,
+           sum((n_convs - 1) * case when depth > 0 then prefix[depth].words else 0 end) as saved_tokens
+    from spread group by 1, 2)
+select conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, ends_sha256
+from counted join below using (prefix, depth)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": OP9_SQL, "op12_summa_negatives": OP12_SQL}
+    return {"op9_source_mixing": OP9_SQL, "op12_summa_negatives": OP12_SQL, "op13_cartesian_trie": OP13_SQL}
