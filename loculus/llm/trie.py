@@ -110,9 +110,9 @@ def _numbered(frame: DataFrame, scratch: Scratch, name: str, *order: str) -> Dat
     return kept.withColumn("part", part).join(offsets, "part").withColumn("i", F.col("at") - F.col("first") + F.col("before")).drop("part", "first", "before", "at")
 
 
-def _running(frame: DataFrame, **sums: Column) -> DataFrame:
+def _running(frame: DataFrame, rows_a_block: int, **sums: Column) -> DataFrame:
     """The frame (with ``i`` from 0, no gaps) with running sums up to each row, by blocks of rows."""
-    block = F.floor(F.col("i") / BLOCK).alias("block")
+    block = F.floor(F.col("i") / rows_a_block).alias("block")
     totals = frame.groupBy(block).agg(*(F.sum(v).alias(k) for k, v in sums.items()))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("block", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in sums))
@@ -121,12 +121,12 @@ def _running(frame: DataFrame, **sums: Column) -> DataFrame:
     return found.drop("block", *(f"{k}_before" for k in sums))
 
 
-def sorted_classes(built: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+def sorted_classes(built: DataFrame, classes: DataFrame, scratch: Scratch, run: int = RUN) -> DataFrame:
     """(i, class, length, n, lcp): classes in the order of their turns, with the LCP of each and the one before (-1 for the first)."""
     sizes = classes.groupBy("class", "length").agg(F.count("*").alias("n"))
     turns = built.join(sizes.select(F.col("class").alias("conv")), "conv", "left_semi")
     in_order = lambda by, what: F.transform(F.array_sort(F.collect_list(F.struct(by, what))), lambda x: x[what])
-    runs = scratch.table(turns.groupBy("conv", F.floor((F.col("pos") - 1) / RUN).alias("run")).agg(in_order("pos", "sym").alias("syms")), "runs")
+    runs = scratch.table(turns.groupBy("conv", F.floor((F.col("pos") - 1) / run).alias("run")).agg(in_order("pos", "sym").alias("syms")), "runs")
     names = scratch.table(_numbered(runs.select("syms").distinct(), scratch, "names", "syms").select("syms", F.col("i").alias("name")), "names")
     arrays = runs.join(names, "syms").groupBy("conv").agg(in_order("run", "name").alias("names"))
     keyed = sizes.join(arrays.withColumnRenamed("conv", "class"), "class", "left").withColumn("names", F.coalesce("names", F.array().cast("array<long>")))
@@ -138,7 +138,7 @@ def sorted_classes(built: DataFrame, classes: DataFrame, scratch: Scratch) -> Da
     one, other = (names.select(F.col("name").alias(k), F.col("syms").alias(f"{k}_syms")) for k in ("mine", "theirs"))
     met = pairs.join(one, "mine", "left").join(other, "theirs", "left")
     inside = F.coalesce(equal("mine_syms", "theirs_syms"), F.lit(0))
-    return met.select("i", "class", "length", "n", F.when(F.col("i") == 0, -1).otherwise(F.col("run") * RUN + inside).cast("long").alias("lcp"))
+    return met.select("i", "class", "length", "n", F.when(F.col("i") == 0, -1).otherwise(F.col("run") * run + inside).cast("long").alias("lcp"))
 
 
 SMALLER = "i long, lcp long, left long, right long, low long, head long, tail long"
@@ -201,20 +201,20 @@ def _chains(table: pa.Table) -> pa.Table:
     for side, (at, value) in enumerate(((i[::-1], lcp[::-1]), (i, lcp))):
         low = np.minimum.accumulate(value)
         first = np.flatnonzero(np.append(True, low[1:] < low[:-1]))
-        out.append((np.full(len(first), side), np.full(len(first), i[0] // BLOCK), at[first], value[first]))
+        out.append((np.full(len(first), side), np.full(len(first), table.column("block")[0].as_py()), at[first], value[first]))
     side, block, at, value = (np.concatenate(x) for x in zip(*out, strict=True))
     return pa.table({"side": pa.array(side, pa.int32()), "block": block, "at": at, "value": value})
 
 
-def _across_blocks(smaller: DataFrame, chains: DataFrame, rows: int) -> DataFrame:
+def _across_blocks(smaller: DataFrame, chains: DataFrame, rows: int, rows_a_block: int) -> DataFrame:
     """Fill the answers in that lie in other blocks: the nearest block whose minimum is smaller, then its chain."""
-    blocks = -(-rows // BLOCK)
+    blocks = -(-rows // rows_a_block)
     minima = np.full(blocks, np.iinfo(np.int64).max)
     for r in chains.groupBy("block").agg(F.min("value").alias("low")).collect():
         minima[r.block] = r.low
     asked = []
     for side, column in ((0, "left"), (1, "right")):
-        lone = smaller.where(F.col(column).isNull() & (F.col("lcp") >= 0)).select(F.floor(F.col("i") / BLOCK).alias("from"), "lcp").distinct()
+        lone = smaller.where(F.col(column).isNull() & (F.col("lcp") >= 0)).select(F.floor(F.col("i") / rows_a_block).alias("from"), "lcp").distinct()
         asked.append(lone.withColumn("side", F.lit(side)))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,23 +229,23 @@ def _across_blocks(smaller: DataFrame, chains: DataFrame, rows: int) -> DataFram
     met = wanted.join(chains, ["side", "block"]).where(F.col("value") < F.col("lcp"))
     place = F.when(F.col("side") == 0, F.col("last")).otherwise(F.col("first")).alias("place")
     answers = met.groupBy("from", "lcp", "side").agg(F.max("at").alias("last"), F.min("at").alias("first")).select("from", "lcp", "side", place)
-    keyed = smaller.withColumn("from", F.floor(F.col("i") / BLOCK))
+    keyed = smaller.withColumn("from", F.floor(F.col("i") / rows_a_block))
     for side, column in ((0, "left"), (1, "right")):
         mine = answers.where(F.col("side") == side).select("from", "lcp", F.col("place").alias("found"))
         keyed = keyed.join(mine, ["from", "lcp"], "left").withColumn(column, F.coalesce(column, "found")).drop("found")
     return keyed.drop("from").withColumn("right", F.coalesce("right", F.lit(rows)))
 
 
-def _block_minimum(nodes: DataFrame, seen: DataFrame, rows: int) -> DataFrame:
+def _block_minimum(nodes: DataFrame, seen: DataFrame, rows: int, rows_a_block: int) -> DataFrame:
     """Add ``low``, the smallest class of [left, last], where a block hasn't found it: tail, whole blocks between, head."""
-    blocks = -(-rows // BLOCK)
+    blocks = -(-rows // rows_a_block)
     whole = np.full(blocks, np.iinfo(np.int64).max)
-    for r in seen.groupBy(F.floor(F.col("i") / BLOCK).alias("block")).agg(F.min("head").alias("low")).collect():
+    for r in seen.groupBy(F.floor(F.col("i") / rows_a_block).alias("block")).agg(F.min("head").alias("low")).collect():
         whole[r.block] = r.low
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, last = (batch.column(c).to_numpy() // BLOCK for c in ("left", "last"))
+            first, last = (batch.column(c).to_numpy() // rows_a_block for c in ("left", "last"))
             lows = np.full(len(first), np.iinfo(np.int64).max)
             gap = np.flatnonzero(last - first > 1)
             if len(gap):
@@ -254,7 +254,7 @@ def _block_minimum(nodes: DataFrame, seen: DataFrame, rows: int) -> DataFrame:
 
     open_ = nodes.where(F.col("low").isNull()).drop("low").mapInArrow(between, "left long, last long, lcp long, between long")
     tail, head = seen.select(F.col("i").alias("left"), "tail"), seen.select(F.col("i").alias("last"), "head")
-    same = F.floor(F.col("left") / BLOCK) == F.floor(F.col("last") / BLOCK)
+    same = F.floor(F.col("left") / rows_a_block) == F.floor(F.col("last") / rows_a_block)
     # an interval inside one block is open only where the block's end closes it: its tail is the answer
     closed = open_.join(tail, "left").join(head, "last").select("left", "last", "lcp", F.when(same, F.col("tail")).otherwise(F.least("tail", "head", "between")).alias("low"))
     return nodes.where(F.col("low").isNotNull()).select("left", "last", "lcp", "low").unionByName(closed)
@@ -297,26 +297,26 @@ def _member_hashes(classes: DataFrame) -> DataFrame:
     return cut.repartition("class").sortWithinPartitions("class", "first").mapInArrow(hashes, "class long, ends string")
 
 
-def prefix_trie(turns: DataFrame, scratch: Scratch, family: int = 20, most_shared: int = 4) -> DataFrame:
+def prefix_trie(turns: DataFrame, scratch: Scratch, family: int = 20, most_shared: int = 4, *, run: int = RUN, block: int = BLOCK, fill: int = FILL) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of every node."""
     built, lengths = rebuild(turns, scratch, family, most_shared)
     classes = scratch.table(_classes(built, lengths), "classes")
-    line = scratch.table(sorted_classes(built, classes, scratch), "line")
+    line = scratch.table(sorted_classes(built, classes, scratch, run), "line")
     rows = line.count()
     scratch.drop("own", "runs", "names-sorted", "names", "classes-sorted", "ranked")
 
-    block = F.floor(F.col("i") / BLOCK)
-    local = scratch.table(line.groupBy(block.alias("block")).applyInArrow(_inside_block, SMALLER), "local")
-    chains = scratch.table(line.groupBy(block.alias("block")).applyInArrow(_chains, CHAIN), "chains")
-    smaller = scratch.table(_across_blocks(local.select("i", "lcp", "left", "right", "low"), chains, rows), "smaller")
+    blocks = line.withColumn("block", F.floor(F.col("i") / block)).groupBy("block")
+    local = scratch.table(blocks.applyInArrow(_inside_block, SMALLER), "local")
+    chains = scratch.table(blocks.applyInArrow(_chains, CHAIN), "chains")
+    smaller = scratch.table(_across_blocks(local.select("i", "lcp", "left", "right", "low"), chains, rows, block), "smaller")
 
     # branchings: one node for all equal values of an interval; leaves: classes that no other continues
     following = line.select((F.col("i") - 1).alias("i"), F.col("lcp").alias("next"))
     places = line.join(following, "i", "left").na.fill(-1, ["next"]).withColumn("leaf", (F.col("length") > F.col("next")).cast("int"))
-    places = scratch.table(_running(places, convs=F.col("n"), leaves=F.col("leaf")), "places")
+    places = scratch.table(_running(places, block, convs=F.col("n"), leaves=F.col("leaf")), "places")
     branchings = smaller.where("lcp >= 0").groupBy("left", (F.col("right") - 1).alias("last"), "lcp").agg(F.min("low").alias("low"))
     leaves = places.where("leaf = 1").select(F.col("i").alias("left"), F.col("i").alias("last"), F.col("length").alias("lcp"), F.col("class").alias("low"))
-    nodes = _block_minimum(branchings, local, rows).unionByName(leaves)
+    nodes = _block_minimum(branchings, local, rows, block).unionByName(leaves)
 
     # what is above: the deeper of the values on either side of the interval, whose own interval begins there or where that value's does
     before = places.join(smaller.select("i", F.col("left").alias("outer")), "i").select(
@@ -338,7 +338,7 @@ def prefix_trie(turns: DataFrame, scratch: Scratch, family: int = 20, most_share
 
     # savings below a node: nodes are in preorder by (left, lcp), and a subtree ends where its interval does
     by_left = line.select("i").join(nodes.groupBy(F.col("left").alias("i")).agg(F.sum("edge_saved").alias("saved")), "i", "left").na.fill(0)
-    sums = scratch.table(_running(by_left, upto=F.col("saved")), "sums")
+    sums = scratch.table(_running(by_left, block, upto=F.col("saved")), "sums")
     along = Window.partitionBy("left").orderBy("lcp").rowsBetween(Window.unboundedPreceding, 0)
     at_left = sums.select(F.col("i").alias("left"), (F.col("upto") - F.col("saved")).alias("earlier"))
     at_last = sums.select(F.col("i").alias("last"), "upto")
@@ -353,8 +353,8 @@ def prefix_trie(turns: DataFrame, scratch: Scratch, family: int = 20, most_share
 
     # missing depths: every depth between the node above and this one, in two steps so that no array is long
     start = F.col("above") + 1
-    steps = nodes.withColumn("from", F.explode(F.sequence(start, F.greatest(F.col("lcp"), start), F.lit(FILL).cast("long"))))
-    depths = steps.withColumn("depth", F.explode(F.sequence(F.col("from"), F.least(F.col("lcp"), F.col("from") + (FILL - 1)))))
+    steps = nodes.withColumn("from", F.explode(F.sequence(start, F.greatest(F.col("lcp"), start), F.lit(fill).cast("long"))))
+    depths = steps.withColumn("depth", F.explode(F.sequence(F.col("from"), F.least(F.col("lcp"), F.col("from") + (fill - 1)))))
     own = built.select(F.col("conv").alias("first_class"), F.col("pos").alias("depth"), "words", "run_words")
     deepest, topmost = F.col("depth") == F.col("lcp"), F.col("depth") == start
     sum_above = F.coalesce(F.col("run_words") - F.col("words"), F.lit(0))
