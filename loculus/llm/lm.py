@@ -86,6 +86,19 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame) -> list:
+    """At most ``FREQUENT`` words with their counts, most frequent first: whole grades of counts (steps of 1 %), as many as fit."""
+    grade = F.floor(F.log2("n") * 64)
+    known = counts.where((F.length("word") <= LONGEST) & (F.col("n") >= LEAST_TIMES)).withColumn("grade", grade)
+    held, least = 0, None
+    for r in sorted(known.groupBy("grade").count().collect(), key=lambda r: -r["grade"]):  # some 4,000 grades at most
+        held += r["count"]
+        if held > FREQUENT:
+            break
+        least = r["grade"]
+    return sorted(known.where(F.col("grade") >= least).select("word", "n").collect(), key=lambda r: (-r["n"], r["word"])) if least is not None else []
+
+
 def _encoder(words: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(row, doc_id, held_out, part, text) to token numbers and the words that have none."""
 
@@ -337,7 +350,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, held_out: Column | None =
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.coalesce(held, F.lit(False)).alias("held_out"))
     counts = scratch.table(count_tokens(texts.where("not held_out")), "counts")
     total, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
-    top = counts.where((F.length("word") <= LONGEST) & (F.col("n") >= LEAST_TIMES)).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    top = frequent_words(counts)
 
     numbered = texts.withColumns({"row": F.monotonically_increasing_id(), "part": F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("row"), F.lit(BATCHES))).cast("int")})
     where = f"{scratch.path}/encoded"
