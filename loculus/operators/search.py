@@ -1,8 +1,6 @@
-"""Word search: index tables, form lookup, counts by document, pages of hits, and words in context.
+"""Word search: counts by document, hits across works, words in context, and how results are named and ordered.
 
-The index is made of ordinary tables (forms, postings, documents, context
-parts).  Written sorted by form and by document, their Parquet statistics let a
-lookup read only the row groups that hold its keys.
+What is looked up lies in the stored index (``search_index``).
 """
 
 from __future__ import annotations
@@ -12,8 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loculus.functions.fold import loose_key, match_key
-from loculus.operators.tokens import token_array
+from loculus.operators.tokens import spaced_tokens, token_array
 
 #: Words that rates refer to, hits of a page, words on either side, tokens of a context part.
 RATE_WORDS = 10_000
@@ -23,22 +20,14 @@ PART_TOKENS = 32
 TOKEN_SEPARATOR = "\u001f"
 
 
-def forms_table(tokens: DataFrame, lang: Column) -> DataFrame:
-    """Distinct forms with their keys and counts; keys are made once per form."""
-    counted = tokens.where("surface <> ''").groupBy(F.col("surface").alias("form"), lang.alias("lang")).agg(F.count("*").alias("n"))
-    return counted.withColumns({"key": match_key(F.col("form"), F.col("lang")), "loose": loose_key(F.col("form"), F.col("lang"))})
+def counts_by_document(counts: DataFrame, wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, n, forms, n_words, rate) of documents with any of the forms or lemmas; ``rate`` per 10,000 words, 0 without words.
 
-
-def find_forms(forms: DataFrame, key: str, lang: str | None = None, loose: bool = False) -> DataFrame:
-    """Forms with the key (already folded), most frequent first in use."""
-    found = forms.where(F.col("loose" if loose else "key") == key)
-    return found.where(F.col("lang") == lang) if lang else found
-
-
-def counts_by_document(postings: DataFrame, forms: DataFrame, documents: DataFrame) -> DataFrame:
-    """(doc_id, n, forms, n_words, rate) of documents with any of the forms; ``rate`` per 10,000 words, 0 without words."""
-    hits = postings.join(forms.select("form").distinct(), "form", "left_semi")
-    counted = hits.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count_distinct("form").alias("forms"))
+    ``counts`` (form or lemma, lang, doc_id, n) says what is counted; ``forms`` is the number of different ones in the document.
+    """
+    key = counts.columns[0]
+    hits = counts.join(wanted.select(key, "lang").distinct(), [key, "lang"], "left_semi")
+    counted = hits.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count_distinct(key).alias("forms"))
     rate = F.when(F.coalesce(F.col("n_words"), F.lit(0)) > 0, F.col("n") / F.col("n_words") * RATE_WORDS).otherwise(0.0)
     return counted.join(documents.select("doc_id", "n_words"), "doc_id").withColumn("rate", F.round(rate, 6))
 
@@ -80,19 +69,18 @@ def rate_label(rate: Column) -> Column:
     ).otherwise("0")
 
 
-def page_of_hits(hits: DataFrame, after: tuple[int, int], limit: int = PAGE_HITS) -> DataFrame:
-    """The next hits in reading order behind (chunk_id, seq); a page costs the same wherever it lies."""
-    cursor = F.struct(F.lit(after[0]).cast("long").alias("chunk_id"), F.lit(after[1]).cast("long").alias("seq"))
-    return hits.where(
-        F.struct(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("seq").cast("long").alias("seq")) > cursor
-    ).orderBy("chunk_id", "seq").limit(limit)
-
-
-def fill_across_works(hits: DataFrame, works: DataFrame, first: int, count: int, most_works: int = 25) -> DataFrame:
+def fill_across_works(
+    hits: Callable[[list[tuple[int, int]]], DataFrame],
+    works: DataFrame,
+    documents: DataFrame,
+    first: int,
+    count: int,
+    most_works: int = 25,
+) -> DataFrame:
     """Hits number ``first`` to ``first + count - 1`` through the best works in order, each in reading order.
 
-    The best works are few, so their counts give every work its first number
-    and only the works that the page touches are numbered inside.
+    The best works are few, so their counts give every work its first number; ``hits`` is asked for the runs of
+    chunks of the works that the page touches, and only these are numbered inside.
     """
     best = works.orderBy(*work_rank()).limit(most_works)
     order = Window.orderBy(*work_rank())
@@ -100,19 +88,13 @@ def fill_across_works(hits: DataFrame, works: DataFrame, first: int, count: int,
         {"work_rank": F.row_number().over(order), "_before": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}
     )
     touched = placed.where((F.col("_before") < first + count) & (F.col("_before") + F.col("n") > first)).select("doc_id", "work_rank", "_before")
+    spans = touched.join(documents.select("doc_id", "first_chunk", "last_chunk"), "doc_id").collect()  # ``most_works`` rows at most
     inside = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id", "seq"))
-    numbered = hits.join(touched, "doc_id").withColumn("hit", F.col("_before") + inside - 1)
+    known = touched.sparkSession.createDataFrame([(r.doc_id, r.work_rank, r["_before"]) for r in spans], "doc_id long, work_rank long, _before long")
+    numbered = hits([(r.first_chunk, r.last_chunk) for r in spans]).join(known, "doc_id").withColumn("hit", F.col("_before") + inside - 1)
     return numbered.where(F.col("hit").between(first, first + count - 1)).drop("_before")
 
 
-def with_context(tokens: DataFrame, chunk: list[str], is_hit: Column, width: int = CONTEXT_WORDS, pos: str = "pos") -> DataFrame:
-    """Hits among rows of single tokens, with the words before and after them in their chunk."""
-    order = Window.partitionBy(*chunk).orderBy(pos)
-    joined = lambda a, b: F.array_join(F.collect_list("token").over(order.rowsBetween(a, b)), " ")
-    around = tokens.withColumns({"before": joined(-width, -1), "after": joined(1, width)})
-    return around.where(is_hit)
-
-
 def context_in_texts(texts: DataFrame, is_hit: Callable[[Column], Column], width: int = CONTEXT_WORDS) -> DataFrame:
     """(doc_id, pos, token, before, after): tokens of ``texts`` (doc_id, text) that are hits, with the words before and after them.
 
@@ -132,6 +114,25 @@ def context_in_texts(texts: DataFrame, is_hit: Callable[[Column], Column], width
     )
 
 
+def spaced_context(texts: DataFrame, is_hit: Callable[[Column], Column], width: int = CONTEXT_WORDS) -> DataFrame:
+    """As ``context_in_texts``, from tokens that keep the blank behind them.
+
+    What stands around a hit reads as in the text: the hit is trimmed, and the blank behind it begins what follows.
+    """
+    cut = texts.select("doc_id", spaced_tokens("text").alias("t"))
+    places = F.filter(F.transform("t", lambda t, i: F.when(is_hit(F.rtrim(t)), i + 1)), lambda p: p.isNotNull())
+    opened = cut.withColumn("p", F.explode(places)).withColumn("hit", F.element_at("t", F.col("p")))
+    start = F.greatest(F.col("p") - width, F.lit(1))
+    behind = F.array_join(F.slice("t", F.col("p") + 1, F.lit(width)), "")
+    return opened.select(
+        "doc_id",
+        F.col("p").cast("long").alias("pos"),
+        F.array_join(F.slice("t", start, F.col("p") - start), "").alias("before"),
+        F.rtrim("hit").alias("hit"),
+        F.concat(F.when(F.col("hit").endswith(" "), " ").otherwise(""), behind).alias("after"),
+    )
+
+
 def context_parts(tokens: DataFrame, chunk: list[str], pos: str = "pos") -> DataFrame:
     """Tokens of a chunk in numbered parts of 32, joined by the unit separator."""
     part = F.floor((F.col(pos) - 1) / PART_TOKENS).alias("part")
@@ -158,10 +159,10 @@ def context_from_parts(hits: DataFrame, parts: DataFrame, chunk: list[str], widt
     return pieces.withColumn("_w", words).withColumns(around).select(*hits.columns, *around)
 
 
-def describe_hits(hits: DataFrame, chunks: DataFrame, forms: DataFrame, features: DataFrame | None = None) -> DataFrame:
-    """Hits with what the dictionaries say of their ids; a missing feature stays null."""
-    out = hits.join(chunks, "chunk_id", "left").join(forms, "form_id", "left")
-    return out if features is None else out.join(features, "feat_id", "left")
+def describe_hits(hits: DataFrame, chunks: DataFrame, features: DataFrame) -> DataFrame:
+    """Hits with the reference of their chunk and the part of speech and features of their reading; hits of forms have neither."""
+    read = hits if "feat_id" in hits.columns else hits.withColumns({"lemma": F.lit(None).cast("string"), "feat_id": F.lit(None).cast("long")})
+    return read.join(chunks.select("chunk_id", "ref"), "chunk_id", "left").join(features, "feat_id", "left").drop("feat_id")
 
 
 def fuzzy_titles(entries: DataFrame, query: str, threshold: float = 0.3, limit: int = 50) -> DataFrame:

@@ -1,99 +1,174 @@
-"""The stored word index: forms, lemmas, postings, documents and context parts as sorted Parquet tables, named by a manifest.
+"""The stored word index: sorted Parquet tables of forms, lemmas, analyses, counts, blocks of hits and context parts, named by a manifest.
 
 Tables are range-sorted by what they are looked up by, so the minima and maxima
-of row groups let a lookup read only what holds its key.  The manifest is
-written last, and its tables never change; a new build gets a folder of its own.
+of row groups let a lookup read only what holds its key.  The hits of a form or
+lemma lie in reading order in blocks of ``BLOCK_HITS``, each with the last hit
+before it and its own last hit beside it, so a cursor finds its block among
+these and a page reads that block and the next, however many hits there are.
+The manifest is written last, and its tables never change; a new build gets a
+folder of its own.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loculus.functions.fold import loose_key, match_key
-from loculus.operators.search import PART_TOKENS, TOKEN_SEPARATOR
+from loculus.operators.search import PAGE_HITS, PART_TOKENS, TOKEN_SEPARATOR
 from loculus.operators.tokens import bare_surface, token_array
-from loculus.session import file_status
+from loculus.session import file_status, stored
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 MANIFEST = "manifest.json"
-TABLES = ("postings", "documents", "forms", "lemmas", "parts")
+TABLES = ("documents", "chunks", "forms", "lemmas", "analyses", "features", "form_counts", "lemma_counts", "form_blocks", "lemma_blocks", "parts")
+#: Hits of a block; words of a chunk; numbers that the chunks of one document may have.
+BLOCK_HITS, CHUNK_TOKENS, CHUNKS_A_DOCUMENT = 256, 100, 100_000
+#: Bytes that one search may read, and what a hit counts for.
+READ_BUDGET, HIT_BYTES = 64 << 20, 16
+#: Row groups of block tables are small, since a lookup reads few blocks.
+BLOCK_FILES = {"parquet.block.size": str(4 << 20), "parquet.page.row.count.limit": "64"}
 _open: dict[tuple[str, str], SearchIndex] = {}
 
+Analyser = Callable[[DataFrame], DataFrame]
+
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """postings (form, doc_id, n, positions), documents (doc_id, n_words), forms and lemmas (form or lemma, lang, n, key, loose), parts (doc_id, part, tokens)."""
+    """What the tables hold; hits are (chunk_id, seq, occ, doc_id), those of lemmas with form and feat_id.
+
+    documents (doc_id, n_words, first_chunk, last_chunk), chunks (chunk_id, doc_id, ref), forms and lemmas (form or
+    lemma, lang, n, key, loose), analyses (form, lang, lemma, feat_id, weight), features (feat_id, upos, feats),
+    form_counts and lemma_counts (form or lemma, lang, doc_id, n), blocks (form or lemma, lang, block, n, from_chunk,
+    from_seq, last_chunk, last_seq, hits), parts (doc_id, part, tokens).
+    """
 
-    postings: DataFrame
     documents: DataFrame
+    chunks: DataFrame
     forms: DataFrame
     lemmas: DataFrame
+    analyses: DataFrame
+    features: DataFrame
+    form_counts: DataFrame
+    lemma_counts: DataFrame
+    form_blocks: DataFrame
+    lemma_blocks: DataFrame
     parts: DataFrame
 
 
-def surrogate_lemma(form: Column, loose: Column) -> Column:
-    """A headword for forms where no tagger has given one: the loose key without a plural or case ending of one letter."""
-    return F.when(F.length(loose) > 4, F.regexp_replace(loose, "[aeimnst]$", "")).otherwise(loose)
+def surrogate_analyses(forms: DataFrame) -> DataFrame:
+    """(form, lang, lemma, upos, feats, weight) where no tagger has given one.
+
+    A form longer than four letters that ends in one of the letters that end a plural or a case is read in two ways:
+    as itself, and (twice as likely) as its stem with that ending; all others are read as themselves.
+    """
+    ending = F.regexp_extract("loose", "[aeimnst]$", 0)
+    whole = F.struct(F.col("loose").alias("lemma"), F.lit("X").alias("upos"), F.lit("Form=whole").alias("feats"), F.lit(1).alias("weight"))
+    shorter = F.expr("substring(loose, 1, length(loose) - 1)").alias("lemma")
+    stem = F.struct(shorter, F.lit("X").alias("upos"), F.concat(F.lit("Ending="), ending).alias("feats"), F.lit(2).alias("weight"))
+    read = F.when((F.length("loose") > 4) & (ending != ""), F.array(whole, stem)).otherwise(F.array(whole))
+    return forms.select("form", "lang", F.explode(read).alias("a")).select("form", "lang", "a.*")
+
+
+def _blocks(lists: DataFrame, key: str, block_hits: int) -> DataFrame:
+    """Lists of hits (key, lang, chunk_id, hits) cut into blocks of equal size.
 
+    Lists are range-sorted and counted along their key: inside a range by a window, across ranges by the ranges'
+    sums, so a frequent key is spread over ranges and blocks and never lies in one task.
+    """
+    by = [key, "lang"]
+    order = [*by, "chunk_id"]
+    kept = stored(lists.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = kept.withColumns({"_range": F.shiftright("_at", 33), "_n": F.size("hits").cast("long")})
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_n")).select(*by, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    along = Window.partitionBy(*by, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("_inside", F.coalesce(F.sum("_n").over(along), F.lit(0))).join(starts, [*by, "_range"])
+    first = F.col("_start") + F.col("_inside")
+    cut = placed.withColumn("_first", first).withColumn("block", F.explode(F.sequence(F.floor(first / block_hits), F.floor((first + F.col("_n") - 1) / block_hits))))
+    start = F.greatest(F.col("block") * block_hits - F.col("_first"), F.lit(0))
+    end = F.least((F.col("block") + 1) * block_hits - F.col("_first"), F.col("_n"))
+    pieces = cut.select(*by, "block", F.slice("hits", (start + 1).cast("int"), (end - start).cast("int")).alias("hits"))
+    packed = pieces.groupBy(*by, "block").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    last = lambda field: F.element_at("hits", -1)[field]
+    packed = packed.withColumns({"n": F.size("hits").cast("long"), "last_chunk": last("chunk_id"), "last_seq": last("seq")})
+    before = packed.select(*by, (F.col("block") + 1).alias("block"), F.col("last_chunk").alias("from_chunk"), F.col("last_seq").alias("from_seq"))
+    joined = packed.join(before, [*by, "block"], "left").na.fill(-1, ["from_chunk", "from_seq"])
+    return joined.select(*by, "block", "n", "from_chunk", "from_seq", "last_chunk", "last_seq", "hits")
 
-def write_index(texts: DataFrame, root: str, lang: str, lemma: Callable[[Column, Column], Column] = surrogate_lemma) -> str:
-    """Index ``texts`` (doc_id, text) below ``root`` and return the folder; the manifest is written once all tables are."""
+
+def write_index(
+    texts: DataFrame,
+    root: str,
+    lang: str | None = None,
+    analyse: Analyser = surrogate_analyses,
+    chunk_tokens: int = CHUNK_TOKENS,
+    chunks_a_document: int = CHUNKS_A_DOCUMENT,
+    block_hits: int = BLOCK_HITS,
+) -> str:
+    """Index ``texts`` (doc_id, text, and lang unless one is given for all) below ``root`` and return the folder.
+
+    A text's chunks are runs of ``chunk_tokens`` words, numbered contiguously from ``doc_id * chunks_a_document``.
+    The manifest is written once all tables are.
+    """
     spark, folder = texts.sparkSession, f"{root}/{uuid.uuid4().hex}"
 
-    def save(frame: DataFrame, name: str, *order: str) -> DataFrame:
-        frame.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    def save(frame: DataFrame, name: str, *order: str, **options: str) -> DataFrame:
+        frame.repartitionByRange(*order).sortWithinPartitions(*order).write.options(**{"compression": "zstd"} | options).parquet(f"{folder}/{name}")
         return spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
 
-    cut = texts.select("doc_id", token_array("text").alias("t"))
-    opened = cut.select("doc_id", F.posexplode("t").alias("at", "token")).select(
+    language = F.lit(lang) if lang else F.coalesce(F.col("lang"), F.lit(""))
+    cut = stored(texts.select("doc_id", language.alias("lang"), token_array("text").alias("t")).where("doc_id is not null and size(t) > 0"))
+    first = F.col("doc_id") * chunks_a_document
+    numbers = F.sequence(F.lit(0), F.ceil(F.size("t") / chunk_tokens).cast("int") - 1)
+    numbered = cut.select("doc_id", F.explode(numbers).alias("k"))
+    save(numbered.select((first + F.col("k")).alias("chunk_id"), "doc_id", (F.col("k") + 1).cast("string").alias("ref")), "chunks", "chunk_id")
+
+    opened = cut.select("doc_id", "lang", F.posexplode("t").alias("at", "token")).select(
         "doc_id",
-        (F.col("at") + 1).alias("pos"),
-        bare_surface(F.col("token")).alias("form"),
-    )
-    lists = opened.where("form <> ''").groupBy("form", "doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    postings = save(lists, "postings", "form", "doc_id")
-    save(postings.groupBy("doc_id").agg(F.sum("n").alias("n_words")), "documents", "doc_id")
-    counted = postings.groupBy("form").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(lang))
-    keyed = counted.select(
-        "form",
         "lang",
-        "n",
-        match_key(F.col("form"), F.col("lang")).alias("key"),
-        loose_key(F.col("form"), F.col("lang")).alias("loose"),
-    )
-    forms = save(keyed, "forms", "loose", "form")
-    heads = forms.select(
-        lemma(F.col("form"), F.col("loose")).alias("lemma"),
-        "lang",
-        "n",
-    ).groupBy("lemma", "lang").agg(F.sum("n").alias("n"), F.count("*").alias("forms"))
-    save(
-        heads.select("*", match_key(F.col("lemma"), F.col("lang")).alias("key"), loose_key(F.col("lemma"), F.col("lang")).alias("loose")),
-        "lemmas",
-        "loose",
-        "lemma",
+        (first + F.floor(F.col("at") / chunk_tokens)).alias("chunk_id"),
+        (F.col("at") + 1).cast("long").alias("pos"),
+        bare_surface(F.col("token")).alias("form"),
     )
+    places = opened.where("form <> ''").groupBy("form", "lang", "chunk_id", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    hit = F.transform("places", lambda p, i: F.struct(F.col("chunk_id"), p.alias("seq"), (i + 1).alias("occ"), F.col("doc_id")))
+    lists = stored(places.select("form", "lang", "chunk_id", "doc_id", hit.alias("hits")))
+    save(_blocks(lists, "form", block_hits), "form_blocks", "form", "lang", "block", **BLOCK_FILES)
+    form_counts = save(lists.groupBy("form", "lang", "doc_id").agg(F.sum(F.size("hits")).alias("n")), "form_counts", "form", "doc_id")
+    last_number = F.floor((F.max(F.size("t")) - 1) / chunk_tokens)
+    extents = cut.groupBy("doc_id").agg(last_number.alias("k")).select("doc_id", first.alias("first_chunk"), (first + F.col("k")).alias("last_chunk"))
+    save(form_counts.groupBy("doc_id").agg(F.sum("n").alias("n_words")).join(extents, "doc_id"), "documents", "doc_id")
+    keys = lambda c: [match_key(F.col(c), F.col("lang")).alias("key"), loose_key(F.col(c), F.col("lang")).alias("loose")]
+    forms = save(form_counts.groupBy("form", "lang").agg(F.sum("n").alias("n")).select("form", "lang", "n", *keys("form")), "forms", "loose", "form")
+
+    read = stored(analyse(forms))
+    kinds = read.groupBy("upos", "feats").count()  # as many as there are ways to inflect
+    features = save(kinds.select(F.row_number().over(Window.orderBy("upos", "feats")).cast("long").alias("feat_id"), "upos", "feats"), "features", "feat_id")
+    same = read["upos"].eqNullSafe(features["upos"]) & read["feats"].eqNullSafe(features["feats"])
+    analyses = save(read.join(features, same).select("form", "lang", "lemma", "feat_id", "weight"), "analyses", "form", "lang", "lemma")
+    named = F.transform("hits", lambda h: F.struct(h["chunk_id"], h["seq"], h["occ"], h["doc_id"], F.col("form"), F.col("feat_id")))
+    by_lemma = lists.join(analyses, ["form", "lang"]).select("lemma", "lang", "chunk_id", named.alias("hits"))
+    together = by_lemma.groupBy("lemma", "lang", "chunk_id").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    save(_blocks(together, "lemma", block_hits), "lemma_blocks", "lemma", "lang", "block", **BLOCK_FILES)
+    heads = form_counts.join(analyses, ["form", "lang"])
+    lemma_counts = save(heads.groupBy("lemma", "lang", "doc_id").agg(F.sum("n").alias("n"), F.count_distinct("form").alias("forms")), "lemma_counts", "lemma", "doc_id")
+    sums = lemma_counts.groupBy("lemma", "lang").agg(F.sum("n").alias("n")).join(analyses.groupBy("lemma", "lang").agg(F.count_distinct("form").alias("forms")), ["lemma", "lang"])
+    save(sums.select("lemma", "lang", "n", "forms", *keys("lemma")), "lemmas", "loose", "lemma")
+
     numbers = F.sequence(F.lit(0), F.ceil(F.size("t") / PART_TOKENS).cast("int") - 1)
     pieces = F.transform(numbers, lambda k: F.array_join(F.slice("t", k * PART_TOKENS + 1, F.lit(PART_TOKENS)), TOKEN_SEPARATOR))
-    save(
-        cut.where(F.size("t") > 0).select("doc_id", F.posexplode(pieces).alias("part", "tokens")).select(
-            "doc_id",
-            F.col("part").cast("long").alias("part"),
-            "tokens",
-        ),
-        "parts",
-        "doc_id",
-        "part",
-    )
+    opened = cut.select("doc_id", F.posexplode(pieces).alias("part", "tokens"))
+    save(opened.select("doc_id", F.col("part").cast("long").alias("part"), "tokens"), "parts", "doc_id", "part")
     manifest = {
         "schema_version": SCHEMA_VERSION,
-        "lang": lang,
+        "block_hits": block_hits,
         "tables": {name: {"path": name, "rows": spark.read.parquet(f"{folder}/{name}").count()} for name in TABLES},
     }
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{folder}/{MANIFEST}")
@@ -125,6 +200,79 @@ def find_keys(table: DataFrame, key: str, lang: str | None = None, loose: bool =
     return found.where(F.col("lang") == lang) if lang else found
 
 
+def _key(blocks: DataFrame) -> str:
+    return blocks.columns[0]
+
+
+def _any(conditions: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def _is(blocks: DataFrame, wanted: tuple[str, str]) -> Column:
+    return (F.col(_key(blocks)) == wanted[0]) & (F.col("lang") == wanted[1])
+
+
+def all_hits(blocks: DataFrame, wanted: Sequence[tuple[str, str]], budget: int | None = None) -> DataFrame:
+    """Every hit of the forms or lemmas (with their languages); more bytes than the budget are an error before any hit is read."""
+    found = blocks.where(_any([_is(blocks, w) for w in wanted]))
+    if budget is not None and (size := HIT_BYTES * (found.agg(F.sum("n")).first()[0] or 0)) > budget:
+        raise ValueError(f"the search would read {size} bytes of hits; its budget is {budget}")
+    return found.select(_key(blocks), "lang", F.explode("hits").alias("h")).select(_key(blocks), "lang", "h.*")
+
+
+def _place(chunk: str, seq: str) -> Column:
+    return F.struct(F.col(chunk).cast("long").alias("chunk"), F.col(seq).cast("long").alias("seq"))
+
+
+def _cursor(after: tuple[int, int]) -> Column:
+    return F.struct(F.lit(after[0]).cast("long").alias("chunk"), F.lit(after[1]).cast("long").alias("seq"))
+
+
+def block_behind(blocks: DataFrame, wanted: Sequence[tuple[str, str]], after: tuple[int, int]) -> DataFrame:
+    """(form or lemma, lang, block): the block of each form or lemma that holds what follows the cursor (chunk_id, seq).
+
+    It is the one whose predecessor ends at or before the cursor and which ends behind it; only the row groups and
+    pages around the cursor can hold it.
+    """
+    around = (F.col("from_chunk") <= after[0]) & (F.col("last_chunk") >= after[0])
+    near = blocks.where(_any([_is(blocks, w) for w in wanted]) & around)
+    return near.where((_place("from_chunk", "from_seq") <= _cursor(after)) & (_cursor(after) < _place("last_chunk", "last_seq"))).select(_key(blocks), "lang", "block")
+
+
+def hits_page(
+    blocks: DataFrame,
+    wanted: Sequence[tuple[str, str]],
+    after: tuple[int, int] = (-1, -1),
+    limit: int = PAGE_HITS,
+    chunks: tuple[int, int] | None = None,
+    block_hits: int = BLOCK_HITS,
+    budget: int = READ_BUDGET,
+) -> DataFrame:
+    """The next ``limit`` hits of the forms or lemmas behind (chunk_id, seq) in reading order, of a work's chunks if they are given.
+
+    A page reads, of each form, the block behind the cursor and as many more as a page has hits for.
+    """
+    if chunks is not None and after < (chunks[0], -1):
+        after = (chunks[0] - 1, 1 << 62)  # nothing follows in that chunk
+    if HIT_BYTES * len(wanted) * (limit + 2 * block_hits) > budget:
+        raise ValueError(f"a page of {limit} hits of {len(wanted)} keys may read more than {budget} bytes")
+    starts = block_behind(blocks, wanted, after).collect()  # a row for each form or lemma at most
+    more = 1 + -(-limit // block_hits)
+    reach = _any([_is(blocks, (r[0], r[1])) & F.col("block").between(r[2], r[2] + more) for r in starts])
+    key = _key(blocks)
+    opened = blocks.where(reach).select(key, "lang", F.explode("hits").alias("h")).select(key, "lang", "h.*").where(_place("chunk_id", "seq") > _cursor(after))
+    if chunks is not None:
+        opened = opened.where(F.col("chunk_id") <= chunks[1])
+    return opened.orderBy("chunk_id", "seq", key, "lang").limit(limit)
+
+
+def hits_in_chunks(blocks: DataFrame, wanted: Sequence[tuple[str, str]], spans: Sequence[tuple[int, int]]) -> DataFrame:
+    """The hits of the forms or lemmas in a few runs of chunks (the works that a page touches); other blocks aren't read."""
+    within = _any([(F.col("from_chunk") <= b) & (F.col("last_chunk") >= a) for a, b in spans])
+    opened = blocks.where(_any([_is(blocks, w) for w in wanted]) & within).select(_key(blocks), "lang", F.explode("hits").alias("h"))
+    return opened.select(_key(blocks), "lang", "h.*").where(_any([F.col("chunk_id").between(a, b) for a, b in spans]))
+
+
 def hits_of(index: SearchIndex, form: str) -> DataFrame:
-    """(doc_id, pos): every place of a form."""
-    return index.postings.where(F.col("form") == form).select("doc_id", F.explode(F.col("positions").cast("array<long>")).alias("pos"))
+    """(doc_id, pos): every place of a form, in whatever language."""
+    return index.form_blocks.where(F.col("form") == form).select(F.explode("hits").alias("h")).select("h.doc_id", F.col("h.seq").alias("pos"))

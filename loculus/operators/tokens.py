@@ -16,6 +16,12 @@ def token_array(text: str) -> Column:
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda t: t != "")
 
 
+def spaced_tokens(text: str) -> Column:
+    """Words and single signs of a text in order, each with the blank behind it if there is one (other white space counts as a blank)."""
+    blanks = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[ \t-\r]+", " ")
+    return F.regexp_extract_all(blanks, F.lit(r"((?:[\p{L}\p{M}\p{N}]+|[^ \p{L}\p{M}\p{N}]) ?)"), F.lit(1))
+
+
 def bare_surface(token: Column) -> Column:
     """Lower case, without punctuation and symbols at the ends; tokens of letters need no pattern."""
     return F.lower(F.when(token.rlike(r"^\p{L}(?:.*\p{L})?$"), token).otherwise(bare_word(token)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from loculus.operators.catalog import version_kind
 from loculus.operators.search_index import SearchIndex, open_index, write_index
 from loculus.operators.tokens import split_tokens
-from loculus.session import read_parquet, work_folder
+from loculus.session import file_status, read_parquet, work_folder
 
 SECTION_TOKENS, BOOK_SECTIONS = 20, 5
 
@@ -131,13 +131,15 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_tokens(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
-_built: dict[tuple[str, str], str] = {}
+_built: dict[tuple[str, str, str], str] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The word index of all documents, each in its language; built again when the table's files have changed."""
+    status = file_status(spark, f"{sf_dir}/documents.parquet")
+    key = (spark.sparkContext.applicationId, sf_dir, f"{status.getModificationTime()} {status.getLen()}")
     if key not in _built:
-        _built[key] = write_index(table(spark, sf_dir, "documents"), f"{work_folder(spark)}/search", "fr")
+        _built[key] = write_index(table(spark, sf_dir, "documents"), f"{work_folder(spark)}/search")
     return open_index(spark, _built[key])
 
 

@@ -6,20 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loculus.functions.fold import guess_language, is_punctuation, match_key
+from loculus.functions.urn import token_urn
 from loculus.operators import search
 from loculus.operators.ranking import global_places
-from loculus.operators.search_index import find_keys, hits_of
+from loculus.operators import search_index as stored_index
+from loculus.operators.search_index import all_hits, find_keys, hits_in_chunks, hits_of
 from loculus.operators.tokens import bare_surface, labelled_lines, number_occurrences, prior_words
 from loculus.plans.bindings import TOKENS_SQL, index, table, tokens
 from loculus.plans.catalogue import query
 
-#: What the queries look for: a loose key, an exact form, a frequent form, a lemma.
-LOOSE, EXACT, FREQUENT, LEMMA = "la", "que", "the", "menten"
+#: What the queries look for: a loose key, an exact form, a frequent form, two lemmas.
+LOOSE, EXACT, FREQUENT, LEMMA, OTHER_LEMMA = "la", "que", "the", "ment", "the"
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = index(spark, sf_dir)
-    return search.counts_by_document(found.postings, find_keys(found.forms, LOOSE, loose=True), found.documents)
+    return search.counts_by_document(found.form_counts, find_keys(found.forms, LOOSE, loose=True), found.documents)
 
 
 _COUNTS_SQL = f"""{TOKENS_SQL},
@@ -55,23 +57,49 @@ def rate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     group by 1"""
 )
 def form_lookup_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_keys(index(spark, sf_dir).forms, LOOSE, lang="fr", loose=True).select("form", "n")
+    return find_keys(index(spark, sf_dir).forms, LOOSE, loose=True).groupBy("form").agg(F.sum("n").alias("n"))
 
 
 @query(f"with {TOKENS_SQL} select surface as form, count(*) as n from tokens where surface = '{EXACT}' group by 1")
 def form_lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_keys(index(spark, sf_dir).forms, EXACT, lang="fr").select("form", "n")
+    return find_keys(index(spark, sf_dir).forms, EXACT).groupBy("form").agg(F.sum("n").alias("n"))
 
 
-_LEMMAS_SQL = f"""with {TOKENS_SQL},
-forms as (select surface as form, lower(strip_accents(surface)) as loose, count(*) as n from tokens where surface <> '' group by 1, 2),
-lemmas as (select case when length(loose) > 4 then regexp_replace(loose, '[aeimnst]$', '') else loose end as lemma,
-    sum(n)::bigint as n, count(*) as forms from forms group by 1)"""
+@query(
+    f"""with {TOKENS_SQL} select surface as form, lang, count(*) as n from tokens
+    where lang = 'fr' and surface <> '' and lower(strip_accents(surface)) = '{LOOSE}' group by all"""
+)
+def form_lookup_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_keys(index(spark, sf_dir).forms, LOOSE, lang="fr", loose=True).select("form", "lang", "n")
+
 
+#: Every form read as itself, and as its stem where it may end in an ending; readings are numbered by their features.
+_READ_SQL = f"""{TOKENS_SQL},
+forms as (select surface as form, lang, lower(strip_accents(surface)) as loose from tokens where surface <> '' group by all),
+readings as (
+    select form, lang, loose as lemma, 'X' as upos, 'Form=whole' as feats from forms
+    union all select form, lang, loose[1:-2], 'X', 'Ending=' || loose[-1] from forms where length(loose) > 4 and loose[-1] in ('a', 'e', 'i', 'm', 'n', 's', 't')),
+read_tokens as (select doc_id, pos, form, lang, lemma, upos, feats from tokens t join readings r using (lang) where t.surface = r.form)"""
 
-@query(f"{_LEMMAS_SQL} select lemma, n, forms from lemmas where lemma = '{LEMMA}'")
+
+@query(f"with {_READ_SQL} select lemma, lang, count(*) as n, count(distinct form) as forms from read_tokens where lemma = '{LEMMA}' group by all")
 def lemma_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_keys(index(spark, sf_dir).lemmas, LEMMA, lang="fr", loose=True).select("lemma", "n", "forms")
+    return find_keys(index(spark, sf_dir).lemmas, LEMMA, loose=True).select("lemma", "lang", "n", "forms")
+
+
+@query(f"with {_READ_SQL} select form, lang, lemma, upos, feats from readings where lemma = '{LEMMA}'")
+def lemma_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index(spark, sf_dir)
+    return found.analyses.where(F.col("lemma") == LEMMA).join(found.features, "feat_id").select("form", "lang", "lemma", "upos", "feats")
+
+
+@query(f"""with {_READ_SQL}, sizes as (select doc_id, count(*) as n_words from tokens where surface <> '' group by doc_id)
+select doc_id, count(*) as n, count(distinct lemma) as forms, any_value(n_words) as n_words, round(count(*) / any_value(n_words) * 10000.0, 6) as rate
+from read_tokens join sizes using (doc_id) where lemma in ('{LEMMA}', '{OTHER_LEMMA}') group by doc_id""")
+def lemma_counts_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index(spark, sf_dir)
+    both = find_keys(found.lemmas, LEMMA, loose=True).unionByName(find_keys(found.lemmas, OTHER_LEMMA, loose=True))
+    return search.counts_by_document(found.lemma_counts, both, found.documents).select("doc_id", "n", "forms", "n_words", "rate")
 
 
 @query(
@@ -79,7 +107,7 @@ def lemma_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(*) as n from tokens where surface <> '' group by 1"""
 )
 def loose_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index(spark, sf_dir).forms.groupBy("loose").agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
+    return index(spark, sf_dir).forms.groupBy("loose").agg(F.count_distinct("form").alias("forms"), F.sum("n").alias("n"))
 
 
 @query(
@@ -91,13 +119,9 @@ def occ_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("doc_id", "pos", "surface", F.col("occ").cast("long").alias("occ"))
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = hits_of(index(spark, sf_dir), FREQUENT)
-    return found.select(
-        "doc_id",
-        F.floor((F.col("pos") - 1) / 100).alias("chunk"),
-        F.col("pos").alias("seq"),
-    ).select("doc_id", (F.col("doc_id") * 100_000 + F.col("chunk")).alias("chunk_id"), "seq")
+def _wanted(table: DataFrame, *keys: str, loose: bool = False) -> list[tuple[str, str]]:
+    """What hits are looked up by: the few forms or lemmas that have one of the keys, with their languages."""
+    return sorted((r[0], r["lang"]) for k in keys for r in find_keys(table, k, loose=loose).select(table.columns[0], "lang").collect())
 
 
 _HITS_SQL = f"{TOKENS_SQL}, hits as (select doc_id, doc_id * 100000 + (pos - 1) // 100 as chunk_id, pos as seq from tokens where surface = '{FREQUENT}')"
@@ -105,7 +129,31 @@ _HITS_SQL = f"{TOKENS_SQL}, hits as (select doc_id, doc_id * 100000 + (pos - 1)
 
 @query(f"with {_HITS_SQL} select doc_id, chunk_id, seq from hits where (chunk_id, seq) > (1000000, 5) order by chunk_id, seq limit 50")
 def hits_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.page_of_hits(_hits(spark, sf_dir), (1_000_000, 5)).select("doc_id", "chunk_id", "seq")
+    found = index(spark, sf_dir)
+    return stored_index.hits_page(found.form_blocks, _wanted(found.forms, FREQUENT), (1_000_000, 5)).select("doc_id", "chunk_id", "seq")
+
+
+@query(f"""with {_HITS_SQL}, busy as (select doc_id from hits group by 1 order by count(*) desc, doc_id limit 1)
+select doc_id, chunk_id, seq from hits where doc_id = (select doc_id from busy) and (chunk_id, seq) > (doc_id * 100000 + 1, 0)
+order by chunk_id, seq limit 50""")
+def hits_page_in_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of hits inside the work that has most of them, behind its second chunk."""
+    found = index(spark, sf_dir)
+    works = search.counts_by_document(found.form_counts, find_keys(found.forms, FREQUENT), found.documents)
+    busy = works.orderBy(F.desc("n"), "doc_id").join(found.documents.drop("n_words"), "doc_id").orderBy(F.desc("n"), "doc_id").first()
+    if busy is None:
+        return all_hits(found.form_blocks, []).select("doc_id", "chunk_id", "seq")
+    page = stored_index.hits_page(found.form_blocks, _wanted(found.forms, FREQUENT), (busy.first_chunk + 1, 0), chunks=(busy.first_chunk, busy.last_chunk))
+    return page.select("doc_id", "chunk_id", "seq")
+
+
+@query(f"""with {_READ_SQL}
+select doc_id, lemma, lang, form, doc_id * 100000 + (pos - 1) // 100 as chunk_id, pos as seq from read_tokens
+where lemma in ('{LEMMA}', '{OTHER_LEMMA}') and (doc_id * 100000 + (pos - 1) // 100, pos) > (2000000, 7) order by chunk_id, seq, lemma limit 50""")
+def lemma_hits_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = index(spark, sf_dir)
+    page = stored_index.hits_page(found.lemma_blocks, _wanted(found.lemmas, LEMMA, OTHER_LEMMA, loose=True), (2_000_000, 7))
+    return page.select("doc_id", "lemma", "lang", "form", "chunk_id", "seq")
 
 
 @query(f"""with {_HITS_SQL},
@@ -114,15 +162,11 @@ best as (select doc_id, row_number() over (order by n desc, doc_id) as work_rank
 numbered as (select h.*, work_rank, row_number() over (order by work_rank, chunk_id, seq) - 1 as hit from hits h join best b on h.doc_id = b.doc_id)
 select doc_id, chunk_id, seq, work_rank, hit from numbered where hit between 50 and 99""")
 def hits_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = _hits(spark, sf_dir)
-    works = hits.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("rate", F.lit(0.0))
-    return search.fill_across_works(hits, works, 50, 50).select(
-        "doc_id",
-        "chunk_id",
-        "seq",
-        F.col("work_rank").cast("long").alias("work_rank"),
-        "hit",
-    )
+    found = index(spark, sf_dir)
+    works = search.counts_by_document(found.form_counts, find_keys(found.forms, FREQUENT), found.documents).withColumn("rate", F.lit(0.0))
+    wanted = _wanted(found.forms, FREQUENT)
+    filled = search.fill_across_works(lambda spans: hits_in_chunks(found.form_blocks, wanted, spans), works, found.documents, 50, 50)
+    return filled.select("doc_id", "chunk_id", "seq", "work_rank", "hit")
 
 
 _KWIC_SQL = f"""with {TOKENS_SQL},
@@ -146,6 +190,21 @@ def kwic_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.context_from_parts(hits_of(found, EXACT), found.parts, ["doc_id"])
 
 
+@query(rf"""with spaced as (
+    select doc_id, regexp_extract_all(regexp_replace(text, '[ \t-\r]+', ' ', 'g'), '(?:[\p{{L}}\p{{M}}\p{{N}}]+|[^ \p{{L}}\p{{M}}\p{{N}}]) ?') as t from documents),
+opened as (select doc_id, unnest(t) as token, unnest(range(1, len(t) + 1)) as pos from spaced),
+around as (
+    select doc_id, pos, token,
+           coalesce(string_agg(token, '') over (partition by doc_id order by pos rows between 10 preceding and 1 preceding), '') as before,
+           coalesce(string_agg(token, '') over (partition by doc_id order by pos rows between 1 following and 10 following), '') as behind
+    from opened)
+select doc_id, pos, before, rtrim(token, ' ') as hit, case when ends_with(token, ' ') then ' ' else '' end || behind as after
+from around where lower(rtrim(token, ' ')) = '{EXACT}'""")
+def kwic_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.spaced_context(texts, lambda token: F.lower(token) == EXACT)
+
+
 @query(
     f"""with {TOKENS_SQL}, p as (select surface, lag(surface) over (partition by doc_id order by pos) as prior
     from tokens where surface <> '') select prior, count(*) as n from p where surface = '{FREQUENT}'
@@ -172,8 +231,8 @@ def lang_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     group by 1"""
 )
 def latin_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = tokens(spark, sf_dir).where("surface <> ''").groupBy("surface").agg(F.count("*").alias("n"))
-    return forms.withColumn("key", match_key(F.col("surface"), F.lit("la"))).groupBy("key").agg(F.sum("n").alias("n"))
+    forms = index(spark, sf_dir).forms.select("form", "n")
+    return forms.withColumn("key", match_key(F.col("form"), F.lit("la"))).groupBy("key").agg(F.sum("n").alias("n"))
 
 
 @query("select conv_id, turn, turn = 1 or turn % 5 = 0 as labelled from conversations")
@@ -187,7 +246,7 @@ def line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def top_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifty most frequent forms; only they are ranked."""
-    best = index(spark, sf_dir).forms.orderBy(F.desc("n"), "form").limit(50)
+    best = index(spark, sf_dir).forms.groupBy("form").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "form").limit(50)
     return best.select("form", "n", F.row_number().over(Window.orderBy(F.desc("n"), "form")).cast("long").alias("place"))
 
 
@@ -198,24 +257,22 @@ select doc_id, pos, doc_id || ':' || ((pos - 1) // 100 + 1) as ref, surface as f
     (pos - 1) // 100, surface order by pos) || ']' as token_urn
 from tokens t join sizes s on t.surface = s.form where surface = '{EXACT}'""")
 def hits_described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loculus.functions.urn import token_urn
-
     words = index(spark, sf_dir)
-    hits = hits_of(words, EXACT).select(
-        "doc_id",
-        "pos",
-        F.lit(EXACT).alias("form_id"),
-        (F.floor((F.col("pos") - 1) / 100) + 1).alias("part"),
-    ).withColumn("chunk_id", F.concat_ws(":", "doc_id", "part"))
-    hits = number_occurrences(hits, ["chunk_id"], "form_id")
-    chunks = hits.select("chunk_id").distinct().withColumn("ref", F.col("chunk_id"))
-    forms = words.forms.where(F.col("form") == EXACT).select(F.col("form").alias("form_id"), "n", "form")
-    found = search.describe_hits(hits, chunks, forms)
-    return found.select(
-        "doc_id",
-        "pos",
-        "ref",
-        "form",
-        "n",
-        token_urn(F.concat(F.lit("urn:"), "doc_id"), F.col("part").cast("string"), F.col("form"), F.col("occ")).alias("token_urn"),
-    )
+    wanted = _wanted(words.forms, EXACT)
+    found = search.describe_hits(all_hits(words.form_blocks, wanted), words.chunks, words.features)
+    size = words.forms.where(F.col("form") == EXACT).groupBy("form").agg(F.sum("n").alias("n"))
+    named = token_urn(F.concat(F.lit("urn:"), "doc_id"), F.col("ref"), F.col("form"), F.col("occ"))
+    ref = F.concat_ws(":", "doc_id", "ref")
+    return found.join(size, "form").select("doc_id", F.col("seq").alias("pos"), ref.alias("ref"), "form", "n", named.alias("token_urn"))
+
+
+@query(f"""with {_READ_SQL}
+select doc_id, pos, lemma, form, lang, upos, feats, ((pos - 1) // 100 + 1)::varchar as ref,
+       'urn:' || doc_id || ':' || ((pos - 1) // 100 + 1) || '@' || form || '[' || row_number() over (partition by doc_id,
+       (pos - 1) // 100, form, lemma, feats order by pos) || ']' as token_urn
+from read_tokens where lemma = '{LEMMA}'""")
+def lemma_hits_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = index(spark, sf_dir)
+    found = search.describe_hits(all_hits(words.lemma_blocks, _wanted(words.lemmas, LEMMA, loose=True)), words.chunks, words.features)
+    named = token_urn(F.concat(F.lit("urn:"), "doc_id"), F.col("ref"), F.col("form"), F.col("occ"))
+    return found.select("doc_id", F.col("seq").alias("pos"), "lemma", "form", "lang", "upos", "feats", "ref", named.alias("token_urn"))

@@ -58,11 +58,9 @@ def test_tokens_and_context(spark):
     ]
     occ = tokens.number_occurrences(words, ["doc_id"]).where("pos = 7").first()
     assert occ.occ == 2
-    hit = search.with_context(words, ["doc_id"], F.col("pos") == 4, width=2).first()
-    assert (hit.before, hit.after) == ("«goddess» --", "wrath; the")
     parts = search.context_parts(words, ["doc_id"])
     again = search.context_from_parts(words.where("pos = 4").select("doc_id", "pos"), parts, ["doc_id"], width=2).first()
-    assert (again.before, again.after) == (hit.before, hit.after)
+    assert (again.before, again.after) == ("«goddess» --", "wrath; the")
 
 
 def test_runs(spark):

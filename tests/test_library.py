@@ -255,6 +255,7 @@ def test_stored_index(spark, tmp_path):
     assert {r.form: r.n for r in search_index.find_keys(found.forms, "la", loose=True).collect()} == {"la": 40, "là": 1}
     assert [r.pos for r in search_index.hits_of(found, "rose").orderBy("pos").limit(2).collect()] == [2, 4]
     assert {r.doc_id: r.n_words for r in found.documents.collect()} == {1: 80, 2: 1} and found.lemmas.count() > 0
+    assert {(r.lemma, r.form, r.upos, r.feats) for r in found.analyses.join(found.features, "feat_id").collect() if r.form == "rose"} == {("rose", "rose", "X", "Form=whole")}
     assert found.parts.where("doc_id = 1").count() == 3 and search_index.open_index(spark, folder) is found
     with pytest.raises(FileNotFoundError, match="404"):
         search_index.open_index(spark, str(tmp_path / "nothing"))
