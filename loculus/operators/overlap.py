@@ -8,29 +8,65 @@ from pyspark.sql import functions as F
 from loculus.functions.citekey import LYRIC_DIVISIONS, end_key, qualify, ranges_overlap, span, start_key, target_citation
 from loculus.functions.urn import prefixes_meet
 
-#: Leading citation numbers that share a bucket in overlap joins.
-LEADING_BUCKET = 8
+#: Halvings of the range of citation numbers (31 bits).
+LEVELS = 31
 
 
 def _leading(citation: Column) -> tuple[Column, Column]:
-    """Buckets of the first and the last leading number of a citation."""
-    one, two = start_key(citation)[0], end_key(citation)[0]
-    return F.floor(F.least(one, two) / LEADING_BUCKET), F.floor(F.greatest(one, two) / LEADING_BUCKET)
+    """The lowest and the highest leading number of a citation."""
+    one, two = start_key(citation)[0].cast("long"), end_key(citation)[0].cast("long")
+    return F.least(one, two), F.greatest(one, two)
+
+
+def _size(level: Column) -> Column:
+    """How many numbers an interval of the level holds."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), level)
+
+
+def dyadic_cover(low: Column, high: Column) -> Column:
+    """The fewest dyadic intervals (level, number) that make up [low, high]: two of a level at most, so 40 for a million numbers.
+
+    Interval ``number`` of a level holds the numbers from ``number << level`` on, ``1 << level`` of them.
+    """
+
+    def of(k: Column) -> Column:
+        start, end = F.floor((low + _size(k) - 1) / _size(k)), F.floor((high + 1) / _size(k))
+        left = F.when((start < end) & (start % 2 == 1), F.struct(k.alias("level"), start.alias("number")))
+        right = F.when((start < end) & (end % 2 == 1), F.struct(k.alias("level"), (end - 1).alias("number")))
+        return F.array(left, right)
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), of)), lambda x: x.isNotNull())
+
+
+def _starts_inside(ranges: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs of ``ranges`` (_low, _high) and ``points`` (_at) with the point in the range, by ``by`` and equality of dyadic intervals.
+
+    A range's cover holds a point in one interval at most, and a point lies in one interval of each level; it is
+    listed under the levels that covers of its group have.
+    """
+    covers = ranges.withColumn("_c", F.explode(dyadic_cover(F.col("_low"), F.col("_high"))))
+    covers = covers.select("*", F.col("_c.level").alias("_level"), F.col("_c.number").alias("_number")).drop("_c", "_low", "_high")
+    levels = covers.groupBy(*by).agg(F.collect_set("_level").alias("_levels"))
+    listed = points.join(levels, by).withColumn("_level", F.explode("_levels")).drop("_levels")
+    listed = listed.withColumn("_number", F.floor(F.col("_at") / _size(F.col("_level"))))
+    return covers.join(listed, [*by, "_level", "_number"]).drop("_level", "_number")
 
 
 def entries_for_passages(passages: DataFrame, entries: DataFrame) -> DataFrame:
     """Pairs of passages (group_key, urn, citation) and entries (group_key, work_urn, entry_citation, ...) that overlap.
 
-    ``group_key`` is what both must share for their urns to be able to meet
-    (the work, or namespace and group where entries name no more).  Inside it
-    both are listed under the buckets of leading numbers that they cross, and a
-    pair is looked at in the first bucket that they share.
+    ``group_key`` is what both must share for their urns to be able to meet (the work, or namespace and group where
+    entries name no more).  Leading numbers overlap where one begins inside the other: first the entries that begin
+    in a passage, then the passages that begin in an entry, behind its first number.
     """
     low, high = _leading(F.col("citation"))
-    left = passages.withColumns({"_from": low, "_to": high}).withColumn("_b", F.explode(F.sequence("_from", "_to"))).drop("_to")
+    left = passages.withColumns({"_low": low, "_high": high})
     low, high = _leading(F.col("entry_citation"))
-    right = entries.withColumns({"_efrom": low, "_eto": high}).withColumn("_b", F.explode(F.sequence("_efrom", "_eto"))).drop("_eto")
-    pairs = left.join(right, ["group_key", "_b"]).where(F.col("_b") == F.greatest("_from", "_efrom")).drop("_b", "_from", "_efrom")
+    right = entries.withColumns({"_elow": low, "_ehigh": high})
+    inside = _starts_inside(left, right.withColumn("_at", F.col("_elow")).drop("_elow", "_ehigh"), ["group_key"]).drop("_at")
+    behind = right.withColumnsRenamed({"_elow": "_low", "_ehigh": "_high"}).withColumn("_low", F.col("_low") + 1).where("_low <= _high")
+    around = _starts_inside(behind, left.withColumn("_at", F.col("_low")).drop("_low", "_high"), ["group_key"]).drop("_at")
+    pairs = inside.unionByName(around)
     return pairs.where(prefixes_meet(F.col("work_urn"), F.col("urn")) & ranges_overlap(F.col("entry_citation"), F.col("citation")))
 
 

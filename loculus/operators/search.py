@@ -163,15 +163,3 @@ def describe_hits(hits: DataFrame, chunks: DataFrame, features: DataFrame) -> Da
     """Hits with the reference of their chunk and the part of speech and features of their reading; hits of forms have neither."""
     read = hits if "feat_id" in hits.columns else hits.withColumns({"lemma": F.lit(None).cast("string"), "feat_id": F.lit(None).cast("long")})
     return read.join(chunks.select("chunk_id", "ref"), "chunk_id", "left").join(features, "feat_id", "left").drop("feat_id")
-
-
-def fuzzy_titles(entries: DataFrame, query: str, threshold: float = 0.3, limit: int = 50) -> DataFrame:
-    """Entries whose title, author or editors are near the query, best first.
-
-    The score is the edit distance over the longer length, 0 where the field
-    holds the query; at most ``threshold``.
-    """
-    asked = F.lit(query.lower())
-    one = lambda c: F.when(F.contains(F.lower(F.col(c)), asked), 0.0).otherwise(F.levenshtein(F.lower(F.col(c)), asked) / F.greatest(F.length(c), F.lit(max(1, len(query)))))
-    score = F.least(*[F.coalesce(one(c), F.lit(1.0)) for c in ("title", "author", "editors")])
-    return entries.withColumn("score", F.round(score, 6)).where(F.col("score") <= threshold).orderBy("score", "title", "url").limit(limit)

@@ -11,11 +11,14 @@ stand-in of a title's length. Nothing else is cut from the texts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loculus.operators.catalog import version_kind
 from loculus.operators.search_index import SearchIndex, open_index, write_index
+from loculus.operators.title_index import TitleIndex, open_title_index, write_title_index
 from loculus.operators.tokens import split_tokens
 from loculus.session import file_status, read_parquet, work_folder
 
@@ -131,16 +134,28 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_tokens(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
 
 
-_built: dict[tuple[str, str, str], str] = {}
+_built: dict[tuple, str] = {}
 
 
-def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    """The word index of all documents, each in its language; built again when the table's files have changed."""
+def _stored_once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], str]) -> str:
+    """The folder of what is built from ``documents``; built again when the table's files have changed."""
     status = file_status(spark, f"{sf_dir}/documents.parquet")
-    key = (spark.sparkContext.applicationId, sf_dir, f"{status.getModificationTime()} {status.getLen()}")
+    key = (name, spark.sparkContext.applicationId, sf_dir, status.getModificationTime(), status.getLen())
     if key not in _built:
-        _built[key] = write_index(table(spark, sf_dir, "documents"), f"{work_folder(spark)}/search")
-    return open_index(spark, _built[key])
+        _built[key] = build(f"{work_folder(spark)}/{name}")
+    return _built[key]
+
+
+def index(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The word index of all documents, each in its language."""
+    return open_index(spark, _stored_once(spark, sf_dir, "search", lambda root: write_index(table(spark, sf_dir, "documents"), root)))
+
+
+def titles(spark: SparkSession, sf_dir: str) -> TitleIndex:
+    """The fuzzy index of the versions' titles and groups; letters outside ASCII are question marks."""
+    plain = F.regexp_replace("title", "[^ -~]", "?").alias("title")
+    entries = versions(spark, sf_dir).select(plain, F.col("textgroup").alias("author"), F.lit("").alias("editors"), F.col("urn").alias("url"))
+    return open_title_index(spark, _stored_once(spark, sf_dir, "titles", lambda root: write_title_index(entries, root)))
 
 
 TOKENS_SQL = r"""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from loculus.functions import urn as U
 from loculus.operators import catalog, citation, endpoints, publish, redirect
-from loculus.operators.search import fuzzy_titles as fuzzy
-from loculus.plans.bindings import CHUNKS_SQL, VERSIONS_SQL, chunks, table, versions
+from loculus.operators import title_index
+from loculus.plans.bindings import CHUNKS_SQL, VERSIONS_SQL, chunks, table, titles, versions
 from loculus.plans.catalogue import query
 
 WORK = ["textgroup", "work"]
@@ -357,13 +357,25 @@ def fuzzy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Letters outside ASCII are replaced on both sides: DuckDB counts edits in bytes.
     """
-    entries = versions(spark, sf_dir).select(
-        F.regexp_replace("title", "[^ -~]", "?").alias("title"),
-        F.col("textgroup").alias("author"),
-        F.lit("").alias("editors"),
-        F.col("urn").alias("url"),
-    )
-    return fuzzy(entries, TITLE_ASKED, threshold=FUZZY_THRESHOLD)
+    return title_index.fuzzy_titles(titles(spark, sf_dir), TITLE_ASKED, threshold=FUZZY_THRESHOLD)
+
+
+@query(f"""with {VERSIONS_SQL},
+plain as (select urn, textgroup, regexp_replace(title, '[^ -~]', '?', 'g') as title from versions),
+typed as (select substr(title, 1, 5) || 'x' || substr(title, 6, 3) || substr(title, 10) as asked from plain where length(title) = 16 order by urn limit 1),
+scored as (
+    select plain.*, least(case when contains(lower(title), lower(asked)) then 0.0
+                               else levenshtein(lower(title), lower(asked))::double / greatest(length(title), length(asked)) end,
+                          levenshtein(lower(textgroup), lower(asked))::double / greatest(length(textgroup), length(asked)), 1.0) as raw
+    from plain, typed)
+select title, textgroup as author, '' as editors, urn as url, round(raw, 6) as score from scored where round(raw, 6) <= 0.3
+order by score, title, url limit 50""")
+def fuzzy_misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is near the first title with one letter too many and one left out, at the default distance."""
+    found = titles(spark, sf_dir)
+    first = found.entries.where(F.length("title") == 16).orderBy("url").select("title").first()
+    asked = "" if first is None else first.title[:5] + "x" + first.title[5:8] + first.title[9:]
+    return title_index.fuzzy_titles(found, asked)
 
 
 @query("""with works as (select n_nationkey::bigint as n, unnest([0, 1, 2]) as i from nation)
