@@ -56,7 +56,7 @@ BATCHES = 5
 #: Counts that pull a weight to no effect, and outcomes that don't occur.
 PRIOR, HEAD_PRIOR, NEVER = 10.0, 1.0, -60.0
 #: Tokens that are computed together; words that a task counts before it hands them on; weight rows that are summed together.
-TOGETHER, MOST_HELD, ROWS_A_SUM = 16_384, 300_000, 1024
+TOGETHER, MOST_HELD, ROWS_A_SUM = 8_192, 300_000, 1024
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -249,9 +249,10 @@ class Model:
 
     @staticmethod
     def _softmax(bias: np.ndarray, weights: np.ndarray, rows: tuple[np.ndarray, ...]) -> np.ndarray:
-        total = weights[rows[0]] + bias
+        total = np.take(weights, rows[0], axis=0)
+        total += bias
         for r in rows[1:]:
-            total += weights[r]
+            total += np.take(weights, r, axis=0)
         np.exp(total, out=total)
         total /= total.sum(axis=1, keepdims=True)
         return total
@@ -275,15 +276,13 @@ class Model:
         shown, expected = np.zeros_like(self.weights), np.zeros_like(self.weights)
         head_shown, head_expected = np.zeros_like(self.head_weights), np.zeros_like(self.head_weights)
         for line, places in _stretches(batches):
-            for start in range(0, len(places), 2 * TOGETHER):
-                _, classes, heads = self.outcomes(line, places[start : start + 2 * TOGETHER])
+            for start in range(0, len(places), TOGETHER):
+                _, classes, heads = self.outcomes(line, places[start : start + TOGETHER])
                 for (rows, outcome, chance), seen, thought in ((classes, shown, expected), (heads, head_shown, head_expected)):
+                    width = seen.shape[1]
                     for r in rows:
-                        np.add.at(seen.reshape(-1), r * seen.shape[1] + outcome, np.float32(1))
-                        order = np.argsort(r.astype(np.uint16), kind="stable")
-                        ordered = r[order]
-                        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-                        thought[ordered[first]] += np.add.reduceat(chance[order], first, axis=0)
+                        np.add.at(seen.reshape(-1), r * width + outcome, np.float32(1))
+                        np.add.at(thought.reshape(-1), (r[:, None] * width + np.arange(width)).ravel(), chance.ravel())
         yield from _blocks({"shown": shown, "expected": expected, "head_shown": head_shown, "head_expected": head_expected})
         del shown, expected, head_shown, head_expected
         tidy()
