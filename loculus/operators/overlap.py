@@ -117,18 +117,15 @@ def target_spans(values: DataFrame, by: list[str], reference: str, about: str) -
 
 
 def citable_leaves(nodes: DataFrame) -> DataFrame:
-    """Nodes (doc, path, tag, type, n) whose ``n`` is a citation: not a lyric division, and nothing that cites below them.
+    """Nodes (doc, enter, leave, tag, type, n) whose ``n`` is a citation: not a lyric division, and nothing that cites below them.
 
-    ``path`` is the array of child positions from the root; ancestors of citing
-    nodes are listed by their path prefixes, so the test is an anti join.
+    What cites below a node would be the next citing node in the document's order, with a number that the node has
+    not left yet, so one look ahead decides.
     """
     lyric = (F.col("tag") == "div") & F.col("type").isin(*LYRIC_DIVISIONS)
     citing = nodes.where((F.coalesce("n", F.lit("")) != "") & ~F.coalesce(lyric, F.lit(False)))
-    ups = citing.where(F.size("path") > 1).select(
-        "doc",
-        F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.slice("path", F.lit(1), k))).alias("path"),
-    ).distinct()
-    return citing.join(ups, ["doc", "path"], "left_anti")
+    ahead = F.lead("enter").over(Window.partitionBy("doc").orderBy("enter"))
+    return citing.withColumn("_next", ahead).where("_next is null or _next > leave").drop("_next")
 
 
 def chunk_of_anchor(anchors: DataFrame, chunk_ids: DataFrame, chunks: DataFrame) -> DataFrame:

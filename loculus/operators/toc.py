@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def linked_entries(nodes: DataFrame, current: str = "") -> DataFrame:
@@ -17,17 +19,40 @@ def linked_entries(nodes: DataFrame, current: str = "") -> DataFrame:
     return nodes.join(parents, ["doc", "node"], "left").withColumn("target", target).drop("_inner")
 
 
-def opened_path(nodes: DataFrame, urn: str) -> DataFrame:
-    """The current entry and its ancestors, by a recursive query upwards."""
-    return nodes.sparkSession.sql(
-        """with recursive up(doc, node, parent, steps) as (
-             select doc, node, parent, 0 from {nodes} where urn = :urn
-             union all
-             select n.doc, n.node, n.parent, u.steps + 1 from up u join {nodes} n on n.doc = u.doc and n.node = u.parent)
-           select doc, node, steps from up""",
-        args={"urn": urn},
-        nodes=nodes,
-    )
+def tree_numbers(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (doc, node, parent, pos, ...) with ``enter`` and ``leave``: each entry's number in display order, and the last number below it.
+
+    Contents of one document are numbered together; entries whose parent is missing stand on top, and such as lie in
+    a circle have no number.
+    """
+    schema = T.StructType([*nodes.schema.fields, T.StructField("enter", T.LongType()), T.StructField("leave", T.LongType())])
+
+    def number(table: pa.Table) -> pa.Table:
+        names, above, place = (table.column(c).to_pylist() for c in ("node", "parent", "pos"))
+        there, below, top = set(names), {}, []
+        for k in sorted(range(len(names)), key=lambda k: (place[k] is None, place[k] or 0, names[k])):
+            (below.setdefault(above[k], []) if above[k] in there else top).append(k)
+        enter, leave, count = [None] * len(names), [None] * len(names), 0
+        waiting = [(k, False) for k in reversed(top)]
+        while waiting:
+            k, done = waiting.pop()
+            if done:
+                leave[k] = count - 1
+                continue
+            enter[k], count = count, count + 1
+            waiting.append((k, True))
+            waiting += [(c, False) for c in reversed(below.get(names[k], []))]
+        return table.append_column("enter", pa.array(enter, pa.int64())).append_column("leave", pa.array(leave, pa.int64()))
+
+    return nodes.groupBy("doc").applyInArrow(number, schema)
+
+
+def opened_path(numbered: DataFrame, urn: str) -> DataFrame:
+    """(doc, node, steps): the current entry and its ancestors of numbered contents, those in whose range its number lies."""
+    here = numbered.where(F.col("urn") == urn).select("doc", F.col("enter").alias("_at"))
+    above = numbered.join(here, "doc").where("_at between enter and leave")
+    nearer = Window.partitionBy("doc", "_at").orderBy(F.desc("enter"))
+    return above.select("doc", "node", (F.row_number().over(nearer) - 1).alias("steps"))
 
 
 def scheme_names(files: DataFrame) -> DataFrame:

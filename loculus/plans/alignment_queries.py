@@ -9,7 +9,7 @@ from loculus.functions import citekey
 from loculus.operators import align, overlap
 from loculus.operators.toc import scheme_names
 from loculus.operators.tokens import tokens_in_runs
-from loculus.plans.bindings import CHUNKS_SQL, TOKENS_SQL, chunks, table, tokens
+from loculus.plans.bindings import BOOK_SECTIONS, CHUNKS_SQL, TOKENS_SQL, chunks, table, tokens
 from loculus.plans.catalogue import dotted, query
 
 #: A version is aligned with the one whose document comes so much later: the next number of its work.
@@ -353,6 +353,20 @@ def commentary_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.link_groups(found, ["doc_id", "passage"], "item_id").select("doc_id", "passage", "commentary", "first", "n")
 
 
+@query(f"with {CHUNKS_SQL} select doc_id as doc, passage from chunks")
+def citable_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books with their sections as a numbered tree, and what of it is cited: sections, and books that have none."""
+    c = chunks(spark, sf_dir)
+    fine, at = F.col("num") % 2 == 1, F.pmod("pos", F.lit(BOOK_SECTIONS))
+    enter = F.when(fine, F.col("pos") + F.floor(F.col("pos") / BOOK_SECTIONS) + 1).otherwise(F.col("pos"))
+    cited = c.select("doc_id", F.struct(enter.alias("enter"), enter.alias("leave"), F.col("passage").alias("n")).alias("e"))
+    held = F.count("*").over(Window.partitionBy("doc_id", F.floor(F.col("pos") / BOOK_SECTIONS)))
+    first = c.withColumn("held", held).where(fine & (at == 0)).withColumn("book", F.col("key")[0].cast("string"))
+    above = first.select("doc_id", F.struct((enter - 1).alias("enter"), (enter - 1 + F.col("held")).alias("leave"), F.col("book").alias("n")).alias("e"))
+    nodes = cited.unionByName(above).select(F.col("doc_id").alias("doc"), "e.*", F.lit("div").alias("tag"), F.lit("section").alias("type"))
+    return overlap.citable_leaves(nodes).select("doc", F.col("n").alias("passage"))
+
+
 _NODES_SQL = "nodes as (select conv_id as doc, turn, case when role = 'user' then 'note' else 'p' end as tag from conversations)"
 
 

@@ -13,6 +13,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
 }
 #: A table in one file of up to so many bytes is dealt out to all cores after reading; larger ones have enough row groups.
 SINGLE_FILE_BYTES = 512 << 20

@@ -6,7 +6,6 @@ and never fails the job: every document comes back with a status.
 
 from __future__ import annotations
 
-import io
 import json
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -16,12 +15,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-#: The catalogue file that is no document, and attribute names.
-CATALOG_FILE = "__cts__.xml"
-#: Elements beside the running text.
+from loculus.sources.xml_source import CATALOG_FILE, ELEMENT, batches, elements, identifier
+
+#: Elements beside the running text.
 ASIDE = ("note", "app", "bibl")
-_XML = "{http://www.w3.org/XML/1998/namespace}"
 
 CHUNK_INDEX = T.StructType(
     [T.StructField("chunks", T.ArrayType(T.StructType([T.StructField("cts_urn", T.StringType()), T.StructField("file", T.StringType())])))]
@@ -140,77 +139,23 @@ def publication_info(nodes: DataFrame) -> DataFrame:
     return said.groupBy("doc").agg(first("publisher").alias("publisher"), first("licence").alias("licence"), first("sourceDesc").alias("source"))
 
 
-def sniff(content: bytes) -> str | None:
-    """The identifier of a document: its body's base, else the first division's number, if it is a urn; None for broken files."""
-    try:
-        for _, el in ET.iterparse(io.BytesIO(content), events=("start",)):
-            tag = el.tag.rsplit("}", 1)[-1]
-            found = el.get(f"{_XML}base") if tag == "body" else el.get("n") if tag == "div" else None
-            if found and found.startswith("urn:cts:"):
-                return found
-    except ET.ParseError:
-        pass
-    return None
-
-
 @F.arrow_udf(T.StringType())
 def document_urn(contents: pa.Array) -> pa.Array:
-    return pa.array([sniff(c.as_py() or b"") for c in contents], pa.string())
-
-
-NODES = "doc string, status string, error string, path array<int>, tag string, type string, n string, corresp string, text string, ids array<string>"
-_NODE_SCHEMA = pa.schema(
-    [
-        ("doc", pa.string()),
-        ("status", pa.string()),
-        ("error", pa.string()),
-        ("path", pa.list_(pa.int32())),
-        ("tag", pa.string()),
-        ("type", pa.string()),
-        ("n", pa.string()),
-        ("corresp", pa.string()),
-        ("text", pa.string()),
-        ("ids", pa.list_(pa.string())),
-    ]
-)
-
-
-def element_rows(doc: str, content: bytes) -> list[dict]:
-    """One row per element with its place in the tree; a single failed row if the document is broken."""
-    try:
-        root = ET.fromstring(content)
-    except ET.ParseError as e:
-        return [{"doc": doc, "status": "failed", "error": str(e)}]
-    rows, waiting = [], [(root, [0])]
-    while waiting:
-        el, at = waiting.pop()
-        own = el.get(f"{_XML}id")
-        rows.append(
-            {
-                "doc": doc,
-                "status": "ok",
-                "path": at,
-                "tag": el.tag.rsplit("}", 1)[-1],
-                "type": el.get("type"),
-                "n": el.get("n"),
-                "corresp": el.get("corresp"),
-                "text": (el.text or "") + "".join(c.tail or "" for c in el),
-                "ids": [own] if own else [],
-            }
-        )
-        waiting += [(c, [*at, k]) for k, c in enumerate(el)]
-    return rows
+    """The identifier of each document, null without one."""
+    return pa.array([identifier(lambda c=c: iter([c.as_py() or b""])) for c in contents], pa.string())
 
 
 def parse_documents(files: DataFrame) -> DataFrame:
-    """Element nodes of ``files`` (doc, content); broken documents give one row with status failed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, content in zip(batch.column("doc").to_pylist(), batch.column("content"), strict=True):
-                yield pa.RecordBatch.from_pylist(element_rows(doc, content.as_py() or b""), schema=_NODE_SCHEMA)
-
-    return files.select("doc", "content").mapInArrow(run, NODES)
+    """Element nodes of ``files`` (doc, content), with the columns of the XML source; broken documents give one row with status failed."""
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for doc, content in zip(frame.column("doc").to_pylist(), frame.column("content"), strict=True):
+                data = content.as_py() or b""
+                yield from batches(elements(lambda data=data: iter([data])), {"doc": doc}, schema)
+
+    kinds = f"doc string, {ELEMENT}"
+    schema = to_arrow_schema(T.StructType.fromDDL(kinds))
+    return files.select("doc", "content").mapInArrow(run, kinds)
 
 
 def compile_status(files: DataFrame, done: DataFrame, nodes: DataFrame) -> DataFrame:

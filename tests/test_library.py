@@ -167,10 +167,10 @@ def test_publication(spark, tmp_path):
 
 
 def test_toc_and_redirects(spark):
-    rows = [("d", 1, None, "u:1", True, None), ("d", 2, 1, "u:1.1", True, "chapter"), ("d", 3, None, "u:2", False, None), ("d", 4, 3, "u:2.1", False, None)]
-    nodes = spark.createDataFrame(rows, "doc string, node int, parent int, urn string, has_scheme boolean, scheme string")
+    rows = [("d", 1, None, 0, "u:1", True, None), ("d", 2, 1, 1, "u:1.1", True, "chapter"), ("d", 3, None, 2, "u:2", False, None), ("d", 4, 3, 3, "u:2.1", False, None)]
+    nodes = spark.createDataFrame(rows, "doc string, node int, parent int, pos int, urn string, has_scheme boolean, scheme string")
     assert {r.node: r.target for r in toc.linked_entries(nodes, "card").collect()} == {1: None, 2: "chapter", 3: None, 4: "card"}
-    assert sorted((r.node, r.steps) for r in toc.opened_path(nodes, "u:2.1").collect()) == [(3, 1), (4, 0)]
+    assert sorted((r.node, r.steps) for r in toc.opened_path(toc.tree_numbers(nodes), "u:2.1").collect()) == [(3, 1), (4, 0)]
     asked = [("/hop//text?doc=old:text:1999.01.0133:book=1", "/new/a.b.pub-grc2"), ("/texts/urn:cts:g:a.b.pub-grc1:1.1", "/new/a.b.pub-grc2"), ("http://h/x?urn=urn%3Acts%3Ag%3Aa.b", "/first"), ("/citations/urn:cts:g:a.b.pub-ger1", None), ("/about", None)]
     found = redirect.extract_identifiers(spark.createDataFrame([a[:1] for a in asked], "request string"), "old:text:")
     table = lambda rows, s: spark.createDataFrame(rows, s)
