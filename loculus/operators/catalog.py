@@ -41,6 +41,8 @@ ROLE_LABELS = {
     "assistant editor": "Assistant Editor",
     "commentator": "Commentator",
 }
+#: Fixed value: how the id of a series begins.
+SERIES_PREFIX = "series_"
 HOUSE_PREFIX = "pub-"
 
 
@@ -255,13 +257,27 @@ def listed_versions(versions: DataFrame) -> DataFrame:
     return versions.select("corpus", "textgroup", "work_urn", "kind", "experimental", "version", "label", "urn").unionByName(crossed)
 
 
-def display_tree(versions: DataFrame, corpora: DataFrame, groups: DataFrame, works: DataFrame) -> DataFrame:
+def version_status(experimental: Column) -> Column:
+    """Curated unless it is known to be experimental."""
+    return F.when(F.coalesce(experimental, F.lit(False)), "experimental").otherwise("curated")
+
+
+def is_series(textgroup: Column) -> Column:
+    """Groups that are a series of volumes, not an author."""
+    return textgroup.startswith(SERIES_PREFIX)
+
+
+def display_tree(versions: DataFrame, corpora: DataFrame, groups: DataFrame, works: DataFrame, listed_by_id: Sequence[str] = ()) -> DataFrame:
     """(corpus_place, group_place, work_place, kind, place, urn): the order in which everything is shown.
 
     Corpora (corpus, label) go by label, groups (corpus, textgroup, sort_key) and
     works (corpus, textgroup, work_urn, sort_key) by sort key, then by id; versions of
-    a kind as ``display_keys`` has them.
+    a kind as ``display_keys`` has them.  Works of a series go by id, and so do the groups
+    of the corpora ``listed_by_id``, series without what marks them as such.
     """
+    bare = F.when(is_series(F.col("textgroup")), F.expr(f"substring(textgroup, {len(SERIES_PREFIX) + 1})")).otherwise(F.col("textgroup"))
+    groups = groups.withColumn("sort_key", F.when(F.col("corpus").isin(*listed_by_id), bare).otherwise(F.col("sort_key")))
+    works = works.withColumn("sort_key", F.when(is_series(F.col("textgroup")), F.substring_index("work_urn", ".", -1)).otherwise(F.col("sort_key")))
     at = lambda by, *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
     c = corpora.select("corpus", at([F.lit(0)], F.lower("label"), "corpus").alias("corpus_place"))  # one row per corpus
     g = groups.select("corpus", "textgroup", at(["corpus"], "sort_key", "textgroup").alias("group_place"))
@@ -278,26 +294,26 @@ def attach_commentaries(versions: DataFrame) -> DataFrame:
     return about.join(works, "work_urn", "left_semi")
 
 
-def facet_match(rows: DataFrame, chosen: Mapping[str, Sequence[str]], text: tuple[str, str] | None = None, leave_out: str | None = None) -> Column:
-    """Rows that match every facet (any of its values), and a folded substring of a column; one facet may be left out."""
+#: Compares without regard to accents and case, in whatever language.
+FOLDED = "UNICODE_CI_AI"
+
+
+def holds_folded(text: Column, part: str) -> Column:
+    """Whether a text holds a part, accents and case aside; an empty part is in every text that isn't null."""
+    return F.contains(F.collate(text, FOLDED), F.collate(F.lit(part), FOLDED))
+
+
+def facet_match(chosen: Mapping[str, Sequence[str]], text: tuple[str, str] | None = None) -> Column:
+    """Rows that match every facet (any of its values) and whose ``text`` column holds what was typed, accents and case aside."""
     out = F.lit(True)
     for facet, values in chosen.items():
-        if values and facet != leave_out:
+        if values:
             out &= F.col(facet).isin(*values)
-    if text and text[1] and text[0] != leave_out:
-        out &= F.contains(F.col(text[0]), F.lit(text[1]))
+    if text and text[1]:
+        out &= holds_folded(F.col(text[0]), text[1])
     return F.coalesce(out, F.lit(False))
 
 
-def facet_counts(rows: DataFrame, key: str, facets: Sequence[str], chosen: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(facet, value, n): distinct keys for each value of each facet, under the choices made in the other facets."""
-    values = [
-        F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value"), facet_match(rows, chosen, leave_out=f).alias("hit")) for f in facets
-    ]
-    opened = rows.select(key, F.explode(F.array(*values)).alias("v")).select(key, "v.*")
-    return opened.groupBy("facet", "value").agg(F.count_distinct(F.when(F.col("hit"), F.col(key))).alias("n"))
-
-
 def crosstab(rows: DataFrame, row: str, column: str, names: Sequence[str]) -> DataFrame:
     """Counts of ``column`` values per ``row`` value with a total row, totals and the share of all in percent."""
     counts = rows.rollup(row).agg(

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loculus.functions import urn as U
-from loculus.operators import catalog, citation, endpoints, publish, redirect
-from loculus.operators import title_index
+from loculus.operators import catalog, citation, endpoints, facets, publish, redirect, snapshots, title_index
 from loculus.plans.bindings import CHUNKS_SQL, VERSIONS_SQL, chunks, table, titles, versions
 from loculus.plans.catalogue import query
+from loculus.session import work_folder
 
 WORK = ["textgroup", "work"]
 CHOSEN = {"language": ["eng", "fre"], "kind": ["edition"]}
@@ -18,7 +20,12 @@ FUZZY_THRESHOLD = 0.75
 
 
 def _with_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions(spark, sf_dir).withColumn("status", F.when(F.col("experimental"), "experimental").otherwise("curated"))
+    return versions(spark, sf_dir).withColumn("status", catalog.version_status(F.col("experimental")))
+
+
+def _facet_index(spark: SparkSession, sf_dir: str) -> facets.FacetIndex:
+    rows = _with_status(spark, sf_dir).select("urn", "title", *FACETS)
+    return facets.facet_index(rows, "urn", FACETS)
 
 
 _PREFERRED_SQL = f"""{VERSIONS_SQL},
@@ -122,13 +129,35 @@ union all select 'language', language, count(distinct urn) filter (k) from rows
 union all select 'kind', kind, count(distinct urn) filter (l) from rows group by 2
 union all select 'status', status, count(distinct urn) filter (l and k) from rows group by 2""")
 def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.facet_counts(_with_status(spark, sf_dir), "urn", FACETS, CHOSEN)
+    return facets.facet_counts(_facet_index(spark, sf_dir), CHOSEN)
+
+
+@query(f"""with {VERSIONS_SQL},
+rows as (select *, case when experimental then 'experimental' else 'curated' end as status, language in ('eng', 'fre') as l, kind = 'edition' as k,
+    contains(lower(strip_accents(title)), 'e') as t from versions)
+select 'corpus' as facet, corpus as value, count(distinct urn) filter (l and k and t) as n from rows group by 2
+union all select 'language', language, count(distinct urn) filter (k and t) from rows group by 2
+union all select 'kind', kind, count(distinct urn) filter (l and t) from rows group by 2
+union all select 'status', status, count(distinct urn) filter (l and k and t) from rows group by 2""")
+def facet_counts_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts under the choices and a typed part of the title."""
+    return facets.facet_counts(_facet_index(spark, sf_dir), CHOSEN, catalog.holds_folded(F.col("title"), "E"))
+
+
+@query(f"with {VERSIONS_SQL} select count(*) filter (language in ('eng', 'fre') and kind = 'edition') as shown, count(*) as total from versions")
+def facet_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facets.shown(_facet_index(spark, sf_dir), CHOSEN)
 
 
-@query(f"with {VERSIONS_SQL} select urn, title from versions where language in ('eng', 'fre') and kind = 'edition' and contains(lower(title), 'the')")
+@query(f"with {VERSIONS_SQL} select urn, title from versions where language in ('eng', 'fre') and kind = 'edition' and contains(lower(strip_accents(title)), 'the')")
 def facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = versions(spark, sf_dir).withColumn("folded", F.lower("title"))
-    return rows.where(catalog.facet_match(rows, CHOSEN, ("folded", "the"))).select("urn", "title")
+    return versions(spark, sf_dir).where(catalog.facet_match(CHOSEN, ("title", "THE"))).select("urn", "title")
+
+
+@query(f"with {VERSIONS_SQL} select urn, title from versions where contains(lower(strip_accents(title)), 'ee')")
+def accents_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that hold a part, accents aside."""
+    return versions(spark, sf_dir).where(catalog.holds_folded(F.col("title"), "Éé")).select("urn", "title")
 
 
 @query(
@@ -519,27 +548,49 @@ def original_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.original_languages(editions, v.select("corpus", "work_urn").distinct(), {"c0": "grc", "c1": "lat"}).select("work_urn", "original")
 
 
-@query(f"""with {VERSIONS_SQL},
+def _display_levels(v: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Corpora, groups and works with stand-ins for labels and sort keys."""
+    corpora = v.select("corpus").distinct().withColumn("label", F.reverse("corpus"))
+    groups = v.select("corpus", "textgroup").distinct().withColumn("sort_key", F.right("textgroup", F.lit(1)))
+    works = v.select("corpus", "textgroup", "work_urn").distinct().withColumn("sort_key", F.right("work_urn", F.lit(1)))
+    return corpora, groups, works
+
+
+def _display_sql(shown: str, group_key: str, work_key: str) -> str:
+    return f"""with {VERSIONS_SQL}, shown as ({shown}),
 listed as (
-    select corpus, textgroup, work_urn, kind, experimental, version, label, urn from versions
+    select corpus, textgroup, work_urn, kind, experimental, version, label, urn from shown
     union all select w.corpus, w.textgroup, w.work_urn, 'commentary', v.experimental, v.version, v.label, v.urn
-    from versions v join (select distinct corpus, textgroup, work_urn from versions) w on w.work_urn = v.about where v.about <> v.work_urn),
-c as (select corpus, row_number() over (order by reverse(corpus), corpus) as corpus_place from (select distinct corpus from versions)),
-g as (select corpus, textgroup, row_number() over (partition by corpus order by right(textgroup,
-    1), textgroup) as group_place from (select distinct corpus, textgroup from versions)),
-w as (select corpus, textgroup, work_urn, row_number() over (partition by corpus, textgroup
-    order by right(work_urn, 1), work_urn) as work_place from (select distinct corpus, textgroup,
-    work_urn from versions))
+    from shown v join (select distinct corpus, textgroup, work_urn from shown) w on w.work_urn = v.about where v.about <> v.work_urn),
+c as (select corpus, row_number() over (order by reverse(corpus), corpus) as corpus_place from (select distinct corpus from shown)),
+g as (
+    select corpus, textgroup, row_number() over (partition by corpus order by {group_key}, textgroup) as group_place
+    from (select distinct corpus, textgroup from shown)),
+w as (
+    select corpus, textgroup, work_urn, row_number() over (partition by corpus, textgroup order by {work_key}, work_urn) as work_place
+    from (select distinct corpus, textgroup, work_urn from shown))
 select corpus_place, group_place, work_place, kind, row_number() over (partition by work_urn,
     kind order by experimental, not starts_with(version, 'pub-'), lower(label), version, urn) as place,
     urn
-from listed join w using (corpus, textgroup, work_urn) join g using (corpus, textgroup) join c using (corpus)""")
+from listed join w using (corpus, textgroup, work_urn) join g using (corpus, textgroup) join c using (corpus)"""
+
+
+@query(_display_sql("from versions", "right(textgroup, 1)", "right(work_urn, 1)"))
 def display_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = versions(spark, sf_dir)
-    corpora = v.select("corpus").distinct().withColumn("label", F.reverse("corpus"))
-    groups = v.select("corpus", "textgroup").distinct().withColumn("sort_key", F.right("textgroup", F.lit(1)))
-    works = v.select("corpus", "textgroup", "work_urn").distinct().withColumn("sort_key", F.right("work_urn", F.lit(1)))
-    return catalog.display_tree(v, corpora, groups, works)
+    return catalog.display_tree(v, *_display_levels(v))
+
+
+@query(_display_sql(
+    "select * replace (case when corpus in ('c1', 'c2') then 'series_' || textgroup else textgroup end as textgroup) from versions",
+    "case when corpus = 'c2' then replace(textgroup, 'series_', '') else right(textgroup, 1) end",
+    "case when starts_with(textgroup, 'series_') then split_part(work_urn, '.', -1) else right(work_urn, 1) end",
+))
+def display_tree_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of two corpora stand for series; one of these corpora lists its groups by id."""
+    v = versions(spark, sf_dir)
+    v = v.withColumn("textgroup", F.when(F.col("corpus").isin("c1", "c2"), F.concat(F.lit("series_"), "textgroup")).otherwise(F.col("textgroup")))
+    return catalog.display_tree(v, *_display_levels(v), listed_by_id=["c2"])
 
 
 @query(f"""with {VERSIONS_SQL}, {CHUNKS_SQL},
@@ -562,3 +613,22 @@ def citation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = v.select(k.alias("query_id"), F.concat("work_urn", F.when(k % 11 == 0, "none").otherwise("")).alias("work_urn"), passage.alias("passage"))
     places = chunks(spark, sf_dir).join(v.select("doc_id", "urn"), "doc_id").select("urn", "key", "passage", "pos")
     return citation.option_links(asked, v.withColumn("pos", k), places).select("query_id", "href")
+
+
+@query(f"with {VERSIONS_SQL} select urn, kind, language, experimental from versions")
+def published_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue as it is read back from the current snapshot after its publication."""
+    root = f"{work_folder(spark)}/published/{uuid.uuid4().hex}"
+    snapshots.publish_snapshot(versions(spark, sf_dir).select("urn", "kind", "language", "experimental"), root, has_index=F.col("kind") == "edition")
+    return snapshots.read_snapshot(spark, root)
+
+
+@query(f"""with {VERSIONS_SQL}, {CHUNKS_SQL},
+there as (select distinct doc_id from chunks)
+select work_urn, count(*) as versions from versions where doc_id % 7 <> 0 and doc_id in (select doc_id from there) group by 1""")
+def deployed_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works with the versions that can be shown: a seventh have no sidecar, and versions without a word no chunk."""
+    v = versions(spark, sf_dir)
+    named = chunks(spark, sf_dir).select("doc_id").distinct().join(v.select("doc_id", "urn"), "doc_id")
+    shown = catalog.deployable(v, v.where(F.col("doc_id") % 7 != 0).select("urn"), named.select("urn"))
+    return shown.groupBy("work_urn").agg(F.count("*").alias("versions"))
