@@ -40,19 +40,19 @@ from loculus.llm.common import Scratch
 from loculus.llm.files import resolve, tidy
 
 #: Vectors of a shard on average: at least, at most, and between them so many that there are about so many shards.
-SHARD_ROWS, MOST_SHARD_ROWS, SHARDS = 4096, 1 << 16, 64
+SHARD_ROWS, MOST_SHARD_ROWS, SHARDS = 4096, 1 << 14, 64
 #: Links of a node (twice as many on the ground level).
 LINKS = 16
 #: Nodes inserted together, at most as many as there are already; and width of their beam.
 BATCH, FIRST_BATCH = 1024, 64
 BUILD_BEAM = 40
-#: Width of a search's beam on the ground and above.
+#: Width of a search's beam on the ground (of a shard of ``SHARD_ROWS``; it grows with the root of the rows) and above.
 BEAM = 96
 UPPER_BEAM = 12
 #: Queries that are searched together.
 QUERY_BLOCK = 1024
 
-INDEX_SCHEMA = "shard int, dimension int, vectors array<float>, ids array<long>, id_starts array<int>, levels array<struct<nodes:array<int>,links:array<int>,width:int>>"
+INDEX_SCHEMA = "shard int, dimension int, vectors array<{kind}>, ids array<long>, id_starts array<int>, levels array<struct<nodes:array<int>,links:array<int>,width:int>>"
 
 
 def usable(vector: Column) -> Column:
@@ -68,7 +68,11 @@ def usable_rows(vectors: DataFrame) -> DataFrame:
 
 
 def _diverse(points: np.ndarray, owners: np.ndarray, near: np.ndarray, width: int) -> np.ndarray:
-    """Of each owner's near ones (nearest first, -1 fills up) up to ``width`` that are nearer to it than to those chosen before."""
+    """Of each owner's near ones (nearest first, -1 fills up) up to ``width`` that are nearer to it than to those chosen before.
+
+    Free places go to the nearest of those that were passed over: where one vector lies between all others, as an
+    average does, hardly any would be left else.
+    """
     out = np.full((len(owners), width), -1, np.int32)
     for at in range(0, len(owners), 256):
         block, ids = points[owners[at : at + 256]], near[at : at + 256]
@@ -80,6 +84,8 @@ def _diverse(points: np.ndarray, owners: np.ndarray, near: np.ndarray, width: in
         for c in range(ids.shape[1]):
             crowded = (chosen & (between[:, c, :] < own[:, c, None])).any(axis=1)
             chosen[:, c] = ~crowded & (chosen.sum(axis=1) < width) & (ids[:, c] >= 0)
+        over = ~chosen & (ids >= 0)
+        chosen |= over & (np.cumsum(over, axis=1) <= width - chosen.sum(axis=1, keepdims=True))
         rows, places = np.nonzero(chosen)
         rank = (np.cumsum(chosen, axis=1) - 1)[rows, places]
         out[at + rows, rank] = ids[rows, places]
@@ -109,8 +115,13 @@ class _Level:
         row, place = np.nonzero(chosen >= 0)
         source, target = nodes[row].astype(np.int32), chosen[row, place]
         known = (self.flat[target] == source[:, None]).any(axis=1)
-        order = np.argsort(target[~known], kind="stable")
-        source, target = source[~known][order], target[~known][order]
+        source, target = source[~known], target[~known]
+        distance = squares[source] - 2 * np.einsum("nd,nd->n", points[source], points[target], optimize=True)
+        order = np.lexsort((distance, target))
+        source, target = source[order], target[order]
+        # a popular target takes the nearest offers only, as many as it has places
+        inside = np.arange(len(target)) - np.searchsorted(target, target) < self.width
+        source, target = source[inside], target[inside]
         owners, first, counts = np.unique(target, return_index=True, return_counts=True)
         if not len(owners):
             return
@@ -170,7 +181,7 @@ def build_graph(ids: np.ndarray, vectors: np.ndarray, copies: int) -> dict:
     starts = np.searchsorted(node, np.arange(len(points) + 1))
     level = np.minimum((-np.log(np.random.default_rng(len(points)).random(len(points))) / np.log(LINKS)).astype(int), 6)
     levels = []
-    for depth, built in enumerate(insert_points(points, level)):
+    for depth, built in enumerate(insert_points(points.astype(np.float32, copy=False), level)):
         nodes = np.flatnonzero(level >= depth)
         levels.append({"nodes": nodes.astype(np.int32), "links": built.flat[nodes].reshape(-1), "width": built.width})
     return {"dimension": points.shape[1], "vectors": points.reshape(-1), "ids": ids, "id_starts": starts.astype(np.int32), "levels": levels}
@@ -208,9 +219,11 @@ def _beam_search(points: np.ndarray, squares: np.ndarray, links: np.ndarray, que
     return np.where(distance < np.inf, nodes, -1)
 
 
-def search_graph(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, distance) of each query's ``k`` nearest found in a shard; distances in double precision."""
-    points = index["vectors"].reshape(-1, index["dimension"])
+def search_graph(index: dict, query_ids: np.ndarray, given: np.ndarray, k: int, beam: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, distance) of each query's ``k`` nearest found in a shard; distances in double precision, of vectors as given."""
+    original = index["vectors"].reshape(-1, index["dimension"])
+    points, queries = original.astype(np.float32, copy=False), given.astype(np.float32, copy=False)
+    beam = beam or int(BEAM * max(1.0, (len(points) / SHARD_ROWS) ** 0.5))
     squares = (points * points).sum(axis=1)
     top = index["levels"][-1]["nodes"]
     found = np.argsort(squares[top][None, :] - 2 * queries @ points[top].T, axis=1, kind="stable")[:, :UPPER_BEAM]
@@ -222,7 +235,7 @@ def search_graph(index: dict, query_ids: np.ndarray, queries: np.ndarray, k: int
         found = _beam_search(points, squares, links, queries, found, max(beam, k) if depth == 0 else UPPER_BEAM)
     row, place = np.nonzero(found >= 0)
     node = found[row, place]
-    exact = np.sqrt(((points[node].astype(np.float64) - queries[row].astype(np.float64)) ** 2).sum(axis=1))
+    exact = np.sqrt(((original[node].astype(np.float64) - given[row].astype(np.float64)) ** 2).sum(axis=1))
     copies = np.diff(index["id_starts"])[node]
     at = np.repeat(index["id_starts"][node] - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())
     ids, owner, exact = index["ids"][at], np.repeat(row, copies), np.repeat(exact, copies)
@@ -239,22 +252,24 @@ def build_index(vectors: DataFrame, copies: int) -> DataFrame:
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         lists = rows.column("embedding").combine_chunks()
-        points = lists.values.to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(lists), -1)
+        points = lists.values.to_numpy(zero_copy_only=False).astype(kind).reshape(len(lists), -1)
         graph = build_graph(rows.column("vec_id").to_numpy(), points, copies)
         return pa.Table.from_pylist([{"shard": key[0].as_py()} | graph], schema=schema)
 
+    exact = vectors.schema["embedding"].dataType.elementType.typeName() == "double"
+    kind = np.float64 if exact else np.float32
     level = pa.struct([("nodes", pa.list_(pa.int32())), ("links", pa.list_(pa.int32())), ("width", pa.int32())])
     schema = pa.schema(
         [
             ("shard", pa.int32()),
             ("dimension", pa.int32()),
-            ("vectors", pa.list_(pa.float32())),
+            ("vectors", pa.list_(pa.float64() if exact else pa.float32())),
             ("ids", pa.list_(pa.int64())),
             ("id_starts", pa.list_(pa.int32())),
             ("levels", pa.list_(level)),
         ]
     )
-    return vectors.groupBy("shard").applyInArrow(build, INDEX_SCHEMA)
+    return vectors.groupBy("shard").applyInArrow(build, INDEX_SCHEMA.format(kind="double" if exact else "float"))
 
 
 def _loaded(batch: pa.RecordBatch, row: int) -> dict:
@@ -273,10 +288,10 @@ def _stored_queries(folder: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         with store.open_input_file(file) as source:
             for block in pa.parquet.ParquetFile(source).iter_batches(QUERY_BLOCK):
                 lists = block.column("embedding")
-                yield block.column("vec_id").to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(lists), -1)
+                yield block.column("vec_id").to_numpy(), lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def nearest(vectors: DataFrame, scratch: Scratch, is_query: Column, k: int = 10, shard_rows: int | None = None, beam: int = BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, scratch: Scratch, is_query: Column, k: int = 10, shard_rows: int | None = None, beam: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest found for every row for which ``is_query`` holds."""
     chance = F.xxhash64(F.monotonically_increasing_id()).alias("chance")
     rows = scratch.table(usable_rows(vectors).select("vec_id", "embedding", chance), "vectors")

@@ -33,6 +33,62 @@ def test_neighbours_recall(spark, scratch):
     assert hit >= 0.9 * 300
 
 
+def shard_recall(data, step):
+    """Recall of ten nearest in one shard's graph, every ``step``-th row as query."""
+    from loculus.llm.hnsw import build_graph, search_graph
+
+    graph = build_graph(np.arange(len(data)), data, 11)
+    asked = np.arange(0, len(data), step)
+    query, found, _ = search_graph(graph, asked, data[asked], 10)
+    hit, exact = 0, data.astype(float)
+    for q in asked:
+        far = ((exact - exact[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hit += len(set(np.argsort(far, kind="stable")[:10]) & set(found[query == q].tolist()))
+    return hit / (10 * len(asked))
+
+
+@pytest.mark.parametrize("kind", ["gauss", "clusters", "full shard"])
+def test_an_average_vector_leaves_the_graph_connected(kind):
+    from loculus.llm.hnsw import MOST_SHARD_ROWS
+
+    r = np.random.default_rng(1)
+    rows = MOST_SHARD_ROWS if kind == "full shard" else 4000
+    data = r.normal(size=(rows, 64)).astype(np.float32)
+    if kind == "clusters":
+        data = (r.normal(size=(50, 64))[r.integers(0, 50, rows)] + 0.3 * data).astype(np.float32)
+    data[7] = data.mean(axis=0)  # nearer to every row than the rows are to each other
+    data[8] = 0.01
+    assert shard_recall(data, rows // 100) >= 0.9
+
+
+def test_popular_targets_hold_memory():
+    """Every new row's nearest is one and the same: offers are cut before they are compared."""
+    import tracemalloc
+
+    from loculus.llm.hnsw import build_graph
+
+    r = np.random.default_rng(2)
+    data = r.normal(size=(6000, 64)).astype(np.float32)
+    data[0] = 0.001
+    tracemalloc.start()
+    try:
+        build_graph(np.arange(6000), data, 11)
+        assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_double_vectors_keep_their_distances(spark, scratch):
+    from loculus.llm.hnsw import nearest
+
+    rows = [(k, [1.0 + k * 1e-12, 2.0, 3.0]) for k in range(40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest(frame, scratch, F.col("vec_id") == 0, k=5).collect()
+    assert [(r["rank"], r.vec_id) for r in sorted(found, key=lambda r: r["rank"])] == [(k, k) for k in range(1, 6)]
+    assert all(abs(r.score - (1.0 + r.vec_id * 1e-12 - 1.0)) < 1e-16 for r in found)
+
+
 @pytest.mark.parametrize("dense", [False, True])
 def test_links_connect_like_all_pairs(dense):
     from loculus.llm import simhash
