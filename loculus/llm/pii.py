@@ -4,13 +4,15 @@ Base spans come from four patterns.  They are seeds, and so are quoted values
 that something is set to and that look random (``key = "..."``, see
 ``_looks_secret``).  The words before a seed make a lexical pattern (its last
 two tokens, and its last one, of up to ``CONTEXT_CHARS`` characters in all;
-longer ones make none).  Patterns and values form a graph.  In each round Spark
+longer ones make none, and neither do those that would reach over another match
+of the seed's kind).  Patterns and values form a graph.  In each round Spark
 scores a pattern by what its distinct values weigh together (seeds 1, others
 their score of the round before) over their number, and a value by the best
 pattern that stands before it; only patterns that reach ``PROMOTE`` count, with
 at least ``LEAST_VALUES`` known values.  A pattern may thus enter through values
 that other patterns promoted.  Identifier-like tokens (with a digit) that end
-with a score become spans of kind ``found``, a secret seed like any other token;
+with a score become spans: of kind ``secret`` where the token is itself such a
+quoted value, and of kind ``found`` where only a learned pattern has found it;
 base spans are never changed.
 
 Only DataFrame functions are used.  The texts are read once; what follows works
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from loculus.llm.common import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
-FOUND = "found"
+SECRET, FOUND = "secret", "found"
 #: Rounds of scoring; share and number of known distinct values that make a pattern trusted.
 ROUNDS = 3
 PROMOTE = 0.9
@@ -65,7 +67,12 @@ def _matches(text: Column, kind: str) -> Column:
     """array of (no, kind, value, gap, before) for all matches; ``gap`` is the length of what lies between."""
     pattern = F.lit(PATTERNS[kind])
     values = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, PATTERNS[kind], -1), lambda p: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(CONTEXT_CHARS)).alias("before")))
+
+    def gap(p: Column, i: Column) -> Column:
+        cut = (i > 0) | (F.length(p) > CONTEXT_CHARS)  # something stands before what is kept
+        return F.struct(F.length(p).alias("gap"), F.concat(F.when(cut, _CUT).otherwise(""), F.right(p, F.lit(CONTEXT_CHARS))).alias("before"))
+
+    gaps = F.transform(F.split(text, PATTERNS[kind], -1), gap)
     both = F.transform(
         F.arrays_zip(values.alias("v"), F.slice(gaps, F.lit(1), F.size(values)).alias("g")),
         lambda x, i: F.struct(i.alias("no"), F.lit(kind).alias("kind"), x["v"].alias("value"), x["g"]["gap"].alias("gap"), x["g"]["before"].alias("before")),
@@ -142,7 +149,7 @@ def free_candidates(matches: DataFrame) -> DataFrame:
 
 
 def bootstrap(matches: DataFrame, scratch: Scratch, rounds: int = ROUNDS, promote: float = PROMOTE, least_values: int = LEAST_VALUES) -> DataFrame:
-    """row, start, end, value of candidates whose contexts are those of known personal data."""
+    """row, kind, start, end, value of candidates whose contexts are those of known personal data."""
     base = matches.where(F.col("kind") != "candidate")
     free = scratch.table(free_candidates(matches), "free")
     secrets = free.where(_looks_secret(F.col("value"), F.col("before"))).select(F.lit("secret").alias("kind"), "value", "before")
@@ -165,21 +172,22 @@ def bootstrap(matches: DataFrame, scratch: Scratch, rounds: int = ROUNDS, promot
             unknown.join(trusted.select("context", "kind", "score"), "context").groupBy("kind", "value").agg(F.max("score").alias("score")),
             f"known-{k}",
         )
-    return free.join(known.select("value").distinct(), "value", "left_semi").select("row", "start", "end", "value")
+    kind = F.when(_looks_secret(F.col("value"), F.col("before")), SECRET).otherwise(FOUND)
+    return free.join(known.select("value").distinct(), "value", "left_semi").select("row", kind.alias("kind"), "start", "end", "value")
 
 
 def find_spans(docs: DataFrame, scratch: Scratch, **options) -> tuple[DataFrame, DataFrame]:
-    """(documents, spans): as ``find_matches``, with kinds of ``KINDS`` and ``found``."""
+    """(documents, spans): as ``find_matches``, with kinds of ``KINDS``, ``secret`` and ``found``."""
     documents, matches = find_matches(docs, scratch)
     found = bootstrap(matches, scratch, **options)
     base = matches.where(F.col("kind") != "candidate").select("row", "kind", "start", "end", "value")
-    return documents, scratch.table(base.unionByName(found.withColumn("kind", F.lit(FOUND))), "spans")
+    return documents, scratch.table(base.unionByName(found), "spans")
 
 
 def span_report(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
-    """doc_id, n_<kind> of each base kind and of ``found``, base_spans and spans ("kind:start:end" by kind and start, comma-joined)."""
+    """doc_id, n_<kind> of each base kind, ``secret`` and ``found``, base_spans and spans ("kind:start:end" by kind and start, comma-joined)."""
     documents, spans = find_spans(docs, scratch, **options)
-    kinds = (*KINDS, FOUND)
+    kinds = (*KINDS, SECRET, FOUND)
     rank = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("kind"))
     entry = F.struct(rank.alias("rank"), "start", "end", F.concat_ws(":", "kind", "start", "end").alias("shown"))
     by_row = spans.groupBy("row").agg(

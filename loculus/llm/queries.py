@@ -72,12 +72,12 @@ def op7_dictionary_id_files(spark: SparkSession, sf_dir: str, tokenizer_path: st
 
 
 def op8_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loculus.llm.pii import FOUND, KINDS, span_report
+    from loculus.llm.pii import FOUND, KINDS, SECRET, span_report
 
     report = span_report(read_table(spark, sf_dir, "documents"), Scratch(spark, "pii"))
-    counts = [f"n_{k}" for k in (*KINDS, FOUND)]
-    every = sum((F.col(c) for c in counts), F.lit(0).cast("long"))
-    return report.select("doc_id", *counts[:-1], F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", counts[-1], every.alias("n_spans"))
+    base, learned = [f"n_{k}" for k in KINDS], [f"n_{k}" for k in (SECRET, FOUND)]
+    every = sum((F.col(c) for c in (*base, *learned)), F.lit(0).cast("long"))
+    return report.select("doc_id", *base, F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans", *learned, every.alias("n_spans"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,15 +183,33 @@ def test_op8(spark, table):
     rows = run(spark, table, "op8")
     assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in rows) == want
     for r in rows:
-        base = [s for s in r.spans.split(",") if s and not s.startswith("found:")]
-        assert sha(",".join(base)) == r.base_sha256 and r.n_found == sum(s.startswith("found:") for s in r.spans.split(","))
+        base = [s for s in r.spans.split(",") if s and not s.startswith(("secret:", "found:"))]
+        assert sha(",".join(base)) == r.base_sha256
+        assert all(r[f"n_{kind}"] == sum(s.startswith(f"{kind}:") for s in r.spans.split(",")) for kind in ("secret", "found"))
 
 
-def test_op8_discovers(spark):
+def test_op8_secrets(spark):
+    """The quoted values of the provided documents are marked as the seeds that they are; nothing else is found there."""
     rows = {r.doc_id: r for r in run(spark, "/root/testdata/sf0.01", "op8")}
     texts = dict(documents(spark, "/root/testdata/sf0.01"))
     secret = {d for d, t in texts.items() if re.search(r'token = "[0-9a-f]{24,}"', t or "")}
-    assert secret and {d for d, r in rows.items() if r.n_found} == secret
+    assert secret and {d for d, r in rows.items() if r.n_secret} == secret and not any(r.n_found for r in rows.values())
+
+
+def test_op8_contexts_that_were_cut_make_no_pattern(spark, scratch):
+    """A token longer than a context isn't taken for the part of it that is kept, nor does a text begin behind a match."""
+    from loculus.llm.pii import CONTEXT_CHARS, span_report
+
+    long = "x" * (2 * CONTEXT_CHARS) + " reach "
+    lines = [f"{long}+1 555 010 {1000 + k}" for k in range(8)] + [long[-CONTEXT_CHARS:] + "ab12cd34"]
+    lines += [f"+1 555 020 {1000 + k} or +1 555 030 {2000 + k}" for k in range(8)] + ["or zz99yy88"]
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert not any(r.n_found for r in span_report(frame, scratch).collect())
+    lines = [f"please reach +1 555 010 {1000 + k}" for k in range(12)] + ["please reach ab12cd34"]
+    from loculus.llm.common import Scratch
+
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert [r.doc_id for r in span_report(frame, Scratch(spark, "test")).collect() if r.n_found] == [12]
 
 
 def test_op9_extreme(spark, folder):
