@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loculus.functions.citekey import passage
 from loculus.functions.urn import fragment_url, reading_url
+from loculus.operators.publish import crc_shard
 
 #: Addresses of what exists once for all texts.
 SEARCH_INDEX, URN_INDEX, CITATION_INDEX, VERSION_URNS = "/collections/search-index.json", "/urn-index.json", "/citation-index.json", "/cts-urns.json"
@@ -63,6 +64,50 @@ def first_pages(versions: DataFrame, first: DataFrame) -> DataFrame:
     )
 
 
+def citation_bodies(authors: DataFrame, works: DataFrame) -> DataFrame:
+    """(key, body): each author's entry of the citation index, from the gazetteer's tables.
+
+    Abbreviations in order; works by urn, each with title, abbreviations and citation scheme (``flat`` where none is named).
+    """
+    scheme = F.coalesce(F.col("scheme"), F.lit("flat")) if "scheme" in works.columns else F.lit("flat")
+    titles = works.groupBy("author", "work_urn").agg(F.first("title").alias("title"), F.array_sort(F.collect_set("abbrev")).alias("title_abbrevs"), F.first(scheme).alias("scheme"))
+    entry = F.struct("title", "title_abbrevs", "scheme")
+    listed = titles.groupBy("author").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("work_urn", entry.alias("entry"))))).alias("works"))
+    names = authors.groupBy("author").agg(
+        F.first("name").alias("name"), F.array_sort(F.collect_set("abbrev")).alias("name_abbrevs"), F.first("default_work").alias("default_work_urn")
+    )
+    body = F.to_json(F.struct("name", "name_abbrevs", "default_work_urn", "works"), {"ignoreNullFields": "false"})
+    return names.join(listed, "author").select(F.col("author").alias("key"), body.alias("body"))
+
+
+def search_bodies(entries: DataFrame) -> DataFrame:
+    """(key, body): each version's entry of the typeahead index, from ``entries`` (title, author, corpus, ..., url)."""
+    fields = ("title", "author", "corpus", "language", "corpus_id", "lang", "kind", "status", "editors", "url")
+    return entries.select(F.col("url").alias("key"), F.to_json(F.struct(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in fields])).alias("body"))
+
+
+#: Endpoints that exist once for the whole library; a shard of pages leaves them to the run that has the manifests.
+GLOBAL_ENDPOINTS = ("index", "collections", "search_index", "urn_index", "citation_index", "cts_urns", "research")
+BUILD_MODES = ("full", "corpus-only", "global-only")
+
+
+def build_plan(urls: DataFrame, mode: str = "full", shard: int = 0, shards: int = 1, manifests: int = 0) -> DataFrame:
+    """Of ``urls`` (endpoint, url) those that one run writes: all, a shard of the pages, or only what manifests are enough for.
+
+    A URL belongs to one shard, by its checksum, whatever else is built; ``global-only`` needs a manifest at least.
+    """
+    if mode not in BUILD_MODES:
+        raise ValueError(f"mode {mode} is none of {', '.join(BUILD_MODES)}")
+    if not 0 <= shard < shards:
+        raise ValueError(f"shard {shard} is not in [0, {shards})")
+    if mode == "global-only" and not manifests:
+        raise ValueError("mode global-only needs a manifest at least")
+    shared = F.col("endpoint").isin(*GLOBAL_ENDPOINTS)
+    kept = urls if mode == "full" else urls.where(shared if mode == "global-only" else ~shared)
+    mine = kept if shards == 1 else kept.where(crc_shard(F.col("url"), shards) == shard)
+    return mine.dropDuplicates(["url"])
+
+
 def write_bodies(bodies: DataFrame, root: str, name: str) -> str:
     """Write (key, body) rows as JSON lines in as many files as Spark has partitions, and return the folder."""
     path = f"{root}/{name}"

@@ -1,4 +1,4 @@
-"""Publication: endpoint rows, shards, manifests, gated snapshots and removal of leftovers."""
+"""Publication: shards, manifests, changes, token sidecars and removal of leftovers; snapshots have a module of their own."""
 
 from __future__ import annotations
 
@@ -68,24 +68,6 @@ def merge_manifests(parts: DataFrame) -> DataFrame:
     return parts.groupBy("work_urn", "version").agg(*[F.max_by(c, "ordinal").alias(c) for c in rest])
 
 
-def publish(frame: DataFrame, root: str, version: str, has_index: Column | None = None, live_rows: int = 0) -> str:
-    """Write a snapshot under its own name, check it, and only then return its path for the pointer to move to.
-
-    The check reads what was written: enough rows against the live snapshot,
-    and some row for which ``has_index`` holds.
-    """
-    path = f"{root}/{version}"
-    frame.write.mode("overwrite").parquet(path)
-    written = frame.sparkSession.read.parquet(path)
-    rows, indexed = written.agg(
-        F.count("*"),
-        F.coalesce(F.max(F.coalesce(has_index, F.lit(True)) if has_index is not None else F.lit(True)), F.lit(False)),
-    ).first()
-    if not indexed or rows < LEAST_SHARE * live_rows:
-        raise ValueError(f"snapshot {version} has {rows} rows of {live_rows} live ones, index: {indexed}")
-    return path
-
-
 def record_source(metadata: DataFrame) -> DataFrame:
     """``metadata`` (json, source_repo, source_path) with where it came from inside ``document``; an empty path is left out."""
     fields = "map<string,string>"
@@ -130,12 +112,6 @@ def tokenizing_outcome(results: DataFrame) -> dict[str, int]:
     return {s: counts.get(s, 0) for s in ("generated", "skipped", "failed")}
 
 
-def snapshots_to_delete(snapshots: DataFrame, keep: int = 2) -> DataFrame:
-    """All but the latest ``keep`` snapshots (name, built_at)."""
-    latest = snapshots.orderBy(F.desc("built_at"), F.desc("name")).limit(keep)
-    return snapshots.join(latest.select("name"), "name", "left_anti")
-
-
 def token_sidecars(tokens: DataFrame, root: str, key: str, force: bool = False) -> int:
     """Write tokens of keys that have none yet, Zstandard-compressed; returns how many keys were new."""
     spark = tokens.sparkSession

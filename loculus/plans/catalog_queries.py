@@ -497,6 +497,40 @@ def urn_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endpoints.urn_bodies(versions(spark, sf_dir).where("language is not null"))
 
 
+@query(r"""with works as (select n_nationkey as n, i from nation, range(3) t(i))
+select 'a' || lpad(n_nationkey::varchar, 2, '0') as key,
+       '{"name":"' || n_name || '","name_abbrevs":["N' || (n_nationkey % 20) || '."],"default_work_urn":' ||
+       case when n_nationkey % 4 = 0 then '"urn:cts:n:a' || n_nationkey || '.w1"' else 'null' end || ',"works":{' ||
+       (select string_agg('"urn:cts:n:a' || n || '.w' || i || '":{"title":"Title ' || i || '","title_abbrevs":["T' || i || '.","Tit. ' || i || '"],"scheme":"flat"}', ',' order by i)
+        from works where n = n_nationkey) || '}}' as body
+from (select n_nationkey, array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(n_name, ' ')], ' ') as n_name from nation)""")
+def citation_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, authors, works = _gazetteer(spark, sf_dir)
+    return endpoints.citation_bodies(authors, works)
+
+
+@query(f"""with {VERSIONS_SQL}
+select '/' || urn || ':1/' as key, to_json({{'title': regexp_replace(title, '[^ -~]', '?', 'g'), 'author': textgroup, 'corpus': upper(corpus),
+    'language': coalesce(case language when 'eng' then 'English' when 'deu' then 'German' when 'fre' then 'French' when 'spa' then 'Spanish' end, ''),
+    'corpus_id': corpus, 'lang': coalesce(language, ''), 'kind': kind, 'status': case when experimental then 'experimental' else 'curated' end, 'editors': '', 'url': '/' || urn || ':1/'}}) as body
+from versions""")
+def search_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _with_status(spark, sf_dir)
+    entries = v.select(
+        F.regexp_replace("title", "[^ -~]", "?").alias("title"),
+        F.col("textgroup").alias("author"),
+        F.upper("corpus").alias("corpus"),
+        catalog.lookup(catalog.LANGUAGE_LABELS, F.col("language")).alias("language"),
+        F.col("corpus").alias("corpus_id"),
+        F.col("language").alias("lang"),
+        "kind",
+        "status",
+        F.lit("").alias("editors"),
+        U.reading_url(F.col("urn"), F.lit("1")).alias("url"),
+    )
+    return endpoints.search_bodies(entries)
+
+
 @query(f"""with {VERSIONS_SQL},
 shards as (select doc_id % 4 as shard, corpus, work_urn, version, label from versions),
 merged as (select work_urn, version, arg_max(corpus, shard) as corpus, arg_max(label, shard) as label,

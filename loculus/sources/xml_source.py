@@ -182,7 +182,7 @@ class CitedXmlReader(DataSourceReader):
 
     def _listed(self) -> list[tuple[str, str, str, int]]:
         """(path, repo, rel_path, size) of XML files; a repository with a ``data`` folder is read from there only."""
-        store, base = _store(self.root)
+        store, base = file_store(self.root)
         base = base.rstrip("/")
         found = []
         for info in store.get_file_info(pafs.FileSelector(base, recursive=True)):
@@ -207,7 +207,7 @@ class CitedXmlReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        store, schema = _store(self.root)[0], to_arrow_schema(self.schema)
+        store, schema = file_store(self.root)[0], to_arrow_schema(self.schema)
         for path, repo, rel_path in partition.files:
             pieces = _reader(store, path)
             place = {"file": path, "repo": repo, "rel_path": rel_path, "version": _stem(rel_path)}
@@ -215,7 +215,7 @@ class CitedXmlReader(DataSourceReader):
             yield from batches(rows, place, schema)
 
 
-def _store(uri: str) -> tuple[pafs.FileSystem, str]:
+def file_store(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI or a local path."""
     if "://" not in uri and not uri.startswith("file:"):
         return pafs.LocalFileSystem(), uri
