@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,6 +57,18 @@ def opened_path(numbered: DataFrame, urn: str) -> DataFrame:
     return above.select("doc", "node", (F.row_number().over(nearer) - 1).alias("steps"))
 
 
+def write_passages(chunks: DataFrame, path: str) -> str:
+    """Store chunks (urn, ...) sorted by urn, in small row groups, so that a lookup reads those around its urns only."""
+    small = {"compression": "zstd", "parquet.block.size": str(4 << 20), "parquet.page.row.count.limit": "1000"}
+    chunks.repartitionByRange("urn").sortWithinPartitions("urn").write.options(**small).parquet(path)
+    return path
+
+
+def find_passages(stored_chunks: DataFrame, urns: Sequence[str]) -> DataFrame:
+    """The stored chunks with one of a few urns; a urn that no version has gives no row."""
+    return stored_chunks.where(F.col("urn").isin(*urns))
+
+
 def scheme_names(files: DataFrame) -> DataFrame:
     """(version, scheme): schemes of a version that have an index, "" for the default, from paths ``version[/scheme]/index.json``."""
     inside = F.regexp_extract("path", r"^(?:[^/]+/)*?[^/]+/index\.json$", 0)

@@ -9,7 +9,7 @@ from loculus.functions import citekey
 from loculus.operators import align, overlap
 from loculus.operators.toc import scheme_names
 from loculus.operators.tokens import tokens_in_runs
-from loculus.plans.bindings import BOOK_SECTIONS, CHUNKS_SQL, TOKENS_SQL, chunks, table, tokens
+from loculus.plans.bindings import BOOK_SECTIONS, CHUNKS_SQL, TOKENS_SQL, chunks, passages, table, tokens
 from loculus.plans.catalogue import dotted, query
 
 #: A version is aligned with the one whose document comes so much later: the next number of its work.
@@ -264,7 +264,15 @@ def first_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {CHUNKS_SQL} select doc_id, passage, pos from chunks where passage = '2.1'")
 def passage_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).where("passage = '2.1'").select("doc_id", "passage", "pos")
+    return passages(spark, sf_dir).where("passage = '2.1'").select("doc_id", "passage", "pos")
+
+
+@query(f"""with {CHUNKS_SQL}, asked as (select item_id, item_id || ':' || (item_id % 3 + 1) || '.1' as urn from benchmark)
+select item_id, urn, pos from asked left join chunks on doc_id || ':' || passage = urn""")
+def passages_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A passage for each benchmark item by its urn; what a version doesn't have is not found."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.concat("item_id", F.lit(":"), F.col("item_id") % 3 + 1, F.lit(".1")).alias("urn"))
+    return asked.join(passages(spark, sf_dir).select("urn", "pos"), "urn", "left").select("item_id", "urn", "pos")
 
 
 @query(f"""with {TOKENS_SQL},

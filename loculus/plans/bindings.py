@@ -11,6 +11,7 @@ stand-in of a title's length. Nothing else is cut from the texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from loculus.operators.catalog import version_kind
 from loculus.operators.search_index import SearchIndex, open_index, write_index
 from loculus.operators.title_index import TitleIndex, open_title_index, write_title_index
+from loculus.operators.toc import write_passages
 from loculus.operators.tokens import split_tokens
 from loculus.session import file_status, read_parquet, work_folder
 
@@ -119,6 +121,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "num", "pos", F.array_join(key.cast("array<string>"), ".").alias("passage"), key.alias("key"))
 
 
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks with urns (``doc_id:passage``), stored sorted by them."""
+    named = chunks(spark, sf_dir).withColumn("urn", F.concat("doc_id", F.lit(":"), "passage"))
+    return spark.read.parquet(_stored_once(spark, sf_dir, "passages", lambda root: write_passages(named, f"{root}/{uuid.uuid4().hex}")))
+
+
 CHUNKS_SQL = r"""
 chunk_counts as (
     select doc_id, doc_id // 100 + 1 as num, len(regexp_extract_all(text, '\S+')) as words from documents),

@@ -139,3 +139,13 @@ def test_spaced_context(spark):
     texts = spark.createDataFrame([(1, "one,  two\tthree; four"), (2, None)], "doc_id long, text string")
     rows = search.spaced_context(texts, lambda t: F.lower(t).isin("two", "four", "one"), width=2).orderBy("pos").collect()
     assert [(r.before, r.hit, r.after) for r in rows] == [("", "one", ", two "), ("one, ", "two", " three; "), ("three; ", "four", "")]
+
+
+def test_a_passage_is_found_in_few_pages(spark, tmp_path):
+    from loculus.operators import toc
+
+    chunks = spark.range(40_000).select(F.format_string("urn:%06d", "id").alias("urn"), F.col("id").alias("pos"))
+    table = spark.read.parquet(toc.write_passages(chunks, str(tmp_path / "passages")))
+    found = toc.find_passages(table, ["urn:000007", "urn:031234", "urn:9"])
+    assert sorted(r.pos for r in found.collect()) == [7, 31234]
+    assert scanned(toc.find_passages(table, ["urn:031234"])) <= 2000
