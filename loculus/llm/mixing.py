@@ -17,8 +17,8 @@ small and otherwise splits at hot sources.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last
 in order; rows that share a doc_id follow each other by their texts' hashes, and
-equal rows share what is left at the cut, each taking its share rounded up or
-down by chance of its row number; documents with size 0 are never taken; an
+equal rows share what is left at the cut evenly, the first of them one word
+more (in ``mixed_documents`` each rounds its share up or down by chance of its row number); documents with size 0 are never taken; an
 empty table gives an empty result.  Other columns are ignored or, in
 ``mixed_documents``, carried along whatever their names.
 """
@@ -139,11 +139,31 @@ def _keys(source: Column, doc_id: Column, text: Column, seed: str) -> list[Colum
 
 
 def mix(docs: DataFrame, scratch: Scratch, seed: str = "mix", **options) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words, repeats counted)."""
-    sized = scratch.table(docs.select("doc_id", *_keys(F.col("source"), F.col("doc_id"), F.col("text"), seed)), "sized")
+    """One row per document: doc_id, size, source_size, target, taken (words, repeats counted).
+
+    Equal rows at a cut are counted through, so their shares add up to what is left there, and the result is the same
+    however the table is dealt out.
+    """
+    keys = _keys(F.col("source"), F.col("doc_id"), F.col("text"), seed)
+    sized = scratch.table(docs.select("doc_id", *keys, F.monotonically_increasing_id().alias("row")), "sized")
     cuts = scratch.table(source_cuts(sized, **options), "cuts")
-    taken = F.col("epochs") * F.col("size") + _last_epoch(F.col("size"))
-    return sized.join(cuts, "source_key").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    joined = sized.join(cuts, "source_key")
+    whole = F.col("epochs") * F.col("size")
+    at_cut = F.coalesce((F.col("key") == F.col("cut_key")) & (F.col("tie") == F.col("cut_tie")), F.lit(False))
+    columns = ["doc_id", "size", "source_size", "target"]
+    clear = joined.where(~at_cut).select(*columns, (whole + _last_epoch(F.col("size"))).alias("taken"))
+
+    # ranks of a source's equal rows: inside a partition of the stored table, and behind those of earlier partitions
+    equal = joined.where(at_cut).withColumn("part", F.shiftright("row", 33))
+    earlier = Window.partitionBy("source_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = equal.groupBy("source_key", "part").agg(F.count("*").alias("n"))
+    before = counts.select("source_key", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("source_key", "part").orderBy("row")) + F.col("before")
+    share = F.expr("size * cut_words div cut_size")
+    over = F.col("cut_words") - share * F.expr("cut_size div size")  # words that are left when each row has its share
+    taken = whole + share + F.when(rank <= over, 1).otherwise(0)
+    ranked = equal.join(before, ["source_key", "part"]).select(*columns, taken.cast("long").alias("taken"))
+    return clear.unionByName(ranked)
 
 
 def mixed_documents(docs: DataFrame, scratch: Scratch, seed: str = "mix", **options) -> DataFrame:

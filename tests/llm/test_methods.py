@@ -258,3 +258,16 @@ def test_pipeline_decisions(spark):
     assert mixed.columns == docs.columns and mixed.count() > 0
     coded = p.token_ids(spark, mixed, SMALL)
     assert coded.count() == mixed.count() and coded.where("n_tokens = 0 or size(ids) <> n_tokens").count() == 0
+
+
+def test_mix_is_the_same_however_rows_are_dealt(spark):
+    """Many rows are equal; two, five and nine partitions give the same rows, and what is taken meets the target to a word."""
+    from loculus.llm.common import Scratch
+    from loculus.llm.mixing import mix
+
+    rows = [(k % 7, words(k % 7, 23), "en", f"s{k % 7 % 3}", 0) for k in range(700)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = [sorted(map(tuple, mix(frame.repartition(n), Scratch(spark, "test")).collect())) for n in (2, 5, 9)]
+    assert found[0] == found[1] == found[2]
+    for source_size, target in {(r[2], r[3]) for r in found[0]}:
+        assert sum(r[4] for r in found[0] if (r[2], r[3]) == (source_size, target)) == round(target)
