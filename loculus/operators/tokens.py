@@ -39,9 +39,17 @@ def number_occurrences(tokens: DataFrame, chunk: list[str], form: str = "surface
     return tokens.withColumn("occ", F.row_number().over(Window.partitionBy(*chunk, form).orderBy(pos)))
 
 
-def prior_words(tokens: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
-    """Words with the word before them; tokens that are nothing but punctuation don't count."""
-    return tokens.where("surface <> ''").withColumn("prior", F.lag("surface").over(Window.partitionBy(*by).orderBy(pos)))
+def prior_words(texts: DataFrame, word: Column, text: str = "text") -> DataFrame:
+    """``texts``' other columns with ``pos`` and ``prior`` of every ``word`` in a text: its place among the words, and the word before it.
+
+    Tokens that are nothing but punctuation don't count; the first word has none before it.  A text's words are at hand
+    as an array, so nothing is sorted or shuffled.
+    """
+    words = F.filter(F.transform(token_array(text), bare_surface), lambda w: w != "")
+    cut = texts.withColumn("_w", words).drop(text)
+    found = F.filter(F.transform("_w", lambda w, i: F.when(w == word, i)), lambda i: i.isNotNull())
+    opened = cut.withColumn("_i", F.explode(found))
+    return opened.withColumns({"pos": (F.col("_i") + 1).cast("long"), "prior": F.when(F.col("_i") > 0, F.get("_w", F.col("_i") - 1))}).drop("_w", "_i")
 
 
 def tokens_in_runs(runs: DataFrame, tokens: DataFrame, by: list[str], bucket: int = 64) -> DataFrame:

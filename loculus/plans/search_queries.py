@@ -211,8 +211,8 @@ def kwic_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     group by 1"""
 )
 def prior_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = prior_words(tokens(spark, sf_dir), ["doc_id"]).where(F.col("surface") == FREQUENT)
-    return found.groupBy("prior").agg(F.count("*").alias("n"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return prior_words(texts, F.lit(FREQUENT)).groupBy("prior").agg(F.count("*").alias("n"))
 
 
 @query(rf"with {TOKENS_SQL} select doc_id, count(*) as n_punct from tokens where regexp_full_match(token, '[\p{{P}}\p{{S}}]+') group by 1")

@@ -76,3 +76,9 @@ def test_labels(spark):
     assert [
         r[0] for r in spark.createDataFrame([("1",), ("4",), ("10",), ("a",)], "n string").select(tokens.labelled_lines(F.col("n"))).collect()
     ] == [True, False, True, False]
+
+
+def test_prior_words(spark):
+    texts = spark.createDataFrame([(1, "The, wrath -- the «the» end"), (2, None), (3, "none")], "d long, text string")
+    got = tokens.prior_words(texts, F.lit("the")).orderBy("pos").collect()
+    assert [(r.d, r.pos, r.prior) for r in got] == [(1, 1, None), (1, 3, "wrath"), (1, 4, "the")]
