@@ -27,15 +27,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **settings
     return spark
 
 
-def work_folder(spark: SparkSession) -> str:
-    """Where stored tables go: the folder that ``spark.checkpoint.dir`` names; a temporary one in local sessions without it."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    A local session without one gets a temporary folder; on a cluster that is an error, since executors would each
+    write to their own disk.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         base = "file://" + tempfile.mkdtemp(prefix="loculus-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/loculus-tables"
+    return base.rstrip("/")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Where stored tables go."""
+    return f"{shared_folder(spark)}/loculus-tables"
 
 
 def stored(frame: DataFrame) -> DataFrame:
