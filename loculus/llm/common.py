@@ -9,31 +9,20 @@ not a recomputation.  Nothing is ever kept in a machine-local folder.
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loculus.session import read_parquet
+from loculus.session import read_parquet, shared_folder
 
 #: A word: a run of characters other than space and the ASCII controls 9 to 13.
 WORD_JAVA = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables.
-
-    Where none is configured a local session gets a temporary one; on a
-    cluster that is an error, since executors would each write to their own disk.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
-        base = "file://" + tempfile.mkdtemp(prefix="loculus-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/") + "/loculus"
+    """The folder for intermediate tables."""
+    return f"{shared_folder(spark)}/loculus"
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
