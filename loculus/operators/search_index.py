@@ -77,13 +77,13 @@ def surrogate_analyses(forms: DataFrame) -> DataFrame:
 
 
 def _blocks(lists: DataFrame, key: str, block_hits: int) -> DataFrame:
-    """Lists of hits (key, lang, chunk_id, hits) cut into blocks of equal size.
+    """Lists of hits (key, lang, doc_id, hits in order) cut into blocks of equal size; documents follow each other by id, as their chunks do.
 
     Lists are range-sorted and counted along their key: inside a range by a window, across ranges by the ranges'
     sums, so a frequent key is spread over ranges and blocks and never lies in one task.
     """
     by = [key, "lang"]
-    order = [*by, "chunk_id"]
+    order = [*by, "doc_id"]
     kept = stored(lists.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     ranged = kept.withColumns({"_range": F.shiftright("_at", 33), "_n": F.size("hits").cast("long")})
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -137,11 +137,13 @@ def write_index(
         (F.col("at") + 1).cast("long").alias("pos"),
         bare_surface(F.col("token")).alias("form"),
     )
-    places = opened.where("form <> ''").groupBy("form", "lang", "chunk_id", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    # one shuffle for both: first the places of a form in a chunk, then the chunks of a document
+    apart = opened.where("form <> ''").repartition("form", "lang", "doc_id")
+    places = apart.groupBy("form", "lang", "doc_id", "chunk_id").agg(F.array_sort(F.collect_list("pos")).alias("places"))
     hit = F.transform("places", lambda p, i: F.struct(F.col("chunk_id"), p.alias("seq"), (i + 1).alias("occ"), F.col("doc_id")))
-    lists = stored(places.select("form", "lang", "chunk_id", "doc_id", hit.alias("hits")))
+    lists = stored(places.groupBy("form", "lang", "doc_id").agg(F.array_sort(F.flatten(F.collect_list(hit))).alias("hits")))
     save(_blocks(lists, "form", block_hits), "form_blocks", "form", "lang", "block", **BLOCK_FILES)
-    form_counts = save(lists.groupBy("form", "lang", "doc_id").agg(F.sum(F.size("hits")).alias("n")), "form_counts", "form", "doc_id")
+    form_counts = save(lists.select("form", "lang", "doc_id", F.size("hits").cast("long").alias("n")), "form_counts", "form", "doc_id")
     last_number = F.floor((F.max(F.size("t")) - 1) / chunk_tokens)
     extents = cut.groupBy("doc_id").agg(last_number.alias("k")).select("doc_id", first.alias("first_chunk"), (first + F.col("k")).alias("last_chunk"))
     save(form_counts.groupBy("doc_id").agg(F.sum("n").alias("n_words")).join(extents, "doc_id"), "documents", "doc_id")
@@ -154,8 +156,8 @@ def write_index(
     same = read["upos"].eqNullSafe(features["upos"]) & read["feats"].eqNullSafe(features["feats"])
     analyses = save(read.join(features, same).select("form", "lang", "lemma", "feat_id", "weight"), "analyses", "form", "lang", "lemma")
     named = F.transform("hits", lambda h: F.struct(h["chunk_id"], h["seq"], h["occ"], h["doc_id"], F.col("form"), F.col("feat_id")))
-    by_lemma = lists.join(analyses, ["form", "lang"]).select("lemma", "lang", "chunk_id", named.alias("hits"))
-    together = by_lemma.groupBy("lemma", "lang", "chunk_id").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    by_lemma = lists.join(analyses, ["form", "lang"]).select("lemma", "lang", "doc_id", named.alias("hits"))
+    together = by_lemma.groupBy("lemma", "lang", "doc_id").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
     save(_blocks(together, "lemma", block_hits), "lemma_blocks", "lemma", "lang", "block", **BLOCK_FILES)
     heads = form_counts.join(analyses, ["form", "lang"])
     lemma_counts = save(heads.groupBy("lemma", "lang", "doc_id").agg(F.sum("n").alias("n"), F.count_distinct("form").alias("forms")), "lemma_counts", "lemma", "doc_id")
