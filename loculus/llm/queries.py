@@ -43,7 +43,9 @@ def op4_suffix_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = remove_repeats(read_table(spark, sf_dir, "documents"), Scratch(spark, "substrings"))
     # repeated passages in texts that are no copies: they keep half of their bytes or more
     passages = F.when(2 * F.col("n_removed") <= F.col("n_bytes"), F.col("n_spans")).otherwise(0).cast("long")
-    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", passages.alias("n_passages"))
+    # the same in words, whatever their bytes: passages of over 50 words that other documents have too
+    shared = F.when(2 * F.col("n_shared_words") <= F.col("n_words"), F.col("n_shared_runs")).otherwise(0).cast("long")
+    return cleaned.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", passages.alias("n_passages"), "n_shared_words", shared.alias("n_shared_passages"))
 
 
 def op5_bpe_rank_array(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:

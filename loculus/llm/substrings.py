@@ -24,6 +24,9 @@ corpus, so buckets are refined only where repeats are possible:
 5. *Removal.*  Ranges are merged in the order of the text, and each text meets its
    own and loses them.
 
+Passages of more than 50 words that several rows share are told beside that: many
+are shorter than ``LENGTH`` bytes, so they stay in the text (``passages``).
+
 Blocks are decided on 128 bits (bucket and extent), and rows are told apart by
 128 bits of id and text.  Equal rows have the same ranges, which are counted
 once; those that very many rows share are known to be repeated as a whole and
@@ -47,6 +50,7 @@ from pyspark.sql import functions as F
 
 from loculus.llm.common import Scratch
 from loculus.llm.files import slices, tidy
+from loculus.llm.passages import WORDS, shared_ranges
 from loculus.llm.suffixes import LENGTH, SEGMENT, Q, cut_blocks, repeated_strings
 
 #: Classes of a bucket up to which they meet in one task, and parts that the starts of a larger one are cut into.
@@ -188,7 +192,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without their ranges, and what went."""
     for batch in slices(batches, "text"):
         rows = []
-        for doc_id, text, ranges in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("ranges"), strict=True):
+        plain = (batch.column(c).to_pylist() for c in ("doc_id", "n_equal", "n_shared_words", "n_shared_runs"))
+        for text, ranges, doc_id, equal, words, runs in zip(batch.column("text"), batch.column("ranges"), *plain, strict=True):
             data = text.as_buffer().to_pybytes()
             merged: list[list[int]] = []
             if ranges.is_valid:
@@ -200,12 +205,16 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     else:
                         merged.append([a, b])
             kept = b"".join(data[a:b] for a, b in zip([0, *(m[1] for m in merged)], [*(m[0] for m in merged), len(data)], strict=True))
-            rows.append((doc_id, len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept, [x for m in merged for x in m]))
+            n_words = len(data.split()) if equal or words else 0
+            if equal and n_words >= WORDS:  # equal rows share all they have
+                words, runs = n_words, 1
+            found = (doc_id, len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept, [x for m in merged for x in m])
+            rows.append((*found, n_words, words or 0, runs or 0))
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * 3)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed", "n_words", "n_shared_words", "n_shared_runs"],
             )
 
 
@@ -257,22 +266,26 @@ def split_buckets(pieces: DataFrame, scratch: Scratch, most_together: int) -> tu
 
 
 def merged_ranges(ranges: DataFrame) -> DataFrame:
-    """One row per key with its ranges (start, stop) in order, overlapping and touching ones merged."""
+    """(key, run, start, stop): ranges with overlapping and touching ones merged."""
     order = Window.partitionBy(*_KEY).orderBy("start", "stop")
     reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = ranges.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1))
     runs = opened.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy(*_KEY, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    return spans.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    return runs.groupBy(*_KEY, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
 
 
 def remove_repeats(docs: DataFrame, scratch: Scratch, most_together: int = MOST_TOGETHER) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), removed (flat list of range bounds)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), removed (flat list of range bounds), n_words, n_shared_words, n_shared_runs.
+
+    Shared words and runs are those of passages of ``WORDS`` words or more that other rows have too; ``n_words`` is 0 where there are none.
+    """
     keyed = _with_key(docs)
     equal = scratch.table(keyed.groupBy(*_KEY).agg(F.count("*").alias("n")).where("n > 1"), "equal-rows")
     rows = docs.count()
     many = scratch.table(equal.where(F.col("n") > max(MANY_EQUAL, int(rows * MANY_EQUAL_SHARE))).select(*_KEY), "many-equal-rows")
     some = many.count()  # each has more than this share of all rows, so there are few
+    shared = merged_ranges(shared_ranges(keyed, many, scratch)).groupBy(*_KEY)
+    shared = scratch.table(shared.agg(F.sum(F.col("stop") - F.col("start")).alias("n_shared_words"), F.count("*").alias("n_shared_runs")), "shared-words")
     settled, open_ = repeated_blocks(keyed, many, scratch)
     single = keyed.join(F.broadcast(many), _KEY, "left_anti") if some else keyed
     texts = single.repartition(*_KEY)  # one shuffle of the texts, read both to refine and to remove
@@ -285,9 +298,11 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, most_together: int = MOST_
     pieces, ranges = split_buckets(pieces, scratch, most_together)
     refined = pieces.repartition("bucket").sortWithinPartitions("bucket", *_KEY, "first").mapInArrow(_refine, "key_1 long, key_2 long, start long, stop long")
     every = settled.unionByName(refined)
-    gathered = merged_ranges(every if ranges is None else every.unionByName(ranges))
-    joined = texts.join(gathered, _KEY, "left").select("doc_id", "text", "ranges")
+    spans = merged_ranges(every if ranges is None else every.unionByName(ranges))
+    gathered = spans.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    told = ["n_equal", "n_shared_words", "n_shared_runs"]
+    joined = texts.join(gathered, _KEY, "left").join(equal.withColumnRenamed("n", "n_equal"), _KEY, "left").join(shared, _KEY, "left").select("doc_id", "text", "ranges", *told)
     if some:
         whole = F.when(F.octet_length("text") >= LENGTH, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("stop"))))
-        joined = joined.unionByName(keyed.join(F.broadcast(many), _KEY).select("doc_id", "text", whole.alias("ranges")))
-    return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<long>")
+        joined = joined.unionByName(keyed.join(F.broadcast(many), _KEY).select("doc_id", "text", whole.alias("ranges"), F.lit(2).cast("long").alias("n_equal"), *[F.lit(None).cast("long").alias(c) for c in told[1:]]))
+    return joined.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<long>, n_words long, n_shared_words long, n_shared_runs long")

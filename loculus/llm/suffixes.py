@@ -69,15 +69,15 @@ def sliding_choice(names: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:count], ahead[width - 1 : width - 1 + count]) & _U(0xFFFFF)).astype(np.int64)
 
 
-def cut_blocks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, first, last, anchor): blocks of string starts that choose the same q-gram, for a segment's bytes.
+def cut_blocks(data: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, first, last, anchor): blocks of string starts that choose the same q-gram, for a segment's bytes or word names.
 
-    A string of ``LENGTH`` bytes chooses one q-gram inside it (its anchor) by
+    A string of ``length`` bytes chooses one q-gram inside it (its anchor) by
     content alone, so equal strings lie in blocks with the same bucket name and
     at the same distance from the anchor.
     """
-    names = qgram_names(data, 0)
-    chosen = sliding_choice(names, LENGTH - Q + 1)
+    names = qgram_names(data, 0, q)
+    chosen = sliding_choice(names, length - q + 1)
     cuts = np.flatnonzero(np.diff(chosen)) + 1
     first = np.concatenate([[0], cuts])
     last = np.concatenate([cuts, [len(chosen)]]) - 1
