@@ -50,9 +50,11 @@ LEAST_TIMES = 3
 CLASSES, HEADS = 32, 16
 #: Frequent words that tell what a word's neighbourhood is, and how near they count.
 SIGNS, NEAR = 32, 4
-#: Weight rows of one word (the frequent half have their own), of word pairs, and of (word, class).
+#: Weight rows of one word (the frequent half have their own), of word pairs, and of (word, class): powers of two.
 WORD_ROWS, PAIR_ROWS, HEAD_ROWS = 4096, 8192, 8192
 BATCHES = 5
+#: Two neighbouring float32 as one number, so that an addition does both.
+PAIR = np.complex64
 #: Counts that pull a weight to no effect, and outcomes that don't occur.
 PRIOR, HEAD_PRIOR, NEVER = 10.0, 1.0, -60.0
 #: Tokens that are computed together; words that a task counts before it hands them on; weight rows that are summed together.
@@ -105,18 +107,20 @@ def _encoder(words: list[bytes]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w: k for k, w in enumerate(words, 1)}
         for batch in batches:
-            ids, rare, times, size = [], [], [], []
+            ids, rare, times, size, ends = [], [], [], [], [0]
             for text in batch.column("text"):
                 tokens = words_of(text.as_py())
                 known = np.empty(len(tokens) + 1, np.uint16)
                 known[:-1] = np.fromiter(map(number.get, tokens, repeat(RARE)), np.uint16, len(tokens))
                 known[-1] = END
-                others = Counter(tokens[i] for i in np.flatnonzero(known == RARE).tolist())
+                others = Counter(map(tokens.__getitem__, np.flatnonzero(known == RARE).tolist()))
                 ids.append(known.tobytes())
                 size.append(len(known))
-                rare.append(list(others))
-                times.append(list(others.values()))
-            new = [pa.array(size, pa.int64()), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+                rare.extend(others)
+                times.extend(others.values())
+                ends.append(len(rare))
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind)) for flat, kind in ((rare, pa.binary()), (times, pa.int64()))]
+            new = [pa.array(size, pa.int64()), pa.array(ids, pa.binary()), *lists]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "held_out", "part")), *new], ENCODED_NAMES)
         tidy()
 
@@ -157,10 +161,12 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each token stands near each sign: (block of tokens, counts as int64)."""
     seen = np.zeros((RARE + 1) * SIGNS, np.int64)
     for line, _ in _stretches(batches):
+        signs = np.flatnonzero((line > END) & (line <= SIGNS))
+        which = line[signs] - 1
         for gap in range(1, NEAR + 1):
-            for here, there in ((line[gap:], line[:-gap]), (line[:-gap], line[gap:])):
-                signs = np.flatnonzero((there > END) & (there <= SIGNS))
-                np.add.at(seen, here[signs] * SIGNS + there[signs] - 1, 1)
+            first, end = np.searchsorted(signs, (gap, len(line) - gap))  # signs with a token so far before, and behind
+            np.add.at(seen, line[signs[first:] - gap] * SIGNS + which[first:], 1)
+            np.add.at(seen, line[signs[:end] + gap] * SIGNS + which[:end], 1)
     yield from _blocks({"near": seen.reshape(RARE + 1, SIGNS)})
     tidy()
 
@@ -237,15 +243,15 @@ class Model:
 
         def row(word: np.ndarray) -> np.ndarray:
             half = WORD_ROWS // 2
-            return np.where(word < half, word, half + (word * 2_654_435_761 >> 7) % half)
+            return np.where(word < half, word, half + (word * 2_654_435_761 >> 7 & half - 1))
 
         one, two, three = line[places - 1], line[places - 2], line[places - 3]
-        pair = ((one * 1_000_003 + two * 7919) * 2_654_435_761 >> 9) % PAIR_ROWS
+        pair = ((one * 1_000_003 + two * 7919) * 2_654_435_761 >> 9) & PAIR_ROWS - 1
         return row(one), WORD_ROWS + row(two), 2 * WORD_ROWS + row(three), 3 * WORD_ROWS + pair
 
     def head_features(self, line: np.ndarray, places: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, ...]:
         """Weight rows of (last word, class) and (second last word, class)."""
-        return tuple(k * HEAD_ROWS + ((line[places - 1 - k] * CLASSES + kind) * 2_654_435_761 >> 9) % HEAD_ROWS for k in (0, 1))
+        return tuple(k * HEAD_ROWS + ((line[places - 1 - k] * CLASSES + kind) * 2_654_435_761 >> 9 & HEAD_ROWS - 1) for k in (0, 1))
 
     @staticmethod
     def _softmax(bias: np.ndarray, weights: np.ndarray, rows: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -254,7 +260,7 @@ class Model:
         for r in rows[1:]:
             total += np.take(weights, r, axis=0)
         np.exp(total, out=total)
-        total /= total.sum(axis=1, keepdims=True)
+        total /= np.einsum("ij->i", total)[:, None]
         return total
 
     def outcomes(self, line: np.ndarray, places: np.ndarray) -> tuple:
@@ -279,10 +285,10 @@ class Model:
             for start in range(0, len(places), TOGETHER):
                 _, classes, heads = self.outcomes(line, places[start : start + TOGETHER])
                 for (rows, outcome, chance), seen, thought in ((classes, shown, expected), (heads, head_shown, head_expected)):
-                    width = seen.shape[1]
+                    width, half = seen.shape[1], seen.shape[1] // 2
                     for r in rows:
                         np.add.at(seen.reshape(-1), r * width + outcome, np.float32(1))
-                        np.add.at(thought.reshape(-1), (r[:, None] * width + np.arange(width)).ravel(), chance.ravel())
+                        np.add.at(thought.view(PAIR).reshape(-1), (r[:, None] * half + np.arange(half)).ravel(), chance.view(PAIR).ravel())
         yield from _blocks({"shown": shown, "expected": expected, "head_shown": head_shown, "head_expected": head_expected})
         del shown, expected, head_shown, head_expected
         tidy()
