@@ -23,7 +23,12 @@ between two texts.  Texts with the same words collapse first.
    check either; the others are verified on the whole sets.
 4. *Open groups.*  Where a large group's texts are then still in several
    components, texts outside its largest one are compared with all the others,
-   in blocks of bounded size; only links leave such a block.
+   in blocks of bounded size: bitmaps first, so that only texts which these leave
+   in need their whole sets; only links leave such a block.
+
+Whole sets are made from the documents again, for the texts that need them.  A
+bitmap of hashes of bounded size, which loses none of them, goes to the documents
+first, so few others are shuffled to meet them.
 
 Texts are told apart by 64-bit hashes of their words: among 10 billion different
 texts two or three pairs are expected to share one.
@@ -45,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loculus.llm.common import Scratch
+from loculus.llm.common import Scratch, delete_path
 from loculus.llm.files import slices, tidy
 from loculus.llm.graph import components
 from loculus.llm.simhash import majority_bits, shingle_digests, signature_links, words_of
@@ -62,7 +67,12 @@ SALT_TEXTS = 8_192
 #: Texts and shingles of a block of a larger group.
 BLOCK_TEXTS = 1_024
 BLOCK_SHINGLES = 1 << 22
+#: Bits (a power of 2) and bits of a row of the bitmap of texts that are looked up.
+LOOKUP_BITS = 1 << 24
+_ROW_BITS = 64
 _SALT = np.int64(0x5851F42D4C957F2D)
+#: Words of 64 bits that are compared at once.
+_CELLS = 1 << 20
 
 
 def shingle_set(digests: bytes) -> np.ndarray:
@@ -97,6 +107,35 @@ def may_link(size_a: np.ndarray, size_b: np.ndarray, maps_a: list[bytes], maps_b
     return (far <= most) & (np.minimum(size_a, size_b) >= least)
 
 
+def possible_partners(sizes: np.ndarray, maps: list[bytes], labels: np.ndarray, probes: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Which texts the bitmaps leave a link for between ``probes`` and ``others`` of two labels: the rule of ``may_link``, for all these pairs."""
+    live = np.zeros(len(sizes), bool)
+    widths = np.fromiter(map(len, maps), np.int64, len(maps))
+
+    def shaped(rows: np.ndarray, width: int) -> np.ndarray:
+        bits = np.frombuffer(b"".join([maps[i] for i in rows.tolist()]), np.uint64).reshape(len(rows), -1)
+        while bits.shape[1] > width // 8:
+            bits = bits[:, : bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2 :]
+        return bits
+
+    for w in np.unique(widths[probes]).tolist():
+        for v in np.unique(widths[others]).tolist():
+            rows, to = probes[widths[probes] == w], others[widths[others] == v]
+            if min(sizes[rows].max(), sizes[to].max()) < similarity * max(sizes[rows].min(), sizes[to].min()) - 1:
+                continue  # too different in size, all of them
+            one, two = shaped(rows, min(w, v)), shaped(to, min(w, v))
+            step = max(1, _CELLS // (len(to) * one.shape[1]))
+            for k in range(0, len(rows), step):
+                at = rows[k : k + step]
+                a, b = sizes[at][:, None], sizes[to][None, :]
+                least = least_common(a, b, similarity)
+                able = (np.minimum(a, b) >= least) & (labels[at][:, None] != labels[to][None, :])
+                able &= np.bitwise_count(one[k : k + step, None, :] ^ two[None, :, :]).sum(axis=2, dtype=np.int64) <= a + b - 2 * least
+                live[at[able.any(axis=1)]] = True
+                live[to[able.any(axis=0)]] = True
+    return live
+
+
 @dataclass
 class ShingleOrder:
     """Shingles that come last: sorted, with their places from rare to common (from 1), numbers of salts, and a text that has each."""
@@ -322,6 +361,15 @@ def joining_links(sets: list[np.ndarray], labels: np.ndarray, probes: np.ndarray
     return links
 
 
+def likely(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``keyed`` with all rows whose text_hash is one of ``chosen`` (of_hash), and few others while these are fewer than ``LOOKUP_BITS``."""
+    bit = lambda c: F.pmod(c, F.lit(LOOKUP_BITS))
+    row = lambda c: F.shiftright(bit(F.col(c)), _ROW_BITS.bit_length() - 1).alias("row")
+    place = lambda c: F.pmod(F.col(c), F.lit(_ROW_BITS)).cast("int")
+    bits = chosen.groupBy(row("of_hash")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place("of_hash"))).alias("bits"))
+    return keyed.withColumn("row", row("text_hash")).join(F.broadcast(bits), "row").where(F.getbit("bits", place("text_hash")) == 1).drop("row", "bits")
+
+
 class _Shingles:
     """Whole shingle sets of the texts that are asked for, read from the documents again."""
 
@@ -343,8 +391,9 @@ class _Shingles:
             tidy()
 
         chosen = wanted.distinct().join(self.classes.select("words_hash", F.col("text_hash").alias("of_hash"), F.col("doc_id").alias("of_id")), "words_hash")
+        chosen = self.scratch.table(chosen, f"{name}-wanted")
         same = (F.col("text_hash") == F.col("of_hash")) & F.col("doc_id").eqNullSafe(F.col("of_id"))
-        texts = self.keyed.join(chosen, same).dropDuplicates(["words_hash"]).select("words_hash", "text")
+        texts = likely(self.keyed, chosen).join(chosen, same).dropDuplicates(["words_hash"]).select("words_hash", "text")
         return self.scratch.table(texts.mapInArrow(run, "words_hash long, shingles array<long>"), name)
 
 
@@ -375,11 +424,18 @@ def _open_links(large: DataFrame, roots: DataFrame, shingles: _Shingles, scratch
     several = scratch.table(several.groupBy("c", "mark0", "mark1").agg(F.min(F.struct("token", "main", "blocks", "probing")).alias("g")).select("g.*"), "several")
     if several.isEmpty():
         return None
-    open_ = members.join(several, "token")
+    maps = shingles.classes.select(F.col("words_hash").alias("text"), "bitmap")
+    open_ = members.join(several, "token").join(maps, "text")
     place = lambda n: F.pmod(F.xxhash64("text", "token"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    probes = open_.where("label <> main").select("token", place("probing").alias("x"), every("blocks").alias("y"), "text", "label", F.lit(True).alias("probe"))
-    others = open_.select("token", every("probing").alias("x"), place("blocks").alias("y"), "text", "label", F.lit(False).alias("probe"))
+    told = ["text", "label", "n", "bitmap"]
+    probes = open_.where("label <> main").select("token", place("probing").alias("x"), every("blocks").alias("y"), *told, F.lit(True).alias("probe"))
+    others = open_.select("token", every("probing").alias("x"), place("blocks").alias("y"), *told, F.lit(False).alias("probe"))
+
+    def thin(cell: pa.Table) -> pa.Table:
+        sizes, labels, probe = (cell.column(c).to_numpy() for c in ("n", "label", "probe"))
+        live = possible_partners(sizes, cell.column("bitmap").to_pylist(), labels, np.flatnonzero(probe), np.flatnonzero(~probe), similarity)
+        return cell.select(["token", "x", "y", "text", "label", "probe"]).filter(pa.array(live))
 
     def run(cell: pa.Table) -> pa.Table:
         flat = cell.column("shingles").combine_chunks()
@@ -390,8 +446,13 @@ def _open_links(large: DataFrame, roots: DataFrame, shingles: _Shingles, scratch
         links = np.array(joining_links(shingles, labels, probing, similarity), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(texts[links[:, 0]]), "b": pa.array(texts[links[:, 1]])})
 
-    sets = shingles.table(open_.select(F.col("text").alias("words_hash")), "open-shingles")
-    cells = probes.unionAll(others).join(sets.withColumnRenamed("words_hash", "text"), "text").select("token", "x", "y", "text", "label", "probe", "shingles")
+    cells = probes.unionAll(others).groupBy("token", "x", "y")
+    live = scratch.table(cells.applyInArrow(thin, "token long, x long, y long, text long, label long, probe boolean"), "open-texts")
+    if live.isEmpty():
+        return None
+    sets = shingles.table(live.select(F.col("text").alias("words_hash")), "open-shingles")
+    scratch.release()
+    cells = live.join(sets.withColumnRenamed("words_hash", "text"), "text").select("token", "x", "y", "text", "label", "probe", "shingles")
     return scratch.table(cells.groupBy("token", "x", "y").applyInArrow(run, "a long, b long"), "open-links")
 
 
@@ -430,7 +491,10 @@ def similar_groups(docs: DataFrame, scratch: Scratch, shingle_words: int = SHING
 
 def keep_one_of_each(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     """``docs`` with one row of each group: the smallest doc_id (a null one only if there is no other), then the smallest text hash, then the smallest row as JSON."""
-    groups = scratch.table(similar_groups(docs, scratch, **options), "groups")
+    parts = Scratch(scratch.spark, "similar-groups")
+    groups = scratch.table(similar_groups(docs, parts, **options), "groups")
+    delete_path(scratch.spark, parts.path)
+    scratch.release()
     first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "copies")).alias("f"))
     keep = scratch.table(first.select(F.col("f.doc_id").alias("keep_id"), F.col("f.text_hash").alias("keep_hash"), F.col("f.copies").alias("copies")), "keep")
     packed = docs.select(F.struct("*").alias("doc"))  # whatever the columns' names are

@@ -129,6 +129,64 @@ def test_salted_shingles(spark, scratch, monkeypatch):
     assert 1 < check_groups(spark, scratch, [" ".join(t) for t in texts]) < 300
 
 
+def test_open_groups_fetch_only_texts_that_may_link(spark, monkeypatch):
+    """A passage that otherwise different texts share makes large groups; bitmaps settle these, and no whole sets are needed for them."""
+    from loculus.llm import similar
+    from loculus.llm.common import Scratch
+
+    monkeypatch.setattr(similar, "PAIRED_GROUP", 4)
+    monkeypatch.setattr(similar, "COMMON_SHINGLES", 0)  # else the passage is not in the prefixes of so few texts
+    r = random.Random(23)
+    passage = [f"shared{k}" for k in range(120)]
+    apart = [" ".join([f"w{r.randrange(10**9)}" for _ in range(200)] + passage) for _ in range(90)]
+    _, near = variants(24, 90, 120, (1, 5))
+    rows = {}
+
+    class Counted(Scratch):
+        def table(self, df, name):
+            stored = super().table(df, name)
+            rows[name] = stored.count()
+            return stored
+
+    assert 90 < check_groups(spark, Counted(spark, "test"), apart + [" ".join(t) for t in near]) < 180
+    assert rows["several"] > 0
+    assert rows.get("open-shingles", 0) <= 90
+
+
+def test_possible_partners_are_those_of_may_link(monkeypatch):
+    from loculus.llm import similar
+
+    monkeypatch.setattr(similar, "_CELLS", 64)  # many steps
+    r = np.random.default_rng(7)
+    base = r.integers(-(1 << 63), (1 << 63) - 1, 700)
+    sets = []
+    for _ in range(120):
+        cut, more = int(r.integers(0, 500)), int(r.integers(0, 60))
+        sets.append(np.unique(np.concatenate([base[cut : cut + int(r.integers(50, 700))], r.integers(-(1 << 63), (1 << 63) - 1, more)])))
+    sizes, maps, labels = np.array([len(s) for s in sets]), [similar.parity_bitmap(s) for s in sets], r.integers(0, 40, 120)
+    probes, others = np.arange(0, 60), np.arange(40, 120)
+    want = np.zeros(120, bool)
+    for u in probes.tolist():
+        for v in others.tolist():
+            if labels[u] != labels[v] and similar.may_link(sizes[[u]], sizes[[v]], [maps[u]], [maps[v]], 0.8)[0]:
+                want[[u, v]] = True
+    assert similar.possible_partners(sizes, maps, labels, probes, others, 0.8).tolist() == want.tolist()
+    assert 0 < want.sum() < 120
+
+
+def test_lookups_meet_few_other_texts(spark):
+    from pyspark.sql import functions as F
+
+    from loculus.llm.similar import likely
+
+    keyed = spark.range(20_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("text_hash"))
+    chosen = keyed.where("doc_id % 100 = 3").select(F.col("text_hash").alias("of_hash"))
+    got = {r.doc_id for r in likely(keyed, chosen).collect()}
+    assert set(range(3, 20_000, 100)) <= got
+    assert len(got) < 210
+    assert likely(keyed, chosen.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("most_together", [16, 300])
 def test_split_signatures(spark, scratch, most_together):
     from loculus.llm.simhash import signature_links
