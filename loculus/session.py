@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,18 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder through Hadoop's file systems, whatever store it lies in."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of what is stored by now; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def file_status(spark: SparkSession, path: str):
     """Hadoop's status of a path, or None where there is nothing."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
