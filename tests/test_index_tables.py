@@ -16,6 +16,7 @@ DATA = "/root/testdata/sf0.001"
 BUILT = {
     "hits_fill": {"documents", "forms", "form_blocks"},
     "word_counts_by_doc": {"documents", "forms", "form_counts"},
+    "word_total": {"documents", "forms", "form_counts"},
 }
 
 
